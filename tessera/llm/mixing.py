@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
 from .ranks import named, running
 
 
@@ -82,19 +83,19 @@ def mix(
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), domain.cast("string").alias("domain"), count.alias("n_tokens"), F.crc32(text).alias("__crc")
     )
-    rows = rows.select("*", named("domain").alias("__d"), named("lang").alias("__l"), named("source").alias("__s"))
+    rows = cut(rows.select("*", named("domain").alias("__d"), named("lang").alias("__l"), named("source").alias("__s")))
     levels = ["__d", "__l", "__s"]
-    leaves = rows.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens"))
+    leaves = cut(rows.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens")))
     total = F.expr(f"(sum(tokens) * {share_of_tokens[0]}) div {share_of_tokens[1]}")
     of = {"__d": weights.get("domain", {}), "__l": weights.get("lang", {}), "__s": weights.get("source", {})}
-    plan = budgets(leaves, of, total, levels, max_epochs)
+    plan = cut(budgets(leaves, of, total, levels, max_epochs))
     plan = plan.withColumn("__whole", F.expr("if(tokens > 0, budget div tokens, 0)")).withColumn("__part", F.expr("if(tokens > 0, budget % tokens, 0)"))
     # Each epoch has an order of its own; only that of the last, cut one decides.
     # A leaf may hold a third of all rows: its plan is repeated for every salt.
     salted = plan.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     seeded = rows.withColumn("__salt", F.pmod(F.xxhash64("id", "__crc"), F.lit(SALTS)).cast("int")).join(salted, [*levels, "__salt"])
     seeded = seeded.withColumn("__digest", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__whole").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit("")))))
-    upto = running(seeded, levels, "__digest", "n_tokens", "__upto", ["__crc", "n_tokens"])
+    upto = running(cut(seeded), levels, "__digest", "n_tokens", "__upto", ["__crc", "n_tokens"])
     epochs = F.col("__whole") + F.when((F.col("__part") > 0) & (F.col("__upto") <= F.col("__part")), 1).otherwise(0)
     return upto.select(F.col("id").alias(id_col), "domain", "lang", "source", "n_tokens", "budget", epochs.cast("long").alias("epochs"))
 

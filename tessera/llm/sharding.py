@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
 from .ranks import named, running
 
 
@@ -33,10 +34,10 @@ def interleave(
         F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("digest"),
         F.lit(1).cast("long").alias("one"),
     )
-    ties = ["text_crc32", "size"]
+    rows, ties = cut(rows), ["text_crc32", "size"]
     ranked = running(rows, ["stratum"], "digest", "one", "rank", ties)
     at = (F.col("rank") * 2 - 1) / (F.col("rank_total") * 2)
-    placed = ranked.withColumn("at", at).withColumn("cell", F.floor(F.col("at") * 4096).cast("int"))
+    placed = cut(ranked.withColumn("at", at).withColumn("cell", F.floor(F.col("at") * 4096).cast("int")))
     cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("in_cell"))
     before = Window.partitionBy(F.lit(0)).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("cell", F.coalesce(F.sum("in_cell").over(before), F.lit(0)).alias("before"), F.sum("in_cell").over(Window.partitionBy(F.lit(0))).alias("total"))
@@ -47,13 +48,15 @@ def interleave(
     return whole.withColumn("shard", shard).select("id", "source", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("position") - start).alias("slot")).withColumnRenamed("id", id_col)
 
 
-def with_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", **how) -> DataFrame:
-    """``docs`` with ``shard`` and ``slot``; rows that share an id are told apart by their text."""
-    text = F.coalesce(F.col(how.get("text_col", "text")).cast("string"), F.lit(""))
-    placed = interleave(docs, shards, id_col=id_col, **how).select(F.col(id_col).alias("__id"), F.col("text_crc32").alias("__crc"), "shard", "slot")
-    nth = Window.partitionBy("__id", "__crc")
-    mine = docs.withColumn("__mine", F.crc32(text))
-    counted = placed.withColumn("__nth", F.row_number().over(nth.orderBy("shard", "slot")))
-    numbered = mine.withColumn("__nth", F.row_number().over(Window.partitionBy(id_col, "__mine").orderBy(F.lit(1))))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__mine") == F.col("__crc")) & (numbered["__nth"] == counted["__nth"])
-    return numbered.join(counted, same).select(*[F.col(f"`{c}`") for c in docs.columns], "shard", "slot")
+def with_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` with ``shard`` and ``slot``; rows of one id are told apart by their text.
+
+    The places of equal rows are gathered in a list and dealt out to them one by one.
+    """
+    crc = F.crc32(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    placed = interleave(docs, shards, id_col=id_col, text_col=text_col, **how)
+    places = placed.groupBy(named(id_col).alias("__id"), F.col("text_crc32").alias("__crc")).agg(F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias("__places"))
+    mine = docs.withColumn("__id", named(id_col)).withColumn("__crc", crc).join(places, ["__id", "__crc"])
+    nth = F.row_number().over(Window.partitionBy("__id", "__crc").orderBy("__id"))
+    place = F.element_at("__places", nth)
+    return mine.withColumn("__place", place).select(*[F.col(f"`{c}`") for c in docs.columns], "__place.shard", "__place.slot")

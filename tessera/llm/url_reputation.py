@@ -54,6 +54,7 @@ def reputation(outcomes: DataFrame, z: float = 1.645) -> dict[str, DataFrame]:
     """
     o = outcomes.where("good IS NOT NULL AND host IS NOT NULL")
     host = o.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good")).withColumn("domain", _domain(F.col("host"))).withColumn("suffix", _suffix(F.col("host")))
+    host = cut(host)
     domain = host.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffix = domain.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     overall = suffix.agg(((F.coalesce(F.sum("good"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("prior"))
