@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import LOWER, UPPER, kept
 
 #: Items held by one automaton; more are taken in blocks, each with a pass of its own.
 MAX_WORDS = 2_000_000
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+_FOLD = str.maketrans(UPPER, LOWER)
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -163,7 +164,7 @@ def _spans(hit: np.ndarray) -> list[dict[str, int]]:
 
 def strip(text: str, spans: list[dict[str, int]]) -> str:
     """``text`` without the words of ``spans`` and what stands between them."""
-    at = [m.span() for m in _WORD.finditer(text)]
+    at = [m.span() for m in _WORD.finditer(text.translate(_FOLD))]
     out, last = [], 0
     for s in spans:
         out.append(text[last : at[s["start"]][0]])
