@@ -158,7 +158,7 @@ register("closure_dependents", lambda s, d: g.transitive_dependents(edges(s, d),
 register("closure_cyclic", lambda s, d: g.closure(part_edges(s, d)).select("root", "node"), _REACH + " SELECT root, node FROM r")
 register("shortest_path_len", lambda s, d: g.shortest_paths(part_edges(s, d), part_edges(s, d).select("src").distinct().select(F.lit("part/1").alias("src"), F.col("src").alias("dst"))).select("src", "dst", (F.size("path") - 1).cast("long").alias("hops")),
          "+b AS (SELECT 'part/1' AS node, 0 AS hops UNION SELECT pe.dst, b.hops + 1 FROM b JOIN pe ON pe.src = b.node WHERE b.hops < 15) SELECT 'part/1' AS src, node AS dst, min(hops)::BIGINT AS hops FROM b WHERE node IN (SELECT src FROM pe) GROUP BY node")
-register("scc_label", lambda s, d: g.components(part_edges(s, d)), _REACH + ", n AS (SELECT src AS node FROM pe UNION SELECT dst FROM pe), both AS (SELECT a.root AS node, a.node AS other FROM r a JOIN r b ON a.root = b.node AND a.node = b.root) SELECT n.node, least(n.node, coalesce(min(other), n.node)) AS component FROM n LEFT JOIN both ON both.node = n.node GROUP BY n.node")
+register("scc_label", lambda s, d: g.components(part_edges(s, d)), _REACH + ", n AS (SELECT src AS node FROM pe UNION SELECT dst FROM pe), mutual AS (SELECT a.root AS node, a.node AS other FROM r a JOIN r b ON a.root = b.node AND a.node = b.root) SELECT n.node, least(n.node, coalesce(min(other), n.node)) AS component FROM n LEFT JOIN mutual ON mutual.node = n.node GROUP BY n.node")
 register("cyclic_nodes", lambda s, d: g.cyclic_nodes(part_edges(s, d)).select("node"), _REACH + " SELECT DISTINCT root AS node FROM r WHERE root = node")
 register("topo_level", lambda s, d: g.levels(edges(s, d), modules(s, d)), _CLOSE.format(e="e", n=9) + " SELECT path AS node, coalesce(max(depth), 0)::BIGINT AS level FROM m LEFT JOIN r ON r.root = path GROUP BY path")
 register("topo_order", lambda s, d: g.topological_order(edges(s, d), modules(s, d).where("layer <> 'orders'")).select("node", "position"), None)
