@@ -27,6 +27,8 @@ from .common import kept
 VOCABULARY, SHAPES, DIM, HIDDEN, EPOCHS = 3000, 1024, 48, 24, 40
 #: The classifier is fitted on this many labelled rows at most, in the order of a hash.
 SAMPLE = 8000
+#: Words that the driver remembers while it fits.
+FIT_CACHE = 50_000
 _UP, _LOW, _DIGIT = re.compile(rb"[A-Z]+"), re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[0-9]+")
 
 
@@ -37,11 +39,11 @@ def shape(word: bytes) -> int:
 
 
 class Words:
-    def __init__(self, vocabulary: dict[bytes, int]):
-        self.fixed, self.cache = vocabulary, dict(vocabulary)
+    def __init__(self, vocabulary: dict[bytes, int], cache: int = 400_000):
+        self.fixed, self.cache, self.most = vocabulary, dict(vocabulary), cache
 
     def of(self, text: str | None) -> np.ndarray:
-        if len(self.cache) > 400_000:
+        if len(self.cache) > self.most:
             self.cache = dict(self.fixed)
         cache, out = self.cache, []
         for w in (text or "").encode("utf-8", "surrogatepass").split():
@@ -58,14 +60,15 @@ def word_vectors(texts: list[np.ndarray], seed: int) -> np.ndarray:
     size = VOCABULARY + SHAPES
     index = rng.choice(np.array([-1, 0, 0, 0, 0, 0, 0, 1], dtype=np.float32), (size, DIM)) * 2
     context = np.zeros((size, DIM), dtype=np.float32)
-    flat = np.concatenate([np.concatenate([t, [-1]]) for t in texts]).astype(np.int64) if texts else np.zeros(0, np.int64)
+    end = np.array([-1], dtype=np.int32)
+    flat = np.concatenate([x for t in texts for x in (t, end)]) if texts else np.zeros(0, np.int32)
     if len(flat) > 1:
         a, b = flat[:-1], flat[1:]
         both = (a >= 0) & (b >= 0)
         key, n = np.unique(a[both] * size + b[both], return_counts=True)
         a, b = key // size, key % size
-        for lo in range(0, len(key), 200_000):
-            x, y, w = a[lo : lo + 200_000], b[lo : lo + 200_000], n[lo : lo + 200_000, None].astype(np.float32)
+        for lo in range(0, len(key), 50_000):
+            x, y, w = a[lo : lo + 50_000], b[lo : lo + 50_000], n[lo : lo + 50_000, None].astype(np.float32)
             np.add.at(context, x, index[y] * w)
             np.add.at(context, y, index[x] * w)
     norm = np.linalg.norm(context, axis=1, keepdims=True)
@@ -135,13 +138,11 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = SAMP
     known = known.orderBy("__order").limit(sample)
     rows = docs.join(F.broadcast(known), F.col(id_col) == F.col("__id")).select("__order", "__id", "__y", F.col(text_col).cast("string").alias("__text"))
     taught = rows.dropDuplicates(["__id"]).orderBy("__order").toArrow()
-    y, texts = taught.column("__y").to_numpy(), taught.column("__text").to_pylist()
-    seen: Counter = Counter()
-    for t in texts:
-        seen.update(set((t or "").encode("utf-8", "surrogatepass").split()))
-    vocabulary = {w: k for k, (w, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY])}
-    words = Words(vocabulary)
-    ids = [words.of(t) for t in texts]
+    y, texts = taught.column("__y").to_numpy(), taught.column("__text")
+    vocabulary = {w: k for k, w in enumerate(_frequent(texts))}
+    words = Words(vocabulary, FIT_CACHE)
+    ids = [words.of(t.as_py()) for t in texts]
+    del taught, texts, rows
     vectors = word_vectors(ids, seed)
     if not len(y) or y.min() == y.max():
         return vocabulary, vectors, None
@@ -149,6 +150,16 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = SAMP
     return vocabulary, vectors, Network(x, y, np.arange(len(y)) % 5 == 0, seed)
 
 
+def _frequent(texts: pa.ChunkedArray) -> list[bytes]:
+    """The words of most texts, most frequent first; words met once are forgotten when many have been met."""
+    seen: Counter = Counter()
+    for t in texts:
+        seen.update(set((t.as_py() or "").encode("utf-8", "surrogatepass").split()))
+        if len(seen) > 4 * FIT_CACHE:
+            seen = Counter({w: n for w, n in seen.items() if n > 1})
+    return sorted(seen, key=lambda w: (-seen[w], w))[:VOCABULARY]
+
+
 def _score(batches: Iterator[pa.RecordBatch], key: str, shared) -> Iterator[pa.RecordBatch]:
     vocabulary, vectors, network = shared.value
     words = kept(("quality", key), lambda: Words(vocabulary))
