@@ -18,7 +18,8 @@ def bursts(events: DataFrame, time: str = "ts", key: str = "path", gap: str = "3
     if events.isStreaming:
         events = events.withWatermark(time, watermark or gap)
     w = F.session_window(time, gap).alias("w")
-    out = events.groupBy(w, *(by or [])).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.col(key).cast("string"))).alias("keys"))
+    # A stream's session windows need a key, so all rows share one where none is named.
+    out = events.groupBy(w, *(by or [F.lit(1).alias("__all")])).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.col(key).cast("string"))).alias("keys"))
     return out.select(*(by or []), F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n", "keys")
 
 
