@@ -60,3 +60,10 @@ def kept(key: tuple, make):
 def is_held_out(id_col: str, of: int, remainder: int) -> Column:
     """Whether crc32 of the id as text leaves ``remainder``; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % of == remainder, F.lit(False))
+
+
+def slices(batches, rows: int = 500):
+    """The batches in pieces of at most ``rows`` rows, so that a worker holds few texts at once."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
