@@ -27,7 +27,7 @@ from .common import cut
 from .components import connected_components
 from .simhash import forest
 
-PROJECTIONS, Z, RECALL, BLOCK = 16, 3.0, 0.998, 1024
+PROJECTIONS, DENSE, Z, RECALL, BLOCK = 16, 10, 3.0, 0.998, 1024
 
 
 def window_width(threshold: float, dim: int) -> float:
@@ -74,13 +74,15 @@ def tile_links(x: np.ndarray, y: np.ndarray, threshold: float, proj: np.ndarray)
     w = window_width(threshold, x.shape[1])
     allowed = PROJECTIONS - least_count()
     px, py = (x @ proj).astype(np.float32), (y @ proj).astype(np.float32)
-    dense = 4
-    missed = np.zeros((len(x), len(y)), dtype=np.uint8)
-    for k in range(dense):
-        missed += np.abs(px[:, k, None] - py[None, :, k]) > w
+    # Most pairs are given up within DENSE projections; only the rest is gathered by index.
+    missed, gap = np.zeros((len(x), len(y)), dtype=np.uint8), np.empty((len(x), len(y)), dtype=np.float32)
+    for k in range(DENSE):
+        np.subtract(px[:, k, None], py[None, :, k], out=gap)
+        np.abs(gap, out=gap)
+        missed += gap > np.float32(w)
     i, j = np.nonzero(missed <= allowed)
     missed = missed[i, j]
-    for k in range(dense, PROJECTIONS):
+    for k in range(DENSE, PROJECTIONS):
         missed = missed + (np.abs(px[i, k] - py[j, k]) > w)
         left = missed <= allowed
         i, j, missed = i[left], j[left], missed[left]
