@@ -70,7 +70,7 @@ def mix(
     lang_col: str = "lang",
     source_col: str = "source",
 ) -> DataFrame:
-    """(id, domain, lang, source, n_tokens, budget, epochs) for every row of ``docs``.
+    """(id, domain, lang, source, n_tokens, budget, epochs, text_crc32) for every row of ``docs``.
 
     epochs says how often the row is used, 0 for rows beyond the budget.  n_tokens counts
     runs of non-blank characters.  The budget is ``share_of_tokens`` of all tokens.  Null
@@ -97,11 +97,16 @@ def mix(
     seeded = seeded.withColumn("__digest", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__whole").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit("")))))
     upto = running(cut(seeded), levels, "__digest", "n_tokens", "__upto", ["__crc", "n_tokens"])
     epochs = F.col("__whole") + F.when((F.col("__part") > 0) & (F.col("__upto") <= F.col("__part")), 1).otherwise(0)
-    return upto.select(F.col("id").alias(id_col), "domain", "lang", "source", "n_tokens", "budget", epochs.cast("long").alias("epochs"))
+    return upto.select(F.col("id").alias(id_col), "domain", "lang", "source", "n_tokens", "budget", epochs.cast("long").alias("epochs"), F.col("__crc").alias("text_crc32"))
 
 
-def materialize(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with each row as often as ``plan`` (see ``mix``) uses its id; null ids are dropped."""
-    used = plan.where("epochs > 0").groupBy(F.col(id_col).alias("__used")).agg(F.max("epochs").alias("__times"))
-    repeated = docs.join(used, docs[id_col] == used["__used"]).withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
+def materialize(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with each row as often as ``plan`` (see ``mix``) uses it.
+
+    Rows are found by id and text, a null id being an id of its own; rows equal in both are
+    all used as often as the most used of them.
+    """
+    used = plan.where("epochs > 0").groupBy(named(id_col).alias("__used"), F.col("text_crc32").alias("__crc")).agg(F.max("epochs").alias("__times"))
+    crc = F.crc32(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    repeated = docs.withColumn("__used", named(id_col)).withColumn("__crc", crc).join(used, ["__used", "__crc"]).withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
     return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])

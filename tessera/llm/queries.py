@@ -26,7 +26,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = {"domain": DOMAINS, "lang": LANGUAGES}
-    return mixing.mix(read(spark, sf_dir, "documents"), weights, domain_of(F.col("source")), (1, 1), max_epochs=4)
+    return mixing.mix(read(spark, sf_dir, "documents"), weights, domain_of(F.col("source")), (1, 1), max_epochs=4).drop("text_crc32")
 
 
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

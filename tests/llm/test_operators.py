@@ -154,6 +154,11 @@ def test_mixing(docs, empty, share, epochs):
     want = brute_mix(corpus(), share, epochs, 77, {"en": 3, "de": 1})
     assert Counter((r.doc_id, r.epochs) for r in got.collect()) == Counter(want)
     assert mixing.mix(empty, {}, F.lit("d")).count() == 0
+    most = Counter()
+    for r in got.collect():
+        most[r.doc_id] = max(most[r.doc_id], r.epochs)
+    used = mixing.materialize(docs, got)
+    assert used.columns == docs.columns and Counter(r.doc_id for r in used.collect()) == Counter(i for i, *_ in corpus() for _ in range(most[i]))
 
 
 def test_embeddings(spark):
