@@ -42,10 +42,13 @@ class Compiler:
     # --- patterns
 
     def weight(self, t: Triple) -> float:
-        """Estimated rows: the predicate's, less for each constant end; a predicate without rows comes first."""
+        """Estimated rows: the predicate's, less for each constant end; a predicate without rows comes first.
+
+        A constant object halves them only: a type or a layer may be that of most nodes.
+        """
         total = sum(self.counts.values()) or 1_000_000
         n = float(self.counts.get(t.p.iri, 0 if self.counts else total)) if isinstance(t.p, Path) and t.p.op == "link" else float(total * 2)
-        return n * (0.001 if isinstance(t.s, Const) else 1) * (0.1 if isinstance(t.o, Const) else 1)
+        return n * (0.001 if isinstance(t.s, Const) else 1) * (0.5 if isinstance(t.o, Const) else 1)
 
     @staticmethod
     def names(t: Triple) -> set[str]:

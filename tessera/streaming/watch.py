@@ -18,8 +18,9 @@ def bursts(events: DataFrame, time: str = "ts", key: str = "path", gap: str = "3
     if events.isStreaming:
         events = events.withWatermark(time, watermark or gap)
     w = F.session_window(time, gap).alias("w")
-    # A stream's session windows need a key, so all rows share one where none is named.
-    out = events.groupBy(w, *(by or [F.lit(1).alias("__all")])).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.col(key).cast("string"))).alias("keys"))
+    # A stream's session windows need a key, so all rows share one where none is named; a
+    # literal would be folded away.
+    out = events.groupBy(w, *(by or [F.pmod(F.hash(key), F.lit(1)).alias("__all")])).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.col(key).cast("string"))).alias("keys"))
     return out.select(*(by or []), F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n", "keys")
 
 
@@ -33,7 +34,7 @@ def windowed_counts(events: DataFrame, time: str = "ts", width: str = "1 hour",
 def upsert(triples: DataFrame, changed: DataFrame) -> DataFrame:
     """The store with all triples of the changed files replaced by their new ones."""
     files = changed.select("file").distinct()
-    return triples.join(files, "file", "left_anti").unionByName(changed.where("subject IS NOT NULL"), allowMissingColumns=True)
+    return triples.join(files, "file", "left_anti").select(triples.columns).unionByName(changed.where("subject IS NOT NULL"), allowMissingColumns=True)
 
 
 def watch(spark: SparkSession, folder: str, checkpoint: str, on_files: Callable[[DataFrame, int], None], available_now: bool = True, files_per_trigger: int = 1000) -> StreamingQuery:
