@@ -1,11 +1,14 @@
 """SimHash near-duplicates found through vantage-point trees.
 
-A fingerprint of ``bits`` bits is cut into 16-bit blocks.  Two fingerprints within ``radius``
-bits lie within ``radius // blocks`` bits on one block at least, so every block gets a
-vantage-point tree over its own Hamming distance: each level splits at a seeded vantage
-point, a row's home is the leaf its path ends in, and a row whose ball of that block radius
-crosses a boundary is also sent to the shards beyond it (triangle bound; at block radius 0
-no ball crosses one).  Within a leaf the whole fingerprints are compared.  The vantage points
+A fingerprint of ``bits`` bits is cut into ``blocks`` blocks.  By the pigeonhole principle two
+fingerprints within ``radius`` bits lie within a small block radius on some ``intact`` blocks
+together, so every choice of so many blocks gets a vantage-point tree over its own Hamming
+distance: each level splits at a seeded vantage point, a row's home is the leaf its path ends
+in, and a row whose ball of the block radius crosses a boundary is also sent to the shards
+beyond it (triangle bound; at block radius 0 no ball crosses one).  Trees over more bits have
+more leaves: 64 bits in five blocks, two of them intact, give ten trees over about 25 bits, so
+that a billion fingerprints leave some dozens in a leaf.  Within a leaf the whole fingerprints
+are compared.  The vantage points
 come from the seed, not from the rows, so no sample is fitted and a leaf means the same in
 every task.  A leaf above ``CHUNK`` rows is dealt out as pairs of chunks, and tasks report
 spanning links instead of all pairs.
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, cut
 from .components import connected_components
 
-CHUNK, DEPTH, SPLIT = 512, 20, 8
+CHUNK = 512
 _SPREAD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 
@@ -75,27 +79,51 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width)
 
 
-def _routes(batches: Iterator[pa.RecordBatch], bits: int, block_radius: int, seed: int) -> Iterator[pa.RecordBatch]:
-    blocks = bits // 16
-    points = np.random.default_rng(seed).integers(0, 1 << 16, (blocks, DEPTH), dtype=np.uint16)
+def block_radius_of(radius: int, blocks: int, intact: int) -> int:
+    """The most bits in which the ``intact`` blocks that differ least can differ: the even spread is the worst."""
+    each, rest = divmod(radius, blocks)
+    return intact * each + max(0, rest - (blocks - intact))
+
+
+def masks(bits: int, blocks: int, intact: int) -> list[np.ndarray]:
+    """For each tree the bits that it looks at, as words of 64 bits."""
+    out = []
+    for chosen in combinations(range(blocks), intact):
+        m = np.zeros(bits, dtype=np.uint8)
+        for k in chosen:
+            m[k * bits // blocks : (k + 1) * bits // blocks] = 1
+        out.append(np.packbits(m).view(">u8").astype(np.uint64))
+    return out
+
+
+def _routes(batches: Iterator[pa.RecordBatch], bits: int, blocks: int, intact: int, block_radius: int, seed: int) -> Iterator[pa.RecordBatch]:
+    trees, rng = masks(bits, blocks, intact), np.random.default_rng(seed)
+    width = min(int(np.bitwise_count(m).sum()) for m in trees)
+    # A ball of radius 0 has one leaf however deep the tree; others are copied at every level.
+    depth = min(2 * width, 52) if block_radius == 0 else max(1, width // 2)
+    points = rng.integers(0, 1 << 64, (len(trees), depth, bits // 64), dtype=np.uint64)
+    split = width // 2
     for b in batches:
         if not b.num_rows:
             continue
         codes = b.column(0)
-        cells = _matrix(codes, bits // 8).view(">u2").astype(np.uint16)
-        for k in range(blocks):
+        words = _matrix(codes, bits // 8).view(">u8").astype(np.uint64)
+        for k, mask in enumerate(trees):
+            used = np.nonzero(mask)[0]
+            cells = words[:, used] & mask[used]
             row = np.arange(len(cells))
             path, home = np.zeros(len(row), dtype=np.int64), np.ones(len(row), dtype=bool)
-            for level in range(DEPTH):
-                d = np.bitwise_count(cells[row, k] ^ points[k, level]).astype(np.int16)
-                outer = d > SPLIT
+            for level in range(depth):
+                near = np.bitwise_count(cells ^ (points[k, level, used] & mask[used])).sum(axis=1, dtype=np.int16)
+                d = near[row] if block_radius else near
+                outer = d > split
                 if block_radius:
-                    other = np.where(outer, d - block_radius <= SPLIT, d + block_radius > SPLIT)
+                    other = np.where(outer, d - block_radius <= split, d + block_radius > split)
                     row, home = np.concatenate([row, row[other]]), np.concatenate([home, np.zeros(int(other.sum()), dtype=bool)])
                     path = np.concatenate([path * 2 + outer, path[other] * 2 + ~outer[other]])
                 else:
                     path = path * 2 + outer
-            yield pa.RecordBatch.from_arrays([pa.array((k << DEPTH) + path), codes.take(pa.array(row)), pa.array(home)], names=["leaf", "code", "home"])
+            yield pa.RecordBatch.from_arrays([pa.array((k << depth) + path), codes.take(pa.array(row)), pa.array(home)], names=["leaf", "code", "home"])
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -163,10 +191,14 @@ def _compare(batches: Iterator[pa.RecordBatch], bits: int, radius: int) -> Itera
         yield out
 
 
-def code_links(codes: DataFrame, bits: int, radius: int, block_radius: int | None = None, seed: int = 7) -> DataFrame:
-    """Spanning links (u, v) between the distinct ``code`` values within ``radius`` bits."""
-    rho = radius // (bits // 16) if block_radius is None else block_radius
-    routed = codes.select("code").mapInArrow(partial(_routes, bits=bits, block_radius=rho, seed=seed), "leaf long, code binary, home boolean")
+def code_links(codes: DataFrame, bits: int, radius: int, block_radius: int | None = None, seed: int = 7, blocks: int | None = None, intact: int = 1) -> DataFrame:
+    """Spanning links (u, v) between the distinct ``code`` values within ``radius`` bits.
+
+    ``blocks`` is by default as many as hold 16 bits each.
+    """
+    blocks = blocks or bits // 16
+    rho = block_radius_of(radius, blocks, intact) if block_radius is None else block_radius
+    routed = codes.select("code").mapInArrow(partial(_routes, bits=bits, blocks=blocks, intact=intact, block_radius=rho, seed=seed), "leaf long, code binary, home boolean")
     hot = cut(routed.groupBy("leaf").count().where(F.col("count") > CHUNK).select("leaf", F.ceil(F.col("count") / CHUNK).cast("int").alias("k")))
     k = F.coalesce("k", F.lit(1))
     chunk, other = F.pmod(F.xxhash64("code"), k).cast("int"), F.col("other")
@@ -180,7 +212,15 @@ def code_links(codes: DataFrame, bits: int, radius: int, block_radius: int | Non
 
 
 def near_duplicates(
-    docs: DataFrame, shingle: int = 5, bits: int = 512, radius: int = 86, block_radius: int | None = 0, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    shingle: int = 5,
+    bits: int = 512,
+    radius: int = 86,
+    block_radius: int | None = 0,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    blocks: int | None = None,
+    intact: int = 1,
 ) -> DataFrame:
     """(id, fingerprint, component_id) for every row of ``docs``.
 
@@ -193,7 +233,7 @@ def near_duplicates(
     """
     coded = cut(fingerprints(docs, shingle, bits, id_col, text_col).withColumnRenamed(id_col, "id"))
     codes = cut(coded.groupBy("code").agg(F.min("id").alias("first")))
-    roots = connected_components(code_links(codes, bits, radius, block_radius))
+    roots = connected_components(code_links(codes, bits, radius, block_radius, blocks=blocks, intact=intact))
     rooted = codes.join(roots, codes.code == roots.node, "left").select("code", "first", F.coalesce("root", "code").alias("root"))
     rooted = cut(rooted)
     least = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")))

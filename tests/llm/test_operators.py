@@ -91,6 +91,9 @@ def test_simhash_blocks_and_hot_leaves(spark, monkeypatch):
     links = [(int.from_bytes(r.u, "big"), int.from_bytes(r.v, "big")) for r in simhash.code_links(df, 64, 3).collect()]
     near = [(a, b) for a in codes for b in codes if a < b and (a ^ b).bit_count() <= 3]
     assert unite(links, codes) == unite(near, codes)
+    for radius, blocks, intact in [(3, 5, 2), (3, 6, 3), (6, 5, 2)]:
+        found = [(int.from_bytes(r.u, "big"), int.from_bytes(r.v, "big")) for r in simhash.code_links(df, 64, radius, blocks=blocks, intact=intact).collect()]
+        assert unite(found, codes) == unite([(a, b) for a in codes for b in codes if a < b and (a ^ b).bit_count() <= radius], codes)
     wide = [(int.from_bytes(r.u, "big"), int.from_bytes(r.v, "big")) for r in simhash.code_links(df, 64, 6).collect()]
     assert unite(wide, codes) == unite([(a, b) for a in codes for b in codes if a < b and (a ^ b).bit_count() <= 6], codes)
 
