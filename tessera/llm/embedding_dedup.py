@@ -6,10 +6,13 @@ Unit vectors are projected on seeded random directions.  A pair at the threshold
 least count that keeps ``RECALL`` of such pairs is the bar for verifying a pair in double
 precision.
 
-Vectors are sorted by the first projection and cut into blocks; a block meets only the blocks
-that a window around it reaches.  Each pair of blocks is one tile: it counts collisions for
-its pairs, gives up a pair as soon as it can no longer reach the bar, and reports link counts
-and spanning links, never all pairs.
+Equal vectors are gathered first and take part once, with their number.  Vectors are sorted by
+the first projection and cut into blocks; a block meets only the blocks that a window around
+it reaches.  Each pair of blocks is one tile: it sorts its rows by the first projection again,
+counts collisions for the pairs of pieces within a window, gives up a pair as soon as it can no
+longer reach the bar, and reports link counts and spanning links, never all pairs.  A row is
+sent to as many tiles as there are blocks within its window; there are ``BLOCKS`` blocks until
+a block would take more than ``BLOCK_BYTES``.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from .components import connected_components
 from .simhash import forest
 
 PROJECTIONS, DENSE, Z, RECALL, BLOCK = 16, 10, 3.0, 0.998, 1024
+BLOCKS, BLOCK_BYTES, SALTS = 16, 32 << 20, 32
 
 
 def window_width(threshold: float, dim: int) -> float:
@@ -50,8 +54,14 @@ def directions(dim: int, seed: int) -> np.ndarray:
     return g / np.linalg.norm(g, axis=0)
 
 
+def block_rows(n: int, dim: int) -> int:
+    """Rows of a block of n vectors: at least ``BLOCK``, and no more than ``BLOCK_BYTES`` hold."""
+    return min(max(BLOCK, math.ceil(n / BLOCKS)), max(BLOCK, BLOCK_BYTES // (8 * dim)))
+
+
 def _unit(column: pa.Array, dim: int) -> np.ndarray:
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that no square overflows or vanishes
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -60,20 +70,19 @@ def _anchor(batches: Iterator[pa.RecordBatch], dim: int, seed: int) -> Iterator[
     for b in batches:
         if b.num_rows:
             at = _unit(b.column(1), dim) @ d[:, 0]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at)], names=["id", "v", "at"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at)], names=["id", "v", "m", "at"])
 
 
 def _cells(batches: Iterator[pa.RecordBatch], cuts) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        cell = np.searchsorted(cuts.value, b.column(2).to_numpy(), side="right")
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32())], names=["id", "v", "at", "cell"])
+        cell = np.searchsorted(cuts.value, b.column(3).to_numpy(), side="right")
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32())], names=["id", "v", "m", "at", "cell"])
 
 
-def tile_links(x: np.ndarray, y: np.ndarray, threshold: float, proj: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of unit rows of x and y whose collisions reach the bar and whose cosine the threshold."""
+def tile_links(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of unit rows of x and y, with their projections, whose collisions reach the bar and whose cosine the threshold."""
     w = window_width(threshold, x.shape[1])
     allowed = PROJECTIONS - least_count()
-    px, py = (x @ proj).astype(np.float32), (y @ proj).astype(np.float32)
     # Most pairs are given up within DENSE projections; only the rest is gathered by index.
     missed, gap = np.zeros((len(x), len(y)), dtype=np.uint8), np.empty((len(x), len(y)), dtype=np.float32)
     for k in range(DENSE):
@@ -95,30 +104,39 @@ def tile_links(x: np.ndarray, y: np.ndarray, threshold: float, proj: np.ndarray)
 
 def _tiles(batches: Iterator[pa.RecordBatch], dim: int, threshold: float, seed: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by tile (lo, hi) and block."""
-    proj = directions(dim, seed)
+    proj, w = directions(dim, seed), np.float32(window_width(threshold, dim))
 
     def tile(t: pa.Table) -> pa.RecordBatch | None:
         t = t.combine_chunks()
         blocks = t.column("block").to_numpy()
         lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
         ids = t.column("id").to_numpy()
-        x = _unit(t.column("v").combine_chunks(), dim)
+        x, m = _unit(t.column("v").combine_chunks(), dim), t.column("m").to_numpy()
+        p = (x @ proj).astype(np.float32)
+        order = np.argsort(p[:, 0], kind="stable")
+        x, p, m, ids, blocks = x[order], p[order], m[order], ids[order], blocks[order]
         first, second = np.nonzero(blocks == lo)[0], np.nonzero(blocks == hi)[0]
         if not len(first) or not len(second):
             return None
         left, right = [], []
         for a in range(0, len(first), BLOCK):
-            for b in range(0, len(second), BLOCK):
-                i, j = tile_links(x[first[a : a + BLOCK]], x[second[b : b + BLOCK]], threshold, proj)
-                left.append(first[a + i])
-                right.append(second[b + j])
+            u = first[a : a + BLOCK]
+            for b in range(a if lo == hi else 0, len(second), BLOCK):
+                v = second[b : b + BLOCK]
+                if p[v[0], 0] - p[u[-1], 0] > w or p[u[0], 0] - p[v[-1], 0] > w:
+                    continue
+                i, j = tile_links(x[u], x[v], p[u], p[v], threshold)
+                left.append(u[i])
+                right.append(v[j])
+        if not left:
+            return None
         i, j = np.concatenate(left), np.concatenate(right)
         if lo == hi:
             once = i < j
             i, j = i[once], j[once]
         if not len(i):
             return None
-        n = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+        n = (np.bincount(i, weights=m[j], minlength=len(ids)) + np.bincount(j, weights=m[i], minlength=len(ids))).astype(np.int64)
         root = forest(len(ids), i, j)
         order = np.argsort(root, kind="stable")
         after = np.full(len(ids), -1)
@@ -150,8 +168,8 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.9, seed: int = 11,
     Pairs of cosine ``threshold`` or more are linked, none below it; n_links counts the other
     rows linked directly and component_id is the least id reachable.  Vectors that are null,
     empty, zero, of another length than the most common one, or hold null or non-finite
-    numbers link with nothing.  Ids are whole numbers, one for each row: a repeated id counts
-    as one vector whose links add up.  Ties at the threshold link; an empty table gives no rows.
+    numbers link with nothing.  Ids are whole numbers, one for each row: a repeated id has the
+    links of its different vectors added up.  Ties at the threshold link; an empty table gives no rows.
     """
     v = F.col(vector_col)
     sound = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0)
@@ -160,17 +178,21 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.9, seed: int = 11,
     everyone = vectors.select(F.col(id_col).cast("long").alias("id"))
     if common is None:
         return everyone.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    dim, n = common
+    dim = common[0]
     kind = dict(good.dtypes)["v"]
-    placed = cut(good.where(F.size("v") == dim).mapInArrow(partial(_anchor, dim=dim, seed=seed), f"id long, v {kind}, at double"))
-    parts = max(1, math.ceil(n / BLOCK))
+    sized = good.where(F.size("v") == dim)
+    distinct = cut(sized.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("m")))
+    placed = cut(distinct.select("id", "v", "m").mapInArrow(partial(_anchor, dim=dim, seed=seed), f"id long, v {kind}, m long, at double"))
+    n = placed.count()
+    rows = block_rows(n, dim)
+    parts = max(1, math.ceil(n / rows))
     cuts = sorted(set(placed.approxQuantile("at", [k / parts for k in range(1, parts)], 0.25 / parts))) if parts > 1 else []
     w = window_width(threshold, dim)
     shared = vectors.sparkSession.sparkContext.broadcast(np.array(cuts))
-    celled = placed.mapInArrow(partial(_cells, cuts=shared), f"id long, v {kind}, at double, cell int")
+    celled = placed.mapInArrow(partial(_cells, cuts=shared), f"id long, v {kind}, m long, at double, cell int")
     # Equal values cannot be cut apart: a crowded cell is dealt out by hash.
     sizes = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("low"), F.max("at").alias("high")).orderBy("cell").collect()
-    spans = [(r["cell"], k, max(1, math.ceil(r["n"] / (2 * BLOCK))), r["low"], r["high"]) for k, r in enumerate(sizes)]
+    spans = [(r["cell"], k, max(1, math.ceil(r["n"] / (2 * rows))), r["low"], r["high"]) for k, r in enumerate(sizes)]
     start, table, reach = 0, {}, []
     for c, _, chunks, low, high in spans:
         table[c] = (start, chunks)
@@ -183,11 +205,18 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.9, seed: int = 11,
     plan = spark.createDataFrame([(c, int(k), int(first[s + k]), int(last[s + k]), int(s + k), int(ch)) for c, (s, ch) in table.items() for k in range(ch)], "cell int, chunk int, low int, high int, block int, chunks int")
     chunks = spark.createDataFrame([(c, ch) for c, (_, ch) in table.items()], "cell int, chunks int")
     chunked = celled.join(F.broadcast(chunks), "cell").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).drop("chunks")
-    dealt = chunked.join(F.broadcast(plan), ["cell", "chunk"]).select("id", "v", "block", F.explode(F.sequence("low", "high")).alias("other"))
-    tiles = dealt.select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "v")
-    found = cut(tiles.repartition("lo", "hi").sortWithinPartitions("lo", "hi").select("lo", "hi", "block", "id", "v").mapInArrow(partial(_tiles, dim=dim, threshold=threshold, seed=seed), "id long, n long, peer long"))
+    dealt = chunked.join(F.broadcast(plan), ["cell", "chunk"]).select("id", "v", "m", "block", F.explode(F.sequence("low", "high")).alias("other"))
+    tiles = dealt.select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "v", "m")
+    found = cut(tiles.repartition("lo", "hi").sortWithinPartitions("lo", "hi").select("lo", "hi", "block", "id", "v", "m").mapInArrow(partial(_tiles, dim=dim, threshold=threshold, seed=seed), "id long, n long, peer long"))
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
-    roots = connected_components(found.select(F.col("id").alias("u"), F.col("peer").alias("v")))
-    named = everyone.join(counts, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    roots = connected_components(found.select(F.col("id").alias("u"), F.col("peer").alias("v"))).withColumnRenamed("node", "id")
+    links = F.coalesce("n", F.lit(0)) + F.col("m") - 1
+    known = cut(placed.select("id", "v", "m").join(counts, "id", "left").join(roots, "id", "left").select("id", "v", "m", links.alias("n"), F.coalesce("root", "id").alias("root")))
+    # Copies take what their first one has; a third of all rows may be copies of one vector.
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    copied = known.where("m > 1").select("v", F.col("id").alias("first"), "n", "root", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    copies = sized.withColumn("salt", salt).join(copied, ["v", "salt"]).where("id <> first").select("id", "n", "root")
+    told = known.select("id", "n", "root").unionByName(copies).groupBy("id").agg(F.sum("n").alias("n"), F.min("root").alias("root"))
+    named = everyone.join(told, "id", "left")
     component = F.coalesce("root", "id")
     return named.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))

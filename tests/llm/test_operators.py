@@ -183,6 +183,22 @@ def test_embeddings(spark):
     assert embedding_dedup.embedding_links(df.limit(0)).count() == 0 and got[9002].kept and got[9003].component_id == 0
 
 
+def test_embeddings_in_many_blocks_with_a_third_of_copies(spark, monkeypatch):
+    for name, value in [("BLOCK", 16), ("BLOCKS", 6), ("BLOCK_BYTES", 40 * 8 * 16)]:
+        monkeypatch.setattr(embedding_dedup, name, value)
+    rng = np.random.default_rng(3)
+    x = [list(map(float, c + 0.1 * rng.standard_normal(16))) for c in rng.standard_normal((40, 16)) for _ in range(8)]
+    x += [x[7]] * 150 + [[v * 1e-30 for v in x[9]], [v * 1e30 for v in x[9]]]
+    got = {r.vec_id: r for r in embedding_dedup.embedding_links(spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<float>")).collect()}
+    m = np.array(x, dtype=np.float32).astype(float)
+    m = m / np.linalg.norm(m, axis=1, keepdims=True)
+    near = [(int(a), int(b)) for a, b in zip(*np.nonzero(m @ m.T >= 0.9)) if a < b]
+    n = Counter(y for p in near for y in p)
+    assert len(got) == len(x) and all(got[i].n_links <= n[i] for i in got) and 0.99 * sum(n.values()) <= sum(r.n_links for r in got.values())
+    assert {i: r.component_id for i, r in got.items()} == unite(near, got)
+    assert {r.n_links for i, r in got.items() if x[i] == x[7]} == {got[7].n_links}
+
+
 def test_token_counts(docs, empty):
     from tokenizers import Tokenizer
 
