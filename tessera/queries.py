@@ -17,7 +17,7 @@ from .plans.templates import Templates
 from .schema import NS, RDF_TYPE
 from .sinks import diagrams, results
 from .sources import files
-from .sources.tables import PRELUDE, edges, modules, part_edges, triples
+from .sources.tables import ALL_PART_EDGES_SQL, PART_EDGES_SQL, PRELUDE, all_part_edges, edges, modules, part_edges, triples
 from .streaming.watch import bursts, windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,8 +102,8 @@ for _name, (_values, _sql) in _T.items():
     register(f"tpl_{_name.replace('-', '_')}", lambda spark, d, n=_name, v=_values: Templates().run(n, triples(spark, d), **v), _sql)
 
 
-def _part_triples(spark: SparkSession, d: str) -> DataFrame:
-    return part_edges(spark, d).select(F.col("src").alias("subject"), F.lit(f"{NS}linksTo").alias("predicate"), F.col("dst").alias("object"))
+def _part_triples(spark: SparkSession, d: str, of=part_edges) -> DataFrame:
+    return of(spark, d).select(F.col("src").alias("subject"), F.lit(f"{NS}linksTo").alias("predicate"), F.col("dst").alias("object"))
 
 
 register("tpl_circular_deps", lambda spark, d: Templates().run("circular-deps", _part_triples(spark, d)), "SELECT DISTINCT a.src AS a, a.dst AS b FROM pe a JOIN pe b ON a.dst = b.src AND b.dst = a.src")
@@ -153,13 +153,28 @@ def _one(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.createDataFrame([(p,) for p in paths], "path string")
 
 
+def _hops(pe: DataFrame) -> DataFrame:
+    pairs = pe.select("src").distinct().select(F.lit("part/1").alias("src"), F.col("src").alias("dst"))
+    return g.shortest_paths(pe, pairs).select("src", "dst", (F.size("path") - 1).cast("long").alias("hops"))
+
+
 register("closure_deps", lambda s, d: g.transitive_dependencies(edges(s, d), modules(s, d).where("layer <> 'orders'")), _CLOSE.format(e="e", n=9) + " SELECT root, node, min(depth)::BIGINT AS depth FROM r WHERE root NOT LIKE 'orders/%' AND root <> node GROUP BY ALL")
 register("closure_dependents", lambda s, d: g.transitive_dependents(edges(s, d), _one(s, "nation/3", "region/1")), "+r AS (SELECT dst AS root, src AS node, 1 AS depth FROM e WHERE dst IN ('nation/3', 'region/1') UNION SELECT r.root, e.src, r.depth + 1 FROM r JOIN e ON e.dst = r.node) SELECT root, node, min(depth)::BIGINT AS depth FROM r GROUP BY ALL")
 register("closure_cyclic", lambda s, d: g.closure(part_edges(s, d)).select("root", "node"), _REACH + " SELECT root, node FROM r")
-register("shortest_path_len", lambda s, d: g.shortest_paths(part_edges(s, d), part_edges(s, d).select("src").distinct().select(F.lit("part/1").alias("src"), F.col("src").alias("dst"))).select("src", "dst", (F.size("path") - 1).cast("long").alias("hops")),
+register("shortest_path_len", lambda s, d: _hops(part_edges(s, d)),
          "+b AS (SELECT 'part/1' AS node, 0 AS hops UNION SELECT pe.dst, b.hops + 1 FROM b JOIN pe ON pe.src = b.node WHERE b.hops < 15) SELECT 'part/1' AS src, node AS dst, min(hops)::BIGINT AS hops FROM b WHERE node IN (SELECT src FROM pe) GROUP BY node")
 register("scc_label", lambda s, d: g.components(part_edges(s, d)), _REACH + ", n AS (SELECT src AS node FROM pe UNION SELECT dst FROM pe), mutual AS (SELECT a.root AS node, a.node AS other FROM r a JOIN r b ON a.root = b.node AND a.node = b.root) SELECT n.node, least(n.node, coalesce(min(other), n.node)) AS component FROM n LEFT JOIN mutual ON mutual.node = n.node GROUP BY n.node")
 register("cyclic_nodes", lambda s, d: g.cyclic_nodes(part_edges(s, d)).select("node"), _REACH + " SELECT DISTINCT root AS node FROM r WHERE root = node")
+# The queries named here, and their SQL, hold the first hundred parts; these run over all parts.
+for _name, _query in {
+    "closure_cyclic": lambda s, d: g.closure(all_part_edges(s, d)).select("root", "node"),
+    "shortest_path_len": lambda s, d: _hops(all_part_edges(s, d)),
+    "scc_label": lambda s, d: g.components(all_part_edges(s, d)),
+    "cyclic_nodes": lambda s, d: g.cyclic_nodes(all_part_edges(s, d)).select("node"),
+    "tpl_circular_deps": lambda s, d: Templates().run("circular-deps", _part_triples(s, d, all_part_edges)),
+}.items():
+    QUERIES[f"{_name}_all"] = _query
+    ORACLES[f"{_name}_all"] = ORACLES[_name].replace(PART_EDGES_SQL, ALL_PART_EDGES_SQL)
 register("topo_level", lambda s, d: g.levels(edges(s, d), modules(s, d)), _CLOSE.format(e="e", n=9) + " SELECT path AS node, coalesce(max(depth), 0)::BIGINT AS level FROM m LEFT JOIN r ON r.root = path GROUP BY path")
 register("topo_order", lambda s, d: g.topological_order(edges(s, d), modules(s, d).where("layer <> 'orders'")).select("node", "position"), None)
 register("degrees", lambda s, d: g.degrees(edges(s, d), modules(s, d)), "SELECT path, (SELECT count(DISTINCT dst) FROM e WHERE src = path) AS out_degree, (SELECT count(DISTINCT src) FROM e WHERE dst = path) AS in_degree FROM m")

@@ -33,6 +33,9 @@ SELECT DISTINCT concat('part/', CAST(a AS STRING)) AS src, concat('part/', CAST(
   SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM lineitem
 ) WHERE a <> b AND a < 100 AND b < 100"""
 
+#: The same between all parts.
+ALL_PART_EDGES_SQL = PART_EDGES_SQL.replace(" AND a < 100 AND b < 100", "")
+
 _TABLES = ("region", "nation", "supplier", "customer", "orders", "lineitem")
 
 
@@ -61,6 +64,10 @@ def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, PART_EDGES_SQL)
 
 
+def all_part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, ALL_PART_EDGES_SQL)
+
+
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The modules and edges as triples: one scan of each table, unpivoted by ``explode``."""
     m, e = modules(spark, sf_dir), edges(spark, sf_dir)

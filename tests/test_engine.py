@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import queries
 from tessera.analysis import checks, deadcode, impact, security, shadow
 from tessera.functions import text
 from tessera.graph import algorithms as g
@@ -278,3 +279,20 @@ def test_entry_without_optional_folders(spark):
 
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
     assert entry_module.entry(spark).columns == ["n", "l"]
+
+
+def test_part_graph_holds_all_parts(spark, tmp_path):
+    """Parts 1 > 500 > 900 > 1 in a ring and 900 > 901; the bounded queries hold none of them."""
+    rows = [(1, 1, 1), (1, 2, 500), (1, 3, 900), (1, 4, 1), (2, 1, 900), (2, 2, 901), (3, 1, 500), (3, 2, 500)]
+    spark.createDataFrame([(o, n, p, 1) for o, n, p in rows], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    links = {(f"part/{a}", f"part/{b}") for (o, _, a), (x, _, b) in zip(rows, rows[1:]) if o == x and a != b}
+    reach = set(links)
+    while more := {(a, d) for a, b in reach for c, d in links if b == c} - reach:
+        reach |= more
+    ran = lambda name: set(map(tuple, queries.QUERIES[name](spark, str(tmp_path)).collect()))
+    assert ran("closure_cyclic_all") == reach and ran("closure_cyclic") == set()
+    ring = {"part/1", "part/500", "part/900"}
+    assert ran("scc_label_all") == {(n, "part/1" if n in ring else n) for n in ring | {"part/901"}}
+    assert ran("cyclic_nodes_all") == {(n,) for n in ring}
+    assert ran("shortest_path_len_all") == {("part/1", "part/1", 0), ("part/1", "part/500", 1), ("part/1", "part/900", 2)}
+    assert ran("tpl_circular_deps_all") == {(a, b) for a, b in links if (b, a) in links}
