@@ -176,7 +176,7 @@ for _name, _query in {
     QUERIES[f"{_name}_all"] = _query
     ORACLES[f"{_name}_all"] = ORACLES[_name].replace(PART_EDGES_SQL, ALL_PART_EDGES_SQL)
 register("topo_level", lambda s, d: g.levels(edges(s, d), modules(s, d)), _CLOSE.format(e="e", n=9) + " SELECT path AS node, coalesce(max(depth), 0)::BIGINT AS level FROM m LEFT JOIN r ON r.root = path GROUP BY path")
-register("topo_order", lambda s, d: g.topological_order(edges(s, d), modules(s, d).where("layer <> 'orders'")).select("node", "position"), None)
+register("topo_order", lambda s, d: g.topological_order(edges(s, d), modules(s, d)).select("node", "position"), None)
 register("degrees", lambda s, d: g.degrees(edges(s, d), modules(s, d)), "SELECT path, (SELECT count(DISTINCT dst) FROM e WHERE src = path) AS out_degree, (SELECT count(DISTINCT src) FROM e WHERE dst = path) AS in_degree FROM m")
 _SMALL = "+se AS (SELECT * FROM e WHERE src NOT LIKE 'orders/%'), sm AS (SELECT * FROM m WHERE layer <> 'orders'), r AS (SELECT dst AS root, src AS node FROM se UNION SELECT r.root, se.src FROM r JOIN se ON se.dst = r.node), c AS (SELECT path, (SELECT count(*) FROM se WHERE dst = path) AS i, (SELECT count(*) FROM se WHERE src = path) AS o, (SELECT count(*) FROM r WHERE root = path) AS u, (path IN (SELECT path FROM ex)) AS has, (path IN (SELECT path FROM ex WHERE export IN ('main', 'init'))) AS entry, (SELECT count(*) FROM sm) AS n FROM sm), k AS (SELECT *, CASE WHEN i = 0 THEN 0 ELSE least(i / n * 0.5 + u / n * 0.3 + CASE WHEN has THEN 0.2 ELSE 0 END, 1) END AS raw FROM c)"
 
@@ -188,6 +188,18 @@ def _small(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 register("coverage_score", lambda s, d: g.coverage(*_small(s, d)), _SMALL + " SELECT path, i AS in_degree, o AS out_degree, u AS users, round(raw, 9)::DOUBLE AS score, entry AS is_entry, i = 0 AND NOT entry AS is_dead, CASE WHEN raw >= 0.7 THEN 'high' WHEN raw < 0.3 AND NOT entry THEN 'low' ELSE 'middle' END AS band FROM k")
 register("coverage_decile", lambda s, d: g.decile(g.coverage(*_small(s, d))).select("path"), _SMALL + " SELECT path FROM k ORDER BY round(raw, 9) DESC, path LIMIT (SELECT greatest(1, count(*) // 10) FROM k)")
 
+# Four queries above, and their SQL, leave the orders out; these run over all modules and edges.
+for _name, _query in {
+    "dup_name": lambda s, d: ops.duplicates(modules(s, d), "language"),
+    "closure_deps": lambda s, d: g.transitive_dependencies(edges(s, d), modules(s, d)),
+    "coverage_score": lambda s, d: g.coverage(edges(s, d), modules(s, d)),
+    "coverage_decile": lambda s, d: g.decile(g.coverage(edges(s, d), modules(s, d))).select("path"),
+}.items():
+    _sql = ORACLES[_name]
+    for _bound in (" WHERE src NOT LIKE 'orders/%'", "root NOT LIKE 'orders/%' AND ", "layer <> 'orders' AND ", " WHERE layer <> 'orders'"):
+        _sql = _sql.replace(_bound, "")
+    QUERIES[f"{_name}_all"], ORACLES[f"{_name}_all"] = _query, _sql
+
 # --- analyses
 _TARGETS = "('nation/3', 'region/1', 'customer/7', 'orders/7')"
 _FAR = "+r AS (SELECT dst AS target, src AS path, 1 AS depth FROM e WHERE dst IN " + _TARGETS + " UNION SELECT r.target, e.src, r.depth + 1 FROM r JOIN e ON e.dst = r.path), far AS (SELECT target, path, min(depth) AS depth FROM r GROUP BY ALL)"
@@ -268,7 +280,7 @@ register("result_xml", lambda s, d: results.xml_results(modules(s, d).where("lay
 register("result_json", lambda s, d: results.json_bindings(modules(s, d).where("layer = 'region'").select("path")), "SELECT '{\"path\":{\"type\":\"literal\",\"value\":\"' || path || '\"}}' AS value FROM m WHERE layer = 'region'")
 register("diagram_dot", lambda s, d: diagrams.dot(modules(s, d).where("layer IN ('region', 'nation')"), edges(s, d)), None)
 register("diagram_mermaid", lambda s, d: diagrams.mermaid(modules(s, d).where("layer = 'region'"), edges(s, d).where("src LIKE 'nation/%'")), "SELECT 'flowchart LR' AS value UNION ALL SELECT '  ' || replace(path, '/', '_') || '[\"' || name || '\"]' FROM m WHERE layer = 'region' UNION ALL SELECT DISTINCT '  ' || replace(src, '/', '_') || ' --> ' || replace(dst, '/', '_') FROM e WHERE src LIKE 'nation/%'")
-register("docs_markdown", lambda s, d: diagrams.markdown(modules(s, d).where("layer <> 'orders'"), edges(s, d).where("src NOT LIKE 'orders/%'")).select("path", F.md5("text").alias("md5")), None)
+register("docs_markdown", lambda s, d: diagrams.markdown(modules(s, d), edges(s, d)).select("path", F.md5("text").alias("md5")), None)
 
 
 def _events(s: SparkSession, d: str) -> DataFrame:

@@ -296,3 +296,19 @@ def test_part_graph_holds_all_parts(spark, tmp_path):
     assert ran("cyclic_nodes_all") == {(n,) for n in ring}
     assert ran("shortest_path_len_all") == {("part/1", "part/1", 0), ("part/1", "part/500", 1), ("part/1", "part/900", 2)}
     assert ran("tpl_circular_deps_all") == {(a, b) for a, b in links if (b, a) in links}
+
+
+def test_queries_hold_the_orders(spark, tmp_path):
+    one = {"region": "0 AS r_regionkey, 'R' AS r_name", "nation": "0 AS n_nationkey, 'N' AS n_name, 0 AS n_regionkey", "supplier": "0 AS s_suppkey, 'S' AS s_name, 1.0 AS s_acctbal, 0 AS s_nationkey",
+           "customer": "0 AS c_custkey, 'C' AS c_name, 9500.0 AS c_acctbal, 'M' AS c_mktsegment, 0 AS c_nationkey"}
+    for table, row in one.items():
+        spark.sql(f"SELECT {row}").write.parquet(f"{tmp_path}/{table}.parquet")
+    spark.sql("SELECT id AS o_orderkey, 'O' AS o_orderstatus, 'P' AS o_orderpriority, 0 AS o_custkey FROM range(2)").write.parquet(f"{tmp_path}/orders.parquet")
+    ran = lambda name: [tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()]
+    assert [n for n, _ in sorted(ran("topo_order"), key=lambda r: r[1])] == ["region/0", "nation/0", "customer/0", "supplier/0", "orders/0", "orders/1"]
+    assert {p for p, _ in ran("docs_markdown")} == {"region/0", "nation/0", "customer/0", "supplier/0", "orders/0", "orders/1"}
+    score = {r[0]: r[1:] for r in ran("coverage_score_all")}
+    assert score["customer/0"] == (2, 1, 2, round(2 / 6 * 0.5 + 2 / 6 * 0.3 + 0.2, 9), False, False, "middle") and score["region/0"][2] == 5 and len(score) == 6
+    assert ran("coverage_decile_all") == [("nation/0",)] and score["nation/0"][:3] == (2, 1, 4)
+    assert {r for r in ran("closure_deps_all") if r[0] == "orders/1"} == {("orders/1", "customer/0", 1), ("orders/1", "nation/0", 2), ("orders/1", "region/0", 3)}
+    assert set(ran("dup_name_all")) == {("orders/0", "O"), ("orders/1", "O"), ("region/0", "geo"), ("nation/0", "geo")}
