@@ -360,3 +360,23 @@ def test_pipeline_stages(spark, tmp_path):
     assert 0.8 * len(seen[2]) <= len(seen[3]) <= len(seen[2])
     sizes = Counter(x.shard for x in docs.collect())
     assert max(sizes.values()) - min(sizes.values()) <= 1 and seen[4] == seen[3]
+
+
+def test_near_copies_are_verified_around_the_bound(spark, monkeypatch):
+    """Pairs of a similarity just at 0.8 are linked and pairs just under it are not, small chunks or large."""
+    r, rows, want = random.Random(3), [], {}
+    for k in range(240):
+        n = r.choice([45, 99, 400])
+        words = [f"w{r.randrange(10**6)}" for _ in range(n + 4)]
+        # An end of m other words changes m of n shingles: a similarity of (n - m) / (n + m).
+        m = n // 9 + k % 2
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:-m] + [f"v{r.randrange(10**6)}" for _ in range(m)]))]
+        want[2 * k + 1] = (n - m) / (n + m) >= 0.8
+    rows += [(1000, "x " * 2000 + " ".join(f"a{k}" for k in range(60))), (1001, "x " * 2000 + " ".join(f"b{k}" for k in range(60)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for chunk in (512, 2):
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        kept = {x.doc_id for x in simhash.keep_one(df).collect()}
+        assert {1000, 1001} <= kept and all(2 * k in kept for k in range(240))
+        assert not [i for i, same in want.items() if not same and i not in kept]
+        assert sum(i not in kept for i, same in want.items() if same) >= 0.96 * sum(want.values())
