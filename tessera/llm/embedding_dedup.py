@@ -1,18 +1,23 @@
 """Embedding near-dedup by collision-counting projections.
 
-Unit vectors are projected on seeded random directions.  A pair at the threshold cosine lies
-``s`` apart, so its projections differ by about s / sqrt(dim); the query-centred window is
-``Z`` times that.  Over all projections the pair collides a binomial number of times, and the
-least count that keeps ``RECALL`` of such pairs is the bar for verifying a pair in double
-precision.
-
-Equal vectors are gathered first and take part once, with their number.  Vectors are sorted by
-the first projection and cut into blocks; a block meets only the blocks that a window around
-it reaches.  Each pair of blocks is one tile: it sorts its rows by the first projection again,
-counts collisions for the pairs of pieces within a window, gives up a pair as soon as it can no
-longer reach the bar, and reports link counts and spanning links, never all pairs.  A row is
-sent to as many tiles as there are blocks within its window; there are ``BLOCKS`` blocks until
-a block would take more than ``BLOCK_BYTES``.
+Unit vectors are projected on ``PROJECTIONS`` seeded random directions and sorted by each.  A
+pair at the threshold cosine lies ``s`` apart, so its projections differ by about s / sqrt(dim);
+the query-centred window is ``Z`` times that.  A pair collides in a projection where one lies in
+the other's window, which is a range of the sorted list; over all projections it collides a
+binomial number of times, and the least count that keeps ``RECALL`` of such pairs is the bar for
+verifying the pair in double precision.
+
+A window's rows are a range of the sorted list, hence the difference of two prefix sets.  A
+piece keeps, for each projection, the sets of its first 0, 1, 2, ... rows in sorted order as
+bits; collisions are counted for 64 rows at a time by adding such bit sets into bit-sliced
+counters, and only pairs that reach the bar are unpacked.
+
+Equal vectors are gathered first and take part once, with their number.  Vectors of one length
+are sorted by the first projection and cut into blocks; a row is sent to the blocks that a
+window of ``ROUTE`` times the deviation around it reaches, and each pair of blocks is one tile.
+The rows lost by that wider window are part of the calibrated recall.  There are ``BLOCKS``
+blocks until a block would take more than ``BLOCK_BYTES``.  A tile reports link counts and stars
+of linked rows, never all pairs.
 """
 
 from __future__ import annotations
@@ -30,33 +35,32 @@ from .common import cut
 from .components import connected_components
 from .simhash import forest
 
-PROJECTIONS, DENSE, Z, RECALL, BLOCK = 16, 10, 3.0, 0.998, 1024
+PROJECTIONS, Z, ROUTE, RECALL, PIECE = 24, 2.0, 4.0, 0.998, 1024
 BLOCKS, BLOCK_BYTES, SALTS = 16, 32 << 20, 32
 
 
-def window_width(threshold: float, dim: int) -> float:
-    return Z * math.sqrt((2 - 2 * threshold) / dim)
+def window_width(threshold: float, dim: int, z: float = Z) -> float:
+    return z * math.sqrt(max(2 - 2 * threshold, 0) / dim) + 1e-6
 
 
 def least_count(projections: int = PROJECTIONS, recall: float = RECALL) -> int:
-    """The largest count that a pair at the threshold reaches with probability ``recall``."""
-    p = math.erf(Z / math.sqrt(2))
-    tail = 0.0
+    """The largest count that a pair at the threshold reaches, within the route, with probability ``recall``."""
+    p, tail = math.erf(Z / math.sqrt(2)), 0.0
     for k in range(projections, -1, -1):
         tail += math.comb(projections, k) * p**k * (1 - p) ** (projections - k)
-        if tail >= recall:
+        if tail * math.erf(ROUTE / math.sqrt(2)) >= recall:
             return k
     return 0
 
 
 def directions(dim: int, seed: int) -> np.ndarray:
-    g = np.random.default_rng(seed).standard_normal((dim, PROJECTIONS))
+    g = np.random.default_rng([seed, dim]).standard_normal((dim, PROJECTIONS))
     return g / np.linalg.norm(g, axis=0)
 
 
 def block_rows(n: int, dim: int) -> int:
-    """Rows of a block of n vectors: at least ``BLOCK``, and no more than ``BLOCK_BYTES`` hold."""
-    return min(max(BLOCK, math.ceil(n / BLOCKS)), max(BLOCK, BLOCK_BYTES // (8 * dim)))
+    """Rows of a block of n vectors: at least ``PIECE``, and no more than ``BLOCK_BYTES`` hold."""
+    return min(max(PIECE, math.ceil(n / BLOCKS)), max(PIECE, BLOCK_BYTES // (8 * dim)))
 
 
 def _unit(column: pa.Array, dim: int) -> np.ndarray:
@@ -65,95 +69,134 @@ def _unit(column: pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _anchor(batches: Iterator[pa.RecordBatch], dim: int, seed: int) -> Iterator[pa.RecordBatch]:
-    d = directions(dim, seed)
-    for b in batches:
-        if b.num_rows:
-            at = _unit(b.column(1), dim) @ d[:, 0]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at)], names=["id", "v", "m", "at"])
+def _by_length(b: pa.RecordBatch, column: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of a batch by the length of their vectors."""
+    sizes = np.diff(b.column(column).offsets.to_numpy())
+    for dim in np.unique(sizes).tolist():
+        yield dim, b.take(pa.array(np.nonzero(sizes == dim)[0])) if len(b) else b
+
+
+def _anchor(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for dim, b in _by_length(whole, 1):
+            at = _unit(b.column(1), dim) @ directions(dim, seed)[:, 0]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(at), dim), pa.int32()), pa.array(at)], names=["id", "v", "m", "node", "dim", "at"])
 
 
 def _cells(batches: Iterator[pa.RecordBatch], cuts) -> Iterator[pa.RecordBatch]:
+    """Rows by vector length and cell, counted for each batch."""
     for b in batches:
-        cell = np.searchsorted(cuts.value, b.column(3).to_numpy(), side="right")
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32())], names=["id", "v", "m", "at", "cell"])
-
-
-def tile_links(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of unit rows of x and y, with their projections, whose collisions reach the bar and whose cosine the threshold."""
-    w = window_width(threshold, x.shape[1])
-    allowed = PROJECTIONS - least_count()
-    # Most pairs are given up within DENSE projections; only the rest is gathered by index.
-    missed, gap = np.zeros((len(x), len(y)), dtype=np.uint8), np.empty((len(x), len(y)), dtype=np.float32)
-    for k in range(DENSE):
-        np.subtract(px[:, k, None], py[None, :, k], out=gap)
-        np.abs(gap, out=gap)
-        missed += gap > np.float32(w)
-    i, j = np.nonzero(missed <= allowed)
-    missed = missed[i, j]
-    for k in range(DENSE, PROJECTIONS):
-        missed = missed + (np.abs(px[i, k] - py[j, k]) > w)
-        left = missed <= allowed
-        i, j, missed = i[left], j[left], missed[left]
-    good = np.zeros(len(i), dtype=bool)
-    for lo in range(0, len(i), 1 << 16):
-        a, b = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
-        good[lo : lo + (1 << 16)] = np.einsum("ij,ij->i", x[a], y[b]) >= threshold
-    return i[good], j[good]
-
-
-def _tiles(batches: Iterator[pa.RecordBatch], dim: int, threshold: float, seed: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by tile (lo, hi) and block."""
-    proj, w = directions(dim, seed), np.float32(window_width(threshold, dim))
+        dims, at = b.column(0).to_numpy(), b.column(1).to_numpy()
+        for dim in np.unique(dims).tolist():
+            cell, n = np.unique(np.searchsorted(cuts.value[dim], at[dims == dim], side="right"), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), dim), pa.int32()), pa.array(cell, pa.int32()), pa.array(n, pa.int64())], names=["dim", "cell", "n"])
+
+
+def _deal(batches: Iterator[pa.RecordBatch], plans, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Each row to the tiles of its own block and the blocks that its window reaches."""
+    for whole in batches:
+        for dim, b in _by_length(whole, 1):
+            cuts, start, chunks = plans.value[dim]
+            at, w = b.column(5).to_numpy(), window_width(threshold, dim, ROUTE)
+            cell, low, high = (np.searchsorted(cuts, x, side="right") for x in (at, at - w, at + w))
+            node = b.column(3).to_numpy()
+            block = start[cell] + (node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % chunks[cell]
+            first, last = start[low], start[high] + chunks[high] - 1
+            n = last - first + 1
+            row = np.repeat(np.arange(len(at)), n)
+            other = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[row]
+            sent = b.take(pa.array(row))
+            lo, hi = np.minimum(block[row], other), np.maximum(block[row], other)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), dim), pa.int32()), *(pa.array(x, pa.int64()) for x in (lo, hi, block[row])), *sent.columns[:4]], names=["dim", "lo", "hi", "block", "id", "v", "m", "node"])
+
+
+class Piece:
+    """Rows whose projections are sorted, with the prefix sets of every sorted list as bits."""
+
+    def __init__(self, p: np.ndarray):
+        n, self.words = len(p), -(-len(p) // 64)
+        order = np.argsort(p, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(p, order, axis=0)
+        self.prefix = np.zeros((p.shape[1], n + 1, self.words), dtype=np.uint64)
+        at = np.arange(n)
+        for k in range(p.shape[1]):
+            self.prefix[k, at + 1, order[:, k] >> 6] = np.uint64(1) << (order[:, k] & 63).astype(np.uint64)
+            np.bitwise_or.accumulate(self.prefix[k], axis=0, out=self.prefix[k])
+
+    def collided(self, q: np.ndarray, w: float, bar: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) pairs that lie in each other's windows of ``bar`` projections or more."""
+        planes: list[np.ndarray] = []
+        for k in range(q.shape[1]):
+            lo = np.searchsorted(self.sorted[:, k], q[:, k] - w, side="left")
+            hi = np.searchsorted(self.sorted[:, k], q[:, k] + w, side="right")
+            carry = self.prefix[k, hi] ^ self.prefix[k, lo]
+            for j, plane in enumerate(planes):
+                planes[j], carry = plane ^ carry, plane & carry
+            if (k + 1) & k == 0:
+                planes.append(carry)
+        # counts >= bar, from the highest bit down
+        more, same = np.zeros_like(planes[0]), ~np.zeros_like(planes[0])
+        for j in range(len(planes) - 1, -1, -1):
+            if bar >> j & 1:
+                same &= planes[j]
+            else:
+                more |= same & planes[j]
+                same &= ~planes[j]
+        reached = more | same
+        row, word = np.nonzero(reached)
+        bits = np.unpackbits(reached[row, word].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        hit, bit = np.nonzero(bits)
+        i, j = row[hit], word[hit] * 64 + bit
+        inside = j < len(self.sorted)
+        return i[inside], j[inside]
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], threshold: float, seed: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by tile (dim, lo, hi)."""
+    bar = least_count()
 
     def tile(t: pa.Table) -> pa.RecordBatch | None:
         t = t.combine_chunks()
-        blocks = t.column("block").to_numpy()
-        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-        ids = t.column("id").to_numpy()
-        x, m = _unit(t.column("v").combine_chunks(), dim), t.column("m").to_numpy()
-        p = (x @ proj).astype(np.float32)
+        dim, lo, hi = (t.column(c)[0].as_py() for c in ("dim", "lo", "hi"))
+        blocks, ids, m, node = (t.column(c).to_numpy() for c in ("block", "id", "m", "node"))
+        x = _unit(t.column("v").combine_chunks(), dim)
+        p, w, reach = x @ directions(dim, seed), window_width(threshold, dim), window_width(threshold, dim, ROUTE)
         order = np.argsort(p[:, 0], kind="stable")
-        x, p, m, ids, blocks = x[order], p[order], m[order], ids[order], blocks[order]
+        x, p, m, ids, node, blocks = x[order], p[order], m[order], ids[order], node[order], blocks[order]
         first, second = np.nonzero(blocks == lo)[0], np.nonzero(blocks == hi)[0]
-        if not len(first) or not len(second):
-            return None
         left, right = [], []
-        for a in range(0, len(first), BLOCK):
-            u = first[a : a + BLOCK]
-            for b in range(a if lo == hi else 0, len(second), BLOCK):
-                v = second[b : b + BLOCK]
-                if p[v[0], 0] - p[u[-1], 0] > w or p[u[0], 0] - p[v[-1], 0] > w:
+        for b in range(0, len(second), PIECE):
+            v = second[b : b + PIECE]
+            piece = None
+            for a in range(0, min(len(first), b + PIECE) if lo == hi else len(first), PIECE):
+                u = first[a : a + PIECE]
+                if p[v[0], 0] - p[u[-1], 0] > reach or p[u[0], 0] - p[v[-1], 0] > reach:
                     continue
-                i, j = tile_links(x[u], x[v], p[u], p[v], threshold)
-                left.append(u[i])
-                right.append(v[j])
-        if not left:
-            return None
-        i, j = np.concatenate(left), np.concatenate(right)
-        if lo == hi:
-            once = i < j
-            i, j = i[once], j[once]
+                piece = piece or Piece(p[v])
+                i, j = piece.collided(p[u], w, bar)
+                i, j = u[i], v[j]
+                if lo == hi:
+                    i, j = i[i < j], j[i < j]
+                for at in range(0, len(i), 1 << 16):
+                    k, l = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+                    good = np.einsum("ij,ij->i", x[k], x[l]) >= threshold
+                    left.append(k[good])
+                    right.append(l[good])
+        i, j = (np.concatenate(z) if z else np.zeros(0, dtype=np.int64) for z in (left, right))
         if not len(i):
             return None
         n = (np.bincount(i, weights=m[j], minlength=len(ids)) + np.bincount(j, weights=m[i], minlength=len(ids))).astype(np.int64)
-        root = forest(len(ids), i, j)
-        order = np.argsort(root, kind="stable")
-        after = np.full(len(ids), -1)
-        chained = np.nonzero(root[order[1:]] == root[order[:-1]])[0]
-        after[order[chained]] = order[chained + 1]
         some = np.nonzero(n)[0]
-        peer = [int(ids[k]) if k >= 0 else None for k in after[some]]
-        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(n[some], pa.int64()), pa.array(peer, pa.int64())], names=["id", "n", "peer"])
+        peer = ids[forest(len(ids), i, j)[some]]
+        return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(ids[some]), pa.array(n[some], pa.int64()), pa.array(peer, pa.int64())], names=["node", "id", "n", "peer"])
 
     carry: pa.Table | None = None
     for batch in batches:
         t = pa.Table.from_batches([batch])
         carry = t if carry is None else pa.concat_tables([carry, t])
-        key = carry.column("lo").to_numpy().astype(np.int64) * (1 << 31) + carry.column("hi").to_numpy()
-        ends = np.nonzero(key[1:] != key[:-1])[0] + 1
+        key = np.stack([carry.column(c).to_numpy() for c in ("dim", "lo", "hi")], axis=1)
         last = 0
-        for e in ends.tolist():
+        for e in (np.nonzero((key[1:] != key[:-1]).any(axis=1))[0] + 1).tolist():
             if (out := tile(carry.slice(last, e - last))) is not None:
                 yield out
             last = e
@@ -162,61 +205,59 @@ def _tiles(batches: Iterator[pa.RecordBatch], dim: int, threshold: float, seed:
         yield out
 
 
+def _plans(placed: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By vector length: cuts of the first projection, and for each cell its first block and number of blocks.
+
+    Equal values cannot be cut apart, so a crowded cell is dealt out over several blocks.  The
+    driver holds a few numbers for each block.
+    """
+    sizes = {r["dim"]: r["n"] for r in placed.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = {dim: math.ceil(n / block_rows(n, dim)) for dim, n in sizes.items()}
+    most = max(parts.values(), default=1)
+    at: dict[int, list[float]] = {}
+    if most > 1:
+        shares = [k / most for k in range(1, most)]
+        at = {r["dim"]: r["q"] for r in placed.groupBy("dim").agg(F.percentile_approx("at", shares, 100 * most).alias("q")).collect()}
+    cuts = {dim: sorted({at[dim][round(k * most / parts[dim]) - 1] for k in range(1, parts[dim])}) for dim in sizes}
+    shared = placed.sparkSession.sparkContext.broadcast({dim: np.array(c) for dim, c in cuts.items()})
+    crowded = placed.select("dim", "at").mapInArrow(partial(_cells, cuts=shared), "dim int, cell int, n long").groupBy("dim", "cell").agg(F.sum("n").alias("n"))
+    crowd = {(r["dim"], r["cell"]): r["n"] for r in crowded.collect()}
+    out = {}
+    for dim, c in cuts.items():
+        chunks = np.array([max(1, math.ceil(crowd.get((dim, k), 0) / (2 * block_rows(sizes[dim], dim)))) for k in range(len(c) + 1)])
+        out[dim] = (np.array(c, dtype=np.float64), np.cumsum(chunks) - chunks, chunks)
+    return out
+
+
 def embedding_links(vectors: DataFrame, threshold: float = 0.9, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, n_links, component_id, kept) for every row of ``vectors``.
 
-    Pairs of cosine ``threshold`` or more are linked, none below it; n_links counts the other
-    rows linked directly and component_id is the least id reachable.  Vectors that are null,
-    empty, zero, of another length than the most common one, or hold null or non-finite
-    numbers link with nothing.  Ids are whole numbers, one for each row: a repeated id has the
-    links of its different vectors added up.  Ties at the threshold link; an empty table gives no rows.
+    Pairs of one length and of cosine ``threshold`` or more are linked, none below it; n_links
+    counts the other rows linked directly and component_id is the least id reachable.  Vectors
+    that are null, empty, zero, or hold null or non-finite numbers link with nothing.  Ids are
+    whole numbers, one for each row: a repeated id has the links of its different vectors added
+    up, and a row without an id links with nothing.  Ties at the threshold link; an empty table
+    gives no rows; other columns are not read.
     """
     v = F.col(vector_col)
     sound = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0)
-    good = vectors.where(sound).select(F.col(id_col).cast("long").alias("id"), v.cast("array<float>" if "float" in vectors.schema[vector_col].dataType.simpleString() else "array<double>").alias("v")).where("id IS NOT NULL")
-    common = good.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    everyone = vectors.select(F.col(id_col).cast("long").alias("id"))
-    if common is None:
-        return everyone.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = common[0]
-    kind = dict(good.dtypes)["v"]
-    sized = good.where(F.size("v") == dim)
-    distinct = cut(sized.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("m")))
-    placed = cut(distinct.select("id", "v", "m").mapInArrow(partial(_anchor, dim=dim, seed=seed), f"id long, v {kind}, m long, at double"))
-    n = placed.count()
-    rows = block_rows(n, dim)
-    parts = max(1, math.ceil(n / rows))
-    cuts = sorted(set(placed.approxQuantile("at", [k / parts for k in range(1, parts)], 0.25 / parts))) if parts > 1 else []
-    w = window_width(threshold, dim)
-    shared = vectors.sparkSession.sparkContext.broadcast(np.array(cuts))
-    celled = placed.mapInArrow(partial(_cells, cuts=shared), f"id long, v {kind}, m long, at double, cell int")
-    # Equal values cannot be cut apart: a crowded cell is dealt out by hash.
-    sizes = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("low"), F.max("at").alias("high")).orderBy("cell").collect()
-    spans = [(r["cell"], k, max(1, math.ceil(r["n"] / (2 * rows))), r["low"], r["high"]) for k, r in enumerate(sizes)]
-    start, table, reach = 0, {}, []
-    for c, _, chunks, low, high in spans:
-        table[c] = (start, chunks)
-        reach += [(low, high)] * chunks
-        start += chunks
-    lows, highs = np.array([x for x, _ in reach]), np.array([y for _, y in reach])
-    first = [int(np.nonzero(highs >= low - w)[0][0]) for low, _ in reach]
-    last = [int(np.nonzero(lows <= high + w)[0][-1]) for _, high in reach]
-    spark = vectors.sparkSession
-    plan = spark.createDataFrame([(c, int(k), int(first[s + k]), int(last[s + k]), int(s + k), int(ch)) for c, (s, ch) in table.items() for k in range(ch)], "cell int, chunk int, low int, high int, block int, chunks int")
-    chunks = spark.createDataFrame([(c, ch) for c, (_, ch) in table.items()], "cell int, chunks int")
-    chunked = celled.join(F.broadcast(chunks), "cell").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).drop("chunks")
-    dealt = chunked.join(F.broadcast(plan), ["cell", "chunk"]).select("id", "v", "m", "block", F.explode(F.sequence("low", "high")).alias("other"))
-    tiles = dealt.select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "v", "m")
-    found = cut(tiles.repartition("lo", "hi").sortWithinPartitions("lo", "hi").select("lo", "hi", "block", "id", "v", "m").mapInArrow(partial(_tiles, dim=dim, threshold=threshold, seed=seed), "id long, n long, peer long"))
-    counts = found.groupBy("id").agg(F.sum("n").alias("n"))
+    kind = "array<float>" if "float" in vectors.schema[vector_col].dataType.simpleString() else "array<double>"
+    good = vectors.where(sound).select(F.col(id_col).cast("long").alias("id"), v.cast(kind).alias("v")).where("id IS NOT NULL")
+    distinct = good.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("m")).select("id", "v", "m", F.monotonically_increasing_id().alias("node"))
+    placed = cut(distinct.mapInArrow(partial(_anchor, seed=seed), f"id long, v {kind}, m long, node long, dim int, at double"))
+    plans = vectors.sparkSession.sparkContext.broadcast(_plans(placed))
+    tiles = placed.mapInArrow(partial(_deal, plans=plans, threshold=threshold), f"dim int, lo long, hi long, block long, id long, v {kind}, m long, node long")
+    found = tiles.repartition("dim", "lo", "hi").sortWithinPartitions("dim", "lo", "hi").mapInArrow(partial(_tiles, threshold=threshold, seed=seed), "node long, id long, n long, peer long")
+    found = cut(found)
+    counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     roots = connected_components(found.select(F.col("id").alias("u"), F.col("peer").alias("v"))).withColumnRenamed("node", "id")
     links = F.coalesce("n", F.lit(0)) + F.col("m") - 1
-    known = cut(placed.select("id", "v", "m").join(counts, "id", "left").join(roots, "id", "left").select("id", "v", "m", links.alias("n"), F.coalesce("root", "id").alias("root")))
+    known = cut(placed.select("id", "v", "m", "node").join(counts, "node", "left").join(roots, "id", "left").select("id", "v", "m", "node", links.alias("n"), F.coalesce("root", "id").alias("root")))
     # Copies take what their first one has; a third of all rows may be copies of one vector.
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
-    copied = known.where("m > 1").select("v", F.col("id").alias("first"), "n", "root", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    copies = sized.withColumn("salt", salt).join(copied, ["v", "salt"]).where("id <> first").select("id", "n", "root")
-    told = known.select("id", "n", "root").unionByName(copies).groupBy("id").agg(F.sum("n").alias("n"), F.min("root").alias("root"))
-    named = everyone.join(told, "id", "left")
+    copied = known.where("m > 1").select("v", F.col("id").alias("first"), "node", "n", "root", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    copies = good.withColumn("salt", salt).join(copied, ["v", "salt"]).where("id <> first").select("id", "n", "root", "node").distinct()
+    told = known.select("id", "n", "root").unionByName(copies.drop("node")).groupBy("id").agg(F.sum("n").alias("n"), F.min("root").alias("root"))
     component = F.coalesce("root", "id")
+    named = vectors.select(F.col(id_col).cast("long").alias("id")).join(told, "id", "left")
     return named.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))

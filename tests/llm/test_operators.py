@@ -1,6 +1,7 @@
 """Operators against brute force on small fixtures, with nulls, ties, repeats and empty tables."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -184,7 +185,7 @@ def test_embeddings(spark):
 
 
 def test_embeddings_in_many_blocks_with_a_third_of_copies(spark, monkeypatch):
-    for name, value in [("BLOCK", 16), ("BLOCKS", 6), ("BLOCK_BYTES", 40 * 8 * 16)]:
+    for name, value in [("PIECE", 16), ("BLOCKS", 6), ("BLOCK_BYTES", 40 * 8 * 16)]:
         monkeypatch.setattr(embedding_dedup, name, value)
     rng = np.random.default_rng(3)
     x = [list(map(float, c + 0.1 * rng.standard_normal(16))) for c in rng.standard_normal((40, 16)) for _ in range(8)]
@@ -199,6 +200,36 @@ def test_embeddings_in_many_blocks_with_a_third_of_copies(spark, monkeypatch):
     assert {r.n_links for i, r in got.items() if x[i] == x[7]} == {got[7].n_links}
 
 
+def test_embeddings_of_mixed_lengths_ties_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "PIECE", 16)
+    rng = np.random.default_rng(5)
+    x = [list(map(float, c + 0.1 * rng.standard_normal(len(c)))) for n in (3, 8, 24) for c in rng.standard_normal((12, n)) for _ in range(5)]
+    # 0.9 exactly in doubles: (1, 0, ...) against (0.9, ...) of length 1
+    rows = list(enumerate(x)) + [(500, [1.0, 0.0]), (501, [2.0, 0.0]), (502, [5.0]), (503, [0.25]), (504, [-5.0]), (None, x[0])]
+    df = spark.createDataFrame([(i, v, "n", 1) for i, v in rows], "vec_id long, embedding array<double>, n string, lo int")
+    got = {r.vec_id: r for r in embedding_dedup.embedding_links(df).collect()}
+    units = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if i is not None}
+    near = [(a, b) for a in units for b in units if a < b and len(units[a]) == len(units[b]) and units[a] @ units[b] >= 0.9]
+    n = Counter(y for p in near for y in p)
+    assert {i: r.n_links for i, r in got.items()} == {i: n[i] for i, _ in rows}
+    assert {i: r.component_id for i, r in got.items() if i is not None} == unite(near, units) and got[None].component_id is None
+    twice = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0])], "vec_id long, embedding array<double>")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.embedding_links(twice).collect()) == [(1, 2, 1), (1, 2, 1), (2, 1, 1), (3, 1, 1)]
+
+
+def test_window_collisions_are_counted_exactly_and_recall_holds():
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((300, 32))
+    y = x + 0.0575 * math.sqrt(2) * rng.standard_normal(x.shape)
+    x, y = (z / np.linalg.norm(z, axis=1, keepdims=True) for z in (x, y))
+    d, w, bar = embedding_dedup.directions(32, 11), embedding_dedup.window_width(0.9, 32), embedding_dedup.least_count()
+    got = set(zip(*(z.tolist() for z in embedding_dedup.Piece(y @ d).collided(x @ d, w, bar))))
+    n = sum((np.abs((x @ d)[:, k, None] - (y @ d)[None, :, k]) <= w).astype(int) for k in range(embedding_dedup.PROJECTIONS))
+    assert got == set(zip(*(z.tolist() for z in np.nonzero(n >= bar)))) and len(got) < 0.05 * 300 * 300
+    near = np.nonzero((x * y).sum(1) >= 0.9)[0].tolist()
+    assert len(near) > 100 and sum((k, k) in got for k in near) >= 0.99 * len(near)
+
+
 def test_token_counts(docs, empty):
     from tokenizers import Tokenizer
 
