@@ -21,7 +21,7 @@ def domain_of(source: Column) -> Column:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, bits=64, radius=3, block_radius=None, blocks=5, intact=2)
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, bits=64, radius=3, block_radius=None, blocks=2)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,15 +3,22 @@
 A fingerprint of ``bits`` bits is cut into ``blocks`` blocks.  By the pigeonhole principle two
 fingerprints within ``radius`` bits lie within a small block radius on some ``intact`` blocks
 together, so every choice of so many blocks gets a vantage-point tree over its own Hamming
-distance: each level splits at a seeded vantage point, a row's home is the leaf its path ends
-in, and a row whose ball of the block radius crosses a boundary is also sent to the shards
-beyond it (triangle bound; at block radius 0 no ball crosses one).  Trees over more bits have
-more leaves: 64 bits in five blocks, two of them intact, give ten trees over about 25 bits, so
-that a billion fingerprints leave some dozens in a leaf.  Within a leaf the whole fingerprints
-are compared.  The vantage points
-come from the seed, not from the rows, so no sample is fitted and a leaf means the same in
-every task.  A leaf above ``CHUNK`` rows is dealt out as pairs of chunks, and tasks report
-spanning links instead of all pairs.
+distance: 64 bits in two blocks and a radius of 3 give two trees over 32 bits and a block
+radius of 1.
+
+A tree is fitted on a bounded sample of the fingerprints (``SAMPLE``, one in eight at most): a
+node's vantage point is one of its sample rows, and its cut is a distance near the median that
+few balls cross.  A row's home is the leaf at the end of its path.  By the triangle inequality
+two rows within the block radius are parted at a node only if their distances to its vantage
+point lie around the cut, so a row outside the cut by no more than the block radius is also
+sent inside, and such a copy goes on to every shard that its ball overlaps; all other branches
+are pruned.  Where the sample is used up, further levels take vantage points and cuts of the
+whole sample, so that a leaf is the home of about ``LEAF`` rows at any size.  Within a leaf home
+rows are compared with all rows by their whole fingerprints, and tasks report spanning links
+instead of all pairs.  A leaf above ``CHUNK`` rows is dealt out as pairs of chunks.
+
+At block radius 0 a ball is one value of the chosen bits, no ball crosses a cut, and the shard
+is named by that value alone.
 
 Where a ``similarity`` is asked for, links of fingerprints only gather candidates: the texts of
 each linked group are compared by the Jaccard similarity of their shingle sets, nearest
@@ -21,20 +28,21 @@ pairs of chunks too.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
-from itertools import combinations, groupby, product
+from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, cut
 from .components import connected_components
 
-CHUNK = 512
+CHUNK, TEXTS, LEAF, SAMPLE = 2048, 512, 256, 1 << 18
 _SPREAD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 
@@ -95,7 +103,7 @@ def fingerprints(docs: DataFrame, shingle: int = 5, bits: int = 512, id_col: str
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     """The rows of a binary column of one width."""
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width) if len(column) else np.zeros((0, width), dtype=np.uint8)
 
 
 def block_radius_of(radius: int, blocks: int, intact: int) -> int:
@@ -123,36 +131,111 @@ def _dealt_anew(raw: np.ndarray, deal: int, seed: int) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(np.unpackbits(raw, axis=1)[:, order], axis=1))
 
 
-def _routes(batches: Iterator[pa.RecordBatch], bits: int, blocks: int, intact: int, block_radius: int, seed: int, deals: int) -> Iterator[pa.RecordBatch]:
-    trees, rng = masks(bits, blocks, intact), np.random.default_rng(seed)
-    width = min(int(np.bitwise_count(m).sum()) for m in trees)
-    # A ball of radius 0 has one leaf however deep the tree; others are copied at every level.
-    depth = min(2 * width, 52) if block_radius == 0 else max(1, width // 2)
-    points = rng.integers(0, 1 << 64, (len(trees), depth, bits // 64), dtype=np.uint64)
-    split = width // 2
+class VantageTree:
+    """A tree over the bits of ``mask``; ``route`` gives the leaves that rows and their balls meet.
+
+    Nodes are rows of arrays: ``point``, ``cut`` (a distance of at most this is inside), and the
+    numbers of the nodes ``inside`` and ``outside``; a leaf has -1 there.
+    """
+
+    def __init__(self, sample: np.ndarray, mask: np.ndarray, radius: int, leaf: int, extra: int, seed: int):
+        rng = np.random.default_rng(seed)
+        self.mask, self.radius = mask, radius
+        s = sample & mask
+        self.far = s[rng.integers(0, len(s), extra)] if len(s) else np.zeros((0, len(mask)), dtype=np.uint64)
+        self.far_cut = [int(np.median(self._distance(s, p))) for p in self.far]
+        points, cuts, sides, todo = [np.zeros(len(mask), dtype=np.uint64)], [0], [[-1, -1]], [(0, np.arange(len(s)))]
+        while todo:
+            node, rows = todo.pop()
+            found = self._split(s, rows, rng) if len(rows) >= 2 * leaf else None
+            if found is None:
+                continue
+            points[node], cuts[node], d = found
+            for side, part in enumerate((rows[d <= cuts[node]], rows[d > cuts[node]])):
+                sides[node][side] = len(points)
+                todo.append((len(points), part))
+                points.append(points[0] * np.uint64(0))
+                cuts.append(0)
+                sides.append([-1, -1])
+        self.point, self.cut, self.side = np.stack(points), np.array(cuts, dtype=np.int32), np.array(sides, dtype=np.int64)
+
+    @staticmethod
+    def _distance(rows: np.ndarray, point: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(rows ^ point).sum(axis=-1, dtype=np.int32)
+
+    def _split(self, s: np.ndarray, rows: np.ndarray, rng: np.random.Generator) -> tuple | None:
+        """Of four vantage points and their cuts between the quartiles the one that fewest balls cross for what it parts."""
+        best = None
+        for p in rng.choice(rows, min(4, len(rows)), replace=False):
+            d = self._distance(s[rows], s[p])
+            for cut in range(int(np.quantile(d, 0.25)), int(np.quantile(d, 0.75)) + 1):
+                share = float((d <= cut).mean())
+                if not 0 < share < 1:
+                    continue
+                crossing = float(((d > cut - self.radius) & (d <= cut + self.radius)).mean())
+                cost = np.log1p(crossing + 0.01) / -(share * np.log(share) + (1 - share) * np.log(1 - share))
+                if best is None or cost < best[0]:
+                    best = (cost, s[p], cut, d)
+        return best and best[1:]
+
+    def _branch(self, d: np.ndarray, cut: np.ndarray | int, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which rows go inside and which outside: home rows to their side, and inside where their ball reaches in; copies wherever their ball reaches."""
+        inside = d - self.radius <= cut
+        return inside, np.where(home, d > cut, d + self.radius > cut)
+
+    def route(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, leaf, home) for rows of words; a row has one home leaf."""
+        words = codes & self.mask
+        row, node, home = np.arange(len(words)), np.zeros(len(words), dtype=np.int64), np.ones(len(words), dtype=bool)
+        done = []
+        while len(row):
+            inner = self.side[node, 0] >= 0
+            done.append((row[~inner], node[~inner], home[~inner]))
+            row, node, home = row[inner], node[inner], home[inner]
+            d, cut = self._distance(words[row], self.point[node]), self.cut[node]
+            inside, outside = self._branch(d, cut, home)
+            row, home, node = (
+                np.concatenate([row[inside], row[outside]]),
+                np.concatenate([home[inside] & (d <= cut)[inside], home[outside]]),
+                np.concatenate([self.side[node[inside], 0], self.side[node[outside], 1]]),
+            )
+        row, leaf, home = (np.concatenate(x) for x in zip(*done)) if done else (row, node, home)
+        for point, cut in zip(self.far, self.far_cut):
+            d = self._distance(words[row], point)
+            inside, outside = self._branch(d, cut, home)
+            row, home, leaf = (
+                np.concatenate([row[inside], row[outside]]),
+                np.concatenate([home[inside] & (d <= cut)[inside], home[outside]]),
+                np.concatenate([leaf[inside] * 2, leaf[outside] * 2 + 1]),
+            )
+        return row, leaf, home
+
+
+def _routes(batches: Iterator[pa.RecordBatch], trees, bits: int, seed: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        codes = b.column(0)
-        raw = _matrix(codes, bits // 8)
-        for deal, (k, mask) in product(range(deals), enumerate(trees)):
-            if k == 0:
-                words = _dealt_anew(raw, deal, seed).view(">u8").astype(np.uint64)
-            used = np.nonzero(mask)[0]
-            cells = words[:, used] & mask[used]
-            row = np.arange(len(cells))
-            path, home = np.zeros(len(row), dtype=np.int64), np.ones(len(row), dtype=bool)
-            for level in range(depth):
-                near = np.bitwise_count(cells ^ (points[k, level, used] & mask[used])).sum(axis=1, dtype=np.int16)
-                d = near[row] if block_radius else near
-                outer = d > split
-                if block_radius:
-                    other = np.where(outer, d - block_radius <= split, d + block_radius > split)
-                    row, home = np.concatenate([row, row[other]]), np.concatenate([home, np.zeros(int(other.sum()), dtype=bool)])
-                    path = np.concatenate([path * 2 + outer, path[other] * 2 + ~outer[other]])
-                else:
-                    path = path * 2 + outer
-            yield pa.RecordBatch.from_arrays([pa.array(((deal * len(trees) + k) << depth) + path), codes.take(pa.array(row)), pa.array(home)], names=["leaf", "code", "home"])
+        words = _matrix(b.column(0), bits // 8).view(">u8").astype(np.uint64)
+        for k, tree in enumerate(trees.value):
+            row, leaf, home = tree.route(words)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf * len(trees.value) + k), b.column(0).take(pa.array(row)), pa.array(home)], names=["leaf", "code", "home"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], bits: int, blocks: int, intact: int, seed: int, deals: int) -> Iterator[pa.RecordBatch]:
+    """Each row to the shard of its value on every choice of blocks."""
+    chosen = masks(bits, blocks, intact)
+    for b in batches:
+        if not b.num_rows:
+            continue
+        raw = _matrix(b.column(0), bits // 8)
+        for deal in range(deals):
+            words = _dealt_anew(raw, deal, seed).view(">u8").astype(np.uint64)
+            for k, mask in enumerate(chosen):
+                leaf = np.full(len(raw), deal * len(chosen) + k, dtype=np.uint64)
+                for at in np.nonzero(mask)[0]:
+                    leaf = (leaf ^ (words[:, at] & mask[at])) * _SPREAD[0]
+                    leaf = (leaf ^ (leaf >> np.uint64(31))) * _SPREAD[1]
+                yield pa.RecordBatch.from_arrays([pa.array(leaf.view(np.int64)), b.column(0), pa.array(np.ones(len(raw), dtype=bool))], names=["leaf", "code", "home"])
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -171,7 +254,7 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _compare(batches: Iterator[pa.RecordBatch], bits: int, radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (leaf, lo, hi); a group that may go on is carried to the next batch."""
+    """Rows come sorted by (leaf, lo, hi), home rows first; a group that may go on is carried to the next batch."""
     width = bits // 8
 
     def links(t: pa.Table) -> pa.RecordBatch | None:
@@ -180,7 +263,7 @@ def _compare(batches: Iterator[pa.RecordBatch], bits: int, radius: int) -> Itera
         group = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]).any(axis=1))])
         raw = _matrix(t.column("code").combine_chunks(), width)
         code, home = raw.view(np.uint64), t.column("home").to_numpy(zero_copy_only=False)
-        at, left, right, step = np.arange(n - 1), [], [], 0
+        at, left, right, step = np.nonzero(home[: n - 1])[0], [], [], 0
         while len(at):
             step += 1
             at = at[at + step < n]
@@ -189,17 +272,15 @@ def _compare(batches: Iterator[pa.RecordBatch], bits: int, radius: int) -> Itera
             for lo in range(0, len(at), 1 << 18):
                 x = at[lo : lo + (1 << 18)]
                 near[lo : lo + len(x)] = np.bitwise_count(code[x] ^ code[x + step]).sum(axis=1, dtype=np.int32) <= radius
-            hit = at[near & (home[at] | home[at + step])]
+            hit = at[near]
             if len(hit):
                 left.append(hit)
                 right.append(hit + step)
         if not left:
             return None
         root = forest(n, np.concatenate(left), np.concatenate(right))
-        # The members of a tree are chained, so that no code becomes a hub of links.
-        order = np.argsort(root, kind="stable")
-        chained = np.nonzero(root[order[1:]] == root[order[:-1]])[0]
-        us, vs = raw[order[chained]], raw[order[chained + 1]]
+        linked = np.nonzero(root != np.arange(n))[0]
+        us, vs = raw[root[linked]], raw[linked]
         apart = (us != vs).any(axis=1)
         return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in us[apart]], pa.binary()), pa.array([x.tobytes() for x in vs[apart]], pa.binary())], names=["u", "v"])
 
@@ -220,9 +301,9 @@ def _compare(batches: Iterator[pa.RecordBatch], bits: int, radius: int) -> Itera
         yield out
 
 
-def _tiles(rows: DataFrame, counted: DataFrame, group: str, by: str, columns: list[str]) -> DataFrame:
-    """(group, lo, hi, columns): the rows of each group, a group of more than ``CHUNK`` as pairs of chunks by the hash of ``by``."""
-    hot = cut(counted.groupBy(group).count().where(F.col("count") > CHUNK).select(group, F.ceil(F.col("count") / CHUNK).cast("int").alias("k")))
+def _tiles(rows: DataFrame, counted: DataFrame, group: str, by: str, columns: list[str], most: int, order: list) -> DataFrame:
+    """(group, lo, hi, columns): the rows of each group, a group of more than ``most`` as pairs of chunks by the hash of ``by``."""
+    hot = cut(counted.groupBy(group).count().where(F.col("count") > most).select(group, F.ceil(F.col("count") / most).cast("int").alias("k")))
     k = F.coalesce("k", F.lit(1))
     chunk, other = F.pmod(F.xxhash64(by), k).cast("int"), F.col("other")
     dealt = (
@@ -230,7 +311,7 @@ def _tiles(rows: DataFrame, counted: DataFrame, group: str, by: str, columns: li
         .select(group, *columns, chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), k - 1)).alias("other"))
         .select(group, F.least("chunk", other).alias("lo"), F.greatest("chunk", other).alias("hi"), *columns)
     )
-    return dealt.repartition(group, "lo", "hi").sortWithinPartitions(group, "lo", "hi")
+    return dealt.repartition(group, "lo", "hi").sortWithinPartitions(group, "lo", "hi", *order)
 
 
 def _similar(batches: Iterator[pa.RecordBatch], shingle: int, radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
@@ -286,16 +367,38 @@ def _similar(batches: Iterator[pa.RecordBatch], shingle: int, radius: int, simil
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
 
+def plant(codes: DataFrame, bits: int, radius: int, blocks: int, intact: int, seed: int) -> list[VantageTree]:
+    """The trees of ``code_links``, fitted on at most about ``SAMPLE`` of the distinct codes, one in eight at most.
+
+    Codes are sampled by their hash.  An empty sample gives trees of one leaf.
+    """
+    n = codes.count()
+    one_in = max(8, math.ceil(n / SAMPLE))
+    sample = codes.where(F.pmod(F.xxhash64(F.lit(seed), "code"), F.lit(one_in)) == 0).orderBy("code").toArrow().column("code")
+    words = _matrix(sample.combine_chunks(), bits // 8).view(">u8").astype(np.uint64)
+    leaf = max(8, LEAF // one_in)
+    extra = max(0, math.ceil(math.log2(leaf * one_in / LEAF)))
+    rho = block_radius_of(radius, blocks, intact)
+    return [VantageTree(words, mask, rho, leaf, extra, seed + k) for k, mask in enumerate(masks(bits, blocks, intact))]
+
+
 def code_links(codes: DataFrame, bits: int, radius: int, block_radius: int | None = None, seed: int = 7, blocks: int | None = None, intact: int = 1, deals: int = 1) -> DataFrame:
     """Spanning links (u, v) between the distinct ``code`` values within ``radius`` bits.
 
-    ``blocks`` is by default as many as hold 16 bits each; they are cut ``deals`` times, each
-    time from another order of the bits.
+    With ``block_radius`` None all links are found.  At 0, given or following from the radius,
+    the blocks are cut ``deals`` times, each time from another order of the bits, and rows meet
+    where one block is equal.  ``blocks`` is by default two, or as many as hold 16 bits each
+    where the block radius is 0.
     """
-    blocks = blocks or bits // 16
+    blocks = blocks or (2 if block_radius is None else bits // 16)
     rho = block_radius_of(radius, blocks, intact) if block_radius is None else block_radius
-    routed = codes.select("code").mapInArrow(partial(_routes, bits=bits, blocks=blocks, intact=intact, block_radius=rho, seed=seed, deals=deals), "leaf long, code binary, home boolean")
-    sorted_ = _tiles(routed, routed, "leaf", "code", ["code", "home"])
+    kind = "leaf long, code binary, home boolean"
+    if rho:
+        trees = codes.sparkSession.sparkContext.broadcast(plant(codes, bits, radius, blocks, intact, seed))
+        routed = codes.select("code").mapInArrow(partial(_routes, trees=trees, bits=bits, seed=seed), kind)
+    else:
+        routed = codes.select("code").mapInArrow(partial(_blocks, bits=bits, blocks=blocks, intact=intact, seed=seed, deals=deals), kind)
+    sorted_ = _tiles(routed, routed, "leaf", "code", ["code", "home"], CHUNK, [F.desc("home")])
     return sorted_.mapInArrow(partial(_compare, bits=bits, radius=radius), "u binary, v binary").distinct()
 
 
@@ -315,13 +418,12 @@ def near_duplicates(
     """(id, fingerprint, component_id) for every row of ``docs``.
 
     component_id is the least id reachable over links of ``radius`` bits or fewer.  With
-    ``block_radius`` None the search is exact (pigeonhole); a smaller one trades recall for
-    fewer shards.  The defaults take five-word shingles and a Jaccard similarity of about 0.8
-    (a 512-bit distance of 78, plus one standard deviation).  Null and empty texts share the
-    zero fingerprint; repeated rows get equal results; an empty table gives no rows; other
-    columns of ``docs`` are not read.  With a ``similarity`` texts are linked by the Jaccard
-    similarity of their shingle sets among those that chains of such links of fingerprints
-    gather, and ``radius`` only bounds the candidates.
+    ``block_radius`` None all links are found; at 0 those of pairs with an equal block.  Null
+    and empty texts share the zero fingerprint; rows without an id are linked but name no
+    component; repeated rows get equal results; an empty table gives no rows; other columns
+    of ``docs`` are not read.  With a ``similarity`` texts are linked by the Jaccard similarity
+    of their shingle sets among those that chains of such links of fingerprints gather, and
+    ``radius`` only bounds the candidates.
     """
     if similarity is not None:
         return _verified(docs, shingle, bits, radius, block_radius, id_col, text_col, blocks, intact, deals, similarity)
@@ -347,7 +449,7 @@ def _verified(docs: DataFrame, shingle: int, bits: int, radius: int, block_radiu
     members = cut(grouped.join(many, "root"))
     few = broadcast_if_small(members.select("key"), members.count())
     texts = named.select("key", "text").join(few, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    tiles = _tiles(members.join(texts, "key"), members, "root", "key", ["key", "code", "text"])
+    tiles = _tiles(members.join(texts, "key"), members, "root", "key", ["key", "code", "text"], TEXTS, [])
     links = tiles.mapInArrow(partial(_similar, shingle=shingle, radius=radius, similarity=similarity), "u long, v long")
     roots = connected_components(links)
     rooted = cut(nodes.join(roots, nodes.key == roots.node, "left").select("key", "first", F.coalesce("root", "key").alias("root")))
@@ -363,13 +465,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     differ in at most 112 of 512 bits (78 on average at 0.8, and four standard deviations
     more) and agree on one of 64 blocks.
 
-    Rows that repeat one id count as one document, of which the row with the least text hash
+    Rows that repeat one id count as one document, of which the row with the least hash
     stays.  A row without an id cannot stand for a group and is left as it is.
     """
     groups = near_duplicates(docs, id_col=id_col, **({"radius": 112, "deals": 2, "similarity": 0.8} | how))
     kept = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
-    text = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith("map")])
-    first = F.row_number().over(Window.partitionBy("__kept").orderBy(text))
-    one = docs.join(kept, docs[id_col] == kept["__kept"]).withColumn("__nth", first).where("__nth = 1")
+    row = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith("map")])
+    # Which row of an id stays is decided on ids and hashes; the rows themselves are only looked up.
+    times = docs.select(F.col(id_col).alias("__kept"), row.alias("__row")).groupBy("__kept", "__row").agg(F.count(F.lit(1)).alias("n"))
+    first = cut(times.join(kept, "__kept", "left_semi").groupBy("__kept").agg(F.min(F.struct("__row", "n")).alias("f")).select("__kept", "f.__row", "f.n"))
+    keyed = docs.withColumn("__kept", F.col(id_col)).withColumn("__row", row)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return one.select(*columns).unionByName(docs.where(docs[id_col].isNull()))
+    one = keyed.join(first.where("n = 1"), ["__kept", "__row"], "left_semi").select(*columns)
+    equal = keyed.join(first.where("n > 1"), ["__kept", "__row"], "left_semi").dropDuplicates(["__kept", "__row"]).select(*columns)
+    return one.unionByName(equal).unionByName(docs.where(docs[id_col].isNull()))

@@ -92,11 +92,39 @@ def test_simhash_blocks_and_hot_leaves(spark, monkeypatch):
     links = [(int.from_bytes(r.u, "big"), int.from_bytes(r.v, "big")) for r in simhash.code_links(df, 64, 3).collect()]
     near = [(a, b) for a in codes for b in codes if a < b and (a ^ b).bit_count() <= 3]
     assert unite(links, codes) == unite(near, codes)
-    for radius, blocks, intact in [(3, 5, 2), (3, 6, 3), (6, 5, 2)]:
+    for radius, blocks, intact in [(3, 5, 2), (3, 6, 3), (6, 5, 2), (3, 1, 1), (6, 2, 1)]:
         found = [(int.from_bytes(r.u, "big"), int.from_bytes(r.v, "big")) for r in simhash.code_links(df, 64, radius, blocks=blocks, intact=intact).collect()]
         assert unite(found, codes) == unite([(a, b) for a in codes for b in codes if a < b and (a ^ b).bit_count() <= radius], codes)
-    wide = [(int.from_bytes(r.u, "big"), int.from_bytes(r.v, "big")) for r in simhash.code_links(df, 64, 6).collect()]
-    assert unite(wide, codes) == unite([(a, b) for a in codes for b in codes if a < b and (a ^ b).bit_count() <= 6], codes)
+
+
+@pytest.mark.parametrize("radius,blocks,extra", [(3, 2, 0), (3, 2, 3), (5, 1, 0), (7, 2, 2)])
+def test_vantage_trees_prune_and_overlap(radius, blocks, extra):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    near = np.array([int(b) ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(1, radius + 1), replace=False)) for b in base for _ in range(3)], dtype=np.uint64)
+    codes = np.unique(np.concatenate([base, near]))[:, None]
+    rho, met = simhash.block_radius_of(radius, blocks, 1), set()
+    for k, mask in enumerate(simhash.masks(64, blocks, 1)):
+        tree = simhash.VantageTree(codes[::8], mask, rho, 8, extra, k)
+        row, leaf, home = tree.route(codes)
+        assert np.array_equal(np.sort(row[home]), np.arange(len(codes))), "one home each"
+        assert len(np.unique(leaf)) >= 8 and (~home).sum() > 0, "balls that cross a cut are sent to two shards"
+        assert len(row) < len(codes) * len(np.unique(leaf)) / 2, "branches are pruned"
+        assert len(set(zip(row.tolist(), leaf.tolist()))) == len(row)
+        for x in np.unique(leaf):
+            here = np.nonzero(leaf == x)[0]
+            mine, every = row[here[home[here]]], row[here]
+            met |= {(min(a, b), max(a, b)) for a in mine.tolist() for b in every.tolist() if a != b}
+    links = {(a, b) for a in range(len(codes)) for b in np.nonzero(np.bitwise_count(codes[:, 0] ^ codes[a, 0]) <= radius)[0].tolist() if a < b}
+    assert len(links) > 600 and links <= met and len(met) < len(codes) ** 2 / 3
+
+
+def test_keep_one_with_null_and_repeated_ids(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text, "a"), (1, text, "a"), (1, text, "b"), (2, text + " end", "c"), (None, text, "d"), (None, text, "d"), (3, None, "e"), (4, "", "f"), (5, "x y", "g")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, root string")).collect()
+    assert sorted((r.doc_id for r in kept if r.doc_id is not None)) == [1, 3, 5] and sum(r.doc_id is None for r in kept) == 2
+    assert simhash.keep_one(spark.createDataFrame(rows[:0], "doc_id long, text string, root string")).count() == 0
 
 
 def test_near_copies_are_found_and_others_stay(spark):
