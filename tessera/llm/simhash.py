@@ -95,7 +95,7 @@ def _fingerprint(batches: Iterator[pa.RecordBatch], shingle: int, bits: int) ->
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes, pa.binary())], names=[b.schema.names[0], "code"])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 5, bits: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 5, bits: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, code) for every row of ``docs``, repeated rows included; code is binary."""
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(partial(_fingerprint, shingle=shingle, bits=bits), f"`{id_col}` {kind}, code binary")
@@ -405,8 +405,8 @@ def code_links(codes: DataFrame, bits: int, radius: int, block_radius: int | Non
 def near_duplicates(
     docs: DataFrame,
     shingle: int = 5,
-    bits: int = 512,
-    radius: int = 86,
+    bits: int = 256,
+    radius: int = 45,
     block_radius: int | None = 0,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -462,13 +462,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """``docs`` without the near copies: of each group the row with the least id stays.
 
     Near copies have a similarity of 0.8 or more unless ``how`` says otherwise.  Candidates
-    differ in at most 112 of 512 bits (78 on average at 0.8, and four standard deviations
-    more) and agree on one of 64 blocks.
+    differ in at most 62 of 256 bits (39 on average at 0.8, and four standard deviations more)
+    and agree on one of 80 blocks of 16 bits, cut from five orders of the bits.  Null and empty
+    texts are near copies of each other.
 
     Rows that repeat one id count as one document, of which the row with the least hash
     stays.  A row without an id cannot stand for a group and is left as it is.
     """
-    groups = near_duplicates(docs, id_col=id_col, **({"radius": 112, "deals": 2, "similarity": 0.8} | how))
+    groups = near_duplicates(docs, id_col=id_col, **({"radius": 62, "deals": 5, "similarity": 0.8} | how))
     kept = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
     row = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith("map")])
     # Which row of an id stays is decided on ids and hashes; the rows themselves are only looked up.

@@ -356,19 +356,22 @@ def test_quality_tells_junk(spark):
     assert {x.score for x in quality.score(docs, none).collect()} == {1.0}
 
 
-def brute_hits(text, items, window=10):
+def brute_hits(text, items, window=10, mask=False):
     words = decontaminate.words_of(text)
     hit, met = [False] * len(words), set()
     for item, t in items:
         ws = decontaminate.words_of(t)
         n = min(window, len(ws))
-        if not ws or item is None:
+        if not ws:
             continue
         for k in range(len(ws) - n + 1):
             for a in range(len(words) - n + 1):
                 if words[a : a + n] == ws[k : k + n]:
                     hit[a : a + n] = [True] * n
-                    met.add(item)
+                    met |= {item} - {None}
+    if mask:
+        edges = [k for k in range(len(hit) + 1) if (k and hit[k - 1]) != (k < len(hit) and hit[k])]
+        return len(words), sum(hit), list(zip(edges[::2], edges[1::2]))
     return len(words), sum(hit), sorted(map(str, met))
 
 
@@ -376,13 +379,30 @@ def brute_hits(text, items, window=10):
 def test_decontamination(spark, most):
     r = random.Random(6)
     v = ["a", "b", "c", "Dé", "9"]
-    items = [(k, " ".join(r.choice(v) for _ in range(r.choice([1, 3, 12, 25])) )) for k in range(8)] + [(50, "Rare Solo!"), (51, None), (52, "..."), (None, "a b c")]
-    texts = [" ".join(r.choice(v) for _ in range(r.randrange(120))) for _ in range(30)] + [None, "", "x " + items[4][1].upper() + " y", "rare, SOLO rare"]
+    items = [(k, " ".join(r.choice(v) for _ in range(r.choice([1, 3, 12, 25])) )) for k in range(8)] + [(50, "Rare Solo!"), (51, None), (52, "..."), (None, "a b c"), (None, " ".join(f"only{k}" for k in range(11)))]
+    texts = [" ".join(r.choice(v) for _ in range(r.randrange(120))) for _ in range(30)] + [None, "", "x " + items[4][1].upper() + " y", "rare, SOLO rare", "q " + " ".join(f"ONLY{k}" for k in range(11)), items[6][1] * 60]
     docs = spark.createDataFrame([(k, t, "m") for k, t in enumerate(texts)], "doc_id long, text string, match string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {x.doc_id: (x.n_words, sum(s.stop - s.start for s in x.spans), list(x["items"])) for x in decontaminate.matches(docs, bench, max_words=most).collect()}
     assert got == {k: brute_hits(t, items) for k, t in enumerate(texts)}
     assert decontaminate.matches(docs, bench.limit(0)).where("size(spans) > 0").count() == 0
+    twice = decontaminate.matches(docs.unionByName(docs), bench, max_words=most)
+    assert Counter(x.doc_id for x in twice.collect()) == Counter({k: 2 for k in got})
+    # removal, by the same spans
+    for span, coverage in ((0, 0.5), (12, 0.9), (0, 0.0)):
+        want = {}
+        for k, t in enumerate(texts):
+            n, cut_, masks_ = brute_hits(t, items, mask=True)
+            runs = [(a, b) for a, b in masks_ if b - a > span]
+            if sum(b - a for a, b in runs) <= coverage * n:
+                ws = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())]
+                out, last = "", 0
+                for a, b in runs:
+                    out, last = out + t[last : ws[a][0]], ws[b - 1][1]
+                want[k] = out + t[last:] if runs else t
+        cleaned = decontaminate.remove(docs, bench, max_span=span, max_coverage=coverage, max_words=most)
+        assert cleaned.columns == docs.columns and {x.doc_id: x.text for x in cleaned.collect()} == want
+    assert decontaminate.remove(docs, bench.limit(0)).count() == len(texts) and decontaminate.remove(docs.limit(0), bench).count() == 0
     assert decontaminate.matches(docs.limit(0), bench).count() == 0
 
 
