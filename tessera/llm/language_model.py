@@ -1,19 +1,28 @@
 """Log-bilinear language model trained with noise-contrastive estimation, and unigram scores.
 
-Words are mapped to ``UNITS`` units: the most frequent words are units of their own, the rest
-fall into buckets by their ends.  All training texts are counted into unit trigrams, a table
-bounded by UNITS cubed, and the model learns from every count: the context vector is the
-position-weighted sum of the two last units' vectors, a unit's logit its product with the
-unit's output vector plus a bias.  Batched matrix products over all contexts then give the
-normalised log-probabilities, so scoring is a lookup.  Within a bucket a word has its add-one
+The most frequent words, up to ``WORDS`` of those met ``LEAST`` times, are units of their own,
+as is the end of a text; the rest fall into ``BUCKETS`` buckets by their ends.  Units are cut
+into classes of about equal weight, and the probability of a unit is that of its class times
+that of the unit within the class.  The context vector is the position-weighted sum of the two
+last units' vectors; the logit of a class or a unit is its product with an output vector plus a
+bias.  Both levels are trained by noise-contrastive estimation against the unigram; the
+expectation over ``NOISE`` noise units is taken in full instead of by draws, so training has no
+randomness beyond its seed.  Batched matrix products over all classes, and over the units of
+each class, give the normalised log-probabilities.  Within a bucket a word has its add-one
 share.
 
+Training reads every token of the training texts once.  Texts are dealt by a hash of their row
+to shards, one for each ``SHARD`` tokens, and ordered by that hash, so neither partitions nor
+lost executors change the result; each shard trains from the same start, and the parameters
+are averaged by tokens, ``FAN`` shards at a time.
+
 Word counts are exact.  The counts of the ``TABLE`` most frequent words travel as a broadcast
 table of that bounded size; tokens beyond it are joined with the counts by a shuffle.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
@@ -27,39 +36,164 @@ from pyspark.sql import functions as F
 
 from .common import cut, kept, slices
 
-UNITS, WORDS, TABLE, FLUSH, CACHE = 128, 88, 131_072, 200_000, 200_000
-PAD, END = 0, 1
+WORDS, LEAST, BUCKETS, CLASSES = 4000, 20, 64, 64
+TABLE, FLUSH, CACHE = 131_072, 200_000, 400_000
 #: The end of a text as a token; no word holds a blank.
 END_KEY = b" "
-DIM, STEPS, BATCH, NOISE = 24, 700, 4096, 10
+DIM, BATCH, NOISE, RATE, SHARD, FAN = 16, 8192, 10, 0.2, 4_000_000, 64
 
 
 def tokens_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _bucket(word: bytes) -> int:
-    return 2 + WORDS + crc32(word[:1] + b" " + word[-2:]) % (UNITS - 2 - WORDS)
+def bucket(word: bytes) -> int:
+    return crc32(word[:1] + b" " + word[-2:]) % BUCKETS
 
 
-class Units:
-    """From a word to its unit; buckets of words outside the table are cached."""
+class Units(dict):
+    """From a word to its number in the table; a word beyond it gets a number of its own for a while.
 
-    def __init__(self, words: list[bytes]):
-        self.fixed = {w: 2 + k for k, w in enumerate(words[:WORDS])}
-        self.cache = dict(self.fixed)
+    Units are the end, the first ``words`` of the table, and the buckets; ``unit`` gives those
+    of the numbers.
+    """
 
-    def of(self, words: list[bytes]) -> list[int]:
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache = self.cache = dict(self.fixed)
-        out = []
-        for w in words:
-            u = cache.get(w)
-            if u is None:
-                u = cache[w] = _bucket(w)
-            out.append(u)
-        return out
+    def __init__(self, table: list[bytes], words: int):
+        super().__init__({w: k for k, w in enumerate(table)})
+        self.table, self.words = table, words
+        self.size = words + 1 + BUCKETS
+        self.of_table = [words if w == END_KEY else k if k < words else words + 1 + bucket(w) for k, w in enumerate(table)]
+        self.others: list[int] = []
+
+    def __missing__(self, word: bytes) -> int:
+        k = self[word] = len(self.table) + len(self.others)
+        self.others.append(self.words + 1 + bucket(word))
+        return k
+
+    def unit(self) -> np.ndarray:
+        return np.array(self.of_table + self.others, dtype=np.int64)
+
+    def numbers(self, texts: list[list[bytes]]) -> np.ndarray:
+        """The numbers of all words; the cache is emptied before, never within, a call."""
+        if len(self.others) > CACHE:
+            self.clear()
+            self.update((w, k) for k, w in enumerate(self.table))
+            self.others = []
+        get = self.__getitem__
+        return np.array([k for t in texts for k in map(get, t)], dtype=np.int64)
+
+
+class Model:
+    """Parameters by the rank of a unit; ranks go by count, so that classes are ranges of them."""
+
+    NAMES = ("context", "position", "class_out", "class_bias", "out", "bias")
+
+    def __init__(self, counts: np.ndarray, seed: int = 3):
+        n = np.asarray(counts, dtype=np.float64)
+        order = np.argsort(-n, kind="stable")
+        self.rank = np.empty(len(n), dtype=np.int64)
+        self.rank[order] = np.arange(len(n))
+        mass = np.sqrt(n[order] + 1)
+        cls = np.floor((np.cumsum(mass) - mass) / mass.sum() * CLASSES)
+        self.cls = np.unique(cls, return_inverse=True)[1]
+        self.start = np.concatenate([np.nonzero(np.diff(self.cls, prepend=-1))[0], [len(n)]])
+        p = (n[order] + 0.1) / (n + 0.1).sum()
+        self.class_noise = np.bincount(self.cls, weights=p)
+        self.noise = p / self.class_noise[self.cls]
+        self.pad = len(n)
+        rng, classes = np.random.default_rng(seed), len(self.start) - 1
+        f = np.float32
+        self.context = rng.normal(0, 0.5, (len(n) + 1, DIM)).astype(f)
+        self.position = np.ones((2, DIM), dtype=f)
+        self.class_out, self.class_bias = np.zeros((classes, DIM), dtype=f), np.log(self.class_noise).astype(f)
+        self.out, self.bias = np.zeros((len(n), DIM), dtype=f), np.log(self.noise).astype(f)
+
+    def parameters(self) -> np.ndarray:
+        return np.concatenate([getattr(self, k).ravel() for k in self.NAMES])
+
+    def set(self, flat: np.ndarray) -> None:
+        at = 0
+        for k in self.NAMES:
+            x = getattr(self, k)
+            setattr(self, k, flat[at : at + x.size].reshape(x.shape).astype(np.float32))
+            at += x.size
+
+    def hidden(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.context[a] * self.position[0] + self.context[b] * self.position[1]
+
+    def _by_class(self, w: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+        """The rows of each class of more than one unit."""
+        cls = self.cls[w]
+        order = np.argsort(cls, kind="stable")
+        ends = np.searchsorted(cls[order], np.arange(len(self.start)))
+        for c in np.unique(cls).tolist():
+            if self.start[c + 1] - self.start[c] > 1:
+                yield slice(self.start[c], self.start[c + 1]), order[ends[c] : ends[c + 1]]
+
+    def log10p(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """log10 P(w | a, b) of ranks, normalised over all units."""
+        h = self.hidden(a, b)
+        out = _log_softmax_at(h @ self.class_out.T + self.class_bias, self.cls[w])
+        for units, rows in self._by_class(w):
+            out[rows] += _log_softmax_at(h[rows] @ self.out[units].T + self.bias[units], w[rows] - units.start)
+        return out / math.log(10)
+
+
+def _log_softmax_at(logit: np.ndarray, at: np.ndarray) -> np.ndarray:
+    logit -= logit.max(axis=1, keepdims=True)
+    picked = logit[np.arange(len(at)), at].astype(np.float64)
+    return picked - np.log(np.exp(logit, out=logit).sum(axis=1, dtype=np.float64))
+
+
+def _errors(logit: np.ndarray, noise: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The gradient of the noise-contrastive objective by logit: data at ``at`` against ``NOISE`` noise units."""
+    weight, rows = (NOISE * noise).astype(np.float32), np.arange(len(at))
+    data = 1 / (1 + np.exp(logit[rows, at] - np.log(weight)[at]))
+    np.subtract(np.log(weight), logit, out=logit)
+    np.exp(logit, out=logit)  # an infinite one stands for no error
+    logit += 1
+    np.divide(-weight, logit, out=logit)
+    logit[rows, at] += data
+    return logit
+
+
+class Trainer:
+    """Adagrad over batches of (a, b, w) ranks."""
+
+    def __init__(self, model: Model):
+        self.m = model
+        self.seen = {k: np.full(getattr(model, k).shape, 1e-6, dtype=np.float32) for k in model.NAMES}
+
+    @np.errstate(over="ignore")
+    def step(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> None:
+        m, n = self.m, len(w)
+        h = m.hidden(a, b)
+        e = _errors(h @ m.class_out.T + m.class_bias, m.class_noise, m.cls[w])
+        back, grad = e @ m.class_out, {"class_out": e.T @ h, "class_bias": e.sum(0)}
+        grad["out"], grad["bias"] = np.zeros_like(m.out), np.zeros_like(m.bias)
+        for units, rows in m._by_class(w):
+            e = _errors(h[rows] @ m.out[units].T + m.bias[units], m.noise[units], w[rows] - units.start)
+            back[rows] += e @ m.out[units]
+            grad["out"][units], grad["bias"][units] = e.T @ h[rows], e.sum(0)
+        size = len(m.context)
+        da, db = back * m.position[0], back * m.position[1]
+        at, d = np.concatenate([a, b]), np.concatenate([da, db])
+        grad["context"] = np.stack([np.bincount(at, weights=d[:, k], minlength=size) for k in range(DIM)], axis=1)
+        grad["position"] = np.stack([(back * m.context[a]).sum(0), (back * m.context[b]).sum(0)])
+        for k, g in grad.items():
+            g = (g / n).astype(np.float32)
+            self.seen[k] += g * g
+            getattr(m, k)[...] += RATE * g / np.sqrt(self.seen[k])
+
+
+def contexts(units: np.ndarray, sizes: np.ndarray, rank: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, w) ranks of every token of texts laid end to end, each led by two pads."""
+    w = rank[units]
+    start = np.zeros(len(w), dtype=bool)
+    start[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+    b = np.where(start, pad, np.concatenate([[pad], w[:-1]]))
+    a = np.concatenate([[pad], b[:-1]])
+    return np.where(start, pad, a), b, w
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,68 +214,87 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _sums(batches: Iterator[pa.RecordBatch], words: list[bytes]) -> Iterator[pa.RecordBatch]:
+def _sums(batches: Iterator[pa.RecordBatch], table: list[bytes], words: int) -> Iterator[pa.RecordBatch]:
     """Tokens and different words of each unit."""
-    n, v, fixed = np.zeros(UNITS, dtype=np.int64), np.zeros(UNITS, dtype=np.int64), Units(words).fixed
+    units = Units(table, words)
+    n, v = np.zeros(units.size, dtype=np.int64), np.zeros(units.size, dtype=np.int64)
     for b in batches:
-        keys = [END if w == END_KEY else fixed.get(w) or _bucket(w) for w in b.column(0).to_pylist()]
-        np.add.at(n, keys, b.column(1).to_numpy())
-        np.add.at(v, keys, 1)
+        numbers = units.numbers([b.column(0).to_pylist()])
+        at = units.unit()[numbers]
+        np.add.at(n, at, b.column(1).to_numpy())
+        np.add.at(v, at, 1)
     some = np.nonzero(v)[0]
     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some]), pa.array(v[some])], names=["unit", "n", "v"])
 
 
-def _trigrams(batches: Iterator[pa.RecordBatch], words: list[bytes]) -> Iterator[pa.RecordBatch]:
-    counts, units = np.zeros(UNITS**3, dtype=np.int64), Units(words)
-    for b in slices(batches):
-        flat: list[int] = []
-        for t in b.column(0):
-            flat += [PAD, PAD, *units.of(tokens_of(t.as_py())), END]
-        u = np.array(flat, dtype=np.int64)
-        if len(u) > 2:
-            key = (u[:-2] * UNITS + u[1:-1]) * UNITS + u[2:]
-            at, n = np.unique(key[u[2:] != PAD], return_counts=True)
-            counts[at] += n
-    some = np.nonzero(counts)[0]
-    for lo in range(0, len(some), 100_000):
-        x = some[lo : lo + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()), pa.array(counts[x])], names=["gram", "n"])
-
-
-def train(grams: np.ndarray, n: np.ndarray, seed: int = 3) -> np.ndarray:
-    """Normalised log10 probabilities, (UNITS * UNITS contexts) x UNITS, from trigram counts."""
-    rng = np.random.default_rng(seed)
-    unigram = np.bincount(grams % UNITS, weights=n, minlength=UNITS) + 0.1
-    unigram[PAD] = 1e-9
-    unigram /= unigram.sum()
-    noise, cumulative = np.cumsum(unigram), np.cumsum(n, dtype=np.float64)
-    p = {"r": rng.normal(0, 0.1, (UNITS, DIM)), "q": rng.normal(0, 0.1, (UNITS, DIM)), "c": np.ones((2, DIM)), "b": np.log(unigram)}
-    m, s = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
-    lognoise, rows = np.log(NOISE * unigram), np.arange(BATCH)
-    for step in range(1, STEPS + 1 if len(grams) else 1):
-        g = grams[np.searchsorted(cumulative, rng.random(BATCH) * cumulative[-1], side="right").clip(0, len(grams) - 1)]
-        a, b, w = g // (UNITS * UNITS), g // UNITS % UNITS, g % UNITS
-        out = np.concatenate([w[:, None], np.searchsorted(noise, rng.random((BATCH, NOISE)) * noise[-1]).clip(0, UNITS - 1)], axis=1)
-        h = p["r"][a] * p["c"][0] + p["r"][b] * p["c"][1]
-        logit = np.take_along_axis(h @ p["q"].T, out, 1) + p["b"][out] - lognoise[out]
-        error = -1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        error[:, 0] += 1
-        # A row's errors by unit, so that gradients are matrix products.
-        by_unit = np.bincount((rows[:, None] * UNITS + out).ravel(), weights=error.ravel(), minlength=BATCH * UNITS).reshape(BATCH, UNITS)
-        dh = by_unit @ p["q"]
-        at_a, at_b = np.zeros((BATCH, UNITS)), np.zeros((BATCH, UNITS))
-        at_a[rows, a], at_b[rows, b] = 1, 1
-        grad = {"q": by_unit.T @ h, "b": by_unit.sum(0), "r": at_a.T @ (dh * p["c"][0]) + at_b.T @ (dh * p["c"][1]), "c": np.stack([(dh * p["r"][a]).sum(0), (dh * p["r"][b]).sum(0)])}
-        rate = 0.03 * (1 - step / (STEPS + 1)) + 0.001
-        for k in p:
-            x = grad[k] / BATCH
-            m[k], s[k] = 0.9 * m[k] + 0.1 * x, 0.99 * s[k] + 0.01 * x * x
-            p[k] += rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)
-    h = (p["r"] * p["c"][0])[:, None, :] + (p["r"] * p["c"][1])[None, :, :]
-    logit = h.reshape(-1, DIM) @ p["q"].T + p["b"]
-    logit[:, PAD] = -np.inf
-    logit -= logit.max(axis=1, keepdims=True)
-    return ((logit - np.log(np.exp(logit).sum(axis=1, keepdims=True))) / np.log(10)).astype(np.float32)
+SHARDED = "shard long, tokens long, parameters binary"
+
+
+def _sharded(shard: int, tokens: int, parameters: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([tokens], pa.int64()), pa.array([parameters.tobytes()], pa.binary())], names=["shard", "tokens", "parameters"])
+
+
+def _learn(batches: Iterator[pa.RecordBatch], key: str, shared, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, text) come sorted by shard: parameters of each shard."""
+    table, words = shared.value
+    units = kept(("units", key), lambda: Units(table, words))
+    shard, tokens, trainer, waiting = None, 0, None, []
+
+    def steps(last: bool) -> None:
+        nonlocal waiting
+        x = [np.concatenate(c) for c in zip(*waiting)]
+        whole = len(x[0]) if last else len(x[0]) // BATCH * BATCH
+        for lo in range(0, whole, BATCH):
+            trainer.step(*(c[lo : min(lo + BATCH, whole)] for c in x))
+        waiting = [tuple(c[whole:] for c in x)]
+
+    for whole in batches:
+        shards = whole.column(0).to_numpy()
+        ends = np.concatenate([[0], np.nonzero(np.diff(shards))[0] + 1, [whole.num_rows]]) if whole.num_rows else [0]
+        for lo, hi in zip(ends[:-1], ends[1:]):
+            if shards[lo] != shard:
+                if trainer:
+                    steps(True)
+                    yield _sharded(shard, tokens, trainer.m.parameters())
+                shard, tokens, trainer, waiting = shards[lo], 0, Trainer(Model(counts)), []
+            for part in slices([whole.slice(lo, hi - lo)]):
+                texts = [[*tokens_of(t.as_py()), END_KEY] for t in part.column(1)]
+                numbers = units.numbers(texts)
+                waiting.append(contexts(units.unit()[numbers], np.array([len(t) for t in texts]), trainer.m.rank, trainer.m.pad))
+                tokens += len(numbers)
+                steps(False)
+    if trainer:
+        steps(True)
+        yield _sharded(shard, tokens, trainer.m.parameters())
+
+
+def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by group and shard: the mean of each group by tokens."""
+    group, tokens, total = None, 0, 0.0
+    for b in batches:
+        for g, n, p in zip(*(b.column(k).to_pylist() for k in (0, 2, 3))):
+            if g != group and group is not None:
+                yield _sharded(group, tokens, (total / tokens).astype(np.float32))
+                tokens, total = 0, 0.0
+            group, tokens, total = g, tokens + n, total + np.frombuffer(p, dtype=np.float32).astype(np.float64) * n
+    if group is not None:
+        yield _sharded(group, tokens, (total / tokens).astype(np.float32))
+
+
+def train(training: DataFrame, table: list[bytes], words: int, counts: np.ndarray, tokens: int, key: str) -> Model:
+    """The model from all rows (row hash, text) of ``training``; ``counts`` are the tokens of each unit."""
+    model, shards = Model(counts), max(1, math.ceil(tokens / SHARD))
+    shared = training.sparkSession.sparkContext.broadcast((table, words))
+    dealt = training.select(F.pmod("h", F.lit(shards)).alias("shard"), "h", "text").repartition(shards, "shard").sortWithinPartitions("shard", "h", "text")
+    learned = cut(dealt.select("shard", "text").mapInArrow(partial(_learn, key=key, shared=shared, counts=counts), SHARDED))
+    while shards > FAN:
+        shards = math.ceil(shards / FAN)
+        grouped = learned.select(F.expr(f"shard div {FAN}").alias("g"), "shard", "tokens", "parameters").repartition(shards, "g").sortWithinPartitions("g", "shard")
+        learned = cut(grouped.mapInArrow(_mean, SHARDED))
+    rows = sorted(learned.collect())
+    if rows:
+        model.set(sum(np.frombuffer(r["parameters"], dtype=np.float32).astype(np.float64) * r["tokens"] for r in rows) / sum(r["tokens"] for r in rows))
+    return model
 
 
 def _least(counts: DataFrame, most: int) -> int:
@@ -159,26 +312,27 @@ MISS = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
 
 def _score(batches: Iterator[pa.RecordBatch], key: str, shared) -> Iterator[pa.RecordBatch]:
     """Sums over the tokens that the broadcast table has, and the other words with their counts."""
-    table, words, share, logp = shared.value
-    units = kept(("units", key), lambda: Units(words))
-    logs = kept(("logs", key), lambda: {w: log10(c + 1) for w, c in table.items()})
+    table, words, counts, share, model = shared.value
+    units = kept(("units", key), lambda: Units(table, words))
+    logs = kept(("logs", key), lambda: np.log10(counts + 1.0))
     for b in slices(batches):
-        n, known, base, score, misses = [], [], [], [], []
-        for t in b.column(b.num_columns - 1):
-            ws = tokens_of(t.as_py())
-            ws.append(END_KEY)
-            values = list(map(logs.get, ws))
-            lost = Counter([w for w, x in zip(ws, values) if x is None])
-            us = np.array([PAD, PAD, *units.of(ws[:-1]), END])
-            n.append(len(ws))
-            known.append(len(ws) - sum(lost.values()))
-            base.append(sum([x for x in values if x is not None]))
-            # A word in a bucket has, beside the bucket's probability, its share of it.
-            inside = sum([x for x, u in zip(values, us[2:].tolist()) if x is not None and u >= 2 + WORDS])
-            score.append(float(logp[us[:-2] * UNITS + us[1:-1], us[2:]].sum(dtype=np.float64) + share[us[2:]].sum()) + inside)
+        texts = [[*tokens_of(t.as_py()), END_KEY] for t in b.column(b.num_columns - 1)]
+        sizes = np.array([len(t) for t in texts])
+        numbers = units.numbers(texts)
+        unit = units.unit()[numbers]
+        told = numbers < len(table)
+        value = np.where(told, logs[np.where(told, numbers, 0)], 0.0)
+        p = np.concatenate([model.log10p(*(c[lo : lo + 65_536] for c in x)) for x in [contexts(unit, sizes, model.rank, model.pad)] for lo in range(0, len(unit), 65_536)])
+        # A word in a bucket has, beside the bucket's probability, its share of it.
+        p += share[unit] + np.where(unit > words, value, 0.0)
+        first = np.cumsum(sizes) - sizes
+        known, base, score = (np.add.reduceat(x, first) for x in (told.astype(np.int64), value, p))
+        misses = []
+        for t, at, n in zip(texts, first.tolist(), (sizes - known).tolist()):
+            lost = Counter([t[k] for k in np.nonzero(~told[at : at + len(t)])[0].tolist()]) if n else {}
             misses.append([{"word": w, "times": c} for w, c in lost.items()])
         yield pa.RecordBatch.from_arrays(
-            [*b.columns[:-1], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(misses, MISS)],
+            [*b.columns[:-1], pa.array(sizes, pa.int64()), pa.array(known), pa.array(base), pa.array(score), pa.array(misses, MISS)],
             names=[*b.schema.names[:-1], "n_tokens", "n_known", "base", "score", "misses"],
         )
 
@@ -188,28 +342,35 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
 
     The counts and the model come from all rows that are not held out.  base_score is the
     add-one unigram log10 probability; score the model's.  Null and empty texts are their end
-    token alone.  Without training rows every word is unknown and units are uniform.  Rows
-    that repeat an id are scored one by one; an empty table gives no rows.
+    token alone.  Without training rows every word is unknown and units are alike.  Rows that
+    repeat an id are scored one by one; an empty table gives no rows; other columns are not
+    read.
     """
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).alias("id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    training = rows.where(~F.col("held_out")).select("text")
-    counts = cut(training.mapInArrow(_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
-    total, different = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.where(F.col("c") >= _least(counts, TABLE)).collect()
-    table = {bytes(r["word"]): r["c"] for r in sorted(top, key=lambda r: (-r["c"], r["word"]))}
-    words = [w for w in table if w != END_KEY][:WORDS]
-    table.setdefault(END_KEY, 0)
-    sums = {r["unit"]: (r["n"], r["v"]) for r in counts.mapInArrow(partial(_sums, words=words), "unit int, n long, v long").groupBy("unit").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
+    training = rows.where(~F.col("held_out")).select(F.xxhash64("id", "text").alias("h"), "text")
+    counts = cut(training.select("text").mapInArrow(_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
+    end = F.coalesce(F.sum(F.when(F.col("word") == F.lit(END_KEY), F.col("c"))), F.lit(0))
+    total, different, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), end).first()
+    frequent = {bytes(r["word"]): r["c"] for r in counts.where(F.col("c") >= _least(counts, TABLE)).collect()}
+    frequent.pop(END_KEY, None)
+    table = sorted(frequent, key=lambda w: (-frequent[w], w))
+    words = sum(frequent[w] >= LEAST for w in table[:WORDS])
+    known = np.array([*(frequent[w] for w in table), ends], dtype=np.int64)
+    table.append(END_KEY)
+    sums = counts.mapInArrow(partial(_sums, table=table, words=words), "unit int, n long, v long").groupBy("unit").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
+    tokens, kinds = np.zeros(words + 1 + BUCKETS, dtype=np.int64), np.zeros(words + 1 + BUCKETS, dtype=np.int64)
+    for r in sums:
+        tokens[r["unit"]], kinds[r["unit"]] = r["n"], r["v"]
     # log10 of 1 / (a bucket's tokens + words + 1), 0 for units that are one word.
-    share = np.array([0.0 if u < 2 + WORDS else -log10(sum(sums.get(u, (0, 0))) + 1) for u in range(UNITS)])
-    grams = training.mapInArrow(partial(_trigrams, words=words), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy("gram").toArrow()
-    logp = train(grams.column("gram").to_numpy().astype(np.int64), grams.column("n").to_numpy())
-    shared = sc.broadcast((table, words, share, logp))
+    share = np.where(np.arange(len(tokens)) > words, -np.log10(tokens + kinds + 1.0), 0.0)
+    key = f"{total}-{different}-{sc.applicationId}-{crc32(b' '.join(table))}"
+    model = train(training, table, words, tokens, total, key)
+    shared = sc.broadcast((table, words, known, share, model))
     kind = docs.schema[id_col].dataType.simpleString()
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "id", "held_out", "text")
     schema = f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, misses array<struct<word:binary,times:long>>"
-    part = cut(numbered.mapInArrow(partial(_score, key=f"{total}-{different}-{sc.applicationId}-{id(shared)}", shared=shared), schema))
+    part = cut(numbered.mapInArrow(partial(_score, key=key, shared=shared), schema))
     missing = part.select("row", F.explode("misses").alias("m")).select("row", "m.word", "m.times")
     found = missing.join(counts, "word").groupBy("row").agg(F.sum("times").alias("times"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("log"))
     whole = part.drop("misses").join(found, "row", "left")

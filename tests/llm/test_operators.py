@@ -271,9 +271,10 @@ def test_token_counts(docs, empty):
     assert token_counts.token_counts(empty).count() == 0
 
 
-def test_language_model(docs, empty, monkeypatch):
-    monkeypatch.setattr(language_model, "STEPS", 60)
-    monkeypatch.setattr(language_model, "TABLE", 50)
+@pytest.mark.parametrize("table", [5, 50])
+def test_language_model(docs, empty, monkeypatch, table):
+    monkeypatch.setattr(language_model, "TABLE", table)
+    monkeypatch.setattr(language_model, "CACHE", 30)
     rows = corpus()
     out = lambda i: i is not None and crc32(str(i).encode()) % 7 == 2
     c = Counter()
@@ -289,13 +290,63 @@ def test_language_model(docs, empty, monkeypatch):
     got = language_model.score(docs, is_held_out("doc_id", 7, 2)).collect()
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
     assert all(r.score < 0 for r in got)
+    again = language_model.score(docs.repartition(7), is_held_out("doc_id", 7, 2)).collect()
+    by_row = lambda rs: sorted((r.doc_id or -1, r.score) for r in rs)
+    assert all(x[0] == y[0] and abs(x[1] - y[1]) < 1e-3 for x, y in zip(by_row(again), by_row(got)))
     assert language_model.score(empty, is_held_out("doc_id", 7, 2)).count() == 0
+    none = language_model.score(docs, F.lit(True)).collect()
+    assert len(none) == len(rows) and {(r.n_known, r.train_tokens) for r in none} == {(0, 0)}
 
 
-def test_language_model_is_normalised():
-    grams, n = np.array([0 * 128 * 128 + 0 * 128 + 5, 5 * 128 + 7, (5 * 128 + 7) * 128 + 1]), np.array([50, 40, 9])
-    logp = language_model.train(grams, n)
-    assert np.allclose((10.0 ** logp.astype(float)).sum(1), 1, atol=1e-4)
+def brute_log10p(m, a, b, w):
+    """The whole softmax over classes times units, in plain loops."""
+    h = m.context[a].astype(float) * m.position[0] + m.context[b].astype(float) * m.position[1]
+    classes = np.exp(m.class_out.astype(float) @ h + m.class_bias)
+    units = np.exp(m.out.astype(float) @ h + m.bias)
+    p = np.array([classes[c] / classes.sum() * units[k] / units[m.cls == c].sum() for k, c in enumerate(m.cls)])
+    return np.log10(p[w]), p.sum()
+
+
+def test_language_model_is_normalised_and_learns():
+    rng = np.random.default_rng(0)
+    counts = rng.integers(0, 400, 150)
+    m = language_model.Model(counts)
+    m.set(m.parameters() + rng.normal(0, 0.3, len(m.parameters())))
+    a, b, w = (rng.integers(0, n, 40) for n in (151, 151, 150))
+    got = m.log10p(a, b, w)
+    for k in range(40):
+        want, total = brute_log10p(m, a[k], b[k], w[k])
+        assert abs(got[k] - want) < 1e-4 and abs(total - 1) < 1e-9
+    # a language in which each word nearly fixes the next
+    text = np.cumsum(rng.random(60_000) < 0.1) * 7 + np.arange(60_000)
+    units = text % 150
+    counts = np.bincount(units, minlength=150)
+    m = language_model.Model(counts)
+    x = language_model.contexts(units, np.array([60_000]), m.rank, m.pad)
+    trainer = language_model.Trainer(m)
+    before = m.log10p(*(c[50_000:] for c in x)).mean()
+    for _ in range(5):
+        for lo in range(0, 50_000, 2000):
+            trainer.step(*(c[lo : lo + 2000] for c in x))
+    assert abs(before + log10(150)) < 0.1 and m.log10p(*(c[50_000:] for c in x)).mean() > before + 0.5
+    a, b, w = language_model.contexts(np.array([4, 5, 6, 9]), np.array([0, 3, 0, 1, 0]), np.arange(10), 10)
+    assert (a.tolist(), b.tolist(), w.tolist()) == ([10, 10, 4, 10], [10, 4, 5, 10], [4, 5, 6, 9])
+
+
+def test_language_model_beats_the_unigram_on_held_out_text(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "SHARD", 20_000)
+    monkeypatch.setattr(language_model, "FAN", 2)
+    monkeypatch.setattr(language_model, "BATCH", 256)
+    r, v = random.Random(2), [f"w{k}" for k in range(300)]
+    texts = []
+    for _ in range(900):
+        k, t = r.randrange(300), []
+        for _ in range(r.randrange(20, 120)):
+            k = (k * 3 + 1) % 300 if r.random() < 0.85 else r.randrange(300)
+            t.append(v[k])
+        texts.append(" ".join(t))
+    got = language_model.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), is_held_out("doc_id", 7, 2)).where("held_out").collect()
+    assert sum(x.score for x in got) > sum(x.base_score for x in got) + 0.2 * sum(x.n_tokens for x in got)
 
 
 def test_line_dedup(spark):
