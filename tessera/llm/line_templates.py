@@ -1,9 +1,16 @@
 """Line dedup by a tree of line templates, in DataFrame operations alone.
 
-A line is cut at blanks and walks a tree of fixed depth: first by its number of tokens, then
-by its leading tokens.  Tokens with a digit are variable fields and walk under ``<*>``.  The
-leaf's template is the line with all variable fields generalised.  Templates that occur in
-``min_docs`` different texts or more are boilerplate, and all their lines are dropped.
+A line is cut at blanks, tokens with a digit become ``<*>``, and the line walks a tree of fixed
+depth: first by its number of tokens, then by its ``depth`` leading tokens.  In the leaf lines
+are generalised against each other: a token that fewer than ``min_docs`` lines of the leaf share
+at its position is a variable field and becomes ``<*>`` too.  What a line then reads is its
+template, if at least ``KEEP`` of its tokens are neither fields nor digits; else, and wherever the
+line itself recurs, the line is its own template.  Templates that occur in ``min_docs`` different
+texts or more are boilerplate, and all their lines are dropped.
+
+Texts and lines are told apart by 128-bit hashes.  Lines are counted once for each text; only
+leaves with enough texts and with lines that do not recur by themselves are read again and
+generalised.
 """
 
 from __future__ import annotations
@@ -15,33 +22,91 @@ from .common import broadcast_if_small, cut
 
 BLANKS = "[ \\t\\x0B\\f\\r]+"
 VARIABLE = "[^ ]*[0-9][^ ]*"
+#: The share of a template's tokens that must be constant words, as (numerator, denominator).
+KEEP = (3, 5)
+#: A text with more dropped lines than this is cut by a join instead of by a list.
+LISTED = 1000
+
+
+def flat(line: Column) -> Column:
+    """The line's tokens joined by single blanks, those with a digit as ``<*>``; '' for a blank line."""
+    return F.regexp_replace(F.trim(F.regexp_replace(line, BLANKS, " ")), VARIABLE, "<*>")
+
+
+def leaf(flattened: Column, depth: int) -> Column:
+    """The path of a flattened line: its number of tokens and its leading ones."""
+    tokens = F.split(flattened, " ")
+    return F.concat_ws("\t", F.size(tokens).cast("string"), F.array_join(F.slice(tokens, 1, depth), " "))
+
 
+def _hash(c: Column) -> Column:
+    return F.unhex(F.md5(c))
 
-def template(line: Column, depth: int = 3) -> Column:
-    """The path and the template of a line: token count, leading tokens, generalised line."""
-    flat = F.regexp_replace(F.trim(F.regexp_replace(line, BLANKS, " ")), VARIABLE, "<*>")
-    tokens = F.split(flat, " ")
-    return F.concat_ws("\t", F.size(tokens).cast("string"), F.array_join(F.slice(tokens, 1, depth), " "), flat)
 
+def _lines(rows: DataFrame) -> DataFrame:
+    """(h, flat, t): the lines of each text that are not blank."""
+    flattened = rows.select("h", F.explode(F.split("text", "\n")).alias("line")).select("h", flat(F.col("line")).alias("flat"))
+    return flattened.where("flat <> ''").withColumn("t", _hash(F.col("flat")))
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, depth: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def _generalised(rows: DataFrame, seen: DataFrame, each: DataFrame, min_docs: int) -> DataFrame:
+    """(t): lines that do not recur themselves, but whose template does."""
+    leaves = seen.select("leaf", "h").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= min_docs).select("leaf")
+    open_ = each.where(F.col("n") < min_docs).select("leaf").distinct().join(leaves, "leaf", "left_semi")
+    members = cut(each.join(cut(open_), "leaf", "left_semi"))  # one text of each line stands for it
+    size = members.count()
+    if not size:
+        return members.select("t")
+    some = broadcast_if_small(members.select("h", "t").distinct(), size)
+    read = _lines(rows.join(broadcast_if_small(members.select("h").distinct(), size), "h", "left_semi")).join(some, ["h", "t"], "left_semi")
+    texts = read.groupBy("t").agg(F.min("flat").alias("flat"))
+    tokens = cut(members.join(texts, "t").select("t", "leaf", "n", F.posexplode(F.split("flat", " ")).alias("pos", "token")))
+    constant = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("lines")).where(F.col("lines") >= min_docs).select("leaf", "pos", "token", F.lit(True).alias("constant"))
+    marked = tokens.where(F.col("n") < min_docs).join(constant, ["leaf", "pos", "token"], "left")
+    field, word = F.col("constant").isNull(), F.col("token") != "<*>"
+    made = marked.groupBy("t").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.when(field, "<*>").otherwise(F.col("token")).alias("token")))), lambda x: x["token"]), " ").alias("template"),
+        F.count_if(~field & word).alias("kept"),
+        F.count(F.lit(1)).alias("size"),
+    )
+    made = cut(made.where(F.col("kept") * KEEP[1] >= F.col("size") * KEEP[0]).select("t", "template"))
+    recurring = seen.select("h", "t").join(broadcast_if_small(made, size), "t").select("template", "h").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
+    return made.join(recurring, "template", "left_semi").select("t")
+
+
+def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, depth: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, n_lines, n_dropped): every row of ``docs`` without its recurring lines.
 
-    Lines end at line feeds; blank lines stay.  Texts are told apart by their 64-bit hash, so
-    copies of one text count once and cannot turn each other into boilerplate.  A null text
-    has no lines and stays null; an empty one has one blank line.  Rows that share an id
-    are told apart by their text, and equal rows get equal results.
+    Lines end at line feeds; lines without a token, carriage returns or not, stay.  Copies of
+    one text count once and cannot turn each other into boilerplate.  A null text has no lines
+    and stays null; an empty one has one blank line.  Equal rows, and rows that share a text,
+    get equal results; null ids are kept; an empty table gives no rows; other columns are not
+    read.  A text of any length is cut as a whole.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    lines = rows.select("h", F.explode(F.split("text", "\n")).alias("line")).where("trim(line) <> ''")
-    seen = cut(lines.select("h", F.xxhash64(template(F.col("line"), depth)).alias("t")).distinct())
-    recurring = cut(seen.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("t"))
-    marked = seen.join(broadcast_if_small(recurring, recurring.count()), "t").groupBy("h").agg(F.collect_set("t").alias("dropped"))
-    whole = rows.join(marked, "h", "left").withColumn("lines", F.split("text", "\n"))
-    keep = F.filter("lines", lambda x: (F.trim(x) == "") | ~F.array_contains("dropped", F.xxhash64(template(x, depth))))
-    kept = F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(keep)
-    n = F.coalesce(F.size("lines"), F.lit(0))
-    return (
-        whole.withColumn("kept", kept)
-        .select(F.col("id").alias(id_col), F.array_join("kept", "\n").alias("text"), F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(n - F.size("kept")).cast("long").alias("n_dropped"))
-    )
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", _hash(F.col("text")))
+    seen = cut(_lines(rows).select("h", "t", _hash(leaf(F.col("flat"), depth)).alias("leaf")).distinct())
+    each = cut(seen.groupBy("t", "leaf").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("h")))
+    recurring = each.where(F.col("n") >= min_docs).select("t")
+    dropped = cut(recurring.unionByName(_generalised(rows, seen, each, min_docs)))
+    marked = cut(seen.join(broadcast_if_small(dropped, dropped.count()), "t", "left_semi").select("h", "t"))
+    long = marked.groupBy("h").count().where(F.col("count") > LISTED).select("h")
+    long = cut(long)
+    n_long = long.count()
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    listed = marked.groupBy("h").agg(F.collect_set("t").alias("dropped"))
+    if n_long:
+        listed = listed.join(broadcast_if_small(long, n_long), "h", "left_anti")
+    lines = F.split("text", "\n")
+    keep = F.filter(lines, lambda x: (flat(x) == "") | ~F.array_contains("dropped", _hash(flat(x))))
+    short = rows.join(broadcast_if_small(long, n_long), "h", "left_anti") if n_long else rows
+    whole = short.join(listed, "h", "left").withColumn("kept", F.when(F.col("dropped").isNull(), lines).otherwise(keep))
+    out = whole.select("id", F.array_join("kept", "\n").alias("text"), n.alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(n - F.size("kept")).cast("long").alias("n_dropped"))
+    if n_long:
+        # Line by line: the lines of a text are cut once, whatever the number of rows that hold it.
+        longs = rows.join(broadcast_if_small(long, n_long), "h", "left_semi")
+        placed = longs.groupBy("h").agg(F.first("text").alias("text")).select("h", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+        left = placed.withColumn("t", _hash(flat(F.col("line")))).join(marked, ["h", "t"], "left_anti")
+        cut_ = left.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("kept")).select("h", F.array_join(F.transform("kept", lambda x: x["line"]), "\n").alias("rest"), F.size("kept").alias("stay"))
+        stay = F.coalesce("stay", F.lit(0))
+        out = out.unionByName(longs.join(cut_, "h", "left").select("id", F.coalesce("rest", F.lit("")).alias("text"), n.alias("n_lines"), (n - stay).cast("long").alias("n_dropped")))
+    return out.withColumnRenamed("id", id_col)

@@ -122,13 +122,21 @@ reach AS (SELECT vec_id AS u, vec_id AS v FROM embeddings UNION SELECT reach.u,
 least AS (SELECT u AS vec_id, min(v) AS component_id FROM reach GROUP BY u),
 counts AS (SELECT u AS vec_id, count(*) AS n FROM links GROUP BY u)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, component_id = vec_id AS kept FROM embeddings JOIN least USING (vec_id) LEFT JOIN counts USING (vec_id)""",
-    "op6_line_dedup": """WITH lines AS (SELECT DISTINCT text, unnest(string_split(text, chr(10))) AS line FROM documents),
-flat AS (SELECT text, line, regexp_replace(trim(regexp_replace(line, '[ \\t\\x0B\\f\\r]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS t FROM lines WHERE trim(line) <> ''),
-recurring AS (SELECT t FROM flat GROUP BY t HAVING count(DISTINCT text) >= 5),
-dropped AS (SELECT DISTINCT line FROM flat JOIN recurring USING (t)),
-each AS (SELECT d.doc_id, d.text, u.line, u.pos, dropped.line IS NULL AS stays FROM documents d, LATERAL (SELECT unnest(string_split(d.text, chr(10))) AS line, generate_subscripts(string_split(d.text, chr(10)), 1) AS pos) u
-  LEFT JOIN dropped ON dropped.line = u.line),
-kept AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_dropped, md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE stays), '')) AS kept_md5 FROM each GROUP BY doc_id)
+    "op6_line_dedup": """WITH lines AS (SELECT DISTINCT text, regexp_replace(trim(regexp_replace(line, '[ \\t\\x0B\\f\\r]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS t
+  FROM (SELECT DISTINCT text, unnest(string_split(text, chr(10))) AS line FROM documents)),
+tree AS (SELECT text, t, string_split(t, ' ') AS tokens, len(string_split(t, ' ')) || chr(9) || array_to_string(string_split(t, ' ')[1:2], ' ') AS leaf FROM lines WHERE t <> ''),
+each AS (SELECT t, tokens, leaf, count(*) AS n FROM tree GROUP BY ALL),
+leaves AS (SELECT leaf FROM tree GROUP BY leaf HAVING count(DISTINCT text) >= 5),
+tokens AS (SELECT t, leaf, n, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM each JOIN leaves USING (leaf)),
+constant AS (SELECT leaf, pos, token FROM tokens GROUP BY ALL HAVING sum(n) >= 5),
+template AS (SELECT t, string_agg(CASE WHEN constant.token IS NULL THEN '<*>' ELSE tokens.token END, ' ' ORDER BY tokens.pos) AS template
+  FROM tokens LEFT JOIN constant ON constant.leaf = tokens.leaf AND constant.pos = tokens.pos AND constant.token = tokens.token
+  WHERE n < 5 GROUP BY t HAVING count(*) FILTER (WHERE constant.token IS NOT NULL AND tokens.token <> '<*>') * 5 >= count(*) * 3),
+recurring AS (SELECT template FROM template JOIN tree USING (t) GROUP BY template HAVING count(DISTINCT text) >= 5),
+dropped AS (SELECT t FROM each WHERE n >= 5 UNION SELECT t FROM template JOIN recurring USING (template)),
+each_line AS (SELECT d.doc_id, u.line, u.pos, dropped.t IS NULL AS stays FROM documents d, LATERAL (SELECT unnest(string_split(d.text, chr(10))) AS line, generate_subscripts(string_split(d.text, chr(10)), 1) AS pos) u
+  LEFT JOIN dropped ON dropped.t = regexp_replace(trim(regexp_replace(u.line, '[ \\t\\x0B\\f\\r]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g')),
+kept AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_dropped, md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE stays), '')) AS kept_md5 FROM each_line GROUP BY doc_id)
 SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, kept_md5 FROM documents LEFT JOIN kept USING (doc_id)""",
     "op7_sharding": """WITH poly AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
 docs AS (SELECT doc_id, coalesce('=' || source, '-') AS stratum, coalesce(text, '') AS text, md5('1234|' || coalesce(doc_id::VARCHAR, '')) AS digest FROM documents),

@@ -359,6 +359,46 @@ def test_line_dedup(spark):
     assert five.text == "" and five.n_dropped == 3  # the line of its own has a variable field as well
 
 
+def brute_lines(rows, min_docs=5, depth=2):
+    flat = lambda x: re.sub(r"[^ ]*[0-9][^ ]*", "<*>", " ".join(w for w in re.split(r"[ \t\x0b\f\r]+", x) if w))
+    seen = {(t, flat(x)) for _, t in rows if t is not None for x in t.split("\n")}
+    seen = {(t, tuple(f.split(" "))) for t, f in seen if f}
+    n, leaves, at = Counter(f for _, f in seen), defaultdict(set), Counter()
+    for t, f in seen:
+        leaves[len(f), f[:depth]].add(t)
+        for k, w in enumerate(f):
+            at[len(f), f[:depth], k, w] += 1
+    templates = defaultdict(set)
+    for t, f in seen:
+        if n[f] < min_docs and len(leaves[len(f), f[:depth]]) >= min_docs:
+            made = tuple(w if at[len(f), f[:depth], k, w] >= min_docs else "<*>" for k, w in enumerate(f))
+            if 5 * sum(w != "<*>" for w in made) >= 3 * len(f):
+                templates[made].add((t, f))
+    gone = {f for f in n if n[f] >= min_docs} | {f for s in templates.values() if len({t for t, _ in s}) >= min_docs for _, f in s}
+    out = []
+    for i, t in rows:
+        lines = [] if t is None else t.split("\n")
+        kept = [x for x in lines if tuple(flat(x).split(" ")) not in gone]
+        out.append((i, None if t is None else "\n".join(kept), len(lines), len(lines) - len(kept)))
+    return out
+
+
+@pytest.mark.parametrize("listed", [1000, 1])
+def test_line_templates_vary_in_words_and_keep_blank_lines(spark, monkeypatch, listed):
+    monkeypatch.setattr(line_templates, "LISTED", listed)
+    r = random.Random(5)
+    names = ["anna", "bert", "carl", "dora", "emil", "finn"]
+    rows = [(k, f"Posted by {n}\r\n\r\n{' '.join(r.choice(WORDS) for _ in range(12))}\r\nShare this page with {n} now\r\n \t\r\nown {n}") for k, n in enumerate(names)]
+    rows += [(20, None), (21, ""), (22, "\n\n"), (None, rows[0][1]), (0, rows[0][1]), (0, rows[0][1]), (23, "x\n" * 3000 + "Posted by zoe"), (24, "The end 7"), (25, "lone")]
+    rows += [(100 + k, "\n".join(" ".join(r.choice("abcd") for _ in range(r.randrange(1, 6))) for _ in range(8))) for k in range(40)]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, kept string, n int")
+    got = Counter((x.doc_id, x.text, x.n_lines, x.n_dropped) for x in line_templates.drop_recurring_lines(df).collect())
+    assert got == Counter(brute_lines(rows))
+    first = next(t for i, t, *_ in got if i == 1)
+    assert "Posted" not in first and "Share" not in first and first.count("\n") == 3 and (22, "\n\n", 3, 0) in got
+    assert line_templates.drop_recurring_lines(df.limit(0)).count() == 0
+
+
 def test_sharding(docs, empty):
     rows = corpus()
     got = sharding.interleave(docs, 5).collect()
