@@ -6,7 +6,8 @@ than its capacity (the tokens below it times ``max_epochs``), and what a child c
 goes to its siblings first.  Only what a whole subtree lacks reaches the siblings of an
 ancestor.  A leaf then takes whole seeded epochs and a token prefix of the last one.
 
-All amounts are whole numbers, so a share is rounded down and a budget is never exceeded.
+All amounts are whole numbers and a budget is never exceeded.  A prefix is made of whole rows:
+the tokens before a row that does not fit any more stay unused.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ def share(nodes: DataFrame, parent: list[str]) -> DataFrame:
     """``nodes`` (parent..., name, weight, cap, budget of the parent) with ``got``.
 
     Children are taken in the order of capacity per weight: those that fill up come first,
-    and the rest divides what they leave.
+    and the rest divides what they leave.  Shares are rounded down, and the tokens that this
+    leaves go one by one to the first of the rest, so that nothing of a budget is lost.
     """
     by = Window.partitionBy(*parent).orderBy(F.col("cap") / F.col("weight"), "name")
     upto, before = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(Window.unboundedPreceding, -1)
@@ -38,8 +40,10 @@ def share(nodes: DataFrame, parent: list[str]) -> DataFrame:
         .withColumn("__open", F.max(F.when(~F.col("__full"), F.col("__weights"))).over(whole))
         .withColumn("__spare", F.max(F.when(~F.col("__full"), F.col("__left"))).over(whole))
     )
-    got = F.when(F.col("__full"), F.col("cap")).otherwise(F.expr("(__spare * weight) div __open"))
-    return n.withColumn("got", got).drop("__left", "__weights", "__full", "__open", "__spare")
+    n = n.withColumn("__share", F.when(~F.col("__full"), F.expr("(__spare * weight) div __open")))
+    n = n.withColumn("__over", F.col("__spare") - F.sum("__share").over(whole)).withColumn("__nth", F.count("__share").over(upto))
+    got = F.when(F.col("__full"), F.col("cap")).otherwise(F.col("__share") + F.when(F.col("__nth") <= F.col("__over"), 1).otherwise(0))
+    return n.withColumn("got", got).drop("__left", "__weights", "__full", "__open", "__spare", "__share", "__over", "__nth")
 
 
 def budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], total: Column, levels: list[str], max_epochs: int) -> DataFrame:
@@ -81,7 +85,7 @@ def mix(
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     count = F.regexp_count(text, F.lit("[^ \\t\\n\\x0B\\f\\r]+")).cast("long")
     rows = docs.select(
-        F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), domain.cast("string").alias("domain"), count.alias("n_tokens"), F.crc32(text).alias("__crc")
+        F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), domain.cast("string").alias("domain"), count.alias("n_tokens"), F.crc32(text).alias("__crc"), F.md5(text).alias("__md5")
     )
     rows = cut(rows.select("*", named("domain").alias("__d"), named("lang").alias("__l"), named("source").alias("__s")))
     levels = ["__d", "__l", "__s"]
@@ -94,8 +98,8 @@ def mix(
     # A leaf may hold a third of all rows: its plan is repeated for every salt.
     salted = plan.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     seeded = rows.withColumn("__salt", F.pmod(F.xxhash64("id", "__crc"), F.lit(SALTS)).cast("int")).join(salted, [*levels, "__salt"])
-    seeded = seeded.withColumn("__digest", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__whole").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit("")))))
-    upto = running(cut(seeded), levels, "__digest", "n_tokens", "__upto", ["__crc", "n_tokens"])
+    seeded = seeded.withColumn("__digest", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__whole").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("__md5"))))
+    upto = running(cut(seeded.drop("__md5")), levels, "__digest", "n_tokens", "__upto", ["__crc", "n_tokens"])
     epochs = F.col("__whole") + F.when((F.col("__part") > 0) & (F.col("__upto") <= F.col("__part")), 1).otherwise(0)
     return upto.select(F.col("id").alias(id_col), "domain", "lang", "source", "n_tokens", "budget", epochs.cast("long").alias("epochs"), F.col("__crc").alias("text_crc32"))
 

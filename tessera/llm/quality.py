@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 from zlib import crc32
@@ -22,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import cut, kept
 
 VOCABULARY, SHAPES, DIM, HIDDEN, EPOCHS = 3000, 1024, 48, 24, 40
-#: The classifier is fitted on this many labelled rows at most, in the order of a hash.
-SAMPLE = 8000
-#: Words that the driver remembers while it fits.
+#: The classifier is fitted on this many labelled rows, and this many bytes of text, at most, in
+#: the order of a hash; a text that would go beyond the bytes is passed over.
+SAMPLE, SAMPLE_BYTES = 8000, 32 << 20
+#: Shapes of words that the driver remembers while it fits.
 FIT_CACHE = 50_000
+BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
 _UP, _LOW, _DIGIT = re.compile(rb"[A-Z]+"), re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[0-9]+")
 
 
@@ -129,20 +130,33 @@ class Network:
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = SAMPLE, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple:
     """(vocabulary, word vectors, network or None) from at most ``sample`` labelled rows.
 
-    Rows held out, without a label or without an id teach nothing.  With labels of one kind
-    only there is nothing to tell apart, and the network is None.
+    Rows held out, without a label or without an id teach nothing; of the texts and labels
+    that repeat an id the least teaches, so the model is a function of the tables however they
+    are partitioned.  Null texts teach as empty ones.  With labels of one kind only, or empty
+    tables, there is nothing to tell apart, and the network is None.
     """
     y = F.col(label_col).cast("int")
     known = labels.where(y.isin(0, 1) & F.col(id_col).isNotNull() & ~held_out).select(F.col(id_col).alias("__id"), y.alias("__y"))
     known = known.groupBy("__id").agg(F.min("__y").alias("__y")).withColumn("__order", F.md5(F.concat(F.lit("sample"), F.col("__id").cast("string"))))
     known = known.orderBy("__order").limit(sample)
-    rows = docs.join(F.broadcast(known), F.col(id_col) == F.col("__id")).select("__order", "__id", "__y", F.col(text_col).cast("string").alias("__text"))
-    taught = rows.dropDuplicates(["__id"]).orderBy("__order").toArrow()
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.join(F.broadcast(known), F.col(id_col) == F.col("__id")).groupBy("__order", "__y").agg(F.min(text).alias("__text"))
+    rows = cut(rows)
+    left, chosen = SAMPLE_BYTES, []
+    for order, size in sorted(map(tuple, rows.select("__order", F.octet_length("__text")).collect())):
+        if size <= left:
+            left -= size
+            chosen.append((order,))
+    picked = rows.sparkSession.createDataFrame(chosen, "__order string")
+    rows = rows.join(F.broadcast(picked), "__order")
+    words = rows.select(F.explode(F.array_distinct(F.split("__text", BLANKS))).alias("word")).where("word <> ''")
+    frequent = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(VOCABULARY)
+    vocabulary = {r["word"].encode(): k for k, r in enumerate(frequent.collect())}
+    taught = rows.orderBy("__order").toArrow()
     y, texts = taught.column("__y").to_numpy(), taught.column("__text")
-    vocabulary = {w: k for k, w in enumerate(_frequent(texts))}
-    words = Words(vocabulary, FIT_CACHE)
-    ids = [words.of(t.as_py()) for t in texts]
-    del taught, texts, rows
+    known_words = Words(vocabulary, FIT_CACHE)
+    ids = [known_words.of(t.as_py()) for t in texts]
+    del taught, texts
     vectors = word_vectors(ids, seed)
     if not len(y) or y.min() == y.max():
         return vocabulary, vectors, None
@@ -150,16 +164,6 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = SAMP
     return vocabulary, vectors, Network(x, y, np.arange(len(y)) % 5 == 0, seed)
 
 
-def _frequent(texts: pa.ChunkedArray) -> list[bytes]:
-    """The words of most texts, most frequent first; words met once are forgotten when many have been met."""
-    seen: Counter = Counter()
-    for t in texts:
-        seen.update(set((t.as_py() or "").encode("utf-8", "surrogatepass").split()))
-        if len(seen) > 4 * FIT_CACHE:
-            seen = Counter({w: n for w, n in seen.items() if n > 1})
-    return sorted(seen, key=lambda w: (-seen[w], w))[:VOCABULARY]
-
-
 def _score(batches: Iterator[pa.RecordBatch], key: str, shared) -> Iterator[pa.RecordBatch]:
     vocabulary, vectors, network = shared.value
     words = kept(("quality", key), lambda: Words(vocabulary))

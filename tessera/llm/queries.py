@@ -95,12 +95,13 @@ ordered_{name} AS (SELECT *, budget - coalesce(sum(cap) OVER (o ROWS BETWEEN UNB
   sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
   FROM weighed_{name} WINDOW o AS ({by} ORDER BY cap::DOUBLE / weight, {column})),
 marked_{name} AS (SELECT *, cap * rest <= spare * weight AS filled FROM ordered_{name}),
-{step} AS (SELECT {keys}, {column}, CASE WHEN filled THEN cap ELSE
-  ((max(CASE WHEN NOT filled THEN spare END) OVER ({by})) * weight) // (max(CASE WHEN NOT filled THEN rest END) OVER ({by})) END::BIGINT AS got FROM marked_{name})"""
+shared_{name} AS (SELECT *, max(CASE WHEN NOT filled THEN spare END) OVER ({by}) AS open_budget,
+  CASE WHEN NOT filled THEN (max(CASE WHEN NOT filled THEN spare END) OVER ({by}) * weight) // (max(CASE WHEN NOT filled THEN rest END) OVER ({by})) END AS share FROM marked_{name}),
+{step} AS (SELECT {keys}, {column}, (CASE WHEN filled THEN cap ELSE share + CASE WHEN count(share) OVER ({by} ORDER BY cap::DOUBLE / weight, {column} ROWS UNBOUNDED PRECEDING) <= open_budget - sum(share) OVER ({by}) THEN 1 ELSE 0 END END)::BIGINT AS got FROM shared_{name})"""
 
 
 ORACLES = {
-    "op2_mixing": f"""WITH numbered AS (SELECT doc_id, lang, source, TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) AS n,
+    "op2_mixing": f"""WITH numbered AS (SELECT doc_id, lang, source, md5(coalesce(text, '')) AS text_md5, TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) AS n,
   len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+'))::BIGINT AS n_tokens FROM documents),
 docs AS (SELECT *, {_DOMAIN} AS domain FROM numbered),
 keyed AS (SELECT *, 0 AS root, coalesce('=' || domain, '-') AS d, coalesce('=' || lang, '-') AS l, coalesce('=' || source, '-') AS s FROM docs),
@@ -113,7 +114,7 @@ p0 AS (SELECT 0 AS root, least(sum(cap), sum(tokens))::BIGINT AS got FROM tree),
 plan AS (SELECT leaves.*, coalesce(got, 0) AS budget FROM leaves LEFT JOIN p3 USING (root, d, l, s)),
 cutting AS (SELECT keyed.*, budget, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS whole, CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS part
   FROM keyed JOIN plan USING (root, d, l, s)),
-ranked AS (SELECT *, sum(n_tokens) OVER (PARTITION BY d, l, s ORDER BY md5('77|' || whole || '|' || coalesce(doc_id::VARCHAR, '')) ROWS UNBOUNDED PRECEDING) AS upto FROM cutting)
+ranked AS (SELECT *, sum(n_tokens) OVER (PARTITION BY d, l, s ORDER BY md5('77|' || whole || '|' || coalesce(doc_id::VARCHAR, '') || '|' || text_md5) ROWS UNBOUNDED PRECEDING) AS upto FROM cutting)
 SELECT doc_id, domain, lang, source, n_tokens, budget::BIGINT AS budget, (whole + CASE WHEN part > 0 AND upto <= part THEN 1 ELSE 0 END)::BIGINT AS epochs FROM ranked""",
     "op3_embeddings": """WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
@@ -139,19 +140,21 @@ each_line AS (SELECT d.doc_id, u.line, u.pos, dropped.t IS NULL AS stays FROM do
 kept AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_dropped, md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE stays), '')) AS kept_md5 FROM each_line GROUP BY doc_id)
 SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, kept_md5 FROM documents LEFT JOIN kept USING (doc_id)""",
     "op7_sharding": """WITH poly AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
-docs AS (SELECT doc_id, coalesce('=' || source, '-') AS stratum, coalesce(text, '') AS text, md5('1234|' || coalesce(doc_id::VARCHAR, '')) AS digest FROM documents),
-sized AS (SELECT doc_id, stratum, digest, (strlen(text) + 1)::BIGINT AS size,
+docs AS (SELECT doc_id, coalesce('=' || source, '-') AS stratum, coalesce(text, '') AS text FROM documents),
+sized AS (SELECT doc_id, stratum, (strlen(text) + 1)::BIGINT AS size,
   xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT)),
     lambda c, b: xor(t[xor(c, b) % 256 + 1], c >> 8)))::BIGINT AS text_crc32 FROM docs, poly),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY digest, text_crc32, size) AS r, count(*) OVER (PARTITION BY stratum) AS n FROM sized),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('1234|' || coalesce(doc_id::VARCHAR, '') || '|' || text_crc32 || '|' || size), text_crc32, size) AS r, count(*) OVER (PARTITION BY stratum) AS n FROM sized),
 placed AS (SELECT *, row_number() OVER (ORDER BY (2 * r - 1)::DOUBLE / (2 * n), stratum, r) - 1 AS position, count(*) OVER () AS total FROM ranked),
 cut AS (SELECT *, (position * 16) // total AS shard FROM placed)
 SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INT AS shard, (position - (shard * total + 15) // 16)::BIGINT AS slot, NULL::INT AS grown_shard FROM cut""",
-    "op8_url_filter": """WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    "op8_url_filter": f"""WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 outcome AS (SELECT host, CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END AS good FROM p JOIN labels ON doc_id = TRY_CAST(regexp_extract(path, '^/[a-z]+/([0-9]+)', 1) AS BIGINT) WHERE quality IS NOT NULL AND toxic IS NOT NULL),
-names AS (SELECT DISTINCT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix FROM p),
-h AS (SELECT host, domain, suffix, count(*) AS n, sum(good) AS good FROM outcome JOIN names USING (host) GROUP BY ALL),
+bare AS (SELECT DISTINCT host, regexp_replace(regexp_replace(host, '{url_reputation.USER}', ''), '{url_reputation.PORT}', '') AS name FROM p),
+names AS (SELECT host, name, CASE WHEN regexp_matches(name, '{url_reputation.ADDRESS}') OR regexp_extract(name, '{url_reputation.DOMAIN}', 1) = '' THEN name ELSE regexp_extract(name, '{url_reputation.DOMAIN}', 1) END AS domain,
+  CASE WHEN regexp_matches(name, '{url_reputation.ADDRESS}') THEN name ELSE regexp_extract(name, '{url_reputation.SUFFIX}', 1) END AS suffix FROM bare),
+h AS (SELECT name, domain, suffix, count(*) AS n, sum(good) AS good FROM outcome JOIN names USING (host) GROUP BY ALL),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM d GROUP BY ALL),
 overall AS (SELECT (coalesce(sum(good), 0) + 1)::DOUBLE / (coalesce(sum(n), 0) + 2) AS prior FROM s),
@@ -166,7 +169,7 @@ h2 AS (SELECT *, (good + prior * k) / (n + k) AS mean, n + k AS weight FROM h1,
   (sum(n * (good::DOUBLE / n - prior) ** 2) - sum(prior * (1 - prior))) / greatest(sum(n) - count(*), 1) AS x, sum(n * prior * (1 - prior)) / greatest(sum(n), 1) AS m FROM h1))),
 bounds AS (SELECT names.host, coalesce(h2.mean - 1.645 * sqrt(h2.mean * (1 - h2.mean) / (h2.weight + 1)), d2.mean - 1.645 * sqrt(d2.mean * (1 - d2.mean) / (d2.weight + 1)),
   s2.mean - 1.645 * sqrt(s2.mean * (1 - s2.mean) / (s2.weight + 1)), (SELECT prior FROM overall)) AS bound
-  FROM names LEFT JOIN h2 USING (host) LEFT JOIN d2 ON d2.domain = names.domain LEFT JOIN s2 ON s2.suffix = names.suffix),
+  FROM names LEFT JOIN h2 USING (name) LEFT JOIN d2 ON d2.domain = names.domain LEFT JOIN s2 ON s2.suffix = names.suffix),
 ruled AS (SELECT page_id, p.host, path, bound,
   CASE WHEN (p.host = 'example.com' OR p.host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
        WHEN (p.host = 'example.net' OR p.host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'

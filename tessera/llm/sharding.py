@@ -15,14 +15,14 @@ from .ranks import named, running
 
 
 def interleave(
-    docs: DataFrame, shards: int = 16, seed: int = 1234, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+    docs: DataFrame, shards: int = 16, seed: int = 1234, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: list[str] | None = None
 ) -> DataFrame:
-    """(id, source, size, text_crc32, shard, slot) for every row of ``docs``.
+    """(id, source, size, text_crc32, carry..., shard, slot) for every row of ``docs``.
 
     size is the text's UTF-8 bytes plus 1.  Shard row counts differ by one at most; slots run
     from 0 without a gap.  Null sources form a source of their own, null texts count no bytes
-    and have the CRC of the empty text, null ids sort first, and repeated rows are
-    placed one after the other.  An empty table gives no rows.
+    and have the CRC of the empty text, null ids stand for themselves, and repeated rows
+    are placed one after the other.  An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
@@ -31,9 +31,11 @@ def interleave(
         named(source_col).alias("stratum"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("digest"),
         F.lit(1).cast("long").alias("one"),
+        *(carry or []),
     )
+    # Rows without an id are told apart by their text, so that they spread over the cells.
+    rows = rows.withColumn("digest", F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("text_crc32").cast("string"), F.col("size").cast("string"))))
     rows, ties = cut(rows), ["text_crc32", "size"]
     ranked = running(rows, ["stratum"], "digest", "one", "rank", ties)
     at = (F.col("rank") * 2 - 1) / (F.col("rank_total") * 2)
@@ -45,18 +47,16 @@ def interleave(
     whole = placed.withColumn("nth", F.row_number().over(inside)).join(F.broadcast(cells), "cell").withColumn("position", F.col("before") + F.col("nth") - 1)
     shard = F.expr(f"(position * {shards}) div total")
     start = F.expr(f"(shard * total + {shards - 1}) div {shards}")
-    return whole.withColumn("shard", shard).select("id", "source", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("position") - start).alias("slot")).withColumnRenamed("id", id_col)
+    return whole.withColumn("shard", shard).select("id", "source", "size", "text_crc32", *(carry or []), F.col("shard").cast("int").alias("shard"), (F.col("position") - start).alias("slot")).withColumnRenamed("id", id_col)
 
 
 def with_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with ``shard`` and ``slot``; rows of one id are told apart by their text.
+    """``docs`` with ``shard`` and ``slot``.
 
-    The places of equal rows are gathered in a list and dealt out to them one by one.
+    Rows are written once with a number of their own, by which each finds its place, so that
+    rows equal in all columns get a place each and no group of them meets in a task.
     """
-    crc = F.crc32(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    placed = interleave(docs, shards, id_col=id_col, text_col=text_col, **how)
-    places = placed.groupBy(named(id_col).alias("__id"), F.col("text_crc32").alias("__crc")).agg(F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias("__places"))
-    mine = docs.withColumn("__id", named(id_col)).withColumn("__crc", crc).join(places, ["__id", "__crc"])
-    nth = F.row_number().over(Window.partitionBy("__id", "__crc").orderBy("__id"))
-    place = F.element_at("__places", nth)
-    return mine.withColumn("__place", place).select(*[F.col(f"`{c}`") for c in docs.columns], "__place.shard", "__place.slot")
+    numbered = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    placed = interleave(numbered, shards, id_col=id_col, text_col=text_col, carry=["__row"], **how)
+    mine = numbered.join(placed.select("__row", F.struct("shard", "slot").alias("__place")), "__row")
+    return mine.select(*[F.col(f"`{c}`") for c in docs.columns], "__place.shard", "__place.slot")

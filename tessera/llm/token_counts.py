@@ -2,26 +2,32 @@
 
 Byte-level BPE cuts a text into pre-tokens and encodes each on its own, so a text's count is
 the sum over its pre-tokens.  Tier one is a broadcast table of the lengths of frequent
-pre-tokens: those the vocabulary itself holds whole, which is what BPE training keeps of the
-frequent ones, so the table never outgrows the vocabulary.  Tier two is a cache in each
-worker, filled by encoding what misses; it is emptied when full.  No pre-token is shuffled.
+pre-tokens: the ``FREQUENT`` most frequent ones of about ``SAMPLE`` sampled texts.  It changes
+no count, only how often tier two is asked.  Tier two is a cache in each worker, filled by
+encoding what misses; it is emptied when full.  No pre-token is shuffled.
+
+A tokenizer file that cuts texts in another way is left to its library whole.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import sys
+import unicodedata
+from collections import Counter as Tally
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import kept, slices
 
-CACHE = 400_000
-#: Fixed by the tokenizer: how byte-level BPE cuts a text.
+CACHE, FREQUENT, SAMPLE = 400_000, 50_000, 2000
+#: Fixed by byte-level BPE: how it cuts a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -31,75 +37,116 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@lru_cache(1)
+def _unassigned() -> str:
+    """A character class of ASCII controls and of what this Python's Unicode leaves unassigned.
+
+    Only on such characters can two regex engines differ in what is a letter, a number or a
+    blank; a text that holds one goes to the library whole.
+    """
+    free = [c for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn"]
+    runs = [[c for _, c in g] for _, g in groupby(enumerate(free), key=lambda x: x[1] - x[0])]
+    return "[\\x00-\\x08\\x0e-\\x1f\\x7f" + "".join(f"\\U{r[0]:08x}-\\U{r[-1]:08x}" for r in runs) + "]"
+
+
+def _cuts_by_pattern(model: str) -> bool:
+    """Whether the file is plain byte-level BPE: no normalizer, no added space, plain special strings."""
+    m = json.loads(model)
+    pre = m.get("pre_tokenizer") or {}
+    plain = all(not x.get(k) for x in m.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip"))
+    return pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not m.get("normalizer") and plain
+
+
 class Counter:
     """Counts the tokens of texts as the library's ``encode(text, add_special_tokens=False)``."""
 
-    def __init__(self, model: str, table: dict[str, int]):
+    def __init__(self, model: bytes, table: dict[str, int]):
+        self.table, self.cache, self.cut = table, {}, None
+        if model[:1] != b"{":
+            from sentencepiece import SentencePieceProcessor
+
+            pieces = SentencePieceProcessor(model_proto=model)
+            self.whole = lambda text: len(pieces.encode(text))
+            return
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.table, self.cache = Tokenizer.from_str(model), table, {}
-        self.cut = regex.compile(PATTERN).findall
-        self.special = [x["content"] for x in json.loads(model).get("added_tokens", [])]
-        # Elsewhere the two regex engines may know other letters and blanks; such texts go to
-        # the library whole.
-        self.odd = regex.compile(r"[^\t-\r -~\u00a1-\u024f\u0370-\u0373\u0386-\u03ff\u0400-\u04ff\u2010-\u2027\u2030-\u205e]").search
+        text = model.decode()
+        tokenizer = Tokenizer.from_str(text)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        self.whole = lambda text: len(tokenizer.encode(text, add_special_tokens=False).ids)
+        if _cuts_by_pattern(text):
+            self.cut, self.odd = regex.compile(PATTERN).findall, regex.compile(_unassigned()).search
+            self.special = [x["content"] for x in json.loads(text).get("added_tokens", [])]
 
     def length(self, pretoken: str) -> int:
         n = self.cache.get(pretoken)
         if n is None:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
-            n = self.cache[pretoken] = len(self.tokenizer.encode(pretoken, add_special_tokens=False).ids)
+            n = self.cache[pretoken] = self.whole(pretoken)
         return n
 
-    def count(self, text: str | None) -> int:
-        if not text:
-            return 0
-        if self.odd(text):
-            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
+    def pretokens(self, text: str) -> tuple[int, list[list[str]]]:
+        """The special strings in a text, and the pre-tokens between them."""
         parts, n = [text], 0
         for s in self.special:
             if s in text:
                 pieces = [p.split(s) for p in parts]
                 n += sum(len(p) - 1 for p in pieces)
                 parts = [x for p in pieces for x in p]
+        return n, [self.cut(p) for p in parts]
+
+    def count(self, text: str | None) -> int:
+        if not text:
+            return 0
+        if self.cut is None or self.odd(text):
+            return self.whole(text)
+        n, parts = self.pretokens(text)
         get, slow = self.table.get, self.length
-        for p in parts:
-            n += sum([get(x) or slow(x) for x in self.cut(p)])
-        return n
+        return n + sum(sum([get(x) or slow(x) for x in p]) for p in parts)
+
 
+def _frequent(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.RecordBatch]:
+    counter, seen = Counter(model, {}), Tally()
+    for b in batches:
+        for t in b.column(0).to_pylist():
+            if t and counter.cut and not counter.odd(t):
+                for p in counter.pretokens(t)[1]:
+                    seen.update(p)
+    often = seen.most_common(FREQUENT)
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64()), pa.array([counter.whole(x) for x, _ in often], pa.int32())], names=["token", "n", "length"])
 
-def frequent_lengths(model: str) -> dict[str, int]:
-    """The vocabulary's entries that are one pre-token and one token, as text."""
-    import regex
-    from tokenizers import Tokenizer
 
-    t, table, cut = Tokenizer.from_str(model), {}, regex.compile(PATTERN).findall
-    for x in t.decode_batch([[i] for i in range(t.get_vocab_size(False))], skip_special_tokens=False):
-        if x and "\ufffd" not in x and cut(x) == [x] and len(t.encode(x, add_special_tokens=False).ids) == 1:
-            table[x] = 1
-    return table
+def frequent_lengths(texts: DataFrame, model: bytes) -> dict[str, int]:
+    """The lengths of the most frequent pre-tokens of about ``SAMPLE`` rows, chosen by their hash."""
+    one_in = max(1, texts.count() // SAMPLE)
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).select("text").coalesce(8)
+    rows = sample.mapInArrow(partial(_frequent, model=model), "token string, n long, length int")
+    best = rows.groupBy("token").agg(F.sum("n").alias("n"), F.max("length").alias("length")).where("n > 1").orderBy(F.desc("n"), "token").limit(FREQUENT)
+    return {r["token"]: r["length"] for r in best.collect()}
 
 
 def _count(batches: Iterator[pa.RecordBatch], key: str, shared) -> Iterator[pa.RecordBatch]:
     counter = kept(("tokens", key), lambda: Counter(*shared.value))
-    for b in batches:
+    for b in slices(batches):
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([counter.count(t.as_py()) for t in b.column(b.num_columns - 1)], pa.int64())], names=[*b.schema.names[:-1], "n_tokens"])
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) for every row of ``docs``.
 
-    Null and empty texts have no bytes and no tokens.  Special strings inside a text are
-    special tokens, as the library has it.  Repeated rows are counted alike, other columns
-    are not read, and an empty table gives no rows.
+    ``path`` names a .json file of tokenizers or a .model file of sentencepiece.  Null and
+    empty texts have no bytes and no tokens.  Special strings inside a text are special tokens,
+    as the library has it.  Repeated rows are counted alike, other columns are not read, long
+    texts are read whole, and an empty table gives no rows.
     """
-    with open(path or tokenizer_path(), encoding="utf-8") as f:
+    with open(path or tokenizer_path(), "rb") as f:
         model = f.read()
-    shared = docs.sparkSession.sparkContext.broadcast((model, frequent_lengths(model)))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast((model, frequent_lengths(rows.select("text"), model)))
     kind = docs.schema[id_col].dataType.simpleString()
-    counted = rows.mapInArrow(partial(_count, key=hashlib.md5(model.encode()).hexdigest(), shared=shared), f"`{id_col}` {kind}, n_bytes long, n_tokens long")
+    counted = rows.mapInArrow(partial(_count, key=hashlib.md5(model).hexdigest(), shared=shared), f"`{id_col}` {kind}, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -157,8 +157,9 @@ def brute_mix(rows, share, epochs, seed, weights):
                 out[name] = cap
                 left, w = left - cap, w - weight
             else:
-                for name2, _, weight2 in order[k:]:
-                    out[name2] = left * weight2 // w
+                rest = {name2: left * weight2 // w for name2, _, weight2 in order[k:]}
+                over = left - sum(rest.values())
+                out |= {name2: x + (n < over) for n, (name2, x) in enumerate(rest.items())}
                 break
         return out
 
@@ -174,7 +175,7 @@ def brute_mix(rows, share, epochs, seed, weights):
         whole, part = divmod(budget.get(key, 0), have) if have else (0, 0)
         upto = 0
         mine = [x for x in keyed if x[2] == key]
-        for i, t, _, n in sorted(mine, key=lambda x: (hashlib.md5(f"{seed}|{whole}|{'' if x[0] is None else x[0]}".encode()).hexdigest(), crc32((x[1] or "").encode()), x[3])):
+        for i, t, _, n in sorted(mine, key=lambda x: (hashlib.md5(f"{seed}|{whole}|{'' if x[0] is None else x[0]}|{hashlib.md5((x[1] or '').encode()).hexdigest()}".encode()).hexdigest(), crc32((x[1] or "").encode()), x[3])):
             upto += n
             used.append((i, whole + (1 if part and upto <= part else 0)))
     return used
@@ -258,17 +259,35 @@ def test_window_collisions_are_counted_exactly_and_recall_holds():
     assert len(near) > 100 and sum((k, k) in got for k in near) >= 0.99 * len(near)
 
 
-def test_token_counts(docs, empty):
-    from tokenizers import Tokenizer
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_token_counts(spark, docs, empty, file, monkeypatch):
+    path = token_counts.tokenizer_path(file)
+    if file.endswith(".model"):
+        from sentencepiece import SentencePieceProcessor
 
-    t = Tokenizer.from_file(token_counts.tokenizer_path())
-    got = Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.token_counts(docs).collect())
-    want = Counter()
-    for i, text, *_ in corpus():
-        n = len(t.encode(text or "", add_special_tokens=False).ids)
-        want[i, len((text or "").encode()), n, n > 1024] += 1
+        count = lambda t, p=SentencePieceProcessor(model_file=path): len(p.encode(t))
+    else:
+        from tokenizers import Tokenizer
+
+        count = lambda t, p=Tokenizer.from_file(path): len(p.encode(t, add_special_tokens=False).ids)
+    monkeypatch.setattr(token_counts, "CACHE", 20)
+    more = ["漢字かな交じり文 と 한국어 텍스트", "مرحبا بالعالم 123", "हिन्दी में पाठ ४५६", "emoji 😀👍🏽 mix\u0558 \U00010940", "a\x00b\x1cc\x7f \x85 \u3000x", "<|endoftext|><|endoftext|> x", "it's we'll 3.14  \n\n tail  ", "word " * 30_000]
+    rows = [(i, t) for i, t, *_ in corpus()] + [(700 + k, t) for k, t in enumerate(more)]
+    df = spark.createDataFrame([(i, t, "t", "n") for i, t in rows], "doc_id long, text string, token string, n_tokens string")
+    got = Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.token_counts(df, path).collect())
+    want = Counter((i, len((t or "").encode()), n, n > 1024) for i, t in rows for n in [count(t) if t else 0])
     assert got == want
-    assert token_counts.token_counts(empty).count() == 0
+    assert token_counts.token_counts(empty, path).count() == 0
+
+
+def test_frequent_pretokens_have_their_lengths(docs):
+    from tokenizers import Tokenizer
+
+    path = token_counts.tokenizer_path()
+    t, model = Tokenizer.from_file(path), open(path, "rb").read()
+    table = token_counts.frequent_lengths(docs.select("text"), model)
+    assert len(table) > 20 and {x: len(t.encode(x).ids) for x in table} == table and max(table.values()) > 1
+    assert token_counts.Counter(model, table).cut and not token_counts.Counter(open(token_counts.tokenizer_path("word_bpe_49k.json"), "rb").read(), {}).cut
 
 
 @pytest.mark.parametrize("table", [5, 50])
@@ -429,6 +448,87 @@ def test_url_rules_and_bounds(spark):
     assert url_reputation.judge(pages.limit(0), outcomes.limit(0)).count() == 0
 
 
+def test_url_names():
+    import duckdb
+
+    want = {
+        "news.bbc.co.uk": ("news.bbc.co.uk", "bbc.co.uk", "co.uk"), "a.example.com:8080": ("a.example.com", "example.com", "com"), "me@x.org": ("x.org", "x.org", "org"),
+        "10.0.0.7:80": ("10.0.0.7", "10.0.0.7", "10.0.0.7"), "localhost": ("localhost", "localhost", "localhost"), "co.uk": ("co.uk", "co.uk", "co.uk"), "": ("", "", ""), "x.y.com.au": ("x.y.com.au", "y.com.au", "com.au"),
+    }
+    from pyspark.sql import SparkSession
+
+    df = SparkSession.getActiveSession().createDataFrame([(h,) for h in want], "host string")
+    assert {r[0]: tuple(r[1:]) for r in df.select("host", *url_reputation.names(F.col("host"))).collect()} == want
+    u = url_reputation
+    got = duckdb.sql(f"SELECT DISTINCT regexp_extract('news.bbc.co.uk', '{u.DOMAIN}', 1), regexp_extract('news.bbc.co.uk', '{u.SUFFIX}', 1)").fetchall()
+    assert got == [("bbc.co.uk", "co.uk")]
+
+
+def test_url_bounds_are_shrunk_from_level_to_level(spark):
+    r = random.Random(7)
+    rate = {"a.x.com": 0.9, "b.x.com": 0.8, "c.y.com": 0.2, "d.y.com": 0.1, "e.co.uk": 0.5, "f.z.org": 1.0}
+    rows = [(h, int(r.random() < p)) for h, p in rate.items() for _ in range(r.randrange(3, 60))]
+    got, overall = url_reputation.reputation(spark.createDataFrame(rows, "host string, good int"))
+
+    def key(h, level):
+        return h if level == "name" else {"a.x.com": "x.com", "b.x.com": "x.com", "c.y.com": "y.com", "d.y.com": "y.com", "e.co.uk": "e.co.uk", "f.z.org": "z.org"}[h] if level == "domain" else "co.uk" if h == "e.co.uk" else h.rsplit(".", 1)[1]
+
+    assert abs(overall - (sum(g for _, g in rows) + 1) / (len(rows) + 2)) < 1e-12
+    above = None
+    for level, up in (("suffix", None), ("domain", "suffix"), ("name", "domain")):
+        n, good, prior = Counter(), Counter(), {}
+        for h, g in rows:
+            k = key(h, level)
+            n[k], good[k], prior[k] = n[k] + 1, good[k] + g, above[key(h, up)] if up else overall
+        excess = (sum(n[k] * (good[k] / n[k] - prior[k]) ** 2 for k in n) - sum(prior[k] * (1 - prior[k]) for k in n)) / max(len(rows) - len(n), 1)
+        s = min(max(sum(n[k] * prior[k] * (1 - prior[k]) for k in n) / len(rows) / excess - 1, 1), 1000) if excess > 0 else 1000
+        above = {k: (good[k] + prior[k] * s) / (n[k] + s) for k in n}
+        found = {x.key: (x["mean"], x.bound) for x in got[level].collect()}
+        assert found.keys() == above.keys()
+        for k, m in above.items():
+            assert abs(found[k][0] - m) < 1e-9 and abs(found[k][1] - (m - 1.645 * math.sqrt(m * (1 - m) / (n[k] + s + 1)))) < 1e-9
+    pages = spark.createDataFrame([(k, f"http://a.x.com/{'p' * 100_000}", "q") for k in (1, 1, 2)], "page_id long, url string, prior string")
+    assert sorted(x.verdict for x in url_reputation.judge(pages, spark.createDataFrame(rows, "host string, good int")).collect()) == ["allow"] * 3
+
+
+def test_quality_model_is_a_function_of_the_tables(spark):
+    r = random.Random(4)
+    rows = [(k % 150, " ".join(r.choice(WORDS) + ("!!" if k % 3 == 0 else "") for _ in range(r.randrange(0, 60)))) for k in range(200)] + [(160, None), (161, "long " * 100_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 != 0)) for k in range(165)] + [(3, 1), (4, None)], "doc_id long, quality int")
+    models = [quality.fit(docs.repartition(n), labels.repartition(n), is_held_out("doc_id", 5, 0)) for n in (1, 3, 7)]
+    assert len({quality._key(m) for m in models}) == 1 and len({m[2].p[0].tobytes() + m[2].p[2].tobytes() for m in models}) == 1
+    vocabulary, vectors, network = models[0]
+    words = quality.Words(vocabulary)
+
+    def brute(text):
+        ids = [vocabulary.get(w, quality.shape(w)) for w in (text or "").encode().split()]
+        if not ids:
+            x = np.zeros(2 * quality.DIM + 2)
+        else:
+            v = np.array([vectors[k] for k in ids], dtype=float)
+            same = [a == b for a, b in zip(ids, ids[1:])]
+            x = np.concatenate([v.mean(0), v.std(0), [np.mean(same) if same else 0.0, np.log1p(len(ids)) / 5]])
+        hidden = [max(0.0, float((x - network.mean) / network.scale @ network.p[0][:, j] + network.p[1][j])) for j in range(quality.HIDDEN)]
+        return 1 / (1 + math.exp(-(sum(h * o for h, o in zip(hidden, network.p[2])) + float(network.p[3][0])) / network.temperature))
+
+    got = Counter((x.doc_id, round(x.score, 3)) for x in quality.score(docs, models[0]).collect())
+    assert sum((got - Counter((i, round(brute(t), 3)) for i, t in rows)).values()) <= 3  # rounding at the third place
+    assert words.of("alpha zzz9!").tolist() == [vocabulary[b"alpha"], quality.shape(b"zzz9!")]
+    assert quality.fit(docs.limit(0), labels, F.lit(False))[2] is None and quality.score(docs.limit(0), models[0]).count() == 0
+
+
+def test_shards_of_rows_without_ids_and_of_equal_rows(spark):
+    rows = [(None if k % 3 else k, f"text {k}", "s", 1) for k in range(300)] + [(None, "same", "s", 1)] * 40 + [(7, None, None, None)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, position int")
+    out = sharding.with_shards(df, 4)
+    got = out.collect()
+    assert out.columns == [*df.columns, "shard", "slot"] and Counter((r.doc_id, r.text, r.source, r.position) for r in got) == Counter(rows)
+    sizes = Counter(r.shard for r in got)
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and {(r.shard, r.slot) for r in got} == {(s, k) for s, n in sizes.items() for k in range(n)}
+    assert sharding.with_shards(df.limit(0)).count() == 0
+
+
 def test_quality_tells_junk(spark):
     r = random.Random(3)
     good = [" ".join(r.choice(WORDS) for _ in range(80)) for _ in range(300)]
