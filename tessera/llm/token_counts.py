@@ -13,12 +13,10 @@ from __future__ import annotations
 
 import hashlib
 import json
-import sys
 import unicodedata
 from collections import Counter as Tally
 from collections.abc import Iterator
-from functools import lru_cache, partial
-from itertools import groupby
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,16 +35,13 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-@lru_cache(1)
-def _unassigned() -> str:
-    """A character class of ASCII controls and of what this Python's Unicode leaves unassigned.
+def _odd(c: str) -> bool:
+    """An ASCII control, or a character that this Python's Unicode leaves unassigned.
 
     Only on such characters can two regex engines differ in what is a letter, a number or a
     blank; a text that holds one goes to the library whole.
     """
-    free = [c for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn"]
-    runs = [[c for _, c in g] for _, g in groupby(enumerate(free), key=lambda x: x[1] - x[0])]
-    return "[\\x00-\\x08\\x0e-\\x1f\\x7f" + "".join(f"\\U{r[0]:08x}-\\U{r[-1]:08x}" for r in runs) + "]"
+    return unicodedata.category(c) == "Cn" or c < " " and c not in "\t\n\x0b\x0c\r" or c == "\x7f"
 
 
 def _cuts_by_pattern(model: str) -> bool:
@@ -77,9 +72,18 @@ class Counter:
         tokenizer.no_padding()
         self.whole = lambda text: len(tokenizer.encode(text, add_special_tokens=False).ids)
         if _cuts_by_pattern(text):
-            self.cut, self.odd = regex.compile(PATTERN).findall, regex.compile(_unassigned()).search
+            self.cut, self.known = regex.compile(PATTERN).findall, set()
             self.special = [x["content"] for x in json.loads(text).get("added_tokens", [])]
 
+    def odd(self, text: str) -> bool:
+        """Whether the text holds an odd character; characters found to be none are remembered."""
+        new = set(text) - self.known
+        if not new:
+            return False
+        odd = {c for c in new if _odd(c)}
+        self.known |= new - odd
+        return bool(odd)
+
     def length(self, pretoken: str) -> int:
         n = self.cache.get(pretoken)
         if n is None:
