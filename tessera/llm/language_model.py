@@ -98,8 +98,8 @@ class Model:
         self.cls = np.unique(cls, return_inverse=True)[1]
         self.start = np.concatenate([np.nonzero(np.diff(self.cls, prepend=-1))[0], [len(n)]])
         p = (n[order] + 0.1) / (n + 0.1).sum()
-        self.class_noise = np.bincount(self.cls, weights=p)
-        self.noise = p / self.class_noise[self.cls]
+        class_noise = np.bincount(self.cls, weights=p)
+        self.class_noise, self.noise = class_noise.astype(np.float32), (p / class_noise[self.cls]).astype(np.float32)
         self.pad = len(n)
         rng, classes = np.random.default_rng(seed), len(self.start) - 1
         f = np.float32
@@ -121,21 +121,23 @@ class Model:
     def hidden(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return self.context[a] * self.position[0] + self.context[b] * self.position[1]
 
-    def _by_class(self, w: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
-        """The rows of each class of more than one unit."""
+    def by_class(self, w: np.ndarray) -> tuple[np.ndarray, list[tuple[slice, slice]]]:
+        """The order of the rows by class, and the units and sorted rows of each class of more than one unit."""
         cls = self.cls[w]
         order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(len(self.start)))
-        for c in np.unique(cls).tolist():
-            if self.start[c + 1] - self.start[c] > 1:
-                yield slice(self.start[c], self.start[c + 1]), order[ends[c] : ends[c + 1]]
+        ends = np.searchsorted(cls[order], np.arange(len(self.start))).tolist()
+        return order, [(slice(x, y), slice(lo, hi)) for x, y, lo, hi in zip(self.start[:-1].tolist(), self.start[1:].tolist(), ends, ends[1:]) if y - x > 1 and hi > lo]
 
     def log10p(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
         """log10 P(w | a, b) of ranks, normalised over all units."""
-        h = self.hidden(a, b)
-        out = _log_softmax_at(h @ self.class_out.T + self.class_bias, self.cls[w])
-        for units, rows in self._by_class(w):
-            out[rows] += _log_softmax_at(h[rows] @ self.out[units].T + self.bias[units], w[rows] - units.start)
+        order, parts = self.by_class(w)
+        w = w[order]
+        h = self.hidden(a[order], b[order])
+        p = _log_softmax_at(h @ self.class_out.T + self.class_bias, self.cls[w])
+        for units, rows in parts:
+            p[rows] += _log_softmax_at(h[rows] @ self.out[units].T + self.bias[units], w[rows] - units.start)
+        out = np.empty_like(p)
+        out[order] = p
         return out / math.log(10)
 
 
@@ -145,11 +147,11 @@ def _log_softmax_at(logit: np.ndarray, at: np.ndarray) -> np.ndarray:
     return picked - np.log(np.exp(logit, out=logit).sum(axis=1, dtype=np.float64))
 
 
-def _errors(logit: np.ndarray, noise: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The gradient of the noise-contrastive objective by logit: data at ``at`` against ``NOISE`` noise units."""
-    weight, rows = (NOISE * noise).astype(np.float32), np.arange(len(at))
-    data = 1 / (1 + np.exp(logit[rows, at] - np.log(weight)[at]))
-    np.subtract(np.log(weight), logit, out=logit)
+def _errors(logit: np.ndarray, weight: np.ndarray, log_weight: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The gradient of the noise-contrastive objective by logit: data at ``at`` against noise units of expected number ``weight``."""
+    rows = np.arange(len(at))
+    data = 1 / (1 + np.exp(logit[rows, at] - log_weight[at]))
+    np.subtract(log_weight, logit, out=logit)
     np.exp(logit, out=logit)  # an infinite one stands for no error
     logit += 1
     np.divide(-weight, logit, out=logit)
@@ -163,27 +165,37 @@ class Trainer:
     def __init__(self, model: Model):
         self.m = model
         self.seen = {k: np.full(getattr(model, k).shape, 1e-6, dtype=np.float32) for k in model.NAMES}
+        self.class_noise, self.noise = ((NOISE * x, np.log(NOISE * x)) for x in (model.class_noise, model.noise))
 
     @np.errstate(over="ignore")
     def step(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> None:
         m, n = self.m, len(w)
+        order, parts = m.by_class(w)
+        a, b, w = a[order], b[order], w[order]
         h = m.hidden(a, b)
-        e = _errors(h @ m.class_out.T + m.class_bias, m.class_noise, m.cls[w])
+        e = _errors(h @ m.class_out.T + m.class_bias, *self.class_noise, m.cls[w])
         back, grad = e @ m.class_out, {"class_out": e.T @ h, "class_bias": e.sum(0)}
         grad["out"], grad["bias"] = np.zeros_like(m.out), np.zeros_like(m.bias)
-        for units, rows in m._by_class(w):
-            e = _errors(h[rows] @ m.out[units].T + m.bias[units], m.noise[units], w[rows] - units.start)
-            back[rows] += e @ m.out[units]
-            grad["out"][units], grad["bias"][units] = e.T @ h[rows], e.sum(0)
-        size = len(m.context)
-        da, db = back * m.position[0], back * m.position[1]
-        at, d = np.concatenate([a, b]), np.concatenate([da, db])
-        grad["context"] = np.stack([np.bincount(at, weights=d[:, k], minlength=size) for k in range(DIM)], axis=1)
-        grad["position"] = np.stack([(back * m.context[a]).sum(0), (back * m.context[b]).sum(0)])
+        weight, log_weight = self.noise
+        for units, rows in parts:
+            out, x = m.out[units], h[rows]
+            e = _errors(x @ out.T + m.bias[units], weight[units], log_weight[units], w[rows] - units.start)
+            back[rows] += e @ out
+            grad["out"][units], grad["bias"][units] = e.T @ x, e.sum(0)
+        grad["position"] = np.stack([np.einsum("ij,ij->j", back, m.context[x]) for x in (a, b)])
+        # Context vectors: the rows of one unit are added up after sorting, and only met units move.
+        at, d = np.concatenate([a, b]), np.concatenate([back * m.position[0], back * m.position[1]])
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        first = np.nonzero(np.diff(at, prepend=-1))[0]
+        self._move("context", at[first], np.add.reduceat(d[order], first, axis=0) / np.float32(n))
         for k, g in grad.items():
-            g = (g / n).astype(np.float32)
-            self.seen[k] += g * g
-            getattr(m, k)[...] += RATE * g / np.sqrt(self.seen[k])
+            self._move(k, slice(None), g / np.float32(n))
+
+    def _move(self, name: str, where, g: np.ndarray) -> None:
+        seen = self.seen[name][where] + g * g
+        self.seen[name][where] = seen
+        getattr(self.m, name)[where] += np.float32(RATE) * g / np.sqrt(seen)
 
 
 def contexts(units: np.ndarray, sizes: np.ndarray, rank: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
