@@ -49,11 +49,12 @@ class Rule:
 
 SEVERITIES = ["info", "warning", "error"]
 
+# The ids of the built-in rules.
 BUILT_IN = [
-    Rule("no-mutual-dependencies", "No two modules depend on each other", "SELECT ?module ?other WHERE { ?module code:linksTo ?other . ?other code:linksTo ?module }", tags=("architecture",)),
+    Rule("no-circular-dependencies", "No two modules depend on each other", "SELECT ?module ?other WHERE { ?module code:linksTo ?other . ?other code:linksTo ?module FILTER(?module != ?other) }", tags=("architecture",)),
     Rule("exports-documented", "Modules with exports have a description", "SELECT DISTINCT ?module WHERE { ?module code:exports ?export . FILTER NOT EXISTS { ?module code:description ?text } }", "warning", tags=("documentation",)),
-    Rule("has-layer", "Modules have a layer", "SELECT ?module WHERE { ?module a code:Module . FILTER NOT EXISTS { ?module code:layer ?layer } }", "warning", tags=("architecture",)),
-    Rule("has-tags", "Modules have tags", "SELECT ?module WHERE { ?module a code:Module . FILTER NOT EXISTS { ?module code:tags ?tag } }", "info", tags=("documentation",)),
+    Rule("modules-have-layer", "Modules have a layer", "SELECT ?module WHERE { ?module a code:Module . FILTER NOT EXISTS { ?module code:layer ?layer } }", "warning", tags=("architecture",)),
+    Rule("modules-have-tags", "Modules have tags", "SELECT ?module WHERE { ?module a code:Module . FILTER NOT EXISTS { ?module code:tags ?tag } }", "info", tags=("documentation",)),
 ]
 
 

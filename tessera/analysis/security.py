@@ -22,6 +22,21 @@ PATHS = [
     ("internal", 0.7, ["/internal/", "/impl/"]),
     ("trusted", 0.65, ["/service/", "/business/"]),
 ]
+# What a path speaks for that nothing above fits: its start, groups of parts of which each has
+# to give one, zone and confidence; the first line that fits counts.
+DEFAULTS = [
+    ("internal/", [], "internal", 0.6),
+    ("cmd/", [], "internal", 0.55),
+    ("pkg/", [["/server/"], ["/rest/", "/graphql/", "handler"]], "public", 0.65),
+    ("pkg/", [["/server/"]], "trusted", 0.55),
+    ("pkg/", [["/schema/"], ["/graphql/"]], "public", 0.6),
+    ("pkg/", [["/store", "/storage"]], "data", 0.55),
+    ("pkg/", [], "internal", 0.5),
+    ("examples/", [["/models/", "/utils/"]], "internal", 0.45),
+    ("examples/", [["/services/"]], "trusted", 0.45),
+    ("examples/", [], "public", 0.4),
+]
+TEST_FILE = ("_test.go", "internal", 0.4)
 LAYERS = {"api": "public", "public": "public", "handlers": "public", "admin": "admin", "data": "data", "database": "data", "storage": "data", "internal": "internal", "services": "trusted", "business": "trusted", "application": "trusted"}
 LAYER_CONFIDENCE = 0.6
 ZONE_RISK = {"public": 5, "admin": 4, "data": 4, "trusted": 3, "unknown": 3, "internal": 2}
@@ -45,7 +60,12 @@ def classify(modules: DataFrame) -> DataFrame:
     by_layer = F.when(layer.isNotNull(), F.struct(layer.alias("zone"), F.lit(LAYER_CONFIDENCE).alias("confidence")))
     low = F.lower("path")
     made = lambda z, c: F.struct(F.lit(z).alias("zone"), F.lit(c).alias("confidence"))
-    default = F.when(low.startswith("internal/"), made("internal", 0.6)).when(low.startswith("cmd/"), made("internal", 0.55)).when(low.startswith("pkg/"), made("trusted", 0.5)).otherwise(made("unknown", 0.3))
+    default = F.when(low.endswith(TEST_FILE[0]), made(*TEST_FILE[1:])).otherwise(made("unknown", 0.0))
+    for start, groups, zone, sure in reversed(DEFAULTS):
+        fits = low.startswith(start)
+        for words in groups:
+            fits = fits & any_contains(low, words)
+        default = F.when(fits, made(zone, sure)).otherwise(default)
     z = F.coalesce(tag, _pick(F.col("path"), PATHS), by_layer, default)
     return modules.withColumn("__z", z).withColumn("zone", F.col("__z.zone")).withColumn("confidence", F.col("__z.confidence")).drop("__z")
 

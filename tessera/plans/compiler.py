@@ -9,6 +9,7 @@ Catalyst nothing to order by; join strategies, pushdown and pruning are Catalyst
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -115,12 +116,12 @@ class Compiler:
 
     # --- joins
 
-    def join(self, a: Solution | None, b: Solution, how: str = "inner") -> Solution:
+    def join(self, a: Solution | None, b: Solution, how: str = "inner", conditions: tuple[Expr, ...] = ()) -> Solution:
         if a is None:
             return b
         shared = a.all & b.all
-        if shared & (a.maybe | b.maybe):
-            raise SparqlError(f"variables that may be unbound cannot be joined: {sorted(shared & (a.maybe | b.maybe))}")
+        if conditions or shared & (a.maybe | b.maybe):
+            return self.join_on(a, b, how, conditions)
         if not b.all:  # an existence test
             one = b.df.limit(1)
             return replace(a, df=a.df.join(one, F.lit(True), "left_semi" if how == "inner" else "left_anti"))
@@ -138,6 +139,37 @@ class Compiler:
             return a if how == "left_anti" else replace(a, df=left.join(right.limit(1), F.lit(True), how))
         return replace(a, df=left.join(right.select(*sorted(shared)).distinct(), sorted(shared), how))
 
+    def join_on(self, a: Solution, b: Solution, how: str, conditions: tuple[Expr, ...]) -> Solution:
+        """A join under conditions over both sides, or on variables that a row may leave unbound: those fit anything."""
+        shared = sorted(a.all & b.all)
+        left, right = a.df.drop("__one"), b.df.drop("__one").withColumnsRenamed({v: f"__r_{v}" for v in shared})
+        fits = lambda v: F.col(v) == F.col(f"__r_{v}")
+        on = [fits(v) if v in a.bound & b.bound else fits(v) | F.col(v).isNull() | F.col(f"__r_{v}").isNull() for v in shared]
+        on += [self.column(c, Solution(left, a.bound | b.bound, a.maybe | b.maybe)) for c in conditions]
+        df = left.join(right, reduce(lambda x, y: x & y, on), how)
+        if how in ("left_semi", "left_anti"):
+            return replace(a, df=df)
+        df = df.withColumns({v: F.coalesce(v, f"__r_{v}") for v in shared if v in a.maybe}).drop(*[f"__r_{v}" for v in shared])
+        bound = a.bound | b.bound if how == "inner" else a.bound
+        return Solution(df, bound, (a.all | b.all) - bound)
+
+    @staticmethod
+    def used(e: Expr) -> set[str]:
+        """The variables of an expression outside its own groups."""
+        return ({e.name} if e.op == "var" else set()).union(*(Compiler.used(x) for x in e.args if isinstance(x, Expr)))
+
+    def inner(self, g: Group, outer: frozenset) -> tuple[Solution, tuple[Expr, ...]]:
+        """The solution of a group within another, and those of its filters that name variables of the outer one."""
+        body = self.group(Group([x for x in g.elements if x[0] != "filter"]))
+        over = []
+        for x in g.elements:
+            if x[0] == "filter":
+                if (self.used(x[1]) - body.all) & outer:
+                    over.append(x[1])
+                else:
+                    body = self.filter(body, x[1])
+        return body, tuple(over)
+
     def group(self, g: Group) -> Solution:
         out: Solution | None = None
         filters: list[Expr] = []
@@ -150,13 +182,8 @@ class Compiler:
             elif kind == "group":
                 out = self.join(out, self.group(rest[0]))
             elif kind == "optional":
-                inner, conditions = rest[0], []
-                body = Group([x for x in inner.elements if x[0] != "filter"])
-                conditions = [x[1] for x in inner.elements if x[0] == "filter"]
-                b = self.group(body)
-                for c in conditions:
-                    b = self.filter(b, c)
-                out = b if out is None else self.join(out, b, "left")
+                b, over = self.inner(rest[0], out.all if out else frozenset())
+                out = b if out is None else self.join(out, b, "left", over)
             elif kind == "minus":
                 b = self.group(rest[0])
                 out = out if out is None or not (out.all & b.all) else self.join(out, b, "left_anti")
@@ -188,8 +215,8 @@ class Compiler:
             return self.filter(self.filter(s, e.args[0]), e.args[1])
         negated = e.op == "!" and e.args[0].op == "exists"
         if negated or e.op == "exists":
-            inner = self.group((e.args[0] if negated else e).args[0])
-            return self.join(s, inner, "left_anti" if negated else "left_semi")
+            inner, over = self.inner((e.args[0] if negated else e).args[0], s.all)
+            return self.join(s, inner, "left_anti" if negated else "left_semi", over)
         return replace(s, df=s.df.where(self.column(e, s)))
 
     # --- expressions
@@ -306,6 +333,6 @@ def sparql(triples: DataFrame, text: str, counts: dict[str, int] | None = None)
     """The solutions of a SELECT query over (subject, predicate, object) rows, a set of triples.
 
     Constants may be bracketed IRIs, prefixed names or literals; ``code:`` and ``rdf:`` are
-    known.  Variables that an OPTIONAL may leave unbound cannot be joined on later.
+    known.  A variable that an OPTIONAL leaves unbound fits any value where it is joined on later.
     """
     return Compiler(triples, counts).select(parse(text))

@@ -44,16 +44,16 @@ BUILT_IN = [
     _t("find-usages", "dependencies", "What depends on a module", "SELECT ?user WHERE { ?user code:linksTo <{{module}}> }", module=None),
     _t("circular-deps", "dependencies", "Pairs that depend on each other", "SELECT DISTINCT ?a ?b WHERE { ?a code:linksTo ?b . ?b code:linksTo ?a }"),
     _t("dependency-tree", "dependencies", "All that a module depends on", "SELECT DISTINCT ?dependency WHERE { <{{module}}> code:linksTo+ ?dependency }", module=None),
-    _t("security-violations", "security", "Other layers reaching a trusted one", 'SELECT ?from ?to ?zone WHERE { ?from code:linksTo ?to ; code:layer ?zone . ?to code:layer ?target . FILTER(?zone != ?target && ?target = "{{trusted}}") }', trusted="trusted"),
-    _t("zone-crossings", "security", "Links between layers", "SELECT ?from ?to ?zone ?target WHERE { ?from code:linksTo ?to ; code:layer ?zone . ?to code:layer ?target . FILTER(?zone != ?target) }"),
-    _t("trust-boundaries", "security", "Modules with a tag", 'SELECT ?module WHERE { ?module code:tags "{{tag}}" }', tag="public"),
+    _t("security-violations", "security", "Other layers reaching a trusted one", 'SELECT ?from ?to ?fromZone ?toZone WHERE { ?from code:linksTo ?to ; code:layer ?fromZone . ?to code:layer ?toZone . FILTER(?fromZone != ?toZone && ?toZone = "{{trusted}}") }', trusted="trusted"),
+    _t("zone-crossings", "security", "Links between layers", "SELECT ?from ?to ?fromZone ?toZone WHERE { ?from code:linksTo ?to ; code:layer ?fromZone . ?to code:layer ?toZone . FILTER(?fromZone != ?toZone) }"),
+    _t("trust-boundaries", "security", "Modules with a tag and what imports them", 'SELECT ?trusted ?importer WHERE { ?trusted code:tags "{{tag}}" . ?importer code:linksTo ?trusted }', tag="public"),
     _t("unused-exports", "analysis", "Exports of modules that nothing uses", "SELECT ?module ?export WHERE { ?module code:exports ?export . FILTER NOT EXISTS { ?user code:linksTo ?module } }"),
     _t("dead-code", "analysis", "Modules that nothing uses, outside a layer", 'SELECT ?module ?layer WHERE { ?module a code:Module ; code:layer ?layer . FILTER NOT EXISTS { ?user code:linksTo ?module } FILTER(?layer != "{{entry}}") }', entry="cli"),
     _t("complex-modules", "analysis", "Modules with many dependencies", "SELECT ?module (COUNT(?to) AS ?dependencies) WHERE { ?module code:linksTo ?to } GROUP BY ?module HAVING (COUNT(?to) > {{threshold}}) ORDER BY DESC(?dependencies) ?module", threshold="10"),
     _t("hot-paths", "analysis", "The most used modules", "SELECT ?module (COUNT(?user) AS ?users) WHERE { ?user code:linksTo ?module } GROUP BY ?module ORDER BY DESC(?users) ?module LIMIT {{limit}}", limit="10"),
-    _t("layer-violations", "layers", "Links from one layer to another", 'SELECT ?from ?to WHERE { ?from code:linksTo ?to ; code:layer ?a . ?to code:layer ?b . FILTER(?a = "{{from}}" && ?b = "{{to}}") }', **{"from": "data", "to": "cli"}),
-    _t("layer-dependencies", "layers", "Links counted by pair of layers", "SELECT ?a ?b (COUNT(*) AS ?links) WHERE { ?from code:linksTo ?to ; code:layer ?a . ?to code:layer ?b } GROUP BY ?a ?b"),
-    _t("layer-stats", "layers", "Modules counted by layer", "SELECT ?layer (COUNT(?module) AS ?modules) WHERE { ?module code:layer ?layer } GROUP BY ?layer"),
+    _t("layer-violations", "layers", "Links from one layer to another", 'SELECT ?from ?to ?fromLayer ?toLayer WHERE { ?from code:linksTo ?to ; code:layer ?fromLayer . ?to code:layer ?toLayer . FILTER(?fromLayer = "{{from}}" && ?toLayer = "{{to}}") }', **{"from": "data", "to": "cli"}),
+    _t("layer-dependencies", "layers", "Links counted by pair of layers", "SELECT ?fromLayer ?toLayer (COUNT(*) AS ?count) WHERE { ?from code:linksTo ?to ; code:layer ?fromLayer . ?to code:layer ?toLayer . FILTER(?fromLayer != ?toLayer) } GROUP BY ?fromLayer ?toLayer ORDER BY DESC(?count)"),
+    _t("layer-stats", "layers", "Modules counted by layer", "SELECT ?layer (COUNT(?module) AS ?moduleCount) WHERE { ?module code:layer ?layer } GROUP BY ?layer ORDER BY DESC(?moduleCount)"),
     _t("change-impact", "impact", "All that depends on a module", "SELECT DISTINCT ?user WHERE { ?user code:linksTo+ <{{module}}> }", module=None),
     _t("undocumented-modules", "documentation", "Modules without a description", "SELECT ?module WHERE { ?module a code:Module . FILTER NOT EXISTS { ?module code:description ?text } }"),
     _t("missing-exports", "documentation", "Modules without exports", "SELECT ?module WHERE { ?module a code:Module . FILTER NOT EXISTS { ?module code:exports ?export } }"),

@@ -17,7 +17,7 @@ from .plans.templates import Templates
 from .schema import NS, RDF_TYPE
 from .sinks import diagrams, results
 from .sources import files
-from .sources.tables import ALL_PART_EDGES_SQL, PART_EDGES_SQL, PRELUDE, all_part_edges, edges, modules, part_edges, triples
+from .sources.tables import PRELUDE, edges, modules, part_edges, triples
 from .streaming.watch import bursts, windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,13 @@ _sparql("bgp_cartesian", 'SELECT ?r ?n WHERE { ?r code:layer "region" . ?n code:
 _sparql("bgp_var_predicate", "SELECT ?p ?o WHERE { <nation/3> ?p ?o }", "SELECT predicate AS p, object AS o FROM t WHERE subject = 'nation/3'")
 _sparql("bgp_existence", 'SELECT ?r WHERE { ?r code:layer "region" . <nation/0> code:layer "nation" }', "SELECT path AS r FROM m WHERE layer = 'region' AND EXISTS (SELECT 1 FROM t WHERE subject = 'nation/0' AND object = 'nation')")
 _sparql("bgp_repeated_var", "SELECT ?m WHERE { ?m code:name ?x . ?m code:exports ?x }", "SELECT m.path AS m FROM m JOIN ex ON ex.path = m.path AND ex.export = m.name")
+_sparql("bgp_same_var", "SELECT ?m ?p WHERE { ?m ?p ?m }", "SELECT subject AS m, predicate AS p FROM t WHERE subject = object")
+_sparql("optional_outer_filter", 'SELECT ?m ?u WHERE { ?m code:layer "nation" ; code:name ?n OPTIONAL { ?u code:linksTo ?m ; code:layer ?l FILTER(?l = "supplier" && STRSTARTS(?n, "A")) } }',
+        "SELECT m.path AS m, u.src AS u FROM m LEFT JOIN (SELECT src, dst FROM e JOIN m x ON x.path = src WHERE x.layer = 'supplier') u ON u.dst = m.path AND starts_with(m.name, 'A') WHERE m.layer = 'nation'")
+_sparql("not_exists_outer_filter", 'SELECT ?m WHERE { ?m code:layer "customer" ; code:name ?n FILTER NOT EXISTS { ?o code:linksTo ?m ; code:name ?k FILTER(STRLEN(?k) < STRLEN(?n) - 7) } }',
+        "SELECT path AS m FROM m WHERE layer = 'customer' AND NOT EXISTS (SELECT 1 FROM e JOIN m k ON k.path = e.src WHERE e.dst = m.path AND length(k.name) < length(m.name) - 7)")
+_sparql("optional_shared", 'SELECT ?m ?d WHERE { ?m code:layer "supplier" OPTIONAL { ?m code:description ?d } OPTIONAL { ?m code:exports ?d } }',
+        "SELECT m.path AS m, coalesce(description, export) AS d FROM m LEFT JOIN ex ON ex.path = m.path AND (description IS NULL OR description = export) WHERE m.layer = 'supplier'")
 _sparql("bgp_object_list", 'SELECT ?m WHERE { ?m a code:Module ; code:tags "admin", "debt" . }', "SELECT a.path AS m FROM tg a JOIN tg b ON a.path = b.path WHERE a.tag = 'admin' AND b.tag = 'debt'")
 _sparql("filter_regex", 'SELECT ?m ?n WHERE { ?m code:name ?n FILTER(REGEX(?n, "^customer#0+1[0-9]$", "i")) }', f"SELECT subject AS m, object AS n FROM t WHERE predicate = {_p('name')} AND regexp_matches(object, '(?i)^customer#0+1[0-9]$')")
 _sparql("filter_contains", 'SELECT ?m ?d WHERE { ?m code:description ?d FILTER(CONTAINS(?d, "MACH")) }', f"SELECT subject AS m, object AS d FROM t WHERE predicate = {_p('description')} AND contains(object, 'MACH')")
@@ -83,16 +90,16 @@ _T = {
     "find-dependencies": ({"module": "orders/7"}, "SELECT dst AS dependency FROM e WHERE src = 'orders/7'"),
     "find-usages": ({"module": "nation/3"}, "SELECT src AS user FROM e WHERE dst = 'nation/3'".replace("AS user", 'AS "user"')),
     "dependency-tree": ({"module": "customer/5"}, "+r AS (SELECT dst FROM e WHERE src = 'customer/5' UNION SELECT e.dst FROM e JOIN r ON e.src = r.dst) SELECT dst AS dependency FROM r"),
-    "security-violations": ({"trusted": "nation"}, 'SELECT src AS "from", dst AS "to", a.layer AS zone FROM e JOIN m a ON a.path = src JOIN m b ON b.path = dst WHERE a.layer <> b.layer AND b.layer = \'nation\''),
-    "zone-crossings": ({}, 'SELECT src AS "from", dst AS "to", a.layer AS zone, b.layer AS target FROM e JOIN m a ON a.path = src JOIN m b ON b.path = dst WHERE a.layer <> b.layer'),
-    "trust-boundaries": ({"tag": "trusted"}, "SELECT path AS module FROM tg WHERE tag = 'trusted'"),
+    "security-violations": ({"trusted": "nation"}, 'SELECT src AS "from", dst AS "to", a.layer AS "fromZone", b.layer AS "toZone" FROM e JOIN m a ON a.path = src JOIN m b ON b.path = dst WHERE a.layer <> b.layer AND b.layer = \'nation\''),
+    "zone-crossings": ({}, 'SELECT src AS "from", dst AS "to", a.layer AS "fromZone", b.layer AS "toZone" FROM e JOIN m a ON a.path = src JOIN m b ON b.path = dst WHERE a.layer <> b.layer'),
+    "trust-boundaries": ({"tag": "internal"}, "SELECT path AS trusted, src AS importer FROM tg JOIN e ON dst = path WHERE tag = 'internal'"),
     "unused-exports": ({}, "SELECT path AS module, export FROM ex WHERE path NOT IN (SELECT dst FROM e)"),
     "dead-code": ({"entry": "orders"}, "SELECT path AS module, layer FROM m WHERE path NOT IN (SELECT dst FROM e) AND layer <> 'orders'"),
     "complex-modules": ({"threshold": "0"}, "SELECT src AS module, count(*) AS dependencies FROM e GROUP BY src HAVING count(*) > 0"),
     "hot-paths": ({"limit": "10"}, "SELECT dst AS module, count(*) AS users FROM e GROUP BY dst ORDER BY users DESC, module LIMIT 10"),
-    "layer-violations": ({"from": "supplier", "to": "nation"}, 'SELECT src AS "from", dst AS "to" FROM e JOIN m a ON a.path = src JOIN m b ON b.path = dst WHERE a.layer = \'supplier\' AND b.layer = \'nation\''),
-    "layer-dependencies": ({}, "SELECT x.layer AS a, y.layer AS b, count(*) AS links FROM e JOIN m x ON x.path = src JOIN m y ON y.path = dst GROUP BY ALL"),
-    "layer-stats": ({}, "SELECT layer, count(*) AS modules FROM m GROUP BY layer"),
+    "layer-violations": ({"from": "supplier", "to": "nation"}, 'SELECT src AS "from", dst AS "to", a.layer AS "fromLayer", b.layer AS "toLayer" FROM e JOIN m a ON a.path = src JOIN m b ON b.path = dst WHERE a.layer = \'supplier\' AND b.layer = \'nation\''),
+    "layer-dependencies": ({}, 'SELECT x.layer AS "fromLayer", y.layer AS "toLayer", count(*) AS "count" FROM e JOIN m x ON x.path = src JOIN m y ON y.path = dst WHERE x.layer <> y.layer GROUP BY ALL'),
+    "layer-stats": ({}, 'SELECT layer, count(*) AS "moduleCount" FROM m GROUP BY layer'),
     "change-impact": ({"module": "region/2"}, '+r AS (SELECT src FROM e WHERE dst = \'region/2\' UNION SELECT e.src FROM e JOIN r ON e.dst = r.src) SELECT src AS "user" FROM r'),
     "undocumented-modules": ({}, "SELECT path AS module FROM m WHERE description IS NULL"),
     "missing-exports": ({}, "SELECT path AS module FROM m WHERE path NOT IN (SELECT path FROM ex)"),
@@ -102,8 +109,8 @@ for _name, (_values, _sql) in _T.items():
     register(f"tpl_{_name.replace('-', '_')}", lambda spark, d, n=_name, v=_values: Templates().run(n, triples(spark, d), **v), _sql)
 
 
-def _part_triples(spark: SparkSession, d: str, of=part_edges) -> DataFrame:
-    return of(spark, d).select(F.col("src").alias("subject"), F.lit(f"{NS}linksTo").alias("predicate"), F.col("dst").alias("object"))
+def _part_triples(spark: SparkSession, d: str) -> DataFrame:
+    return part_edges(spark, d).select(F.col("src").alias("subject"), F.lit(f"{NS}linksTo").alias("predicate"), F.col("dst").alias("object"))
 
 
 register("tpl_circular_deps", lambda spark, d: Templates().run("circular-deps", _part_triples(spark, d)), "SELECT DISTINCT a.src AS a, a.dst AS b FROM pe a JOIN pe b ON a.dst = b.src AND b.dst = a.src")
@@ -132,7 +139,7 @@ register("layer_counts", lambda s, d: ops.counts(modules(s, d), "layer"), "SELEC
 register("tag_counts", lambda s, d: ops.list_counts(modules(s, d), "tags", "tag"), "SELECT tag, count(*) AS n FROM tg GROUP BY tag")
 register("graph_stats", lambda s, d: ops.statistics(modules(s, d), edges(s, d), triples(s, d)).withColumn("mean_dependencies", F.round("mean_dependencies", 9)),
          "SELECT (SELECT count(*) FROM m) AS modules, (SELECT count(*) FROM ex) AS exports, (SELECT language FROM m GROUP BY language ORDER BY count(*) DESC, language LIMIT 1) AS top_language, (SELECT layer FROM m GROUP BY layer ORDER BY count(*) DESC, layer LIMIT 1) AS top_layer, (SELECT count(DISTINCT tag) FROM tg) AS tags, (SELECT count(*) FROM e) AS dependencies, (SELECT count(*) FROM t) AS triples, round((SELECT count(*) FROM e) / (SELECT count(*) FROM m), 9) AS mean_dependencies")
-register("dup_name", lambda s, d: ops.duplicates(modules(s, d).where("layer <> 'orders'"), "language"), "SELECT path, language FROM m WHERE layer <> 'orders' AND language IN (SELECT language FROM m WHERE layer <> 'orders' GROUP BY language HAVING count(DISTINCT path) > 1)")
+register("dup_name", lambda s, d: ops.duplicates(modules(s, d), "language"), "SELECT path, language FROM m WHERE language IN (SELECT language FROM m GROUP BY language HAVING count(DISTINCT path) > 1)")
 register("sample_hash", lambda s, d: ops.sample_hash(modules(s, d), 50, 3).select("path"), "SELECT path FROM m ORDER BY md5('3|' || path), path LIMIT 50")
 register("sample_stratified", lambda s, d: ops.sample_stratified(modules(s, d), 200, 5).select("path", "dir"),
          "+q AS (SELECT dir, size, least(greatest(floor(200 * size / (SELECT count(*) FROM m)), 1), size) AS share FROM (SELECT layer AS dir, count(*) AS size FROM m GROUP BY layer)), q2 AS (SELECT *, coalesce(sum(share) OVER (ORDER BY dir ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, lead(dir) OVER (ORDER BY dir) IS NULL AS last FROM q), q3 AS (SELECT dir, CASE WHEN last THEN least(greatest(200 - before, 0), size) ELSE least(share, greatest(200 - before, 0)) END AS quota FROM q2), k AS (SELECT path, layer AS dir, row_number() OVER (PARTITION BY layer ORDER BY md5('5|' || path), path) AS nth FROM m) SELECT path, dir FROM k JOIN q3 USING (dir) WHERE nth <= quota")
@@ -158,47 +165,22 @@ def _hops(pe: DataFrame) -> DataFrame:
     return g.shortest_paths(pe, pairs).select("src", "dst", (F.size("path") - 1).cast("long").alias("hops"))
 
 
-register("closure_deps", lambda s, d: g.transitive_dependencies(edges(s, d), modules(s, d).where("layer <> 'orders'")), _CLOSE.format(e="e", n=9) + " SELECT root, node, min(depth)::BIGINT AS depth FROM r WHERE root NOT LIKE 'orders/%' AND root <> node GROUP BY ALL")
+register("closure_deps", lambda s, d: g.transitive_dependencies(edges(s, d), modules(s, d)), _CLOSE.format(e="e", n=9) + " SELECT root, node, min(depth)::BIGINT AS depth FROM r WHERE root <> node GROUP BY ALL")
 register("closure_dependents", lambda s, d: g.transitive_dependents(edges(s, d), _one(s, "nation/3", "region/1")), "+r AS (SELECT dst AS root, src AS node, 1 AS depth FROM e WHERE dst IN ('nation/3', 'region/1') UNION SELECT r.root, e.src, r.depth + 1 FROM r JOIN e ON e.dst = r.node) SELECT root, node, min(depth)::BIGINT AS depth FROM r GROUP BY ALL")
-register("closure_cyclic", lambda s, d: g.closure(part_edges(s, d)).select("root", "node"), _REACH + " SELECT root, node FROM r")
+# All pairs of the cyclic graph, four million at the smallest size: a small fixture holds them instead of SQL.
+register("closure_cyclic", lambda s, d: g.closure(part_edges(s, d)).select("root", "node"))
 register("shortest_path_len", lambda s, d: _hops(part_edges(s, d)),
          "+b AS (SELECT 'part/1' AS node, 0 AS hops UNION SELECT pe.dst, b.hops + 1 FROM b JOIN pe ON pe.src = b.node WHERE b.hops < 15) SELECT 'part/1' AS src, node AS dst, min(hops)::BIGINT AS hops FROM b WHERE node IN (SELECT src FROM pe) GROUP BY node")
 register("scc_label", lambda s, d: g.components(part_edges(s, d)), _REACH + ", n AS (SELECT src AS node FROM pe UNION SELECT dst FROM pe), mutual AS (SELECT a.root AS node, a.node AS other FROM r a JOIN r b ON a.root = b.node AND a.node = b.root) SELECT n.node, least(n.node, coalesce(min(other), n.node)) AS component FROM n LEFT JOIN mutual ON mutual.node = n.node GROUP BY n.node")
 register("cyclic_nodes", lambda s, d: g.cyclic_nodes(part_edges(s, d)).select("node"), _REACH + " SELECT DISTINCT root AS node FROM r WHERE root = node")
-# The queries named here, and their SQL, hold the first hundred parts; these run over all parts.
-for _name, _query in {
-    "closure_cyclic": lambda s, d: g.closure(all_part_edges(s, d)).select("root", "node"),
-    "shortest_path_len": lambda s, d: _hops(all_part_edges(s, d)),
-    "scc_label": lambda s, d: g.components(all_part_edges(s, d)),
-    "cyclic_nodes": lambda s, d: g.cyclic_nodes(all_part_edges(s, d)).select("node"),
-    "tpl_circular_deps": lambda s, d: Templates().run("circular-deps", _part_triples(s, d, all_part_edges)),
-}.items():
-    QUERIES[f"{_name}_all"] = _query
-    ORACLES[f"{_name}_all"] = ORACLES[_name].replace(PART_EDGES_SQL, ALL_PART_EDGES_SQL)
 register("topo_level", lambda s, d: g.levels(edges(s, d), modules(s, d)), _CLOSE.format(e="e", n=9) + " SELECT path AS node, coalesce(max(depth), 0)::BIGINT AS level FROM m LEFT JOIN r ON r.root = path GROUP BY path")
 register("topo_order", lambda s, d: g.topological_order(edges(s, d), modules(s, d)).select("node", "position"), None)
 register("degrees", lambda s, d: g.degrees(edges(s, d), modules(s, d)), "SELECT path, (SELECT count(DISTINCT dst) FROM e WHERE src = path) AS out_degree, (SELECT count(DISTINCT src) FROM e WHERE dst = path) AS in_degree FROM m")
-_SMALL = "+se AS (SELECT * FROM e WHERE src NOT LIKE 'orders/%'), sm AS (SELECT * FROM m WHERE layer <> 'orders'), r AS (SELECT dst AS root, src AS node FROM se UNION SELECT r.root, se.src FROM r JOIN se ON se.dst = r.node), c AS (SELECT path, (SELECT count(*) FROM se WHERE dst = path) AS i, (SELECT count(*) FROM se WHERE src = path) AS o, (SELECT count(*) FROM r WHERE root = path) AS u, (path IN (SELECT path FROM ex)) AS has, (path IN (SELECT path FROM ex WHERE export IN ('main', 'init'))) AS entry, (SELECT count(*) FROM sm) AS n FROM sm), k AS (SELECT *, CASE WHEN i = 0 THEN 0 ELSE least(i / n * 0.5 + u / n * 0.3 + CASE WHEN has THEN 0.2 ELSE 0 END, 1) END AS raw FROM c)"
+_COVERAGE = "+se AS (SELECT * FROM e), sm AS (SELECT * FROM m), r AS (SELECT dst AS root, src AS node FROM se UNION SELECT r.root, se.src FROM r JOIN se ON se.dst = r.node), c AS (SELECT path, (SELECT count(*) FROM se WHERE dst = path) AS i, (SELECT count(*) FROM se WHERE src = path) AS o, (SELECT count(*) FROM r WHERE root = path) AS u, (path IN (SELECT path FROM ex)) AS has, (path IN (SELECT path FROM ex WHERE export IN ('main', 'init'))) AS entry, (SELECT count(*) FROM sm) AS n FROM sm), k AS (SELECT *, CASE WHEN i = 0 THEN 0 ELSE least(i / n * 0.5 + u / n * 0.3 + CASE WHEN has THEN 0.2 ELSE 0 END, 1) END AS raw FROM c)"
 
 
-def _small(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return edges(s, d).where("src NOT LIKE 'orders/%'"), modules(s, d).where("layer <> 'orders'")
-
-
-register("coverage_score", lambda s, d: g.coverage(*_small(s, d)), _SMALL + " SELECT path, i AS in_degree, o AS out_degree, u AS users, round(raw, 9)::DOUBLE AS score, entry AS is_entry, i = 0 AND NOT entry AS is_dead, CASE WHEN raw >= 0.7 THEN 'high' WHEN raw < 0.3 AND NOT entry THEN 'low' ELSE 'middle' END AS band FROM k")
-register("coverage_decile", lambda s, d: g.decile(g.coverage(*_small(s, d))).select("path"), _SMALL + " SELECT path FROM k ORDER BY round(raw, 9) DESC, path LIMIT (SELECT greatest(1, count(*) // 10) FROM k)")
-
-# Four queries above, and their SQL, leave the orders out; these run over all modules and edges.
-for _name, _query in {
-    "dup_name": lambda s, d: ops.duplicates(modules(s, d), "language"),
-    "closure_deps": lambda s, d: g.transitive_dependencies(edges(s, d), modules(s, d)),
-    "coverage_score": lambda s, d: g.coverage(edges(s, d), modules(s, d)),
-    "coverage_decile": lambda s, d: g.decile(g.coverage(edges(s, d), modules(s, d))).select("path"),
-}.items():
-    _sql = ORACLES[_name]
-    for _bound in (" WHERE src NOT LIKE 'orders/%'", "root NOT LIKE 'orders/%' AND ", "layer <> 'orders' AND ", " WHERE layer <> 'orders'"):
-        _sql = _sql.replace(_bound, "")
-    QUERIES[f"{_name}_all"], ORACLES[f"{_name}_all"] = _query, _sql
+register("coverage_score", lambda s, d: g.coverage(edges(s, d), modules(s, d)), _COVERAGE + " SELECT path, i AS in_degree, o AS out_degree, u AS users, round(raw, 9)::DOUBLE AS score, entry AS is_entry, i = 0 AND NOT entry AS is_dead, CASE WHEN raw >= 0.7 THEN 'high' WHEN raw < 0.3 AND NOT entry THEN 'low' ELSE 'middle' END AS band FROM k")
+register("coverage_decile", lambda s, d: g.decile(g.coverage(edges(s, d), modules(s, d))).select("path"), _COVERAGE + " SELECT path FROM k ORDER BY round(raw, 9) DESC, path LIMIT (SELECT greatest(1, count(*) // 10) FROM k)")
 
 # --- analyses
 _TARGETS = "('nation/3', 'region/1', 'customer/7', 'orders/7')"
@@ -233,7 +215,7 @@ register("zone_boundaries", lambda s, d: security.boundaries(_zoned(s, d)), _ZON
 register("zone_violations", lambda s, d: security.violations(_zoned(s, d), strict=True), _ZONE + f" SELECT src, dst, src_zone, dst_zone, {_RISK} AS risk, 'unauthorized' AS kind FROM c WHERE NOT {_MAY}")
 register("zone_risk", lambda s, d: security.risk_score(security.violations(_zoned(s, d))), _ZONE + f" SELECT count(*) AS violations, 0::BIGINT AS critical, 0::BIGINT AS high, round(least(coalesce(avg(CASE {_RISK} WHEN 'MEDIUM' THEN 4 ELSE 2 END), 0), 10), 6) AS score FROM c WHERE NOT {_MAY}")
 register("validate_graph", lambda s, d: checks.validate(modules(s, d), edges(s, d)), "SELECT 'warning' AS severity, 'missing-description' AS \"check\", path FROM m WHERE coalesce(description, '') = '' UNION ALL SELECT 'warning', 'no-exports', path FROM m WHERE path NOT IN (SELECT path FROM ex)")
-_RULES = "SELECT * FROM (VALUES ('no-mutual-dependencies', 'error', 0), ('exports-documented', 'warning', (SELECT count(DISTINCT m.path) FROM m JOIN ex ON ex.path = m.path WHERE description IS NULL)), ('has-layer', 'warning', 0), ('has-tags', 'info', 0)) v(rule, severity, found)"
+_RULES = "SELECT * FROM (VALUES ('no-circular-dependencies', 'error', 0), ('exports-documented', 'warning', (SELECT count(DISTINCT m.path) FROM m JOIN ex ON ex.path = m.path WHERE description IS NULL)), ('modules-have-layer', 'warning', 0), ('modules-have-tags', 'info', 0)) v(rule, severity, found)"
 register("rule_summary", lambda s, d: checks.check_rules(triples(s, d), checks.BUILT_IN).summary.select("rule", "severity", F.col("found").cast("long").alias("found"), "passed"), "+v AS (" + _RULES + ") SELECT rule, severity, found::BIGINT AS found, found = 0 AS passed FROM v")
 register("rule_violations", lambda s, d: checks.check_rules(triples(s, d), checks.BUILT_IN).violations.select("rule", "severity", "module"), "SELECT DISTINCT 'exports-documented' AS rule, 'warning' AS severity, m.path AS module FROM m JOIN ex ON ex.path = m.path WHERE description IS NULL")
 

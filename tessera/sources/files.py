@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import extension, glob_regex, matches_glob
 
-# Extension to language.
-LANGUAGES = {
-    ".go": "go", ".py": "python", ".pyw": "python", ".js": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".tsx": "typescript",
-    ".java": "java", ".rs": "rust", ".c": "c", ".h": "c", ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".hxx": "cpp", ".h++": "cpp",
-    ".cs": "csharp", ".rb": "ruby", ".php": "php", ".swift": "swift", ".kt": "kotlin", ".kts": "kotlin", ".scala": "scala",
+# Language and its extensions.
+_EXTENSIONS = {
+    "Go": [".go"], "Python": [".py", ".pyw"], "JavaScript": [".js", ".mjs", ".cjs"], "TypeScript": [".ts", ".tsx"], "Java": [".java"], "Rust": [".rs"], "C": [".c", ".h"],
+    "C++": [".cpp", ".cc", ".cxx", ".hpp", ".hxx", ".h++"], "C#": [".cs"], "Ruby": [".rb"], "PHP": [".php"], "Swift": [".swift"], "Kotlin": [".kt", ".kts"], "Scala": [".scala"],
 }
+LANGUAGES = {e: name for name, many in _EXTENSIONS.items() for e in many}
 
 # What a scan ignores by default.
 IGNORED = [

@@ -27,14 +27,11 @@ UNION ALL SELECT concat('supplier/', CAST(s_suppkey AS STRING)), concat('nation/
 UNION ALL SELECT concat('customer/', CAST(c_custkey AS STRING)), concat('nation/', CAST(c_nationkey AS STRING)) FROM customer
 UNION ALL SELECT concat('orders/', CAST(o_orderkey AS STRING)), concat('customer/', CAST(o_custkey AS STRING)) FROM orders"""
 
-#: A cyclic graph: consecutive parts of an order, among the first hundred parts.
+#: A cyclic graph: consecutive parts of an order.
 PART_EDGES_SQL = """
 SELECT DISTINCT concat('part/', CAST(a AS STRING)) AS src, concat('part/', CAST(b AS STRING)) AS dst FROM (
   SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM lineitem
-) WHERE a <> b AND a < 100 AND b < 100"""
-
-#: The same between all parts.
-ALL_PART_EDGES_SQL = PART_EDGES_SQL.replace(" AND a < 100 AND b < 100", "")
+) WHERE a <> b"""
 
 _TABLES = ("region", "nation", "supplier", "customer", "orders", "lineitem")
 
@@ -64,10 +61,6 @@ def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, PART_EDGES_SQL)
 
 
-def all_part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, sf_dir, ALL_PART_EDGES_SQL)
-
-
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The modules and edges as triples: one scan of each table, unpivoted by ``explode``."""
     m, e = modules(spark, sf_dir), edges(spark, sf_dir)

@@ -61,6 +61,32 @@ def test_sparql(seven, query, rows):
     assert values(sparql(seven, query)) == sorted(rows, key=repr)
 
 
+def test_sparql_scope(seven):
+    ran = lambda q: values(sparql(seven, q))
+    assert ran('SELECT ?m ?e WHERE { ?m code:name ?n OPTIONAL { ?m code:exports ?e FILTER(?n = "main.go") } }') == [("main", "main"), ("utils", None)]
+    assert ran("SELECT ?m WHERE { ?m code:name ?n FILTER EXISTS { ?x code:exports ?e FILTER(STRSTARTS(?n, ?e)) } }") == [("main",)]
+    assert ran("SELECT ?m WHERE { ?m code:name ?n FILTER NOT EXISTS { ?x code:exports ?e FILTER(STRSTARTS(?n, ?e)) } }") == [("utils",)]
+    assert ran("SELECT ?m ?x WHERE { ?m a code:Module OPTIONAL { ?m code:linksTo ?x } OPTIONAL { ?m code:exports ?x } }") == [("main", "utils"), ("utils", "Helper")]
+    assert ran("SELECT ?m ?x ?k WHERE { ?m a code:Module OPTIONAL { ?m code:linksTo ?x } ?x code:name ?k }") == [("main", "utils", "utils.go"), ("utils", "main", "main.go"), ("utils", "utils", "utils.go")]
+    assert ran("SELECT ?m WHERE { ?m code:linksTo ?m }") == []
+
+
+def test_zone_defaults(spark):
+    want = {
+        "internal/x.go": ("internal", 0.6), "cmd/a.go": ("internal", 0.55), "pkg/server/rest/a.go": ("public", 0.65), "pkg/server/my_handler.go": ("public", 0.65), "pkg/server/run.go": ("trusted", 0.55),
+        "pkg/schema/graphql/a.go": ("public", 0.6), "pkg/storex/a.go": ("data", 0.55), "pkg/a.go": ("internal", 0.5), "examples/a/models/m.go": ("internal", 0.45), "examples/a/utils/u.go": ("internal", 0.45),
+        "examples/a/services/s.go": ("trusted", 0.45), "examples/a.go": ("public", 0.4), "x_test.go": ("internal", 0.4), "x.go": ("unknown", 0.0), "a/api/b.go": ("public", 0.75),
+    }
+    df = spark.createDataFrame([(p, "", []) for p in want], "path string, layer string, tags array<string>")
+    assert {r.path: (r.zone, r.confidence) for r in security.classify(df).collect()} == want
+
+
+def test_a_self_link_is_no_cycle_of_two(spark):
+    links = spark.createDataFrame([("a", f"{NS}linksTo", "a"), ("b", f"{NS}linksTo", "c"), ("c", f"{NS}linksTo", "b")], "subject string, predicate string, object string")
+    got = checks.check_rules(links, checks.BUILT_IN[:1]).violations.collect()
+    assert sorted(r.module for r in got) == ["b", "c"] and got[0].rule == "no-circular-dependencies"
+
+
 def test_sparql_pages_and_errors(seven):
     assert sparql(seven, "SELECT * WHERE { ?s ?p ?o } LIMIT 3").columns == ["o", "p", "s"]
     assert sparql(seven, "SELECT ?s WHERE { ?s ?p ?o } OFFSET 3").count() == 4
@@ -141,7 +167,7 @@ def test_dead_code(spark):
 def test_security(spark):
     rows = [("api.go", "", ["api"], [], ""), ("auth.go", "services", [], [], ""), ("admin.go", "", ["admin"], [], ""), ("x/store/user.go", "", [], [], ""), ("pkg/y.go", "", [], [], "")]
     z = security.classify(module_rows(spark, rows))
-    assert {r.path: r.zone for r in z.collect()} == {"api.go": "public", "auth.go": "trusted", "admin.go": "admin", "x/store/user.go": "data", "pkg/y.go": "trusted"}
+    assert {r.path: r.zone for r in z.collect()} == {"api.go": "public", "auth.go": "trusted", "admin.go": "admin", "x/store/user.go": "data", "pkg/y.go": "internal"}
     c = security.crossings(edges_of(spark, "api.go>auth.go api.go>admin.go auth.go>x/store/user.go admin.go>x/store/user.go"), z)
     v = security.violations(c)
     assert [(r.src, r.dst, r.risk) for r in v.collect()] == [("api.go", "admin.go", "CRITICAL")]
@@ -153,7 +179,7 @@ def test_validation_rules_and_diff(spark, seven):
     found = {(r.check, r.path) for r in checks.validate(m, edges_of(spark, "a>b b>a a>zzz")).collect()}
     assert found == {("missing-description", "b"), ("no-tags", "b"), ("no-exports", "b"), ("unknown-dependency", "a"), ("cycle", "a"), ("cycle", "b")}
     report = checks.check_rules(seven, checks.BUILT_IN)
-    assert {r.rule: (r.found, r.passed) for r in report.summary.collect()} == {"no-mutual-dependencies": (0, True), "exports-documented": (2, False), "has-layer": (2, False), "has-tags": (2, False)}
+    assert {r.rule: (r.found, r.passed) for r in report.summary.collect()} == {"no-circular-dependencies": (0, True), "exports-documented": (2, False), "modules-have-layer": (2, False), "modules-have-tags": (2, False)}
     rules = checks.parse_rules("version: 1\nrules:\n- {id: a, name: A, pattern: 'SELECT ?m WHERE { ?m a code:Module }', expect: 2}\n- {id: b, name: B, pattern: 'SELECT ?m WHERE { ?m code:name \"none\" }', expect: 1, severity: warning}\n- {id: c, name: C, pattern: 'SELECT ?m WHERE { ?m ?p ?o }', enabled: false}\n")
     report = checks.check_rules(seven, rules)
     assert [(r.rule, r.message) for r in report.violations.collect()] == [("b", "expected 1 results")] and report.skipped == ["c"]
@@ -282,7 +308,7 @@ def test_entry_without_optional_folders(spark):
 
 
 def test_part_graph_holds_all_parts(spark, tmp_path):
-    """Parts 1 > 500 > 900 > 1 in a ring and 900 > 901; the bounded queries hold none of them."""
+    """Parts 1 > 500 > 900 > 1 in a ring and 900 > 901."""
     rows = [(1, 1, 1), (1, 2, 500), (1, 3, 900), (1, 4, 1), (2, 1, 900), (2, 2, 901), (3, 1, 500), (3, 2, 500)]
     spark.createDataFrame([(o, n, p, 1) for o, n, p in rows], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     links = {(f"part/{a}", f"part/{b}") for (o, _, a), (x, _, b) in zip(rows, rows[1:]) if o == x and a != b}
@@ -290,12 +316,12 @@ def test_part_graph_holds_all_parts(spark, tmp_path):
     while more := {(a, d) for a, b in reach for c, d in links if b == c} - reach:
         reach |= more
     ran = lambda name: set(map(tuple, queries.QUERIES[name](spark, str(tmp_path)).collect()))
-    assert ran("closure_cyclic_all") == reach and ran("closure_cyclic") == set()
+    assert ran("closure_cyclic") == reach
     ring = {"part/1", "part/500", "part/900"}
-    assert ran("scc_label_all") == {(n, "part/1" if n in ring else n) for n in ring | {"part/901"}}
-    assert ran("cyclic_nodes_all") == {(n,) for n in ring}
-    assert ran("shortest_path_len_all") == {("part/1", "part/1", 0), ("part/1", "part/500", 1), ("part/1", "part/900", 2)}
-    assert ran("tpl_circular_deps_all") == {(a, b) for a, b in links if (b, a) in links}
+    assert ran("scc_label") == {(n, "part/1" if n in ring else n) for n in ring | {"part/901"}}
+    assert ran("cyclic_nodes") == {(n,) for n in ring}
+    assert ran("shortest_path_len") == {("part/1", "part/1", 0), ("part/1", "part/500", 1), ("part/1", "part/900", 2)}
+    assert ran("tpl_circular_deps") == {(a, b) for a, b in links if (b, a) in links}
 
 
 def test_queries_hold_the_orders(spark, tmp_path):
@@ -307,8 +333,8 @@ def test_queries_hold_the_orders(spark, tmp_path):
     ran = lambda name: [tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()]
     assert [n for n, _ in sorted(ran("topo_order"), key=lambda r: r[1])] == ["region/0", "nation/0", "customer/0", "supplier/0", "orders/0", "orders/1"]
     assert {p for p, _ in ran("docs_markdown")} == {"region/0", "nation/0", "customer/0", "supplier/0", "orders/0", "orders/1"}
-    score = {r[0]: r[1:] for r in ran("coverage_score_all")}
+    score = {r[0]: r[1:] for r in ran("coverage_score")}
     assert score["customer/0"] == (2, 1, 2, round(2 / 6 * 0.5 + 2 / 6 * 0.3 + 0.2, 9), False, False, "middle") and score["region/0"][2] == 5 and len(score) == 6
-    assert ran("coverage_decile_all") == [("nation/0",)] and score["nation/0"][:3] == (2, 1, 4)
-    assert {r for r in ran("closure_deps_all") if r[0] == "orders/1"} == {("orders/1", "customer/0", 1), ("orders/1", "nation/0", 2), ("orders/1", "region/0", 3)}
-    assert set(ran("dup_name_all")) == {("orders/0", "O"), ("orders/1", "O"), ("region/0", "geo"), ("nation/0", "geo")}
+    assert ran("coverage_decile") == [("nation/0",)] and score["nation/0"][:3] == (2, 1, 4)
+    assert {r for r in ran("closure_deps") if r[0] == "orders/1"} == {("orders/1", "customer/0", 1), ("orders/1", "nation/0", 2), ("orders/1", "region/0", 3)}
+    assert set(ran("dup_name")) == {("orders/0", "O"), ("orders/1", "O"), ("region/0", "geo"), ("nation/0", "geo")}
