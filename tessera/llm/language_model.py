@@ -26,6 +26,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
 from math import log10
 from zlib import crc32
 
@@ -80,7 +81,7 @@ class Units(dict):
             self.update((w, k) for k, w in enumerate(self.table))
             self.others = []
         get = self.__getitem__
-        return np.array([k for t in texts for k in map(get, t)], dtype=np.int64)
+        return np.fromiter(map(get, chain.from_iterable(texts)), dtype=np.int64)
 
 
 class Model:
@@ -119,13 +120,15 @@ class Model:
             at += x.size
 
     def hidden(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return self.context[a] * self.position[0] + self.context[b] * self.position[1]
+        h = (self.context * self.position[0]).take(a, axis=0)
+        h += (self.context * self.position[1]).take(b, axis=0)
+        return h
 
     def by_class(self, w: np.ndarray) -> tuple[np.ndarray, list[tuple[slice, slice]]]:
         """The order of the rows by class, and the units and sorted rows of each class of more than one unit."""
-        cls = self.cls[w]
+        cls = self.cls[w].astype(np.uint16)  # 16 bits are sorted by radix
         order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(len(self.start))).tolist()
+        ends = np.concatenate([[0], np.bincount(cls, minlength=len(self.start) - 1).cumsum()]).tolist()
         return order, [(slice(x, y), slice(lo, hi)) for x, y, lo, hi in zip(self.start[:-1].tolist(), self.start[1:].tolist(), ends, ends[1:]) if y - x > 1 and hi > lo]
 
     def log10p(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -133,7 +136,10 @@ class Model:
         order, parts = self.by_class(w)
         w = w[order]
         h = self.hidden(a[order], b[order])
-        p = _log_softmax_at(h @ self.class_out.T + self.class_bias, self.cls[w])
+        cls, p = self.cls[w], np.empty(len(w))
+        for lo in range(0, len(w), BATCH):  # pieces that stay in a core's cache
+            rows = slice(lo, lo + BATCH)
+            p[rows] = _log_softmax_at(h[rows] @ self.class_out.T + self.class_bias, cls[rows])
         for units, rows in parts:
             p[rows] += _log_softmax_at(h[rows] @ self.out[units].T + self.bias[units], w[rows] - units.start)
         out = np.empty_like(p)
@@ -142,21 +148,23 @@ class Model:
 
 
 def _log_softmax_at(logit: np.ndarray, at: np.ndarray) -> np.ndarray:
-    logit -= logit.max(axis=1, keepdims=True)
+    if logit.size and not -60 < logit.min() <= logit.max() < 60:  # else no exponential leaves its range
+        logit -= logit.max(axis=1, keepdims=True)
     picked = logit[np.arange(len(at)), at].astype(np.float64)
-    return picked - np.log(np.exp(logit, out=logit).sum(axis=1, dtype=np.float64))
+    return picked - np.log((np.exp(logit, out=logit) @ np.ones(logit.shape[1], dtype=logit.dtype)).astype(np.float64))
 
 
-def _errors(logit: np.ndarray, weight: np.ndarray, log_weight: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The gradient of the noise-contrastive objective by logit: data at ``at`` against noise units of expected number ``weight``."""
-    rows = np.arange(len(at))
-    data = 1 / (1 + np.exp(logit[rows, at] - log_weight[at]))
-    np.subtract(log_weight, logit, out=logit)
-    np.exp(logit, out=logit)  # an infinite one stands for no error
-    logit += 1
-    np.divide(-weight, logit, out=logit)
-    logit[rows, at] += data
-    return logit
+def _errors(against: np.ndarray, weight: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The gradient of the noise-contrastive objective by logit: data at ``at`` against noise units of expected number ``weight``.
+
+    ``against`` holds the logarithm of that number less the logit and is overwritten.
+    """
+    e = np.exp(against, out=against)  # an infinite one stands for no error of the noise, a whole one of the data
+    picked = e[(rows := np.arange(len(at))), at]
+    e += 1
+    np.divide(-weight, e, out=e)
+    e[rows, at] += 1 - 1 / (1 + picked)
+    return e
 
 
 class Trainer:
@@ -173,22 +181,24 @@ class Trainer:
         order, parts = m.by_class(w)
         a, b, w = a[order], b[order], w[order]
         h = m.hidden(a, b)
-        e = _errors(h @ m.class_out.T + m.class_bias, *self.class_noise, m.cls[w])
+        weight, log_weight = self.class_noise
+        e = _errors(h @ -m.class_out.T + (log_weight - m.class_bias), weight, m.cls[w])
         back, grad = e @ m.class_out, {"class_out": e.T @ h, "class_bias": e.sum(0)}
         grad["out"], grad["bias"] = np.zeros_like(m.out), np.zeros_like(m.bias)
         weight, log_weight = self.noise
+        against = log_weight - m.bias
         for units, rows in parts:
             out, x = m.out[units], h[rows]
-            e = _errors(x @ out.T + m.bias[units], weight[units], log_weight[units], w[rows] - units.start)
+            e = _errors(x @ -out.T + against[units], weight[units], w[rows] - units.start)
             back[rows] += e @ out
             grad["out"][units], grad["bias"][units] = e.T @ x, e.sum(0)
         grad["position"] = np.stack([np.einsum("ij,ij->j", back, m.context[x]) for x in (a, b)])
         # Context vectors: the rows of one unit are added up after sorting, and only met units move.
         at, d = np.concatenate([a, b]), np.concatenate([back * m.position[0], back * m.position[1]])
-        order = np.argsort(at, kind="stable")
+        order = np.argsort(at.astype(np.min_scalar_type(m.pad)), kind="stable")
         at = at[order]
         first = np.nonzero(np.diff(at, prepend=-1))[0]
-        self._move("context", at[first], np.add.reduceat(d[order], first, axis=0) / np.float32(n))
+        self._move("context", at[first], np.add.reduceat(d.take(order, axis=0), first, axis=0) / np.float32(n))
         for k, g in grad.items():
             self._move(k, slice(None), g / np.float32(n))
 
