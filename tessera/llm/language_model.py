@@ -39,6 +39,8 @@ from .common import cut, kept, slices
 
 WORDS, LEAST, BUCKETS, CLASSES = 4000, 20, 64, 64
 TABLE, FLUSH, CACHE = 131_072, 200_000, 400_000
+#: Rows at once at the level of classes, so that the products stay in a cache.
+PIECE = 2048
 #: The end of a text as a token; no word holds a blank.
 END_KEY = b" "
 DIM, BATCH, NOISE, RATE, SHARD, FAN = 16, 8192, 10, 0.2, 4_000_000, 64
@@ -63,8 +65,9 @@ class Units(dict):
         super().__init__({w: k for k, w in enumerate(table)})
         self.table, self.words = table, words
         self.size = words + 1 + BUCKETS
-        self.of_table = [words if w == END_KEY else k if k < words else words + 1 + bucket(w) for k, w in enumerate(table)]
+        self.of_table = np.array([words if w == END_KEY else k if k < words else words + 1 + bucket(w) for k, w in enumerate(table)], dtype=np.int64)
         self.others: list[int] = []
+        self.known = self.of_table
 
     def __missing__(self, word: bytes) -> int:
         k = self[word] = len(self.table) + len(self.others)
@@ -72,14 +75,17 @@ class Units(dict):
         return k
 
     def unit(self) -> np.ndarray:
-        return np.array(self.of_table + self.others, dtype=np.int64)
+        met = len(self.known) - len(self.table)
+        if met < len(self.others):
+            self.known = np.concatenate([self.known, np.array(self.others[met:], dtype=np.int64)])
+        return self.known
 
     def numbers(self, texts: list[list[bytes]]) -> np.ndarray:
         """The numbers of all words; the cache is emptied before, never within, a call."""
         if len(self.others) > CACHE:
             self.clear()
             self.update((w, k) for k, w in enumerate(self.table))
-            self.others = []
+            self.others, self.known = [], self.of_table
         get = self.__getitem__
         return np.fromiter(map(get, chain.from_iterable(texts)), dtype=np.int64)
 
@@ -137,8 +143,8 @@ class Model:
         w = w[order]
         h = self.hidden(a[order], b[order])
         cls, p = self.cls[w], np.empty(len(w))
-        for lo in range(0, len(w), BATCH):  # pieces that stay in a core's cache
-            rows = slice(lo, lo + BATCH)
+        for lo in range(0, len(w), PIECE):
+            rows = slice(lo, lo + PIECE)
             p[rows] = _log_softmax_at(h[rows] @ self.class_out.T + self.class_bias, cls[rows])
         for units, rows in parts:
             p[rows] += _log_softmax_at(h[rows] @ self.out[units].T + self.bias[units], w[rows] - units.start)
@@ -182,8 +188,14 @@ class Trainer:
         a, b, w = a[order], b[order], w[order]
         h = m.hidden(a, b)
         weight, log_weight = self.class_noise
-        e = _errors(h @ -m.class_out.T + (log_weight - m.class_bias), weight, m.cls[w])
-        back, grad = e @ m.class_out, {"class_out": e.T @ h, "class_bias": e.sum(0)}
+        back, grad = np.empty_like(h), {"class_out": np.zeros_like(m.class_out), "class_bias": np.zeros_like(m.class_bias)}
+        against, cls = log_weight - m.class_bias, m.cls[w]
+        for lo in range(0, n, PIECE):
+            rows = slice(lo, lo + PIECE)
+            e = _errors(h[rows] @ -m.class_out.T + against, weight, cls[rows])
+            back[rows] = e @ m.class_out
+            grad["class_out"] += e.T @ h[rows]
+            grad["class_bias"] += e.sum(0)
         grad["out"], grad["bias"] = np.zeros_like(m.out), np.zeros_like(m.bias)
         weight, log_weight = self.noise
         against = log_weight - m.bias
