@@ -20,8 +20,12 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, cut
 
-BLANKS = "[ \\t\\x0B\\f\\r]+"
-VARIABLE = "[^ ]*[0-9][^ ]*"
+#: Runs of blanks but for a lone space, which is left as it is.
+BLANKS = "[\\t\\x0B\\f\\r][ \\t\\x0B\\f\\r]*+| [ \\t\\x0B\\f\\r]++"
+#: What a line that is not blank holds.
+WORD = "[^ \\t\\x0B\\f\\r]"
+#: A token with a digit, tried at the starts of tokens alone and without going back.
+VARIABLE = "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
 #: The share of a template's tokens that must be constant words, as (numerator, denominator).
 KEEP = (3, 5)
 #: A text with more dropped lines than this is cut by a join instead of by a list.
@@ -30,13 +34,14 @@ LISTED = 1000
 
 def flat(line: Column) -> Column:
     """The line's tokens joined by single blanks, those with a digit as ``<*>``; '' for a blank line."""
-    return F.regexp_replace(F.trim(F.regexp_replace(line, BLANKS, " ")), VARIABLE, "<*>")
+    spaced = F.trim(F.regexp_replace(line, BLANKS, " "))
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(spaced, VARIABLE, "<*>")).otherwise(spaced)
 
 
 def leaf(flattened: Column, depth: int) -> Column:
     """The path of a flattened line: its number of tokens and its leading ones."""
-    tokens = F.split(flattened, " ")
-    return F.concat_ws("\t", F.size(tokens).cast("string"), F.array_join(F.slice(tokens, 1, depth), " "))
+    gaps = F.octet_length(flattened) - F.octet_length(F.replace(flattened, F.lit(" "), F.lit("")))
+    return F.concat_ws("\t", (gaps + 1).cast("string"), F.substring_index(flattened, " ", depth))
 
 
 def _hash(c: Column) -> Column:
@@ -45,8 +50,8 @@ def _hash(c: Column) -> Column:
 
 def _lines(rows: DataFrame) -> DataFrame:
     """(h, flat, t): the lines of each text that are not blank."""
-    flattened = rows.select("h", F.explode(F.split("text", "\n")).alias("line")).select("h", flat(F.col("line")).alias("flat"))
-    return flattened.where("flat <> ''").withColumn("t", _hash(F.col("flat")))
+    lines = rows.select("h", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(WORD))
+    return lines.select("h", flat(F.col("line")).alias("flat")).withColumn("t", _hash(F.col("flat")))
 
 
 def _generalised(rows: DataFrame, seen: DataFrame, each: DataFrame, min_docs: int) -> DataFrame:
@@ -97,7 +102,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, depth: int = 2, id_
     if n_long:
         listed = listed.join(broadcast_if_small(long, n_long), "h", "left_anti")
     lines = F.split("text", "\n")
-    keep = F.filter(lines, lambda x: (flat(x) == "") | ~F.array_contains("dropped", _hash(flat(x))))
+    keep = F.filter(lines, lambda x: ~F.array_contains("dropped", _hash(flat(x))))  # a blank line is never dropped
     short = rows.join(broadcast_if_small(long, n_long), "h", "left_anti") if n_long else rows
     whole = short.join(listed, "h", "left").withColumn("kept", F.when(F.col("dropped").isNull(), lines).otherwise(keep))
     out = whole.select("id", F.array_join("kept", "\n").alias("text"), n.alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(n - F.size("kept")).cast("long").alias("n_dropped"))
