@@ -15,6 +15,8 @@ generalised.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,8 @@ LISTED = 1000
 
 def flat(line: Column) -> Column:
     """The line's tokens joined by single blanks, those with a digit as ``<*>``; '' for a blank line."""
-    spaced = F.trim(F.regexp_replace(line, BLANKS, " "))
+    uneven = reduce(lambda a, b: a | b, [line.contains(x) for x in ("  ", "\t", "\x0b", "\f", "\r")])
+    spaced = F.trim(F.when(uneven, F.regexp_replace(line, BLANKS, " ")).otherwise(line))
     return F.when(line.rlike("[0-9]"), F.regexp_replace(spaced, VARIABLE, "<*>")).otherwise(spaced)
 
 
