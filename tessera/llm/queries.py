@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, language_model, line_templates, mixing, quality, sharding, simhash, token_counts, url_reputation
-from .common import is_held_out, read
+from . import decontaminate, embedding_dedup, language_model, lexical_search, line_templates, mixing, phrases, quality, sentence_pieces, sharding, simhash, token_counts, url_reputation
+from .common import LOWER, UPPER, is_held_out, read
 
 LANGUAGES = {"en": 6, "de": 2, "fr": 2, "es": 1}
 DOMAINS = {"web": 4, "books": 3, "news": 2, "forum": 1}
@@ -76,8 +76,21 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=50)
+
+
+def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sentence_pieces.decode(sentence_pieces.encode(read(spark, sf_dir, "documents")))
+    return out.select("doc_id", sentence_pieces.n_ids(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_mixing, op3_embeddings, op4_token_counts, op5_lm_score, op6_line_dedup, op7_sharding, op8_url_filter, op9_quality, op10_decontaminate)
+    f.__name__: f for f in (op1_simhash, op2_mixing, op3_embeddings, op4_token_counts, op5_lm_score, op6_line_dedup, op7_sharding, op8_url_filter, op9_quality, op10_decontaminate, op11_lexical_search, op12_sentence_pieces, op13_phrases)
 }
 
 _DOMAIN = "CASE WHEN n < 5 THEN 'web' WHEN n < 10 THEN 'books' WHEN n < 15 THEN 'news' WHEN n IS NOT NULL THEN 'forum' END"
@@ -100,6 +113,10 @@ shared_{name} AS (SELECT *, max(CASE WHEN NOT filled THEN spare END) OVER ({by})
 {step} AS (SELECT {keys}, {column}, (CASE WHEN filled THEN cap ELSE share + CASE WHEN count(share) OVER ({by} ORDER BY cap::DOUBLE / weight, {column} ROWS UNBOUNDED PRECEDING) <= open_budget - sum(share) OVER ({by}) THEN 1 ELSE 0 END END)::BIGINT AS got FROM shared_{name})"""
 
 
+_LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+#: Maximal runs of digits, letters and characters beyond ASCII.
+_TERM = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
+
 ORACLES = {
     "op2_mixing": f"""WITH numbered AS (SELECT doc_id, lang, source, md5(coalesce(text, '')) AS text_md5, TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) AS n,
   len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+'))::BIGINT AS n_tokens FROM documents),
@@ -176,4 +193,25 @@ ruled AS (SELECT page_id, p.host, path, bound,
        WHEN (p.host = 'org' OR p.host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
        WHEN (p.host = 'net' OR p.host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM p JOIN bounds USING (host))
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/de/', 'net/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN bound >= 0.5 THEN 'allow' ELSE 'block' END AS verdict FROM ruled""",
+    "op11_lexical_search": rf"""WITH q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS t FROM benchmark),
+d AS (SELECT row_number() OVER () AS r, doc_id, ws, len(ws)::BIGINT AS n FROM (SELECT doc_id, regexp_extract_all({_LOWER}, '{_TERM}') AS ws FROM documents) WHERE len(ws) > 0),
+total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS len FROM d),
+p AS (SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ws) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, total GROUP BY t, docs),
+impact AS (SELECT r, t, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // len))) AS x FROM p JOIN w USING (t) JOIN d USING (r), total),
+scored AS (SELECT item_id, r, sum(x)::BIGINT AS score FROM q JOIN impact USING (t) GROUP BY ALL),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scored JOIN d USING (r) WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 50""",
+    "op13_phrases": rf"""WITH pieces AS (SELECT row_number() OVER () AS piece, lang, ws FROM (SELECT lang, regexp_extract_all(p, '[^ \t]+') AS ws
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\n\x0B\f\r]')) AS p FROM documents)) WHERE len(ws) > 0),
+totals AS (SELECT lang, sum(len(ws))::HUGEINT AS n FROM pieces GROUP BY lang),
+grams AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM pieces, (SELECT unnest(range(1, 6)) AS k) WHERE len(ws) >= k)),
+f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS ws, unnest(range(1, k)) AS pos FROM f WHERE k > 1),
+scored AS (SELECT cuts.lang, cuts.phrase, a, pos, h.f AS l, t.f AS r, n, (1000 * a * n) // (h.f * t.f) AS score FROM cuts JOIN totals USING (lang)
+  JOIN f h ON h.lang = cuts.lang AND h.phrase = array_to_string(ws[1:pos], ' ') JOIN f t ON t.lang = cuts.lang AND t.phrase = array_to_string(ws[pos + 1:], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, pos) = 1),
+stay AS (SELECT best.* FROM best WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.lang = best.lang AND f.k > 1 AND f.phrase <> best.phrase AND contains(' ' || f.phrase || ' ', ' ' || best.phrase || ' ') AND 100 * f.f >= 100 * a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM stay)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000""",
 }
