@@ -132,22 +132,22 @@ class Piece:
         return docs[total >= bar], total[total >= bar]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+def _pieces(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.Table]:
     held, many = [], 0
     for b in slices(batches, 20_000):
         held.append(b)
         many += len(b.column(2).flatten())
-        if many >= CHUNK:
+        if many >= chunk:
             yield pa.Table.from_batches(held)
             held, many = [], 0
     if held:
         yield pa.Table.from_batches(held)
 
 
-def _search(batches: Iterator[pa.RecordBatch], name: str, k: int, shared) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], name: str, k: int, chunk: int, shared) -> Iterator[pa.RecordBatch]:
     weight, queries, documents, length = shared.value
     floors = [[] for _ in queries]
-    for t in _pieces(batches):
+    for t in _pieces(batches, chunk):
         ids = t.column(0).combine_chunks()
         terms, often = (t.column(c).combine_chunks() for c in (2, 3))
         sizes = terms.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -198,7 +198,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 50, id_col: str = "doc_
         for r in posted.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
             weight[r["t"]] = math.floor(1000 * math.log((2 * documents + 2) / (2 * r["count"] + 1)))
         held = sc.broadcast((weight, [np.array([number[t] for t in ts], np.int64) for _, ts in mine], documents, length))
-        best = posted.where(F.size("terms") > 0).mapInArrow(partial(_search, name=name, k=k, shared=held), f"query int, `{name}` {kind}, score long")
+        best = posted.where(F.size("terms") > 0).mapInArrow(partial(_search, name=name, k=k, chunk=CHUNK, shared=held), f"query int, `{name}` {kind}, score long")
         names = spark.createDataFrame([(n, item) for n, (item, _) in enumerate(mine)], f"query int, item {item_kind}")
         found.append(best.join(F.broadcast(names), "query").select("item", name, "score"))
     if not found:

@@ -112,15 +112,15 @@ def _seed(name: str) -> bytes:
     return hashlib.blake2b(name.encode(), digest_size=16).digest()
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
-    """Columns (lang, text) in blocks of about ``BLOCK`` bytes."""
+def _blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[Words]:
+    """Columns (lang, text) in blocks of about ``block`` bytes."""
     texts, langs, names, size = [], [], {}, 0
     for b in slices(batches, 2000):
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
             texts.append(text)
             langs.append(names.setdefault(lang, len(names)))
             size += len(text)
-            if size >= BLOCK:
+            if size >= block:
                 yield Words(texts, np.array(langs), list(names))
                 texts, langs, names, size = [], [], {}, 0
     if texts:
@@ -131,13 +131,13 @@ def _batch(lang: list, phrase: list, n) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["lang", "phrase", "f"])
 
 
-def _count(batches: Iterator[pa.RecordBatch], k: int, frequent) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], k: int, frequent, block: int, bits: int) -> Iterator[pa.RecordBatch]:
     """(lang, phrase, f) of each block; at level 1 also a null phrase with the number of words."""
     bitmap = np.frombuffer(frequent.value, np.uint8) if frequent else None
-    for words in _blocks(batches):
+    for words in _blocks(batches, block):
         ok = words.fits(k)
         if bitmap is not None:
-            place = words.grams(k - 1, 0)[: len(ok) + 1] >> _U(64 - BITS)
+            place = words.grams(k - 1, 0)[: len(ok) + 1] >> _U(64 - bits)
             often = (bitmap[place >> _U(3)] >> (place & _U(7)).astype(np.uint8)) & 1 == 1
             ok &= often[:-1] & often[1:] if len(ok) else ok
         at, n = words.distinct(np.nonzero(ok)[0], k)
@@ -149,15 +149,15 @@ def _count(batches: Iterator[pa.RecordBatch], k: int, frequent) -> Iterator[pa.R
             yield _batch(names[words.lang[mine]].tolist(), words.phrases(mine, k), n[lo : lo + 100_000])
 
 
-def _places(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for words in _blocks(batches):
-        place = words.grams(k, 0)[np.nonzero(words.fits(k))[0]] >> _U(64 - BITS)
+def _places(batches: Iterator[pa.RecordBatch], k: int, block: int, bits: int) -> Iterator[pa.RecordBatch]:
+    for words in _blocks(batches, block):
+        place = words.grams(k, 0)[np.nonzero(words.fits(k))[0]] >> _U(64 - bits)
         yield pa.RecordBatch.from_arrays([pa.array((place >> _U(6)).astype(np.int32)), pa.array((place & _U(63)).astype(np.int32))], names=["cell", "bit"])
 
 
 def _bitmap(level: DataFrame, k: int) -> bytes:
     """The bitmap of a level's phrases: at most 2 ** (``BITS`` - 6) cells reach the driver."""
-    places = level.select("lang", "phrase").mapInArrow(partial(_places, k=k), "cell int, bit int")
+    places = level.select("lang", "phrase").mapInArrow(partial(_places, k=k, block=BLOCK, bits=BITS), "cell int, bit int")
     cells = places.groupBy("cell").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
     out = np.zeros(1 << (BITS - 6), np.int64)
     out[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy()
@@ -174,7 +174,7 @@ def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100, lang_c
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     levels, frequent = [], None
     for k in range(1, longest + 1):
-        counted = texts.mapInArrow(partial(_count, k=k, frequent=frequent), "lang string, phrase string, f long")
+        counted = texts.mapInArrow(partial(_count, k=k, frequent=frequent, block=BLOCK, bits=BITS), "lang string, phrase string, f long")
         found = cut(counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | F.col("phrase").isNull()))
         if k == 1:
             totals = found.where("phrase IS NULL").select("lang", F.col("f").alias("n"))

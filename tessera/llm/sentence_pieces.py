@@ -30,7 +30,7 @@ from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 from .common import kept, slices
 
 #: Bytes of text in a block; chunks whose segments a worker keeps at once; texts in a packed slice.
-BLOCK, CACHE, SLICE = 24_000_000, 2_000_000, 1000
+BLOCK, CACHE, SLICE = 24_000_000, 2_000_000, 500
 _CHUNK = re.compile(r" *[^ ]+(?: +\Z)?| +\Z")
 MARK = "▁"
 
@@ -84,24 +84,24 @@ def _unpack(blob: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([4 + 4 * n, *ends], ends)]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[pa.RecordBatch]]]:
+def _blocks(batches: Iterator[pa.RecordBatch], block: int, rows: int) -> Iterator[tuple[str, list[pa.RecordBatch]]]:
     """Columns (id, text) in blocks, named by the task's partition and a running number."""
     part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
-    for b in slices(batches, SLICE):
+    for b in slices(batches, rows):
         held.append(b)
         size += b.column(1).nbytes
-        if size >= BLOCK:
+        if size >= block:
             yield f"{part}-{n}", held
             n, held, size = n + 1, [], 0
     if held:
         yield f"{part}-{n}", held
 
 
-def _ask(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
+def _ask(batches: Iterator[pa.RecordBatch], ranges: int, block: int, rows: int) -> Iterator[pa.RecordBatch]:
     """(block, share, chunks): a block's distinct chunks, shared out by hash."""
     import xxhash
 
-    for block, held in _blocks(batches):
+    for name, held in _blocks(batches, block, rows):
         met: set[str] = set()
         for b in held:
             for t in b.column(1):
@@ -110,7 +110,7 @@ def _ask(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBa
         for c in map(str.encode, met):
             shares[xxhash.xxh3_64_intdigest(c) % ranges].append(c)
         full = [k for k, s in enumerate(shares) if s]
-        yield pa.RecordBatch.from_arrays([pa.array([block] * len(full), pa.string()), pa.array(full, pa.int32()), pa.array([_pack(shares[k]) for k in full], pa.binary())], names=["block", "share", "chunks"])
+        yield pa.RecordBatch.from_arrays([pa.array([name] * len(full), pa.string()), pa.array(full, pa.int32()), pa.array([_pack(shares[k]) for k in full], pa.binary())], names=["block", "share", "chunks"])
 
 
 def _segment(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -129,14 +129,14 @@ def _segment(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.binary())], names=["block", "chunks", "ids"])
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _texts(batches: Iterator[pa.RecordBatch], block: int, rows: int) -> Iterator[pa.RecordBatch]:
     """(block, rows): a block's rows, packed by slices."""
-    for block, held in _blocks(batches):
+    for name, held in _blocks(batches, block, rows):
         for b in held:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 w.write_batch(b)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.string()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
 
 
 def _packed_ids(texts: list[str], encode, frame: tuple[list[int], list[int]]) -> pa.Array:
@@ -192,9 +192,9 @@ def encode(docs: DataFrame, path: str | None = None, begin: bool = True, end: bo
         return rows.mapInArrow(partial(_whole, shared=shared, frame=frame, name=id_col), f"`{id_col}` {kind}, ids binary")
     # As many shares as input partitions: what meets in a share does not grow with the input.
     shares = min(4096, max(16, rows.rdd.getNumPartitions()))
-    asked = rows.mapInArrow(partial(_ask, ranges=shares), "block string, share int, chunks binary")
+    asked = rows.mapInArrow(partial(_ask, ranges=shares, block=BLOCK, rows=SLICE), "block string, share int, chunks binary")
     segments = asked.repartition(shares, "share").mapInArrow(partial(_segment, shared=shared), "block string, chunks binary, ids binary")
-    packed = rows.mapInArrow(_texts, "block string, rows binary")
+    packed = rows.mapInArrow(partial(_texts, block=BLOCK, rows=SLICE), "block string, rows binary")
     out = StructType([docs.schema[id_col], StructField("ids", BinaryType())])
     return packed.groupBy("block").cogroup(segments.groupBy("block")).applyInArrow(partial(_join, shared=shared, frame=frame, schema=to_arrow_schema(out)), out)
 
