@@ -7,10 +7,11 @@ folder.  Edges are repartitioned by their join key once, so a round shuffles its
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .ranks import ranked
 
 
 class CycleError(ValueError):
@@ -63,20 +64,35 @@ def transitive_dependents(edges: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(src, dst, path array) for each reachable pair; among equals the least path.
+    """(src, dst, path array) for each reachable pair; among equals, read from the end, the least.
 
-    A pair of one node has the path of that node alone.  Each search keeps one path to a node.
+    A pair of one node has the path of that node alone.  A search from all sources at once keeps
+    one row for a source and a node it meets, with the least node before it, and ends when every
+    pair is met or nothing new is.  The pairs then walk back along those nodes together.
     """
     e = cut(edges.select("src", "dst").distinct())
-    p = pairs.select("src", "dst").distinct()
-    seen = cut(p.select(F.col("src").alias("root")).distinct().select("root", F.col("root").alias("node"), F.array("root").alias("path")))
-    front = seen
-    while not front.isEmpty():
-        step = front.join(e, front.node == e.src).select("root", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        step = step.groupBy("root", "node").agg(F.min("path").alias("path"))
-        front = cut(step.join(seen, ["root", "node"], "left_anti"))
-        seen = cut(seen.unionByName(front))
-    return p.join(seen, (p.src == seen.root) & (p.dst == seen.node)).select("src", "dst", "path")
+    p = cut(pairs.select("src", "dst").distinct())
+    front = cut(p.select(F.col("src").alias("root")).distinct().select("root", F.col("root").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("hops")))
+    met, left, hops = front, p, 0
+    while True:
+        ends = front.select(F.col("root").alias("src"), F.col("node").alias("dst"))
+        left = cut(left.join(ends, ["src", "dst"], "left_anti"))
+        if front.isEmpty() or left.isEmpty():
+            break
+        hops += 1
+        step = front.join(e, front.node == e.src).groupBy("root", F.col("dst").alias("node")).agg(F.min("node").alias("parent")).withColumn("hops", F.lit(hops))
+        front = cut(step.join(met, ["root", "node"], "left_anti"))
+        met = cut(met.unionByName(front))
+    back = met.select(F.col("root").alias("src"), F.col("node").alias("at"), "parent", "hops")
+    walk = cut(p.join(back, (p.src == back.src) & (p.dst == back["at"])).select(p.src, p.dst, F.col("parent").alias("at"), "hops", F.array("at").alias("path")))
+    out = walk.where("hops = 0").select("src", "dst", "path")
+    for n in range(hops, 0, -1):
+        # Those that are n hops from their source take a step; the shorter ones join in later.
+        here = walk.where(F.col("hops") == n).join(back.drop("hops"), ["src", "at"]).select("src", "dst", F.col("parent").alias("at"), (F.col("hops") - 1).alias("hops"), F.concat(F.array("at"), "path").alias("path"))
+        walk = cut(walk.where(F.col("hops") < n).unionByName(here))
+        if n == 1:
+            out = walk.where("hops = 0").select("src", "dst", "path")
+    return out
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -159,7 +175,8 @@ def topological_order(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, level, position): dependencies first; the order of a queue that starts with the
     free nodes by name and takes in the nodes that each of its members sets free by name.
 
-    Within a level nodes stand by the position of their last dependency, then by name.
+    Within a level nodes stand by the position of their last dependency, then by name; the places
+    come from ranges of that order, so that no level meets in one task.
     """
     lv = cut(levels(edges, nodes))
     e = edges.select("src", "dst").distinct()
@@ -172,8 +189,7 @@ def topological_order(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         else:
             last = e.join(placed, e.dst == placed.node).groupBy("src").agg(F.max("position").alias("after"))
             keyed = here.join(last, here.node == last.src).select("node", "level", "after")
-        order = Window.partitionBy("level").orderBy("after", "node")
-        step = cut(keyed.select("node", "level", (F.row_number().over(order) - 1 + base).cast("long").alias("position")))
+        step = cut(ranked(keyed, "after", "node").select("node", "level", (F.col("rank") + base).alias("position")))
         base += step.count()
         placed = step if placed is None else cut(placed.unionByName(step))
     return placed if placed is not None else lv.withColumn("position", F.lit(0).cast("long"))
@@ -191,28 +207,3 @@ def has_cycle_through(edges: DataFrame, path: str) -> bool:
     """Whether ``path`` reaches itself."""
     one = edges.sparkSession.createDataFrame([(path,)], "path string")
     return not closure(edges, one).where("root = node").isEmpty()
-
-
-def coverage(edges: DataFrame, modules: DataFrame) -> DataFrame:
-    """(path, in_degree, out_degree, users, score, is_entry, is_dead, band).
-
-    score = 0 without users, else in/n * 0.5 + transitive users/n * 0.3 + 0.2 with exports, at
-    most 1.  A module that exports main or init is an entry point; one without users that is
-    none is dead.  band is high from 0.7 and low under 0.3 for modules that are no entry.
-    """
-    users = closure(reverse(edges)).where("root <> node").groupBy(F.col("root").alias("path")).agg(F.count(F.lit(1)).alias("users"))
-    total = modules.count()
-    d = degrees(edges, modules).join(users, "path", "left").join(modules.select("path", "exports"), "path").withColumn("users", F.coalesce("users", F.lit(0)).cast("long"))
-    raw = F.col("in_degree") / total * 0.5 + F.col("users") / total * 0.3 + F.when(F.size("exports") > 0, 0.2).otherwise(0.0)
-    names = F.transform("exports", lambda x: F.regexp_replace(x, "^#", ""))
-    entry = F.arrays_overlap(names, F.array(F.lit("main"), F.lit("init")))
-    c = d.withColumn("score", F.when(F.col("in_degree") == 0, 0.0).otherwise(F.least(raw, F.lit(1.0)))).withColumn("is_entry", entry).withColumn("is_dead", (F.col("in_degree") == 0) & ~entry)
-    band = F.when(F.col("score") >= 0.7, "high").when((F.col("score") < 0.3) & ~F.col("is_entry"), "low").otherwise("middle")
-    return c.select("path", "in_degree", "out_degree", "users", F.round("score", 9).alias("score"), "is_entry", "is_dead", band.alias("band"))
-
-
-def decile(scored: DataFrame, column: str = "score", lowest: bool = False) -> DataFrame:
-    """The tenth of the rows (one at least) with the highest or lowest value, ties by path: a top-k."""
-    k = max(1, scored.count() // 10)
-    order = F.asc(column) if lowest else F.desc(column)
-    return scored.orderBy(order, "path").limit(k)

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .analysis import checks, deadcode, impact, security, shadow
+from .analysis import checks, coverage, deadcode, impact, security, shadow
+from .analysis.postings import PostingIndex
 from .functions import text
 from .graph import algorithms as g
+from .graph import reach
 from .operators import modules as ops
 from .operators import store
 from .plans.compiler import sparql
 from .plans.templates import Templates
 from .schema import NS, RDF_TYPE
+from .session import shared_folder
 from .sinks import diagrams, results
 from .sources import files
+from .sources.cache import ModuleCache
 from .sources.tables import PRELUDE, edges, modules, part_edges, triples
 from .streaming.watch import bursts, windowed_counts
 
@@ -165,22 +170,43 @@ def _hops(pe: DataFrame) -> DataFrame:
     return g.shortest_paths(pe, pairs).select("src", "dst", (F.size("path") - 1).cast("long").alias("hops"))
 
 
+def _ways(pe: DataFrame) -> DataFrame:
+    pairs = pe.select("src").distinct().select(F.lit("part/1").alias("src"), F.col("src").alias("dst"))
+    return g.shortest_paths(pe, pairs).select("src", "dst", F.array_join("path", ">").alias("way"))
+
+
 register("closure_deps", lambda s, d: g.transitive_dependencies(edges(s, d), modules(s, d)), _CLOSE.format(e="e", n=9) + " SELECT root, node, min(depth)::BIGINT AS depth FROM r WHERE root <> node GROUP BY ALL")
 register("closure_dependents", lambda s, d: g.transitive_dependents(edges(s, d), _one(s, "nation/3", "region/1")), "+r AS (SELECT dst AS root, src AS node, 1 AS depth FROM e WHERE dst IN ('nation/3', 'region/1') UNION SELECT r.root, e.src, r.depth + 1 FROM r JOIN e ON e.dst = r.node) SELECT root, node, min(depth)::BIGINT AS depth FROM r GROUP BY ALL")
 # All pairs of the cyclic graph, four million at the smallest size: a small fixture holds them instead of SQL.
 register("closure_cyclic", lambda s, d: g.closure(part_edges(s, d)).select("root", "node"))
 register("shortest_path_len", lambda s, d: _hops(part_edges(s, d)),
          "+b AS (SELECT 'part/1' AS node, 0 AS hops UNION SELECT pe.dst, b.hops + 1 FROM b JOIN pe ON pe.src = b.node WHERE b.hops < 15) SELECT 'part/1' AS src, node AS dst, min(hops)::BIGINT AS hops FROM b WHERE node IN (SELECT src FROM pe) GROUP BY node")
+register("shortest_path_nodes", lambda s, d: _ways(part_edges(s, d)),
+         "+b AS (SELECT 'part/1' AS node, 0 AS hops UNION SELECT pe.dst, b.hops + 1 FROM b JOIN pe ON pe.src = b.node WHERE b.hops < 15), h AS (SELECT node, min(hops) AS hops FROM b GROUP BY node), up AS (SELECT y.node, min(x.node) AS parent FROM h x JOIN pe ON pe.src = x.node JOIN h y ON y.node = pe.dst AND y.hops = x.hops + 1 GROUP BY y.node), w AS (SELECT node AS dst, node AS at_, node AS way, hops FROM h WHERE node IN (SELECT src FROM pe) UNION ALL SELECT dst, parent, parent || '>' || way, hops - 1 FROM w JOIN up ON up.node = at_ WHERE hops > 0) SELECT 'part/1' AS src, dst, way FROM w WHERE hops = 0")
 register("scc_label", lambda s, d: g.components(part_edges(s, d)), _REACH + ", n AS (SELECT src AS node FROM pe UNION SELECT dst FROM pe), mutual AS (SELECT a.root AS node, a.node AS other FROM r a JOIN r b ON a.root = b.node AND a.node = b.root) SELECT n.node, least(n.node, coalesce(min(other), n.node)) AS component FROM n LEFT JOIN mutual ON mutual.node = n.node GROUP BY n.node")
 register("cyclic_nodes", lambda s, d: g.cyclic_nodes(part_edges(s, d)).select("node"), _REACH + " SELECT DISTINCT root AS node FROM r WHERE root = node")
 register("topo_level", lambda s, d: g.levels(edges(s, d), modules(s, d)), _CLOSE.format(e="e", n=9) + " SELECT path AS node, coalesce(max(depth), 0)::BIGINT AS level FROM m LEFT JOIN r ON r.root = path GROUP BY path")
-register("topo_order", lambda s, d: g.topological_order(edges(s, d), modules(s, d)).select("node", "position"), None)
+register("topo_order", lambda s, d: g.topological_order(edges(s, d), modules(s, d)).select("node", "position"),
+         "+p0 AS (SELECT path AS node, row_number() OVER (ORDER BY path) - 1 AS position FROM m WHERE layer = 'region')" + "".join(
+             f", p{k} AS (SELECT path AS node, (SELECT max(position) FROM p{k - 1}) + row_number() OVER (ORDER BY p{k - 1}.position, path) AS position FROM m JOIN e ON e.src = path JOIN p{k - 1} ON p{k - 1}.node = e.dst WHERE layer IN ({layers}))"
+             for k, layers in ((1, "'nation'"), (2, "'supplier', 'customer'"), (3, "'orders'"))) + " SELECT node, position::BIGINT AS position FROM (SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3)")
 register("degrees", lambda s, d: g.degrees(edges(s, d), modules(s, d)), "SELECT path, (SELECT count(DISTINCT dst) FROM e WHERE src = path) AS out_degree, (SELECT count(DISTINCT src) FROM e WHERE dst = path) AS in_degree FROM m")
 _COVERAGE = "+se AS (SELECT * FROM e), sm AS (SELECT * FROM m), r AS (SELECT dst AS root, src AS node FROM se UNION SELECT r.root, se.src FROM r JOIN se ON se.dst = r.node), c AS (SELECT path, (SELECT count(*) FROM se WHERE dst = path) AS i, (SELECT count(*) FROM se WHERE src = path) AS o, (SELECT count(*) FROM r WHERE root = path) AS u, (path IN (SELECT path FROM ex)) AS has, (path IN (SELECT path FROM ex WHERE export IN ('main', 'init'))) AS entry, (SELECT count(*) FROM sm) AS n FROM sm), k AS (SELECT *, CASE WHEN i = 0 THEN 0 ELSE least(i / n * 0.5 + u / n * 0.3 + CASE WHEN has THEN 0.2 ELSE 0 END, 1) END AS raw FROM c)"
 
 
-register("coverage_score", lambda s, d: g.coverage(edges(s, d), modules(s, d)), _COVERAGE + " SELECT path, i AS in_degree, o AS out_degree, u AS users, round(raw, 9)::DOUBLE AS score, entry AS is_entry, i = 0 AND NOT entry AS is_dead, CASE WHEN raw >= 0.7 THEN 'high' WHEN raw < 0.3 AND NOT entry THEN 'low' ELSE 'middle' END AS band FROM k")
-register("coverage_decile", lambda s, d: g.decile(g.coverage(edges(s, d), modules(s, d))).select("path"), _COVERAGE + " SELECT path FROM k ORDER BY round(raw, 9) DESC, path LIMIT (SELECT greatest(1, count(*) // 10) FROM k)")
+register("coverage_score", lambda s, d: coverage.coverage(edges(s, d), modules(s, d)), _COVERAGE + " SELECT path, i AS in_degree, o AS out_degree, u AS users, round(raw, 9)::DOUBLE AS score, entry AS is_entry, i = 0 AND NOT entry AS is_dead, CASE WHEN raw >= 0.7 THEN 'high' WHEN raw < 0.3 AND NOT entry THEN 'low' ELSE 'middle' END AS band FROM k")
+register("coverage_decile", lambda s, d: coverage.decile(coverage.coverage(edges(s, d), modules(s, d))).select("path"), _COVERAGE + " SELECT path FROM k ORDER BY round(raw, 9) DESC, path LIMIT (SELECT greatest(1, count(*) // 10) FROM k)")
+
+
+
+def _sketch_error(s: SparkSession, d: str) -> DataFrame:
+    """Whether the estimate lies within five standard errors, and one, of the true count."""
+    both = reach.count_users(edges(s, d)).join(reach.sketch_users(edges(s, d)).withColumnRenamed("users", "guess"), "node")
+    return both.select("node", "users", (F.abs(F.col("guess") - F.col("users")) <= F.ceil(F.col("users") * 0.08) + 1).alias("close"))
+
+
+register("coverage_sketch", _sketch_error, "+r AS (SELECT dst AS root, src AS node FROM e UNION SELECT r.root, e.src FROM r JOIN e ON e.dst = r.node), c AS (SELECT root, count(*) AS n FROM r GROUP BY root) SELECT node, coalesce(n, 0)::BIGINT AS users, true AS close FROM (SELECT src AS node FROM e UNION SELECT dst FROM e) LEFT JOIN c ON root = node")
+register("users_cyclic", lambda s, d: reach.count_users(part_edges(s, d)), _REACH + ", n AS (SELECT src AS node FROM pe UNION SELECT dst FROM pe) SELECT n.node, count(DISTINCT CASE WHEN r.root <> r.node THEN r.root END)::BIGINT AS users FROM n LEFT JOIN r ON r.node = n.node GROUP BY n.node")
 
 # --- analyses
 _TARGETS = "('nation/3', 'region/1', 'customer/7', 'orders/7')"
@@ -256,6 +282,57 @@ register("shadow_stats", lambda s, d: shadow.statistics(_entries(s, d, True)), _
 register("shadow_status", lambda s, d: shadow.build_status(_entries(s, d, True), _entries(s, d, False)), _SHADOW + " SELECT path, CASE WHEN quality IS NULL THEN 'new' ELSE 'skipped' END AS status FROM x", False)
 register("shadow_orphans", lambda s, d: shadow.orphans(_entries(s, d, False), _entries(s, d, True)).select("path"), _SHADOW + " SELECT path FROM x WHERE quality IS NULL", False)
 
+
+# --- kept in versions: parsed documents, and the index of entries
+def _folder(s: SparkSession, name: str) -> str:
+    return f"{shared_folder(s)}/{name}-{uuid.uuid4().hex}"
+
+
+def _doc_files(s: SparkSession, d: str, edited: bool) -> DataFrame:
+    """Documents as files; an edit appends to two, touches a third and drops a fourth."""
+    docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "text")
+    if edited:
+        docs = docs.where("doc_id <> 5").withColumn("text", F.when(F.col("doc_id") < 2, F.concat("text", F.lit(" edited"))).otherwise(F.col("text")))
+    stamp = F.when((F.col("doc_id") == 3) & F.lit(edited), 2).otherwise(1).cast("timestamp")
+    return docs.select("path", F.sha2("text", 256).alias("hash"), stamp.alias("mtime"), "text")
+
+
+def _parsed(build: int):
+    return lambda files: files.select("path", "hash", "mtime", F.length("text").cast("long").alias("size"), F.lit(build).alias("build"))
+
+
+def _rebuilt(s: SparkSession, d: str) -> ModuleCache:
+    cache = ModuleCache(s, _folder(s, "modules"))
+    cache.refresh(_doc_files(s, d, False), _parsed(1))
+    cache.refresh(_doc_files(s, d, True), _parsed(2))
+    return cache
+
+
+def _cache_diff(s: SparkSession, d: str) -> DataFrame:
+    cache = _rebuilt(s, d)
+    was, now = (cache.as_of(v).select("path", F.col("hash").alias(h)) for v, h in ((1, "old"), (2, "new")))
+    status = F.when(F.col("new").isNull(), "removed").when(F.col("old").isNull(), "added").when(F.col("old") == F.col("new"), "unchanged").otherwise("modified")
+    return was.join(now, "path", "full_outer").select("path", status.alias("status"))
+
+
+_FILES = "WITH x AS (SELECT doc_id, concat(source, '/', doc_id::VARCHAR) AS path, text FROM documents)"
+register("cache_rebuild", lambda s, d: _rebuilt(s, d).as_of().select("path", "hash", "size", "build"), _FILES + " SELECT path, sha256(CASE WHEN doc_id < 2 THEN text || ' edited' ELSE text END) AS hash, (length(text) + CASE WHEN doc_id < 2 THEN 7 ELSE 0 END)::BIGINT AS size, CASE WHEN doc_id < 2 OR doc_id = 3 THEN 2 ELSE 1 END AS build FROM x WHERE doc_id <> 5", False)
+register("cache_diff", _cache_diff, _FILES + " SELECT path, CASE WHEN doc_id < 2 THEN 'modified' WHEN doc_id = 5 THEN 'removed' ELSE 'unchanged' END AS status FROM x", False)
+
+
+def _updated_index(s: SparkSession, d: str) -> PostingIndex:
+    """All documents as entries, the labelled ones replaced by manual entries, those of src1 removed."""
+    found = PostingIndex(s, _folder(s, "postings"))
+    found.add(_entries(s, d, False))
+    found.add(_entries(s, d, True))
+    found.remove(_entries(s, d, False).where("path LIKE 'src1/%'"))
+    return found
+
+
+_LEFT = _SHADOW + ", y AS (SELECT * FROM x WHERE dir <> 'src1')"
+register("shadow_index_deltas", lambda s, d: _updated_index(s, d).postings(), _LEFT + " SELECT 'tag' AS kind, CASE WHEN quality IS NULL THEN lang ELSE 'q' || quality END AS key, path FROM y UNION ALL SELECT 'language', lang, path FROM y UNION ALL SELECT 'layer', 'text', path FROM y WHERE quality IS NULL", False)
+register("shadow_index_lookup", lambda s, d: _updated_index(s, d).lookup("tag", "q1"), _LEFT + " SELECT path FROM y WHERE quality = 1", False)
+
 # --- sinks as line frames, and streams in batch form
 register("result_csv", lambda s, d: results.csv_lines(modules(s, d).where("layer = 'nation'").select("path", "name")), "SELECT path || ',' || name AS value FROM m WHERE layer = 'nation'")
 register("result_xml", lambda s, d: results.xml_results(modules(s, d).where("layer = 'region'").select("path", "name")), "SELECT '<result><binding name=\"path\"><literal>' || path || '</literal></binding><binding name=\"name\"><literal>' || name || '</literal></binding></result>' AS value FROM m WHERE layer = 'region'")

@@ -19,13 +19,22 @@ def session(name: str = "tessera", master: str | None = None, **conf: str) -> Sp
     return b.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the folder named in ``spark.checkpoint.dir`` and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, else the context's own checkpoint folder.
 
-    A local folder is used only where the setting is absent.  The files survive the loss of
-    executors, unlike a local checkpoint.
+    Where both are unset a local session takes a temporary one; on a cluster that is an error,
+    since no other machine could read it.
     """
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "tessera-checkpoints"))
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "tessera-checkpoints"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read from there; the files survive the loss of executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
