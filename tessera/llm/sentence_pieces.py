@@ -6,20 +6,22 @@ stands.  The documents are read in blocks of about ``BLOCK`` bytes.  The distinc
 block are dealt out by hash, so that equal chunks of all blocks meet; there each is segmented
 once by the library.  The segments go back to the blocks that asked, and a block's texts are
 joined with them by block; a text's ids are those of its chunks in the order of their positions.
-A chunk that a block did not ask for (its rows came otherwise on a second reading) is encoded
-where it is met, so the result does not depend on the order of rows.
+Chunks that a block did not ask for (its rows came otherwise on a second reading) are encoded
+where they are met, so the result does not depend on the order of rows.
 
 Models of which this does not hold encode whole texts by the library.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -30,7 +32,7 @@ from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 from .common import kept, slices
 
 #: Bytes of text in a block; chunks whose segments a worker keeps at once; texts in a packed slice.
-BLOCK, CACHE, SLICE = 24_000_000, 2_000_000, 500
+BLOCK, CACHE, SLICE = 12_000_000, 2_000_000, 500
 _CHUNK = re.compile(r" *[^ ]+(?: +\Z)?| +\Z")
 MARK = "▁"
 
@@ -72,9 +74,12 @@ def _ids(segments: list[list[int]]) -> list[bytes]:
     return [np.array(x, "<u4").tobytes() for x in segments]
 
 
+def _raw(parts: list[bytes]) -> bytes:
+    return np.uint32(len(parts)).tobytes() + np.array([len(p) for p in parts], "<u4").tobytes() + b"".join(parts)
+
+
 def _pack(parts: list[bytes]) -> bytes:
-    sizes = np.array([len(p) for p in parts], "<u4")
-    return zstandard.compress(np.uint32(len(parts)).tobytes() + sizes.tobytes() + b"".join(parts), 1)
+    return zstandard.compress(_raw(parts), 3)
 
 
 def _unpack(blob: bytes) -> list[bytes]:
@@ -84,6 +89,19 @@ def _unpack(blob: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([4 + 4 * n, *ends], ends)]
 
 
+def _mark(chunks: list[bytes]) -> bytes:
+    """Tells one sorted list of chunks from another."""
+    return hashlib.blake2b(_raw(chunks), digest_size=16).digest()
+
+
+def _shares(met: set[str], ranges: int) -> list[tuple[int, list[bytes]]]:
+    """The chunks shared out by hash, each share sorted."""
+    shares: list[list[bytes]] = [[] for _ in range(ranges)]
+    for c in map(str.encode, met):
+        shares[xxhash.xxh3_64_intdigest(c) % ranges].append(c)
+    return [(k, sorted(s)) for k, s in enumerate(shares) if s]
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], block: int, rows: int) -> Iterator[tuple[str, list[pa.RecordBatch]]]:
     """Columns (id, text) in blocks, named by the task's partition and a running number."""
     part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -99,25 +117,23 @@ def _blocks(batches: Iterator[pa.RecordBatch], block: int, rows: int) -> Iterato
 
 def _ask(batches: Iterator[pa.RecordBatch], ranges: int, block: int, rows: int) -> Iterator[pa.RecordBatch]:
     """(block, share, chunks): a block's distinct chunks, shared out by hash."""
-    import xxhash
-
     for name, held in _blocks(batches, block, rows):
         met: set[str] = set()
         for b in held:
             for t in b.column(1):
                 met.update(chunks_of(t.as_py()))
-        shares: list[list[bytes]] = [[] for _ in range(ranges)]
-        for c in map(str.encode, met):
-            shares[xxhash.xxh3_64_intdigest(c) % ranges].append(c)
-        full = [k for k, s in enumerate(shares) if s]
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(full), pa.string()), pa.array(full, pa.int32()), pa.array([_pack(shares[k]) for k in full], pa.binary())], names=["block", "share", "chunks"])
+        full = _shares(met, ranges)
+        yield pa.RecordBatch.from_arrays([pa.array([name] * len(full), pa.string()), pa.array([k for k, _ in full], pa.int32()), pa.array([_pack(s) for _, s in full], pa.binary())], names=["block", "share", "chunks"])
 
 
 def _segment(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """(block, chunks, ids): each distinct chunk of a share goes to the library once."""
+    """(block, share, mark, ids): each distinct chunk of a share goes to the library once.
+
+    The ids come back in the order of the chunks; the mark tells which chunks these were.
+    """
     library, table = _library(shared.value), {}
     for b in slices(batches, 50):
-        out = []
+        marks, out = [], []
         for blob in b.column(2).to_pylist():
             chunks = _unpack(blob)
             new = [c for c in chunks if c not in table]
@@ -125,8 +141,9 @@ def _segment(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
                 table, new = {}, chunks
             if new:
                 table.update(zip(new, _ids(library.encode([c.decode() for c in new], num_threads=1))))
+            marks.append(_mark(chunks))
             out.append(_pack([table[c] for c in chunks]))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.binary())], names=["block", "chunks", "ids"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(marks, pa.binary()), pa.array(out, pa.binary())], names=["block", "share", "mark", "ids"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch], block: int, rows: int) -> Iterator[pa.RecordBatch]:
@@ -134,7 +151,7 @@ def _texts(batches: Iterator[pa.RecordBatch], block: int, rows: int) -> Iterator
     for name, held in _blocks(batches, block, rows):
         for b in held:
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as w:
                 w.write_batch(b)
             yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
 
@@ -144,25 +161,26 @@ def _packed_ids(texts: list[str], encode, frame: tuple[list[int], list[int]]) ->
     return pa.array([front + encode(t) + back for t in texts], pa.binary())
 
 
-def _join(left: pa.Table, right: pa.Table, shared, frame, schema: pa.Schema) -> pa.Table:
+def _join(left: pa.Table, right: pa.Table, shared, frame, schema: pa.Schema, ranges: int) -> pa.Table:
+    """The ids of a block's texts from the segments of its chunks."""
+    library, met = _library(shared.value), set()
+    slices_ = left.column("rows").to_pylist()
+    for rows in slices_:
+        for b in pa.ipc.open_stream(rows):
+            for t in b.column(1):
+                met.update(chunks_of(t.as_py()))
+    answers = {(k, m): x for k, m, x in zip(*(right.column(c).to_pylist() for c in ("share", "mark", "ids")))}
     table: dict[str, bytes] = {}
-    for chunks, ids in zip(right.column("chunks").to_pylist(), right.column("ids").to_pylist()):
-        table.update(zip([c.decode() for c in _unpack(chunks)], _unpack(ids)))
-    library = _library(shared.value)
-
-    def met(chunk: str) -> bytes:
-        if chunk not in table:
-            table[chunk] = _ids([library.encode(chunk)])[0]
-        return table[chunk]
+    for k, chunks in _shares(met, ranges):
+        blob = answers.get((k, _mark(chunks)))
+        names = [c.decode() for c in chunks]
+        table.update(zip(names, _unpack(blob) if blob is not None else _ids(library.encode(names, num_threads=1))))
 
     def encode(text: str) -> bytes:
-        try:
-            return b"".join([table[c] for c in chunks_of(text)])
-        except KeyError:
-            return b"".join([met(c) for c in chunks_of(text)])
+        return b"".join([table[c] for c in chunks_of(text)])
 
     out = []
-    for rows in left.column("rows").to_pylist():
+    for rows in slices_:
         for b in pa.ipc.open_stream(rows):
             out.append(pa.RecordBatch.from_arrays([b.column(0), _packed_ids(b.column(1).to_pylist(), encode, frame)], schema=schema))
     return pa.Table.from_batches(out, schema)
@@ -193,10 +211,10 @@ def encode(docs: DataFrame, path: str | None = None, begin: bool = True, end: bo
     # As many shares as input partitions: what meets in a share does not grow with the input.
     shares = min(4096, max(16, rows.rdd.getNumPartitions()))
     asked = rows.mapInArrow(partial(_ask, ranges=shares, block=BLOCK, rows=SLICE), "block string, share int, chunks binary")
-    segments = asked.repartition(shares, "share").mapInArrow(partial(_segment, shared=shared), "block string, chunks binary, ids binary")
+    segments = asked.repartition(shares, "share").mapInArrow(partial(_segment, shared=shared), "block string, share int, mark binary, ids binary")
     packed = rows.mapInArrow(partial(_texts, block=BLOCK, rows=SLICE), "block string, rows binary")
     out = StructType([docs.schema[id_col], StructField("ids", BinaryType())])
-    return packed.groupBy("block").cogroup(segments.groupBy("block")).applyInArrow(partial(_join, shared=shared, frame=frame, schema=to_arrow_schema(out)), out)
+    return packed.groupBy("block").cogroup(segments.groupBy("block")).applyInArrow(partial(_join, shared=shared, frame=frame, schema=to_arrow_schema(out), ranges=shares), out)
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:

@@ -135,14 +135,18 @@ def test_each_chunk_is_segmented_once_and_misses_are_met(spark, monkeypatch):
     monkeypatch.setattr(sentence_pieces, "_library", lambda m: Spy())
     blob = sentence_pieces._pack([b"cat", b"dog", b""])
     batch = pa.RecordBatch.from_arrays([pa.array(["0-0", "1-0"]), pa.array([0, 0]), pa.array([blob, sentence_pieces._pack([b"dog", b"cow"])])], names=["block", "share", "chunks"])
-    out = [x for b in sentence_pieces._segment(iter([batch]), Shared) for x in b.column(2).to_pylist()]
+    out = list(sentence_pieces._segment(iter([batch]), Shared))[0]
     assert sorted(asked) == ["", "cat", "cow", "dog"]
-    assert sentence_pieces._unpack(out[1]) == sentence_pieces._ids([lib.encode("dog"), lib.encode("cow")])
+    assert sentence_pieces._unpack(out["ids"][1].as_py()) == sentence_pieces._ids([lib.encode("dog"), lib.encode("cow")])
     rows = pa.table({"block": ["0-0"], "rows": [_stream(pa.record_batch({"id": [1], "text": ["dog elk  dog "]}))]})
-    known = pa.table({"block": ["0-0"], "chunks": [sentence_pieces._pack([b"dog"])], "ids": [sentence_pieces._pack(sentence_pieces._ids([lib.encode("dog")]))]})
-    monkeypatch.setattr(sentence_pieces, "_library", lambda m: lib)
-    got = sentence_pieces._join(rows, known, Shared, ([], []), pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())]))
-    assert np.frombuffer(got["ids"][0].as_py(), "<u4").tolist() == lib.encode("dog elk  dog ")
+    met, asked[:] = {"dog", "elk", " dog "}, []
+    want = lib.encode("dog elk  dog ")
+    for known in (met, {"dog"}, set()):  # asked for all, for others, for none
+        shares = sentence_pieces._shares(known, 1)
+        right = pa.table({"share": pa.array([k for k, _ in shares], pa.int32()), "mark": pa.array([sentence_pieces._mark(s) for _, s in shares], pa.binary()), "ids": pa.array([sentence_pieces._pack(sentence_pieces._ids(lib.encode([c.decode() for c in s]))) for _, s in shares], pa.binary())})
+        got = sentence_pieces._join(rows, right, Shared, ([], []), pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())]), 1)
+        assert np.frombuffer(got["ids"][0].as_py(), "<u4").tolist() == want
+    assert sorted(asked) == sorted([*met, *met])
 
 
 def _stream(batch):
