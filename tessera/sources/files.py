@@ -21,7 +21,7 @@ IGNORED = [
 ]
 
 #: Comment markers around the metadata block of a source file.
-START, END = r"<!-- (?:\w+ )?RDF -->", r"<!-- End (?:\w+ )?RDF -->"
+START, END = r"<!-- (?!End )(?:\w+ )?RDF -->", r"<!-- End (?:\w+ )?RDF -->"
 
 
 def language_of(path: Column, languages: dict[str, str] | None = None) -> Column:

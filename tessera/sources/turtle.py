@@ -149,8 +149,12 @@ def resolve_edges(triples: DataFrame, modules: DataFrame) -> DataFrame:
     e = triples.where(F.col("predicate").endswith("linksTo")).select(F.col("subject").alias("src"), F.col("object").alias("target")).distinct()
     by = lambda key, name: modules.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("target")).agg(F.min("path").alias(name))
     e = e.join(by("path", "p1"), "target", "left").join(by("uri", "p2"), "target", "left").join(by("name", "p3"), "target", "left")
-    # Every end of a path after a slash is a key, so the last step is an equi-join too.
-    ends = modules.select("path", F.split("path", "/").alias("parts")).select("path", F.explode(F.expr("transform(sequence(1, size(parts)), k -> array_join(slice(parts, k, size(parts)), '/'))")).alias("target"))
+    # A target may be any end of a path: paths are cut to the lengths that targets have, so that
+    # the last step is an equi-join too.  There are no more lengths than the longest path has characters.
+    longest = modules.agg(F.max(F.length("path"))).first()[0] or 0
+    lengths = [r[0] for r in e.where("p1 IS NULL AND p2 IS NULL AND p3 IS NULL").select(F.length("target").alias("n")).where(F.col("n").between(1, longest)).distinct().collect()]
+    cut_at = F.array(*map(F.lit, sorted(lengths))).cast("array<int>")
+    ends = modules.select("path", F.explode(F.filter(cut_at, lambda n: n <= F.length("path"))).alias("n")).select("path", F.expr("right(path, n)").alias("target"))
     e = e.join(ends.groupBy("target").agg(F.min("path").alias("p4")), "target", "left")
     found = F.coalesce("p1", "p2", "p3", "p4")
     return e.select("src", F.coalesce(found, "target").alias("dst"), found.isNotNull().alias("resolved"))
