@@ -5,7 +5,8 @@ where both its overlapping parts of k - 1 words are frequent, as an Apriori sear
 frequent phrases of a level are broadcast as a bitmap of 2 ** ``BITS`` hashes, whose size does
 not depend on the corpus: a wrong hit lets a rare phrase be counted for nothing, and the exact
 counts by phrase then leave it out.  Workers count a block of texts at once with arrays of word
-hashes; counts of the blocks are summed by language and phrase.
+hashes.  The counts travel packed by a hash of the phrase, and those of one bucket are summed by
+language and phrase where they meet.
 
 The cuts of a phrase are scored by joins with the tables of the levels.
 """
@@ -18,13 +19,16 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, cut, slices
 
-#: Bytes of text that a worker counts at once; bits of a hash that number a place in a bitmap.
-BLOCK, BITS = 12_000_000, 27
+#: Bytes of text that a worker counts at once; bits of a hash that number a place in a bitmap;
+#: counts that come together before a worker adds them up.
+BLOCK, BITS, HELD = 12_000_000, 27, 2_000_000
 #: A-Z become a-z, tabs blanks, and all marks that part pieces line feeds.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 10 if chr(c) in ".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 _U = np.uint64
@@ -99,21 +103,21 @@ class Words:
                 out[n] = b" ".join(x for x in out[n].split(b" ") if x)
         return out
 
-    def sorted(self, at: np.ndarray, k: int) -> np.ndarray:
-        """The order of the phrases at ``at`` by language and the fronts of their first two words:
-        neighbours are alike, so that shuffle files compress well."""
+    def sorted(self, at: np.ndarray, k: int, bucket: np.ndarray) -> np.ndarray:
+        """The order of the phrases at ``at`` by language, bucket and the fronts of their first two
+        words: neighbours are alike, so that they pack well."""
         keys = [self.eight[self.start[at + j]].byteswap() for j in range(min(k, 2))]
-        return np.lexsort((*keys[::-1], self.lang[at]))
+        return np.lexsort((*keys[::-1], bucket, self.lang[at]))
 
-    def distinct(self, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """One place and the count of each phrase of ``k`` words among those at ``at``."""
+    def distinct(self, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One place, the count and the hash of each phrase of ``k`` words among those at ``at``."""
         one = self.grams(k, 0)[at]
         _, first, back, often = np.unique(one, return_index=True, return_inverse=True, return_counts=True)
         two = self.grams(k, 1)[at]
         if not np.array_equal(two[first][back], two):  # two phrases share a hash: tell them apart by both
             both = np.stack([one, two], axis=1)
             _, first, often = np.unique(both, axis=0, return_index=True, return_counts=True)
-        return at[first], often
+        return at[first], often, one[first]
 
 
 def _seed(name: str) -> bytes:
@@ -121,26 +125,53 @@ def _seed(name: str) -> bytes:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[Words]:
-    """Columns (lang, text) in blocks of about ``block`` bytes."""
-    texts, langs, names, size = [], [], {}, 0
+    """Columns (lang, text) in blocks of about ``block`` bytes, as far as may be of one language each:
+    the fewer blocks a language is spread over, the fewer counts there are to add up."""
+    texts, size = {}, {}
+
+    def taken(names: list[str]) -> Words:
+        mine = [texts.pop(n) for n in names]
+        for n in names:
+            size.pop(n)
+        return Words([t for x in mine for t in x], np.repeat(np.arange(len(names)), [len(x) for x in mine]), names)
+
     for b in slices(batches, 2000):
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
-            texts.append(text)
-            langs.append(names.setdefault(lang, len(names)))
-            size += len(text)
-            if size >= block:
-                yield Words(texts, np.array(langs), list(names))
-                texts, langs, names, size = [], [], {}, 0
-    if texts:
-        yield Words(texts, np.array(langs), list(names))
+            texts.setdefault(lang, []).append(text)
+            size[lang] = size.get(lang, 0) + len(text) + 1
+            if size[lang] >= block:
+                yield taken([lang])
+        while sum(size.values()) > 2 * block:
+            yield taken([max(size, key=size.get)])
+    while size:
+        names, full = [], 0
+        for n in sorted(size, key=size.get, reverse=True):
+            if not names or full + size[n] <= block:
+                names.append(n)
+                full += size[n]
+        yield taken(names)
+
+
+def _pack(phrases: list[bytes], n: np.ndarray) -> bytes:
+    sizes = np.fromiter(map(len, phrases), "<u4", len(phrases))
+    return zstandard.compress(np.uint32(len(phrases)).tobytes() + sizes.tobytes() + n.astype("<i8").tobytes() + b"".join(phrases), 3)
+
 
+def _unpack(blob: bytes) -> tuple[pa.Array, pa.Array]:
+    raw = zstandard.decompress(blob)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    ends = np.append(0, np.cumsum(np.frombuffer(raw, "<u4", n, 4))).astype(np.int32)
+    text = pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw[4 + 12 * n :])])
+    return text, pa.array(np.frombuffer(raw, "<i8", n, 4 + 4 * n))
 
-def _batch(lang: list, phrase: list, n) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["lang", "phrase", "f"])
 
+def _row(lang: str, bucket: list[int], n: list, blob: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(bucket), pa.string()), pa.array(bucket, pa.int32()), pa.array(n, pa.int64()), pa.array(blob, pa.binary())], names=["lang", "bucket", "n", "counts"])
 
-def _count(batches: Iterator[pa.RecordBatch], k: int, frequent, block: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """(lang, phrase, f) of each block; at level 1 also a null phrase with the number of words."""
+
+def _count(batches: Iterator[pa.RecordBatch], k: int, frequent, block: int, bits: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """(lang, bucket, n, counts): each block's phrases and their counts, packed by a hash of the phrase;
+    at level 1 also the number of words, n."""
     bitmap = np.frombuffer(frequent.value, np.uint8) if frequent else None
     for words in _blocks(batches, block):
         ok = words.fits(k)
@@ -148,15 +179,44 @@ def _count(batches: Iterator[pa.RecordBatch], k: int, frequent, block: int, bits
             place = words.grams(k - 1, 0)[: len(ok) + 1] >> _U(64 - bits)
             often = (bitmap[place >> _U(3)] >> (place & _U(7)).astype(np.uint8)) & 1 == 1
             ok &= often[:-1] & often[1:] if len(ok) else ok
-        at, n = words.distinct(np.nonzero(ok)[0], k)
-        order = words.sorted(at, k)
-        at, n = at[order], n[order]
-        names = np.array(words.names, object)
-        if k == 1:
-            yield _batch(words.names, [None] * len(names), np.bincount(words.lang, minlength=len(names)))
-        for lo in range(0, len(at), 100_000):
-            mine = at[lo : lo + 100_000]
-            yield _batch(names[words.lang[mine]].tolist(), words.phrases(mine, k), n[lo : lo + 100_000])
+        at, n, h = words.distinct(np.nonzero(ok)[0], k)
+        bucket = ((h >> _U(8)) % _U(buckets)).astype(np.int32)
+        order = words.sorted(at, k, bucket)
+        at, n, bucket = at[order], n[order], bucket[order]
+        lang = words.lang[at]
+        totals = np.bincount(words.lang, minlength=len(words.names))
+        for j, name in enumerate(words.names):
+            lo, hi = np.searchsorted(lang, [j, j + 1])
+            text, mine = words.phrases(at[lo:hi], k), bucket[lo:hi]
+            heads = np.append(np.nonzero(np.diff(mine, prepend=-1))[0], len(mine)).tolist()
+            spans = list(zip(heads, heads[1:]))
+            if k == 1:
+                yield _row(name, [0], [int(totals[j])], [None])
+            yield _row(name, [int(mine[a]) for a, _ in spans], [None] * len(spans), [_pack(text[a:b], n[lo + a : lo + b]) for a, b in spans])
+
+
+def _merge(batches: Iterator[pa.RecordBatch], least: int, held: int) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, f) of the phrases of a bucket with ``least`` or more; a null phrase has the words in all.
+
+    Counts are summed whenever ``held`` rows have come together.
+    """
+    tables, rows = [], 0
+
+    def summed() -> pa.Table:
+        t = pa.concat_tables(tables).combine_chunks().group_by(["lang", "phrase"], use_threads=False).aggregate([("f", "sum")])
+        return t.select(["lang", "phrase", "f_sum"]).rename_columns(["lang", "phrase", "f"])
+
+    for b in batches:
+        for lang, n, blob in zip(*(b.column(c).to_pylist() for c in (0, 2, 3))):
+            text, f = (pa.array([None], pa.string()), pa.array([n], pa.int64())) if blob is None else _unpack(blob)
+            tables.append(pa.table({"lang": pa.array([lang], pa.string()).take(pa.array(np.zeros(len(f), np.int8))), "phrase": text, "f": f}))
+            rows += len(f)
+            if rows >= held:
+                tables = [summed()]
+                rows, held = 0, max(held, 2 * len(tables[0]))
+    if tables:
+        t = summed()
+        yield from t.filter(pc.or_(pc.greater_equal(t["f"], least), pc.is_null(t["phrase"]))).combine_chunks().to_batches()
 
 
 def _places(batches: Iterator[pa.RecordBatch], k: int, block: int, bits: int) -> Iterator[pa.RecordBatch]:
@@ -182,10 +242,12 @@ def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100, lang_c
     """
     sc = docs.sparkSession.sparkContext
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    # As many buckets as follow the input, so that a bucket's counts do not grow with it.
+    buckets = min(1 << 14, max(64, 4 * texts.rdd.getNumPartitions()))
     levels, frequent = [], None
     for k in range(1, longest + 1):
-        counted = texts.mapInArrow(partial(_count, k=k, frequent=frequent, block=BLOCK, bits=BITS), "lang string, phrase string, f long")
-        found = cut(counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | F.col("phrase").isNull()))
+        counted = texts.mapInArrow(partial(_count, k=k, frequent=frequent, block=BLOCK, bits=BITS, buckets=buckets), "lang string, bucket int, n long, counts binary")
+        found = cut(counted.repartition(buckets, "bucket").mapInArrow(partial(_merge, least=least, held=HELD), "lang string, phrase string, f long"))
         if k == 1:
             totals = found.where("phrase IS NULL").select("lang", F.col("f").alias("n"))
             found = found.where("phrase IS NOT NULL")

@@ -208,6 +208,7 @@ def test_phrases_as_brute_force(spark, empty, monkeypatch, block, bits, longest,
     """Small blocks and a crowded bitmap (many wrong hits) change nothing."""
     monkeypatch.setattr(phrases, "BLOCK", block)
     monkeypatch.setattr(phrases, "BITS", bits)
+    monkeypatch.setattr(phrases, "HELD", block)
     data = phrase_rows()
     df = spark.createDataFrame(data, DOCS).repartition(3)
     got = phrases.collocations(df, longest, least, top, ratio)
@@ -223,7 +224,7 @@ def test_phrases_with_equal_hashes_are_told_apart(monkeypatch):
     real = words.grams
     monkeypatch.setattr(words, "grams", lambda k, way: real(k, way) * np.uint64(way))
     at = np.nonzero(words.fits(2))[0]
-    first, n = words.distinct(at, 2)
+    first, n, _ = words.distinct(at, 2)
     assert Counter({(words.names[words.lang[i]], p): int(c) for i, p, c in zip(first, words.phrases(first, 2), n)}) == {("en", b"a b"): 2, ("en", b"b a"): 1, ("en", b"a c"): 1, ("en", b"c a"): 1, ("de", b"a b"): 1}
 
 
