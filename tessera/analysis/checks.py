@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph.algorithms import cyclic_nodes
+from ..operators import store
 from ..operators.modules import duplicates
-from ..plans.compiler import sparql
+from ..plans.ast import Const, Group, Path, Select, Var
+from ..plans.compiler import predicates_of, sparql
 from ..plans.parser import parse
+from ..session import shared_folder
 
 
 def validate(modules: DataFrame, edges: DataFrame, many: int = 10) -> DataFrame:
@@ -51,8 +55,8 @@ SEVERITIES = ["info", "warning", "error"]
 
 # The ids of the built-in rules.
 BUILT_IN = [
-    Rule("no-circular-dependencies", "No two modules depend on each other", "SELECT ?module ?other WHERE { ?module code:linksTo ?other . ?other code:linksTo ?module FILTER(?module != ?other) }", tags=("architecture",)),
-    Rule("exports-documented", "Modules with exports have a description", "SELECT DISTINCT ?module WHERE { ?module code:exports ?export . FILTER NOT EXISTS { ?module code:description ?text } }", "warning", tags=("documentation",)),
+    Rule("no-circular-dependencies", "No two modules depend on each other", "SELECT ?module1 ?module2 WHERE { ?module1 code:linksTo ?module2 . ?module2 code:linksTo ?module1 FILTER(?module1 != ?module2) }", tags=("architecture",)),
+    Rule("exports-documented", "Modules with exports have a description", "SELECT ?module WHERE { ?module code:exports ?export . FILTER NOT EXISTS { ?module code:description ?text } }", "warning", tags=("documentation",)),
     Rule("modules-have-layer", "Modules have a layer", "SELECT ?module WHERE { ?module a code:Module . FILTER NOT EXISTS { ?module code:layer ?layer } }", "warning", tags=("architecture",)),
     Rule("modules-have-tags", "Modules have tags", "SELECT ?module WHERE { ?module a code:Module . FILTER NOT EXISTS { ?module code:tags ?tag } }", "info", tags=("documentation",)),
 ]
@@ -87,12 +91,78 @@ class Report:
     skipped: list[str] = field(default_factory=list)
 
 
+def _star(q: Select) -> tuple[list, list] | None:
+    """The (predicate, object or None) pairs that a node must have, and those it must not, where a
+    query asks for nothing else and returns the node alone; None for other queries."""
+    if len(q.variables) != 1 or q.variables[0][1] is not None or q.distinct or q.group_by or q.having or q.order_by or q.limit is not None or q.offset is not None:
+        return None
+    node, met = q.variables[0][0], set()
+
+    def keys(group: Group) -> list | None:
+        out = []
+        for kind, *rest in group.elements:
+            for t in rest[0] if kind == "triples" else []:
+                if t.s != Var(node) or not isinstance(t.p, Path) or t.p.op != "link" or isinstance(t.o, Var) and (t.o.name in met or t.o.name == node):
+                    return None
+                met.update([t.o.name] if isinstance(t.o, Var) else [])
+                out.append((t.p.iri, t.o.value if isinstance(t.o, Const) else None))
+        return out
+
+    has, lacks = keys(q.where), []
+    for kind, *rest in q.where.elements:
+        if kind == "triples":
+            continue
+        e = rest[0]
+        if kind != "filter" or e.op != "!" or e.args[0].op != "exists" or any(x[0] != "triples" for x in e.args[0].args[0].elements):
+            return None
+        none = keys(e.args[0].args[0])
+        if none is None or len(none) != 1:
+            return None
+        lacks += none
+    return (has, lacks) if has else None
+
+
+def _stars(triples: DataFrame, stars: dict[str, tuple[list, list]]) -> DataFrame:
+    """(rule, module, n) of all star rules: one scan, and one aggregate of a node's matches by pattern."""
+    patterns = sorted({k for has, lacks in stars.values() for k in [*has, *lacks]}, key=str)
+    name = {k: f"__{i}" for i, k in enumerate(patterns)}
+    fits = {k: (F.col("predicate") == k[0]) & (F.lit(True) if k[1] is None else F.col("object") == k[1]) for k in patterns}
+    seen = triples.where(F.col("predicate").isin(sorted({k[0] for k in patterns}))).groupBy("subject").agg(*[F.count_if(c).alias(name[k]) for k, c in fits.items()])
+    rows = []
+    for rule, (has, lacks) in stars.items():
+        n = F.lit(1).cast("long")
+        for k in has:
+            n = n * F.col(name[k])
+        for k in lacks:
+            n = F.when(F.col(name[k]) == 0, n).otherwise(0)
+        rows.append(F.struct(F.lit(rule).alias("rule"), n.alias("n")))
+    return seen.select(F.col("subject").alias("module"), F.explode(F.filter(F.array(*rows), lambda x: x["n"] > 0)).alias("x")).select("x.rule", "module", "x.n")
+
+
 def check_rules(triples: DataFrame, rules: list[Rule], least: str = "info", tags: set[str] | None = None, counts: dict[str, int] | None = None) -> Report:
-    """Results of all rules in two plans: (rule, severity, found, expect, passed), and one violation
-    a row that a failed rule found, or one message where it found none but expected some."""
+    """Results of all rules: (rule, severity, found, expect, passed), and one violation a row that a
+    failed rule found, or one message where it found none but expected some.
+
+    Rules about single nodes share one scan and one aggregate, however many they are.  Where several
+    others are left, the predicates that they name are written once, parted by predicate, and each
+    rule reads only its own.
+    """
     chosen = [r for r in rules if r.enabled and SEVERITIES.index(r.severity) >= SEVERITIES.index(least) and (not tags or tags & set(r.tags))]
     spark, found = triples.sparkSession, None
-    for r in chosen:
+    parsed = {r.id: parse(r.pattern) for r in chosen}
+    stars = {k: s for k, q in parsed.items() if (s := _star(q))}
+    others = [r for r in chosen if r.id not in stars]
+    if stars:
+        node = F.create_map(*[F.lit(x) for k in stars for x in (k, parsed[k].variables[0][0])])
+        each = _stars(triples, stars).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+        found = each.select("rule", "module", F.to_json(F.map_from_arrays(F.array(node[F.col("rule")]), F.array("module"))).alias("details"))
+    if len(others) > 1:
+        named = [predicates_of(parsed[r.id].where) for r in others]
+        mine = triples if None in named else triples.where(F.col("predicate").isin(sorted(set().union(*named))))
+        folder = f"{shared_folder(spark)}/rules-{uuid.uuid4().hex}"
+        store.save(mine, folder)
+        triples = store.load(spark, folder)
+    for r in others:
         rows = sparql(triples, r.pattern, counts)
         module = next((c for c in rows.columns if "module" in c.lower() or "source" in c.lower()), rows.columns[0])
         rows = rows.select(F.lit(r.id).alias("rule"), F.col(module).cast("string").alias("module"), F.to_json(F.struct(*rows.columns)).alias("details"))
@@ -108,6 +178,19 @@ def check_rules(triples: DataFrame, rules: list[Rule], least: str = "info", tags
     return Report(summary.select("rule", "severity", "found", "expect", "passed"), rows.select("rule", "severity", "module", message.alias("message"), "suggestion", "details"), [r.id for r in rules if r not in chosen])
 
 
+def located(rows: DataFrame, modules: DataFrame, key: str = "module") -> DataFrame:
+    """``rows`` with the ``path`` of the module that ``key`` names: its path, else its URI, else its name.
+
+    A URI matches with or without its leading ``#``.  The least path is taken of several, null if none fits.
+    """
+    bare = lambda c: F.regexp_replace(c, "^#", "")
+    by = lambda c, name: modules.where(c != "").groupBy(c.alias("__key")).agg(F.min("path").alias(name))
+    out = rows.withColumn("__key", F.col(key))
+    out = out.join(by(F.col("path"), "__p"), "__key", "left").withColumn("__bare", bare(F.col("__key")))
+    out = out.join(by(bare(F.col("uri")), "__u").withColumnRenamed("__key", "__bare"), "__bare", "left").join(by(F.col("name"), "__n"), "__key", "left")
+    return out.withColumn("path", F.coalesce("__p", "__u", "__n")).drop("__key", "__bare", "__p", "__u", "__n")
+
+
 def diff(old: DataFrame, new: DataFrame, old_edges: DataFrame, new_edges: DataFrame) -> DataFrame:
     """(path, status, added and removed dependencies and exports, old_layer, new_layer) by path.
 

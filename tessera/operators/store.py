@@ -52,10 +52,18 @@ def exists(triples: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(triples, COLUMNS, "left_semi")
 
 
-def save(triples: DataFrame, path: str) -> None:
-    """Parquet partitioned by predicate, so that a pattern reads its predicate alone."""
-    triples.repartition("predicate", "subject").write.mode("overwrite").partitionBy("predicate").parquet(path)
+def save(triples: DataFrame, path: str, buckets: int | None = None) -> None:
+    """Parquet partitioned by predicate and sorted by subject, so that a pattern reads its predicate
+    alone and, with a constant subject, few row groups of it.
+
+    A predicate is written by several tasks: ``buckets`` ranges of the hash of the subject,
+    as many as there are shuffle partitions unless named.
+    """
+    n = buckets or int(triples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cols = triples.select(COLUMNS).repartition(n, F.pmod(F.xxhash64("subject"), F.lit(n))).sortWithinPartitions("predicate", "subject")
+    cols.write.mode("overwrite").partitionBy("predicate").parquet(path)
 
 
 def load(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path).select(COLUMNS)
+    """The stored triples; a constant predicate, or one that a join brings, prunes the folders read."""
+    return spark.read.schema("subject string, predicate string, object string").parquet(path).select(COLUMNS)

@@ -30,6 +30,35 @@ class Solution:
         return self.bound | self.maybe
 
 
+def predicates_of(g: Group) -> set[str] | None:
+    """The constant predicates that a group's patterns name, in all its parts; None if one may be any."""
+    out: set[str] = set()
+
+    def of_path(p: Path) -> bool:
+        # A path that a node may pass by reaches all nodes, whatever their predicates.
+        if p.op in ("star", "opt"):
+            return False
+        out.update([p.iri] if p.op == "link" else [])
+        return all(of_path(x) for x in p.parts)
+
+    def of_expr(e) -> bool:
+        return of_group(e) if isinstance(e, Group) else not isinstance(e, Expr) or all(of_expr(x) for x in e.args)
+
+    def of_group(g: Group) -> bool:
+        for kind, *rest in g.elements:
+            if kind == "triples":
+                ok = all(isinstance(t.p, Path) and of_path(t.p) for t in rest[0])
+            elif kind == "union":
+                ok = all(of_group(x) for x in rest[0])
+            else:
+                ok = all(of_expr(x) for x in rest)
+            if not ok:
+                return False
+        return True
+
+    return out if of_group(g) else None
+
+
 def predicate_counts(triples: DataFrame) -> dict[str, int]:
     """Rows by predicate: one small row for each predicate, for the ordering of patterns."""
     return {r[0]: r[1] for r in triples.groupBy("predicate").count().collect()}

@@ -14,7 +14,7 @@ from .functions import text
 from .graph import algorithms as g
 from .graph import reach
 from .operators import modules as ops
-from .operators import store
+from .operators import pages, store
 from .plans.compiler import sparql
 from .plans.templates import Templates
 from .schema import NS, RDF_TYPE
@@ -22,7 +22,7 @@ from .session import shared_folder
 from .sinks import diagrams, results
 from .sources import files
 from .sources.cache import ModuleCache
-from .sources.tables import PRELUDE, edges, modules, part_edges, triples
+from .sources.tables import PRELUDE, by_predicate, edges, modules, part_edges, triples
 from .streaming.watch import bursts, windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,7 +43,7 @@ def _p(name: str) -> str:
 
 # --- SPARQL: patterns, filters, modifiers
 def _sparql(name: str, query: str, sql: str) -> None:
-    register(name, lambda spark, d: sparql(triples(spark, d), query), sql)
+    register(name, lambda spark, d: sparql(by_predicate(spark, d), query), sql)
 
 
 def _pat(alias: str, predicate: str) -> str:
@@ -111,7 +111,7 @@ _T = {
     "api-surface": ({"layer": "supplier"}, "SELECT path AS module, export FROM ex WHERE layer = 'supplier'"),
 }
 for _name, (_values, _sql) in _T.items():
-    register(f"tpl_{_name.replace('-', '_')}", lambda spark, d, n=_name, v=_values: Templates().run(n, triples(spark, d), **v), _sql)
+    register(f"tpl_{_name.replace('-', '_')}", lambda spark, d, n=_name, v=_values: Templates().run(n, by_predicate(spark, d), **v), _sql)
 
 
 def _part_triples(spark: SparkSession, d: str) -> DataFrame:
@@ -139,6 +139,19 @@ register("identify", lambda s, d: ops.identify(modules(s, d), "#nation/4").selec
 register("export_search", lambda s, d: ops.exports_like(modules(s, d), "00001"), "SELECT export, path FROM ex WHERE contains(export, '00001')")
 register("page_modules", lambda s, d: ops.page(modules(s, d), ["path"], 3, 25).select("path"), "SELECT path FROM m ORDER BY path LIMIT 25 OFFSET 50")
 register("page_cursor", lambda s, d: ops.cursor_page(modules(s, d), 20, 9), "SELECT path, to_base64(encode('cursor:' || (10 + row_number() OVER (ORDER BY path) - 1))) AS cursor, true AS has_next FROM (SELECT path FROM m ORDER BY path LIMIT 20 OFFSET 10)")
+
+
+def _third_page(s: SparkSession, d: str) -> DataFrame:
+    """The third page by keys, reached forward from the first, then back from the fourth."""
+    m, token = modules(s, d).select("layer", "path"), None
+    for way in ("next", "next", "next", "previous"):
+        page = pages.keyset_page(m, ["layer", "path"], 40, token)
+        token = getattr(page, way)
+    return pages.keyset_page(m, ["layer", "path"], 40, token).frame(s, m.schema)
+
+
+register("page_numbered", lambda s, d: pages.numbered_page(modules(s, d).select("path", "name"), ["path"], 7, 30).frame(s, "path string, name string"), "SELECT path, name, (SELECT count(*) FROM m) AS total, true AS has_previous, (SELECT count(*) > 210 FROM m) AS has_next FROM m ORDER BY path LIMIT 30 OFFSET 180")
+register("page_keyset", _third_page, "SELECT layer, path, (SELECT count(*) FROM m) AS total, true AS has_previous, (SELECT count(*) > 120 FROM m) AS has_next FROM m ORDER BY layer, path LIMIT 40 OFFSET 80")
 register("lang_counts", lambda s, d: ops.counts(modules(s, d), "language"), "SELECT language, count(*) AS n FROM m WHERE language <> '' GROUP BY language")
 register("layer_counts", lambda s, d: ops.counts(modules(s, d), "layer"), "SELECT layer, count(*) AS n FROM m WHERE layer <> '' GROUP BY layer")
 register("tag_counts", lambda s, d: ops.list_counts(modules(s, d), "tags", "tag"), "SELECT tag, count(*) AS n FROM tg GROUP BY tag")
@@ -241,9 +254,16 @@ register("zone_boundaries", lambda s, d: security.boundaries(_zoned(s, d)), _ZON
 register("zone_violations", lambda s, d: security.violations(_zoned(s, d), strict=True), _ZONE + f" SELECT src, dst, src_zone, dst_zone, {_RISK} AS risk, 'unauthorized' AS kind FROM c WHERE NOT {_MAY}")
 register("zone_risk", lambda s, d: security.risk_score(security.violations(_zoned(s, d))), _ZONE + f" SELECT count(*) AS violations, 0::BIGINT AS critical, 0::BIGINT AS high, round(least(coalesce(avg(CASE {_RISK} WHEN 'MEDIUM' THEN 4 ELSE 2 END), 0), 10), 6) AS score FROM c WHERE NOT {_MAY}")
 register("validate_graph", lambda s, d: checks.validate(modules(s, d), edges(s, d)), "SELECT 'warning' AS severity, 'missing-description' AS \"check\", path FROM m WHERE coalesce(description, '') = '' UNION ALL SELECT 'warning', 'no-exports', path FROM m WHERE path NOT IN (SELECT path FROM ex)")
-_RULES = "SELECT * FROM (VALUES ('no-circular-dependencies', 'error', 0), ('exports-documented', 'warning', (SELECT count(DISTINCT m.path) FROM m JOIN ex ON ex.path = m.path WHERE description IS NULL)), ('modules-have-layer', 'warning', 0), ('modules-have-tags', 'info', 0)) v(rule, severity, found)"
+_RULES = "SELECT * FROM (VALUES ('no-circular-dependencies', 'error', 0), ('exports-documented', 'warning', (SELECT count(*) FROM m JOIN ex ON ex.path = m.path WHERE description IS NULL)), ('modules-have-layer', 'warning', 0), ('modules-have-tags', 'info', 0)) v(rule, severity, found)"
 register("rule_summary", lambda s, d: checks.check_rules(triples(s, d), checks.BUILT_IN).summary.select("rule", "severity", F.col("found").cast("long").alias("found"), "passed"), "+v AS (" + _RULES + ") SELECT rule, severity, found::BIGINT AS found, found = 0 AS passed FROM v")
-register("rule_violations", lambda s, d: checks.check_rules(triples(s, d), checks.BUILT_IN).violations.select("rule", "severity", "module"), "SELECT DISTINCT 'exports-documented' AS rule, 'warning' AS severity, m.path AS module FROM m JOIN ex ON ex.path = m.path WHERE description IS NULL")
+register("rule_violations", lambda s, d: checks.check_rules(triples(s, d), checks.BUILT_IN).violations.select("rule", "severity", "module"), "SELECT 'exports-documented' AS rule, 'warning' AS severity, m.path AS module FROM m JOIN ex ON ex.path = m.path WHERE description IS NULL")
+
+_MORE_RULES = [
+    checks.Rule(f"star-{k}", "star", f'SELECT ?m WHERE {{ ?m code:layer "{layer}" ; code:tags ?t FILTER NOT EXISTS {{ ?m code:exports ?e }} }}', "info") for k, layer in enumerate(("region", "nation", "supplier", "customer", "orders"))
+] + [checks.Rule("linked-twice", "path", "SELECT DISTINCT ?module ?far WHERE { ?module code:linksTo ?mid . ?mid code:linksTo ?far . ?far code:layer \"region\" }", "info")]
+register("rules_in_one_pass", lambda s, d: checks.check_rules(triples(s, d), [*checks.BUILT_IN, *_MORE_RULES]).summary.select("rule", F.col("found").cast("long").alias("found")),
+         "+v AS (" + _RULES + ") SELECT rule, found::BIGINT AS found FROM v UNION ALL SELECT 'star-' || k, (SELECT count(*) FROM m JOIN tg ON tg.path = m.path WHERE m.layer = l AND m.path NOT IN (SELECT path FROM ex)) FROM (VALUES (0, 'region'), (1, 'nation'), (2, 'supplier'), (3, 'customer'), (4, 'orders')) x(k, l) UNION ALL SELECT 'linked-twice', (SELECT count(DISTINCT a.src || '>' || b.dst) FROM e a JOIN e b ON a.dst = b.src JOIN m ON m.path = b.dst WHERE layer = 'region')")
+register("rule_located", lambda s, d: checks.located(checks.check_rules(triples(s, d), checks.BUILT_IN).violations.select("rule", F.concat(F.lit("#"), "module").alias("module")), modules(s, d)), "SELECT 'exports-documented' AS rule, '#' || m.path AS module, m.path AS path FROM m JOIN ex ON ex.path = m.path WHERE description IS NULL")
 
 
 def _snapshots(s: SparkSession, d: str) -> DataFrame:

@@ -76,6 +76,26 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.unionByName(e.select(F.col("src").alias("subject"), F.lit(f"{NS}linksTo").alias("predicate"), F.col("dst").alias("object")))
 
 
+def by_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same triples, one branch for each predicate.
+
+    A pattern with a constant predicate leaves all other branches out when it is planned, and
+    its constants and columns go through to the scans: a layer keeps the table of that layer alone.
+    ``triples`` reads each table once and suits what asks for all predicates.
+    """
+    m, e = modules(spark, sf_dir), edges(spark, sf_dir)
+
+    def branch(predicate: str, subject, object_) -> DataFrame:
+        return m.select(F.col(subject).alias("subject"), F.lit(predicate).alias("predicate"), object_.alias("object"))
+
+    out = branch(RDF_TYPE, "path", F.lit(f"{NS}Module"))
+    for c in ("name", "description", "language", "layer"):
+        out = out.unionByName(branch(NS + c, "path", F.col(c)).where("object IS NOT NULL"))
+    for c in ("tags", "exports"):
+        out = out.unionByName(branch(NS + c, "path", F.explode(c)))
+    return out.unionByName(e.select(F.col("src").alias("subject"), F.lit(f"{NS}linksTo").alias("predicate"), F.col("dst").alias("object")))
+
+
 #: The same triples for DuckDB.
 TRIPLES_SQL = f"""
 SELECT path AS subject, '{RDF_TYPE}' AS predicate, '{NS}Module' AS object FROM m

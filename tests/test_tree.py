@@ -127,7 +127,7 @@ def test_watcher_sees_changed_deleted_and_ignored_files(spark, tmp_path):
     try:
         until("pkg/b.py", "added")
         assert kept() == rebuilt() and len(kept()) == 2
-        write("pkg/c.py", "c"), write("a.py", "changed name")
+        write("pkg/c.py", "c"), write("a.py", "renamed")
         until("a.py", "changed"), until("pkg/c.py", "added")
         write("node_modules/m.js", "m")
         (top / "pkg/b.py").unlink()
