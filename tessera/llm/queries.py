@@ -81,7 +81,7 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sentence_pieces.decode(sentence_pieces.encode(read(spark, sf_dir, "documents")))
+    out = sentence_pieces.encode(read(spark, sf_dir, "documents"), decoded=True)
     return out.select("doc_id", sentence_pieces.n_ids(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

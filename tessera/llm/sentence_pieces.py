@@ -156,12 +156,15 @@ def _texts(batches: Iterator[pa.RecordBatch], block: int, rows: int) -> Iterator
             yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
 
 
-def _packed_ids(texts: list[str], encode, frame: tuple[list[int], list[int]]) -> pa.Array:
-    front, back = _ids([*frame])
-    return pa.array([front + encode(t) + back for t in texts], pa.binary())
+def _columns(texts: list[str], encode, frame: tuple[list[int], list[int]], library, back: bool) -> list[pa.Array]:
+    """The packed ids of texts, and what the library decodes them to if ``back``."""
+    front, end = _ids([*frame])
+    packed = [front + encode(t) + end for t in texts]
+    out = [pa.array(packed, pa.binary())]
+    return [*out, pa.array([library.decode(np.frombuffer(x, "<u4").tolist()) for x in packed], pa.string())] if back else out
 
 
-def _join(left: pa.Table, right: pa.Table, shared, frame, schema: pa.Schema, ranges: int) -> pa.Table:
+def _join(left: pa.Table, right: pa.Table, shared, frame, schema: pa.Schema, ranges: int, back: bool) -> pa.Table:
     """The ids of a block's texts from the segments of its chunks."""
     library, met = _library(shared.value), set()
     slices_ = left.column("rows").to_pylist()
@@ -182,18 +185,19 @@ def _join(left: pa.Table, right: pa.Table, shared, frame, schema: pa.Schema, ran
     out = []
     for rows in slices_:
         for b in pa.ipc.open_stream(rows):
-            out.append(pa.RecordBatch.from_arrays([b.column(0), _packed_ids(b.column(1).to_pylist(), encode, frame)], schema=schema))
+            out.append(pa.RecordBatch.from_arrays([b.column(0), *_columns(b.column(1).to_pylist(), encode, frame, library, back)], schema=schema))
     return pa.Table.from_batches(out, schema)
 
 
-def _whole(batches: Iterator[pa.RecordBatch], shared, frame, name: str) -> Iterator[pa.RecordBatch]:
+def _whole(batches: Iterator[pa.RecordBatch], shared, frame, schema: pa.Schema, back: bool) -> Iterator[pa.RecordBatch]:
     library = _library(shared.value)
     for b in slices(batches, SLICE):
-        yield pa.RecordBatch.from_arrays([b.column(0), _packed_ids(b.column(1).to_pylist(), lambda t: _ids([library.encode(t)])[0], frame)], names=[name, "ids"])
+        yield pa.RecordBatch.from_arrays([b.column(0), *_columns(b.column(1).to_pylist(), lambda t: _ids([library.encode(t)])[0], frame, library, back)], schema=schema)
 
 
-def encode(docs: DataFrame, path: str | None = None, begin: bool = True, end: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids) for every row of ``docs``: its ids as little-endian 32-bit numbers in a binary.
+def encode(docs: DataFrame, path: str | None = None, begin: bool = True, end: bool = True, decoded: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids) for every row of ``docs``: its ids as little-endian 32-bit numbers in a binary;
+    with ``decoded`` also the text that the library decodes them to.
 
     ``id_list`` turns them into an array.  A null text counts as empty, an empty one has only the
     begin and end ids.  Repeated rows and null ids are encoded like others, other columns are not
@@ -205,16 +209,16 @@ def encode(docs: DataFrame, path: str | None = None, begin: bool = True, end: bo
     frame = ([library.bos_id()] if begin else [], [library.eos_id()] if end else [])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
+    out = StructType([docs.schema[id_col], StructField("ids", BinaryType()), *([StructField("decoded", StringType())] if decoded else [])])
+    how = {"shared": shared, "frame": frame, "schema": to_arrow_schema(out), "back": decoded}
     if not chunks_apart(model):
-        return rows.mapInArrow(partial(_whole, shared=shared, frame=frame, name=id_col), f"`{id_col}` {kind}, ids binary")
+        return rows.mapInArrow(partial(_whole, **how), out)
     # As many shares as input partitions: what meets in a share does not grow with the input.
     shares = min(4096, max(16, rows.rdd.getNumPartitions()))
     asked = rows.mapInArrow(partial(_ask, ranges=shares, block=BLOCK, rows=SLICE), "block string, share int, chunks binary")
     segments = asked.repartition(shares, "share").mapInArrow(partial(_segment, shared=shared), "block string, share int, mark binary, ids binary")
     packed = rows.mapInArrow(partial(_texts, block=BLOCK, rows=SLICE), "block string, rows binary")
-    out = StructType([docs.schema[id_col], StructField("ids", BinaryType())])
-    return packed.groupBy("block").cogroup(segments.groupBy("block")).applyInArrow(partial(_join, shared=shared, frame=frame, schema=to_arrow_schema(out), ranges=shares), out)
+    return packed.groupBy("block").cogroup(segments.groupBy("block")).applyInArrow(partial(_join, ranges=shares, **how), out)
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:

@@ -113,6 +113,8 @@ def test_sentence_pieces_as_the_library(spark, monkeypatch):
         want = Counter((i, tuple(lib.encode(t or "", add_bos=begin, add_eos=end))) for i, t in data)
         assert Counter((x.doc_id, tuple(np.frombuffer(x.ids, "<u4").tolist())) for x in got) == want
         assert all(x.decoded == lib.decode(np.frombuffer(x.ids, "<u4").tolist()) and x.list == np.frombuffer(x.ids, "<u4").tolist() and x.n == len(x.list) for x in got)
+    both = sentence_pieces.encode(df, decoded=True)
+    assert both.columns == ["doc_id", "ids", "decoded"] and all(x.decoded == lib.decode(np.frombuffer(x.ids, "<u4").tolist()) for x in both.collect())
     assert sentence_pieces.encode(df.limit(0)).count() == 0
 
 
@@ -144,7 +146,7 @@ def test_each_chunk_is_segmented_once_and_misses_are_met(spark, monkeypatch):
     for known in (met, {"dog"}, set()):  # asked for all, for others, for none
         shares = sentence_pieces._shares(known, 1)
         right = pa.table({"share": pa.array([k for k, _ in shares], pa.int32()), "mark": pa.array([sentence_pieces._mark(s) for _, s in shares], pa.binary()), "ids": pa.array([sentence_pieces._pack(sentence_pieces._ids(lib.encode([c.decode() for c in s]))) for _, s in shares], pa.binary())})
-        got = sentence_pieces._join(rows, right, Shared, ([], []), pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())]), 1)
+        got = sentence_pieces._join(rows, right, Shared, ([], []), pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())]), 1, False)
         assert np.frombuffer(got["ids"][0].as_py(), "<u4").tolist() == want
     assert sorted(asked) == sorted([*met, *met])
 
@@ -171,6 +173,7 @@ def test_models_whose_pieces_cross_markers_go_whole(spark, tmp_path, monkeypatch
     df = spark.createDataFrame([(1, "cats take"), (2, None)], "doc_id long, text string")
     got = {x.doc_id: np.frombuffer(x.ids, "<u4").tolist() for x in sentence_pieces.encode(df, str(path)).collect()}
     assert got == {1: lib.encode("cats take", add_bos=True, add_eos=True), 2: [1, 2]}
+    assert {x.doc_id: x.decoded for x in sentence_pieces.encode(df, str(path), decoded=True).collect()} == {1: "cats take", 2: ""}
 
 
 def brute_phrases(data, longest, least, top, ratio):
