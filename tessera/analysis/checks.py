@@ -15,26 +15,35 @@ from ..plans.ast import Const, Group, Path, Select, Var
 from ..plans.compiler import predicates_of, sparql
 from ..plans.parser import parse
 from ..session import shared_folder
+from ..sources.turtle import resolve_edges
 
 
-def validate(modules: DataFrame, edges: DataFrame, many: int = 10) -> DataFrame:
-    """(severity, check, path): errors and warnings, one row for each module and check.
+def validate(modules: DataFrame, edges: DataFrame, many: int = 10, brackets: bool = False) -> DataFrame:
+    """(severity, check, path, message): errors and warnings.
 
-    One pass over the modules makes the checks of single modules.
+    One pass over the modules makes the checks of single modules.  A dependency is known if it is
+    the path, URI or name of a module or the end of a path; each unknown one is a row.  URIs are
+    held bare here; ``brackets`` warns of them for sources that should keep their angle brackets.
     """
     empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     none = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
     single = [("error", "missing-name", empty("name")), ("error", "missing-uri", empty("uri")), ("warning", "missing-description", empty("description")), ("warning", "missing-language", empty("language")), ("warning", "no-tags", none("tags")), ("warning", "no-exports", none("exports"))]
-    found = F.filter(F.array(*[F.when(c, F.struct(F.lit(s).alias("severity"), F.lit(n).alias("check"))) for s, n, c in single]), lambda x: x.isNotNull())
-    out = modules.select("path", F.explode(found).alias("f")).select("f.severity", "f.check", "path")
+    if brackets:
+        single.append(("warning", "bare-uri", ~empty("uri") & ~F.coalesce(F.col("uri").rlike("^<.*>$"), F.lit(False))))
+    said = {"missing-name": "the name is missing", "missing-uri": "the URI is missing", "missing-description": "the description is missing", "missing-language": "the language is missing", "no-tags": "there are no tags", "no-exports": "there are no exports", "bare-uri": "the URI stands without angle brackets"}
+    found = F.filter(F.array(*[F.when(c, F.struct(F.lit(s).alias("severity"), F.lit(n).alias("check"), F.lit(said[n]).alias("message"))) for s, n, c in single]), lambda x: x.isNotNull())
+    out = modules.select("path", F.explode(found).alias("f")).select("f.severity", "f.check", "path", "f.message")
     e = edges.select("src", "dst").distinct()
-    lost = e.join(modules.select(F.col("path").alias("dst")), "dst", "left_anti").select(F.col("src").alias("path")).distinct()
+    links = e.select(F.col("src").alias("subject"), F.lit("linksTo").alias("predicate"), F.col("dst").alias("object"))
+    lost = resolve_edges(links, modules).where("NOT resolved").select(F.col("src").alias("path"), F.concat(F.lit("no module fits "), F.col("dst")).alias("message"))
     parts = [("warning", "unknown-dependency", lost)]
-    parts.append(("warning", "many-dependencies", e.groupBy(F.col("src").alias("path")).count().where(F.col("count") > many).select("path")))
-    parts.append(("error", "duplicate-uri", duplicates(modules.where(~empty("uri"))).select("path")))
-    parts.append(("error", "cycle", cyclic_nodes(edges).select(F.col("node").alias("path"))))
+    busy = e.groupBy(F.col("src").alias("path")).count().where(F.col("count") > many)
+    parts.append(("warning", "many-dependencies", busy.select("path", F.concat(F.col("count").cast("string"), F.lit(" dependencies")).alias("message"))))
+    shared = duplicates(modules.where(~empty("uri"))).select("path", F.concat(F.lit("several modules have the URI "), F.col("uri")).alias("message"))
+    parts.append(("error", "duplicate-uri", shared))
+    parts.append(("error", "cycle", cyclic_nodes(edges).select(F.col("node").alias("path"), F.concat(F.lit("in the cycle of "), F.col("component")).alias("message"))))
     for severity, check, df in parts:
-        out = out.unionByName(df.select(F.lit(severity).alias("severity"), F.lit(check).alias("check"), "path"))
+        out = out.unionByName(df.select(F.lit(severity).alias("severity"), F.lit(check).alias("check"), "path", "message"))
     return out
 
 
@@ -178,6 +187,11 @@ def check_rules(triples: DataFrame, rules: list[Rule], least: str = "info", tags
     return Report(summary.select("rule", "severity", "found", "expect", "passed"), rows.select("rule", "severity", "module", message.alias("message"), "suggestion", "details"), [r.id for r in rules if r not in chosen])
 
 
+def by_severity(report: Report) -> DataFrame:
+    """(severity, rules, failed, found) of the rules that ran."""
+    return report.summary.groupBy("severity").agg(F.count(F.lit(1)).alias("rules"), F.count_if(~F.col("passed")).alias("failed"), F.sum("found").cast("long").alias("found"))
+
+
 def located(rows: DataFrame, modules: DataFrame, key: str = "module") -> DataFrame:
     """``rows`` with the ``path`` of the module that ``key`` names: its path, else its URI, else its name.
 

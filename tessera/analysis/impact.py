@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph.algorithms import closure, reverse, shortest_paths
+from ..graph.ranks import ranked
 
 
 def _points(value: Column, ladder: list[tuple[float, int]]) -> Column:
@@ -63,6 +64,32 @@ def combined(edges: DataFrame, targets: DataFrame) -> DataFrame:
     return impacted(edges, targets).groupBy("path").agg(F.min("depth").alias("depth"))
 
 
+def combined_impact(edges: DataFrame, modules: DataFrame, targets: DataFrame) -> DataFrame:
+    """One row for a change of all targets together: targets, direct, dependencies, impacted, layers,
+    max_depth, percentage, points, risk, breaking.
+
+    Direct dependents and dependencies are those of any target; what several targets reach counts
+    once, at its least depth.  A target that depends on another one counts as impacted.
+    """
+    total = modules.count()
+    t = targets.select(F.col("path").alias("target")).distinct()
+    far = combined(edges, targets).join(modules.select("path", F.coalesce(F.nullif(F.col("layer"), F.lit("")), F.lit("unknown")).alias("layer")), "path", "left")
+    reach = far.agg(F.count(F.lit(1)).alias("impacted"), F.count_distinct("layer").alias("layers"), F.coalesce(F.max("depth"), F.lit(0)).cast("long").alias("max_depth"))
+    users = edges.join(t, edges.dst == t.target, "left_semi").agg(F.count_distinct("src").alias("direct"))
+    needs = edges.join(t, edges.src == t.target, "left_semi").agg(F.count_distinct("dst").alias("dependencies"))
+    # Four frames of one row each.
+    r = t.agg(F.count(F.lit(1)).alias("targets")).crossJoin(users).crossJoin(needs).crossJoin(reach)
+    r = r.withColumn("percentage", F.round(F.col("impacted") / max(total, 1) * 100, 6))
+    r = r.withColumn("points", risk_points(F.col("direct"), F.col("impacted"), F.col("percentage"), F.col("layers"), F.col("max_depth")).cast("long"))
+    return r.withColumn("risk", risk_level(F.col("points"))).withColumn("breaking", F.col("risk").isin("CRITICAL", "HIGH"))
+
+
+def ranking(impacts: DataFrame) -> DataFrame:
+    """The impacts with their ``rank``, from 1: those that reach the most modules first, equal ones by target."""
+    out = ranked(impacts.withColumn("__less", -F.col("impacted")), "__less", "target")
+    return out.withColumn("rank", F.col("rank") + 1).drop("__less")
+
+
 ADVICE = {
     "CRITICAL": ["Split the change into steps", "Announce it to all dependents", "Keep the old behaviour during the move", "Test every dependent layer", "Plan a way back"],
     "HIGH": ["Review with the owners of dependents", "Test the direct dependents", "Release behind a switch", "Watch the release", "Write down what changes"],
@@ -71,8 +98,19 @@ ADVICE = {
 }
 
 
-def recommendations(impacts: DataFrame) -> DataFrame:
-    """(target, nth, advice) by risk level; more than two layers add one."""
+def recommendations(impacts: DataFrame, critical: DataFrame | None = None) -> DataFrame:
+    """(target, nth, advice) by risk level; more than two layers add one, and so do critical paths,
+    given as (target, n)."""
     known = F.create_map(*[x for k, v in ADVICE.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    more = F.when(F.col("layers") > 2, F.array(F.lit("Test across layers"))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    more = F.when(F.col("layers") > 2, F.array(F.lit("Test across layers"))).otherwise(none)
+    if critical is not None:
+        impacts = impacts.join(critical.select("target", F.col("n").alias("__critical")), "target", "left")
+        more = F.concat(more, F.when(F.col("__critical") > 0, F.array(F.concat(F.lit("Walk through "), F.col("__critical").cast("string"), F.lit(" critical paths")))).otherwise(none))
     return impacts.select("target", F.posexplode(F.concat(known[F.col("risk")], more)).alias("nth", "advice"))
+
+
+def critical_counts(edges: DataFrame, targets: DataFrame, users: int = 3, most: int = 5) -> DataFrame:
+    """(target, n): how many critical paths a target's report holds, ``most`` at most."""
+    busy = edges.groupBy(F.col("dst").alias("path")).agg(F.count_distinct("src").alias("n")).where(F.col("n") >= users)
+    return impacted(edges, targets).join(busy.select("path"), "path", "left_semi").groupBy("target").agg(F.least(F.count(F.lit(1)), F.lit(most)).cast("long").alias("n"))

@@ -106,3 +106,12 @@ def risk_score(violated: DataFrame) -> DataFrame:
 
 def zone_info(spark) -> DataFrame:
     return spark.createDataFrame([(z, r) for z, r in ZONE_RISK.items()], "zone string, risk long")
+
+
+def recommendations(violated: DataFrame) -> DataFrame:
+    """(nth, advice): what the violations ask for; one line where there are none."""
+    n = violated.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("risk") == "CRITICAL").alias("critical"), F.count_if(F.col("risk") == "HIGH").alias("high"))
+    counted = lambda c, rest: F.when(F.col(c) > 0, F.concat(F.lit("Mend "), F.col(c).cast("string"), F.lit(rest)))
+    lines = F.array(counted("critical", " critical crossings first"), counted("high", " crossings of high risk"), *map(F.lit, ("Check who calls at every boundary", "Check what comes in at every boundary", "Log what crosses a boundary")))
+    lines = F.when(F.col("n") > 0, F.filter(lines, lambda x: x.isNotNull())).otherwise(F.array(F.lit("No crossing is out of order")))
+    return n.select(F.posexplode(lines).alias("nth", "advice"))

@@ -1,7 +1,8 @@
 """Metadata entries kept beside sources: merge, search, statistics, upkeep.
 
 An entry is a row: path, uri, name, language, layer, tags, concepts, exports, source (auto,
-manual or mixed), triples (an array of subject, predicate, object, source), annotations and
+manual or mixed), triples (an array of subject, predicate, object, source), relations (of type,
+target, direction in or out, and source; a frame may lack the column), annotations and
 properties (text maps), hash, updated_at.
 """
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 SCHEMA = (
     "path string, uri string, name string, language string, layer string, tags array<string>, concepts array<string>, exports array<string>, source string,"
-    " triples array<struct<subject:string,predicate:string,object:string,source:string>>, annotations map<string,string>, properties map<string,string>, hash string, updated_at timestamp"
+    " triples array<struct<subject:string,predicate:string,object:string,source:string>>, relations array<struct<type:string,target:string,direction:string,source:string>>, annotations map<string,string>, properties map<string,string>, hash string, updated_at timestamp"
 )
 
 
@@ -72,14 +73,31 @@ def statistics(entries: DataFrame) -> DataFrame:
     return every.unionByName(totals).unionByName(index(entries).groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")))
 
 
-def merge(old: DataFrame, new: DataFrame, preserve_manual: bool = True) -> DataFrame:
+def totals(entries: DataFrame) -> DataFrame:
+    """One row: entries, manual (a person has added something), automatic, and triples in all."""
+    m = F.coalesce(has_manual(), F.lit(False))
+    return entries.agg(F.count(F.lit(1)).alias("entries"), F.count_if(m).alias("manual"), F.count_if(~m).alias("automatic"), F.coalesce(F.sum(F.coalesce(F.size("triples"), F.lit(0))), F.lit(0)).cast("long").alias("triples"))
+
+
+_RELATIONS = "array<struct<type:string,target:string,direction:string,source:string>>"
+
+
+def merge(old: DataFrame, new: DataFrame, preserve_manual: bool = True, by_time: bool = False) -> DataFrame:
     """Entries of both sides by path.
 
     Where both have one, the new scalars win if given, lists are united, the old annotations
     stay, new properties override, manual triples of the old side are kept if
-    ``preserve_manual``, and the source becomes mixed.  Triples are a set by content.
+    ``preserve_manual``, and the source becomes mixed.  Triples are a set by content.  Relations
+    are a set by direction, type and target; of two the new one stays, but for a manual old one if
+    ``preserve_manual``.  With ``by_time`` the entry updated last is the new one, whichever side it
+    is on; ``new`` where times are equal or missing.
     """
-    j = old.alias("o").join(new.alias("n"), F.col("o.path") == F.col("n.path"), "full_outer")
+    sides = [d if "relations" in d.columns else d.withColumn("relations", F.lit(None).cast(_RELATIONS)) for d in (old, new)]
+    columns = [c for c in sides[1].columns if c in sides[0].columns]
+    a, b = (d.select(F.col("path").alias("__path"), F.struct(*columns).alias(tag)) for d, tag in zip(sides, ("a", "b")))
+    j = a.join(b, "__path", "full_outer")
+    swap = F.coalesce(F.col("a.updated_at") > F.col("b.updated_at"), F.lit(False)) if by_time else F.lit(False)
+    j = j.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("o"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("n"))
     o, n = lambda c: F.col(f"o.{c}"), lambda c: F.col(f"n.{c}")
     both = o("path").isNotNull() & n("path").isNotNull()
     out = [F.coalesce(n("path"), o("path")).alias("path")]
@@ -92,6 +110,13 @@ def merge(old: DataFrame, new: DataFrame, preserve_manual: bool = True) -> DataF
     fresh = F.coalesce(n("triples"), none)
     lone = F.filter(kept, lambda t: ~F.exists(fresh, lambda x: (x["subject"] == t["subject"]) & (x["predicate"] == t["predicate"]) & (x["object"] == t["object"])))
     out.append(F.when(both, F.concat(lone, fresh)).otherwise(F.coalesce(n("triples"), o("triples"), none)).alias("triples"))
+    bare = F.array().cast(_RELATIONS)
+    was, now = F.coalesce(o("relations"), bare), F.coalesce(n("relations"), bare)
+    same = lambda x, y: (x["direction"] == y["direction"]) & (x["type"] == y["type"]) & (x["target"] == y["target"])
+    stays = (lambda x: (x["source"] == "manual")) if preserve_manual else (lambda x: F.lit(False))
+    rest = F.filter(was, lambda x: stays(x) | ~F.exists(now, lambda y: same(x, y)))
+    come = F.filter(now, lambda y: ~F.exists(was, lambda x: stays(x) & same(x, y)))
+    out.append(F.concat(rest, come).alias("relations"))
     void = F.expr("map()").cast("map<string,string>")
     out.append(F.when(both, F.coalesce(o("annotations"), void)).otherwise(F.coalesce(n("annotations"), o("annotations"), void)).alias("annotations"))
     over = F.coalesce(n("properties"), void)
@@ -100,6 +125,21 @@ def merge(old: DataFrame, new: DataFrame, preserve_manual: bool = True) -> DataF
     return j.select(out)
 
 
+def sync(entries: DataFrame, files: DataFrame, parsed: DataFrame, force: bool = False, preserve_manual: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(entries, status): entries brought up to date with ``files``, and what became of each path.
+
+    ``parsed`` holds fresh entries of the files.  Entries of unchanged files stay as they are (skipped),
+    those with manual data are merged, others replaced (updated) or added (new); entries of files
+    that are gone are dropped (orphan).
+    """
+    status = build_status(entries, files, force).unionByName(orphans(entries, files).select("path", F.lit("orphan").alias("status")))
+    of = lambda df, *which: df.join(status.where(F.col("status").isin(*which)).select("path"), "path", "left_semi")
+    merged = merge(of(entries, "merged"), of(parsed, "merged"), preserve_manual)
+    fresh = of(parsed, "new", "updated")
+    out = of(entries, "skipped").unionByName(fresh, allowMissingColumns=True).unionByName(merged, allowMissingColumns=True)
+    return out, status
+
+
 def build_status(entries: DataFrame, files: DataFrame, force: bool = False) -> DataFrame:
     """(path, status) of scanned files: new, skipped (same hash), updated or merged (manual data)."""
     known = entries.select("path", F.col("hash").alias("known"), has_manual().alias("manual"))
@@ -132,3 +172,13 @@ def add_to(entries: DataFrame, path: str, column: str, value: str) -> DataFrame:
 def triples_by(entries: DataFrame, field: str, value: str) -> DataFrame:
     """(path, subject, predicate, object, source) of nested triples whose ``field`` is ``value``."""
     return entries.select("path", F.explode(F.filter("triples", lambda t: t[field] == value)).alias("t")).select("path", "t.*")
+
+
+def relate(entries: DataFrame, path: str, type: str, target: str, direction: str = "out", source: str = "manual") -> DataFrame:
+    """Adds a relation to one entry unless it has one of the direction, type and target."""
+    if "relations" not in entries.columns:
+        entries = entries.withColumn("relations", F.lit(None).cast(_RELATIONS))
+    held = F.coalesce("relations", F.array().cast(_RELATIONS))
+    known = F.exists(held, lambda x: (x["type"] == type) & (x["target"] == target) & (x["direction"] == direction))
+    one = F.array(F.struct(F.lit(type).alias("type"), F.lit(target).alias("target"), F.lit(direction).alias("direction"), F.lit(source).alias("source")))
+    return entries.withColumn("relations", F.when((F.col("path") == path) & ~known, F.concat(held, one)).otherwise(F.col("relations")))

@@ -107,6 +107,20 @@ def statistics(modules: DataFrame, edges: DataFrame, triples: DataFrame) -> Data
     return m.crossJoin(tags).crossJoin(e).crossJoin(t).withColumn("mean_dependencies", F.try_divide("dependencies", "modules"))
 
 
+def relationships(modules: DataFrame) -> DataFrame:
+    """One row: dependencies and calls of all modules, and their sum."""
+    many = lambda c: F.coalesce(F.sum(F.coalesce(F.size(c), F.lit(0))), F.lit(0)).cast("long")
+    return modules.agg(many("dependencies").alias("dependencies"), many("calls").alias("calls")).withColumn("relationships", F.col("dependencies") + F.col("calls"))
+
+
+def sample_statistics(df: DataFrame, sample: DataFrame, directory: Column | None = None, key: str = "path") -> DataFrame:
+    """(dir, files, sampled): how many files of each folder a sample holds."""
+    d = directory if directory is not None else dir_name(F.col(key))
+    n = df.groupBy(d.alias("dir")).agg(F.count(F.lit(1)).alias("files"))
+    s = sample.groupBy(d.alias("dir")).agg(F.count(F.lit(1)).alias("sampled"))
+    return n.join(s, "dir", "left").withColumn("sampled", F.coalesce("sampled", F.lit(0)))
+
+
 def duplicates(modules: DataFrame, column: str = "uri") -> DataFrame:
     """(path, column) of values that several paths share."""
     many = modules.groupBy(column).agg(F.count_distinct("path").alias("n")).where("n > 1").select(column)

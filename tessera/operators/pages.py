@@ -1,6 +1,8 @@
-"""Pages with their true totals, each in one run over the data.
+"""Pages with their true totals.
 
-A page is a top-k; the totals are counted by observations as the same rows flow past.  Pages
+A page is a top-k, and its totals are one aggregate of the key columns.  They are not observed
+in the run of the page: where the input is sorted already that run ends before the last row, and
+where it has to sort it reads rows twice, so that an observation is wrong either way.  Pages
 are named by the key values of their last row, so that a later page costs no more than the
 first and stays right while rows are added.
 """
@@ -11,7 +13,7 @@ import base64
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Observation, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 
@@ -38,9 +40,8 @@ def numbered_page(df: DataFrame, order: list[str], number: int = 1, size: int =
     """Page ``number`` (from 1) by a total order; a page beyond the last is empty.  Pages are named by number."""
     if size < 1:
         raise ValueError("a page has one row at least")
-    number, seen = max(number, 1), Observation()
-    rows = df.observe(seen, F.count(F.lit(1)).alias("n")).orderBy(*order).offset((number - 1) * size).limit(size).collect()
-    total = seen.get["n"]
+    number, total = max(number, 1), df.count()
+    rows = df.orderBy(*order).offset((number - 1) * size).limit(size).collect()
     return Page(rows, total, min((number - 1) * size, total), number + 1 if number * size < total else None, number - 1 if number > 1 and total else None)
 
 
@@ -72,11 +73,11 @@ def keyset_page(df: DataFrame, keys: list[str], size: int = 50, token: str | Non
             raise ValueError("no token of a page") from e
         if way not in ("after", "before") or len(values) != len(keys):
             raise ValueError("no token of such a page")
-    seen, back = Observation(), way == "before"
+    back = way == "before"
     mine = _beyond(keys, values, back) if values is not None else F.lit(True)
-    rows = df.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(mine).alias("mine")).where(mine)
-    rows = rows.orderBy(*[F.desc(k) if back else F.asc(k) for k in keys]).limit(size + 1).collect()
-    more, rows, total, left = len(rows) > size, rows[:size], seen.get["n"], seen.get["mine"]
+    total, left = df.agg(F.count(F.lit(1)), F.count_if(mine)).first()
+    rows = df.where(mine).orderBy(*[F.desc(k) if back else F.asc(k) for k in keys]).limit(size + 1).collect()
+    more, rows = len(rows) > size, rows[:size]
     if back:
         rows.reverse()
         before, after = left - len(rows), total - left

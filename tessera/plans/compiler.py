@@ -358,10 +358,14 @@ class Compiler:
         return isinstance(e, Expr) and (e.op == "call" and e.name in AGGREGATES or any(self.has_aggregate(x) for x in e.args if isinstance(x, Expr)))
 
 
-def sparql(triples: DataFrame, text: str, counts: dict[str, int] | None = None) -> DataFrame:
+def sparql(triples: DataFrame, text: str, counts: dict[str, int] | None = None, limit: int | None = None, offset: int | None = None) -> DataFrame:
     """The solutions of a SELECT query over (subject, predicate, object) rows, a set of triples.
 
     Constants may be bracketed IRIs, prefixed names or literals; ``code:`` and ``rdf:`` are
     known.  A variable that an OPTIONAL leaves unbound fits any value where it is joined on later.
     """
-    return Compiler(triples, counts).select(parse(text))
+    q = parse(text)
+    # The caller's limit and offset stand in where the query names none of its own.
+    q.limit = limit if q.limit is None else q.limit
+    q.offset = offset if q.offset is None else q.offset
+    return Compiler(triples, counts).select(q)

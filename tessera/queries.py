@@ -162,6 +162,10 @@ register("sample_hash", lambda s, d: ops.sample_hash(modules(s, d), 50, 3).selec
 register("sample_stratified", lambda s, d: ops.sample_stratified(modules(s, d), 200, 5).select("path", "dir"),
          "+q AS (SELECT dir, size, least(greatest(floor(200 * size / (SELECT count(*) FROM m)), 1), size) AS share FROM (SELECT layer AS dir, count(*) AS size FROM m GROUP BY layer)), q2 AS (SELECT *, coalesce(sum(share) OVER (ORDER BY dir ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, lead(dir) OVER (ORDER BY dir) IS NULL AS last FROM q), q3 AS (SELECT dir, CASE WHEN last THEN least(greatest(200 - before, 0), size) ELSE least(share, greatest(200 - before, 0)) END AS quota FROM q2), k AS (SELECT path, layer AS dir, row_number() OVER (PARTITION BY layer ORDER BY md5('5|' || path), path) AS nth FROM m) SELECT path, dir FROM k JOIN q3 USING (dir) WHERE nth <= quota")
 register("sample_recent", lambda s, d: ops.sample_recent(s.read.parquet(f"{d}/orders.parquet"), 30, "o_orderdate", "o_orderkey").select("o_orderkey"), "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 30", False)
+register("sample_dirs", lambda s, d: ops.sample_statistics(modules(s, d), ops.sample_stratified(modules(s, d), 200, 5)), "SELECT layer AS dir, count(*) AS files, coalesce(max(q), 0) AS sampled FROM m JOIN (SELECT layer AS l, greatest(floor(200 * count(*) / (SELECT count(*) FROM m)), 1)::BIGINT AS f, count(*) AS n FROM m GROUP BY layer) ON l = layer JOIN (SELECT layer AS k, CASE WHEN layer = 'supplier' THEN 200 - sum(CASE WHEN layer <> 'supplier' THEN g END) OVER () ELSE g END AS q FROM (SELECT layer, least(greatest(floor(200 * count(*) / (SELECT count(*) FROM m)), 1), count(*))::BIGINT AS g FROM m GROUP BY layer)) ON k = layer GROUP BY layer")
+register("focus_counts", lambda s, d: files.focus_statistics(modules(s, d), ["nation/*", "customer/1?"]), "SELECT CASE WHEN path LIKE 'nation/%' THEN 'nation/*' WHEN regexp_matches(path, '^customer/1.$') THEN 'customer/1?' END AS pattern, count(*) AS n FROM m GROUP BY ALL")
+register("relationship_count", lambda s, d: ops.relationships(modules(s, d).withColumn("calls", F.col("tags")).join(edges(s, d).groupBy(F.col("src").alias("path")).agg(F.collect_set("dst").alias("dependencies")), "path", "left")), "SELECT (SELECT count(*) FROM (SELECT DISTINCT src, dst FROM e))::BIGINT AS dependencies, (SELECT count(*) FROM tg)::BIGINT AS calls, ((SELECT count(*) FROM (SELECT DISTINCT src, dst FROM e)) + (SELECT count(*) FROM tg))::BIGINT AS relationships")
+register("default_limit", lambda s, d: sparql(by_predicate(s, d), "SELECT ?m WHERE { ?m a code:Module } ORDER BY ?m", limit=15, offset=30).unionByName(sparql(by_predicate(s, d), "SELECT ?m WHERE { ?m a code:Module } ORDER BY ?m LIMIT 3", limit=15)), "SELECT m FROM (SELECT path AS m FROM m ORDER BY path LIMIT 15 OFFSET 30) UNION ALL SELECT m FROM (SELECT path AS m FROM m ORDER BY path LIMIT 3)")
 register("focus_filter", lambda s, d: modules(s, d).where(files.in_focus(F.col("path"), ["nation/*", "customer/1?"])).select("path", files.focus_reason(F.col("path"), ["nation/*", "customer/1?"]).alias("reason")), "SELECT path, CASE WHEN path LIKE 'nation/%' THEN 'nation/*' ELSE 'customer/1?' END AS reason FROM m WHERE path LIKE 'nation/%' OR regexp_matches(path, '^customer/1.$')")
 register("ignore_filter", lambda s, d: modules(s, d).where(~files.is_ignored(F.col("path"), ["orders", "customer/", "*/1*"])).select("path"), "SELECT path FROM m WHERE layer NOT IN ('orders', 'customer') AND NOT regexp_matches(path, '^[^/]*/1[^/]*$')")
 register("scan_documents", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select(F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit("."), F.col("lang"))).alias("path"), "n_chars").where(~files.is_ignored(F.col("path"), ["src0"])).groupBy(text.extension(F.col("path")).alias("ext"), text.dir_name(F.col("path")).alias("dir")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars")),
@@ -235,7 +239,22 @@ register("impact_summary", lambda s, d: impact.impact(edges(s, d), modules(s, d)
 register("impact_by_layer", lambda s, d: impact.impact_by_layer(edges(s, d), modules(s, d), _targets(s)), _FAR + " SELECT target, layer, count(*) AS n FROM far JOIN m ON m.path = far.path GROUP BY ALL")
 register("impact_combined", lambda s, d: impact.combined(edges(s, d), _targets(s)), _FAR + " SELECT path, min(depth)::BIGINT AS depth FROM far GROUP BY path")
 register("critical_modules", lambda s, d: impact.critical_paths(edges(s, d), "region/1").select("src", "dst", F.array_join("path", ">").alias("path")), "+r AS (SELECT src AS path, 'region/1' AS way FROM e WHERE dst = 'region/1' UNION SELECT e.src, r.path || '>' || r.way FROM r JOIN e ON e.dst = r.path), busy AS (SELECT dst FROM e GROUP BY dst HAVING count(DISTINCT src) >= 3) SELECT path AS src, 'region/1' AS dst, path || '>' || way AS path FROM r WHERE path IN (SELECT dst FROM busy) ORDER BY src LIMIT 5")
-register("impact_advice", lambda s, d: impact.recommendations(impact.impact(edges(s, d), modules(s, d), _targets(s))), None)
+
+def _advice(s: SparkSession, d: str) -> DataFrame:
+    e, t = edges(s, d), _targets(s)
+    return impact.recommendations(impact.impact(e, modules(s, d), t), impact.critical_counts(e, t)).select("target", F.col("nth").cast("long").alias("nth"), "advice")
+
+
+def _texts(known: dict[str, list[str]]) -> str:
+    return ", ".join(f"('{k}', {n}, '{x.replace(chr(39), chr(39) * 2)}')" for k, v in known.items() for n, x in enumerate(v))
+
+
+_LEVEL = "CASE WHEN points >= 8 THEN 'CRITICAL' WHEN points >= 5 THEN 'HIGH' WHEN points >= 3 THEN 'MEDIUM' ELSE 'LOW' END"
+_POINTS = "(CASE WHEN direct > 10 THEN 3 WHEN direct > 5 THEN 2 WHEN direct > 0 THEN 1 ELSE 0 END + CASE WHEN impacted > 20 THEN 3 WHEN impacted > 10 THEN 2 WHEN impacted > 0 THEN 1 ELSE 0 END + CASE WHEN percentage > 30 THEN 2 WHEN percentage > 15 THEN 1 ELSE 0 END + CASE WHEN layers > 3 THEN 2 WHEN layers > 1 THEN 1 ELSE 0 END + CASE WHEN max_depth > 4 THEN 1 ELSE 0 END)::BIGINT"
+register("impact_advice", _advice, _IMPACT + f", v AS (SELECT * FROM (VALUES {_texts(impact.ADVICE)}) x(risk, nth, advice)), k AS (SELECT *, {_LEVEL} AS risk FROM p), busy AS (SELECT dst FROM e GROUP BY dst HAVING count(DISTINCT src) >= 3), c AS (SELECT target, least(count(*), 5) AS n FROM far WHERE path IN (SELECT dst FROM busy) GROUP BY target), size AS (SELECT risk, count(*) AS n FROM v GROUP BY risk)"
+         " SELECT target, nth::BIGINT AS nth, advice FROM k JOIN v USING (risk) UNION ALL SELECT target, size.n, 'Test across layers' FROM k JOIN size USING (risk) WHERE layers > 2 UNION ALL SELECT target, size.n + CASE WHEN layers > 2 THEN 1 ELSE 0 END, 'Walk through ' || c.n || ' critical paths' FROM k JOIN size USING (risk) JOIN c USING (target)")
+register("impact_together", lambda s, d: impact.combined_impact(edges(s, d), modules(s, d), _targets(s)), _FAR + f", one AS (SELECT path, min(depth) AS depth FROM far GROUP BY path), i AS (SELECT 4::BIGINT AS targets, (SELECT count(DISTINCT src) FROM e WHERE dst IN {_TARGETS}) AS direct, (SELECT count(DISTINCT dst) FROM e WHERE src IN {_TARGETS}) AS dependencies, (SELECT count(*) FROM one) AS impacted, (SELECT count(DISTINCT layer) FROM one JOIN m ON m.path = one.path) AS layers, (SELECT max(depth) FROM one)::BIGINT AS max_depth, round((SELECT count(*) FROM one) / (SELECT count(*) FROM m) * 100, 6) AS percentage), p AS (SELECT *, {_POINTS} AS points FROM i) SELECT *, {_LEVEL} AS risk, points >= 5 AS breaking FROM p")
+register("impact_ranking", lambda s, d: impact.ranking(impact.impact(edges(s, d), modules(s, d), modules(s, d).where("layer IN ('region', 'nation')"))).select("target", "impacted", "rank"), "+r AS (SELECT dst AS target, src AS path FROM e WHERE dst IN (SELECT path FROM m WHERE layer IN ('region', 'nation')) UNION SELECT r.target, e.src FROM r JOIN e ON e.dst = r.path), k AS (SELECT m.path AS target, count(r.path) AS impacted FROM m LEFT JOIN r ON r.target = m.path WHERE layer IN ('region', 'nation') GROUP BY m.path) SELECT target, impacted, row_number() OVER (ORDER BY impacted DESC, target) AS rank FROM k")
 _DEAD = "+u AS (SELECT m.*, path IN (SELECT path FROM ex) AS has FROM m WHERE path NOT IN (SELECT dst FROM e) AND path NOT IN (SELECT path FROM ex WHERE export IN ('main', 'init'))), h AS (SELECT path, least(greatest(80 + CASE WHEN NOT has THEN 5 ELSE 0 END - CASE WHEN has THEN 30 ELSE 0 END, 0), 100) AS x FROM u)"
 register("dead_confidence", lambda s, d: deadcode.dead_modules(edges(s, d), modules(s, d)), _DEAD + " SELECT path, x / 100 AS confidence, x >= 80 AS safe, CASE WHEN x >= 80 THEN 'remove' ELSE 'review' END AS action, CASE WHEN x >= 80 THEN 'low' WHEN x >= 60 THEN 'medium' ELSE 'high' END AS risk, 50::BIGINT AS lines FROM h WHERE x >= 50")
 register("dead_summary", lambda s, d: deadcode.summary(deadcode.dead_modules(edges(s, d), modules(s, d))), _DEAD + " SELECT count(*) AS n, round(avg(x / 100), 6) AS mean_confidence, coalesce(sum(CASE WHEN x >= 80 THEN 50 END), 0)::BIGINT AS deletable_lines FROM h WHERE x >= 50")
@@ -253,7 +272,23 @@ register("zone_crossings", _zoned, _ZONE + f" SELECT src, dst, src_zone, dst_zon
 register("zone_boundaries", lambda s, d: security.boundaries(_zoned(s, d)), _ZONE + " SELECT src_zone, dst_zone, count(*) AS n FROM c GROUP BY ALL")
 register("zone_violations", lambda s, d: security.violations(_zoned(s, d), strict=True), _ZONE + f" SELECT src, dst, src_zone, dst_zone, {_RISK} AS risk, 'unauthorized' AS kind FROM c WHERE NOT {_MAY}")
 register("zone_risk", lambda s, d: security.risk_score(security.violations(_zoned(s, d))), _ZONE + f" SELECT count(*) AS violations, 0::BIGINT AS critical, 0::BIGINT AS high, round(least(coalesce(avg(CASE {_RISK} WHEN 'MEDIUM' THEN 4 ELSE 2 END), 0), 10), 6) AS score FROM c WHERE NOT {_MAY}")
-register("validate_graph", lambda s, d: checks.validate(modules(s, d), edges(s, d)), "SELECT 'warning' AS severity, 'missing-description' AS \"check\", path FROM m WHERE coalesce(description, '') = '' UNION ALL SELECT 'warning', 'no-exports', path FROM m WHERE path NOT IN (SELECT path FROM ex)")
+register("zone_advice", lambda s, d: security.recommendations(security.violations(_zoned(s, d))).select(F.col("nth").cast("long").alias("nth"), "advice"), "SELECT nth::BIGINT AS nth, advice FROM (VALUES (0, 'Check who calls at every boundary'), (1, 'Check what comes in at every boundary'), (2, 'Log what crosses a boundary')) v(nth, advice)")
+
+
+def _faulty(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The graph with a fault for each check."""
+    at = lambda *paths: F.col("path").isin(*paths)
+    m = modules(s, d).withColumn("name", F.when(at("nation/3"), "").otherwise(F.col("name"))).withColumn("language", F.when(at("nation/2"), None).otherwise(F.col("language")))
+    m = m.withColumn("uri", F.when(at("nation/1"), None).when(at("supplier/1", "supplier/2"), "<#same>").when(F.col("layer") == "orders", F.concat(F.lit("<"), "uri", F.lit(">"))).otherwise(F.col("uri")))
+    m = m.withColumn("tags", F.when(at("nation/4"), F.array().cast("array<string>")).otherwise(F.col("tags")))
+    more = [("nation/5", "missing/x"), ("nation/5", "gion/nowhere"), ("nation/6", "ASIA"), ("nation/7", "#region/1"), ("nation/8", "ion/2"), ("region/0", "nation/0"), *[("nation/9", f"customer/{k}") for k in range(1, 12)]]
+    return m, edges(s, d).unionByName(s.createDataFrame(more, "src string, dst string"))
+
+
+register("validate_all", lambda s, d: checks.validate(*_faulty(s, d), brackets=True),
+         "SELECT 'warning' AS severity, 'missing-description' AS \"check\", path, 'the description is missing' AS message FROM m WHERE coalesce(description, '') = '' UNION ALL SELECT 'warning', 'no-exports', path, 'there are no exports' FROM m WHERE path NOT IN (SELECT path FROM ex) UNION ALL SELECT 'warning', 'bare-uri', path, 'the URI stands without angle brackets' FROM m WHERE layer <> 'orders' AND path NOT IN ('nation/1', 'supplier/1', 'supplier/2')"
+         " UNION ALL SELECT * FROM (VALUES ('error', 'missing-name', 'nation/3', 'the name is missing'), ('error', 'missing-uri', 'nation/1', 'the URI is missing'), ('warning', 'missing-language', 'nation/2', 'the language is missing'), ('warning', 'no-tags', 'nation/4', 'there are no tags'), ('warning', 'unknown-dependency', 'nation/5', 'no module fits missing/x'), ('warning', 'unknown-dependency', 'nation/5', 'no module fits gion/nowhere'), ('warning', 'many-dependencies', 'nation/9', '12 dependencies'), ('error', 'duplicate-uri', 'supplier/1', 'several modules have the URI <#same>'), ('error', 'duplicate-uri', 'supplier/2', 'several modules have the URI <#same>'), ('error', 'cycle', 'region/0', 'in the cycle of nation/0'), ('error', 'cycle', 'nation/0', 'in the cycle of nation/0')) v")
+register("validate_graph", lambda s, d: checks.validate(modules(s, d), edges(s, d)).select("severity", "check", "path"), "SELECT 'warning' AS severity, 'missing-description' AS \"check\", path FROM m WHERE coalesce(description, '') = '' UNION ALL SELECT 'warning', 'no-exports', path FROM m WHERE path NOT IN (SELECT path FROM ex)")
 _RULES = "SELECT * FROM (VALUES ('no-circular-dependencies', 'error', 0), ('exports-documented', 'warning', (SELECT count(*) FROM m JOIN ex ON ex.path = m.path WHERE description IS NULL)), ('modules-have-layer', 'warning', 0), ('modules-have-tags', 'info', 0)) v(rule, severity, found)"
 register("rule_summary", lambda s, d: checks.check_rules(triples(s, d), checks.BUILT_IN).summary.select("rule", "severity", F.col("found").cast("long").alias("found"), "passed"), "+v AS (" + _RULES + ") SELECT rule, severity, found::BIGINT AS found, found = 0 AS passed FROM v")
 register("rule_violations", lambda s, d: checks.check_rules(triples(s, d), checks.BUILT_IN).violations.select("rule", "severity", "module"), "SELECT 'exports-documented' AS rule, 'warning' AS severity, m.path AS module FROM m JOIN ex ON ex.path = m.path WHERE description IS NULL")
@@ -263,6 +298,7 @@ _MORE_RULES = [
 ] + [checks.Rule("linked-twice", "path", "SELECT DISTINCT ?module ?far WHERE { ?module code:linksTo ?mid . ?mid code:linksTo ?far . ?far code:layer \"region\" }", "info")]
 register("rules_in_one_pass", lambda s, d: checks.check_rules(triples(s, d), [*checks.BUILT_IN, *_MORE_RULES]).summary.select("rule", F.col("found").cast("long").alias("found")),
          "+v AS (" + _RULES + ") SELECT rule, found::BIGINT AS found FROM v UNION ALL SELECT 'star-' || k, (SELECT count(*) FROM m JOIN tg ON tg.path = m.path WHERE m.layer = l AND m.path NOT IN (SELECT path FROM ex)) FROM (VALUES (0, 'region'), (1, 'nation'), (2, 'supplier'), (3, 'customer'), (4, 'orders')) x(k, l) UNION ALL SELECT 'linked-twice', (SELECT count(DISTINCT a.src || '>' || b.dst) FROM e a JOIN e b ON a.dst = b.src JOIN m ON m.path = b.dst WHERE layer = 'region')")
+register("rule_severities", lambda s, d: checks.by_severity(checks.check_rules(triples(s, d), checks.BUILT_IN)), "+v AS (" + _RULES + ") SELECT severity, count(*) AS rules, count_if(found > 0) AS failed, sum(found)::BIGINT AS found FROM v GROUP BY severity")
 register("rule_located", lambda s, d: checks.located(checks.check_rules(triples(s, d), checks.BUILT_IN).violations.select("rule", F.concat(F.lit("#"), "module").alias("module")), modules(s, d)), "SELECT 'exports-documented' AS rule, '#' || m.path AS module, m.path AS path FROM m JOIN ex ON ex.path = m.path WHERE description IS NULL")
 
 
@@ -300,6 +336,27 @@ register("shadow_merge", lambda s, d: shadow.merge(_entries(s, d, True), _entrie
 register("shadow_search", lambda s, d: shadow.search(_entries(s, d, True), language="en", tags=["q1"], text="SRC1", manual=True, offset=5, limit=20).select("path"), _SHADOW + " SELECT path FROM x WHERE lang = 'en' AND quality = 1 AND contains(lower(path), 'src1') ORDER BY path LIMIT 20 OFFSET 5", False)
 register("shadow_stats", lambda s, d: shadow.statistics(_entries(s, d, True)), _SHADOW + ", y AS (SELECT * FROM x WHERE quality IS NOT NULL) SELECT 'all' AS kind, '' AS key, count(*) AS n FROM y UNION ALL SELECT 'source', 'manual', count(*) FROM y UNION ALL SELECT 'tag', 'q' || quality, count(*) FROM y GROUP BY quality UNION ALL SELECT 'language', lang, count(*) FROM y GROUP BY lang", False)
 register("shadow_status", lambda s, d: shadow.build_status(_entries(s, d, True), _entries(s, d, False)), _SHADOW + " SELECT path, CASE WHEN quality IS NULL THEN 'new' ELSE 'skipped' END AS status FROM x", False)
+
+
+def _synced(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Automatic entries merged with the manual ones, against documents of which two are edited, one is new and one is gone."""
+    held = shadow.merge(_entries(s, d, True), _entries(s, d, False).where("path NOT LIKE '%/7'"))
+    now = _entries(s, d, False).where("path NOT LIKE '%/9'").withColumn("hash", F.when(F.col("path").rlike("/(1|2)$"), "edited").otherwise(F.col("hash")))
+    return shadow.sync(held, now, now.withColumn("name", F.lit("fresh")))
+
+
+def _related(s: SparkSession, d: str) -> DataFrame:
+    link = lambda df, target, source, time: df.withColumn("relations", F.array(F.struct(F.lit("linksTo").alias("type"), F.lit(target).alias("target"), F.lit("out").alias("direction"), F.lit(source).alias("source")))).withColumn("updated_at", F.lit(time).cast("timestamp"))
+    a, b = _entries(s, d, True), _entries(s, d, False)
+    out = shadow.merge(link(a, "x", "manual", 2), link(b, "x", "auto", 1).unionByName(link(b.where("path LIKE 'src2/%'"), "y", "auto", 3)).groupBy("path").agg(*[F.max_by(c, "updated_at").alias(c) for c in (*[x for x in b.columns if x not in ("path", "updated_at")], "relations")], F.max("updated_at").alias("updated_at")), by_time=True)
+    return out.select("path", "name", F.transform("relations", lambda x: F.concat_ws("/", x["target"], x["source"])).alias("relations")).select("path", "name", F.array_join(F.array_sort("relations"), ",").alias("relations"))
+
+
+_NUMBER = "regexp_extract(path, '[0-9]+$')::BIGINT"
+register("shadow_sync", lambda s, d: _synced(s, d)[1], _SHADOW + f", y AS (SELECT path, quality, {_NUMBER} AS k FROM x) SELECT path, CASE WHEN k = 9 THEN 'orphan' WHEN k = 7 AND quality IS NULL THEN 'new' WHEN k IN (1, 2) AND quality IS NOT NULL THEN 'merged' WHEN k IN (1, 2) THEN 'updated' ELSE 'skipped' END AS status FROM y", False)
+register("shadow_synced", lambda s, d: _synced(s, d)[0].select("path", "name", "source"), _SHADOW + f", y AS (SELECT path, quality, {_NUMBER} AS k FROM x) SELECT path, CASE WHEN k IN (1, 2) OR (k = 7 AND quality IS NULL) THEN 'fresh' WHEN k = 7 THEN NULL ELSE 'doc' END AS name, CASE WHEN quality IS NULL THEN 'auto' WHEN k = 7 THEN 'manual' ELSE 'mixed' END AS source FROM y WHERE k <> 9", False)
+register("shadow_relations", _related, _SHADOW + " SELECT path, 'doc' AS name, CASE WHEN quality IS NULL THEN CASE WHEN dir = 'src2' THEN 'y/auto' ELSE 'x/auto' END WHEN dir = 'src2' THEN 'x/manual,y/auto' ELSE 'x/manual' END AS relations FROM x", False)
+register("shadow_totals", lambda s, d: shadow.totals(shadow.merge(_entries(s, d, True), _entries(s, d, False))), _SHADOW + " SELECT count(*) AS entries, count(quality) AS manual, count(*) - count(quality) AS automatic, count(*)::BIGINT AS triples FROM x", False)
 register("shadow_orphans", lambda s, d: shadow.orphans(_entries(s, d, False), _entries(s, d, True)).select("path"), _SHADOW + " SELECT path FROM x WHERE quality IS NULL", False)
 
 
@@ -357,9 +414,33 @@ register("shadow_index_lookup", lambda s, d: _updated_index(s, d).lookup("tag",
 register("result_csv", lambda s, d: results.csv_lines(modules(s, d).where("layer = 'nation'").select("path", "name")), "SELECT path || ',' || name AS value FROM m WHERE layer = 'nation'")
 register("result_xml", lambda s, d: results.xml_results(modules(s, d).where("layer = 'region'").select("path", "name")), "SELECT '<result><binding name=\"path\"><literal>' || path || '</literal></binding><binding name=\"name\"><literal>' || name || '</literal></binding></result>' AS value FROM m WHERE layer = 'region'")
 register("result_json", lambda s, d: results.json_bindings(modules(s, d).where("layer = 'region'").select("path")), "SELECT '{\"path\":{\"type\":\"literal\",\"value\":\"' || path || '\"}}' AS value FROM m WHERE layer = 'region'")
-register("diagram_dot", lambda s, d: diagrams.dot(modules(s, d).where("layer IN ('region', 'nation')"), edges(s, d)), None)
+register("diagram_dot", lambda s, d: diagrams.dot(modules(s, d).where("layer IN ('region', 'nation')"), edges(s, d)),
+         "SELECT * FROM (VALUES ('digraph \"dependencies\" {'), ('  rankdir=LR;'), ('  node [shape=box];'), ('}')) v(value) UNION ALL SELECT '  \"' || path || '\" [label=\"' || name || '\"];' FROM m WHERE layer IN ('region', 'nation') UNION ALL SELECT '  \"' || src || '\" -> \"' || dst || '\";' FROM e WHERE src LIKE 'nation/%'")
+
+
+def _change(s: SparkSession, d: str) -> tuple:
+    return modules(s, d), edges(s, d), impact.impacted(edges(s, d), _one(s, "nation/3")), "nation/3"
+
+
+_REACHED = "+f AS (SELECT src AS path, 'direct' AS ring FROM e WHERE dst = 'nation/3' UNION ALL SELECT e.src, 'indirect' FROM e JOIN e x ON x.src = e.dst WHERE x.dst = 'nation/3'), k AS (SELECT path, name, 'target' AS ring FROM m WHERE path = 'nation/3' UNION ALL SELECT f.path, name, ring FROM f JOIN m ON m.path = f.path), l AS (SELECT src, dst FROM e WHERE src IN (SELECT path FROM k) AND dst IN (SELECT path FROM k))"
+_LINK = "'  \"' || src || '\" -> \"' || dst || '\"'"
+register("diagram_impact_dot", lambda s, d: diagrams.dot_impact(*_change(s, d)), _REACHED + f" SELECT * FROM (VALUES ('digraph \"impact\" {{'), ('  rankdir=LR;'), ('  node [shape=box];'), ('}}')) v(value) UNION ALL SELECT '  \"' || path || '\" [label=\"' || name || '\", style=filled, fillcolor=\"' || CASE ring WHEN 'target' THEN 'tomato' WHEN 'direct' THEN 'orange' ELSE 'khaki' END || '\"];' FROM k UNION ALL SELECT {_LINK} || ';' FROM l")
+register("diagram_impact_mermaid", lambda s, d: diagrams.mermaid_impact(*_change(s, d)), _REACHED + " SELECT * FROM (VALUES ('flowchart LR'), ('  classDef target fill:tomato;'), ('  classDef direct fill:orange;'), ('  classDef indirect fill:khaki;')) v(value) UNION ALL SELECT '  ' || replace(path, '/', '_') || '[\"' || name || '\"]:::' || ring FROM k UNION ALL SELECT '  ' || replace(src, '/', '_') || ' --> ' || replace(dst, '/', '_') FROM l")
+_BOX = "'  subgraph \"cluster_' || g || '\" {{ label=\"' || {title} || '\"; style=filled; fillcolor=\"' || {fill} || '\";'"
+register("diagram_layers", lambda s, d: diagrams.dot_layers(modules(s, d), edges(s, d)), f"+g AS (SELECT DISTINCT layer AS g FROM m) SELECT * FROM (VALUES ('digraph \"layers\" {{'), ('}}')) v(value) UNION ALL SELECT {_BOX.format(title=chr(39) + 'Layer: ' + chr(39) + ' || g', fill=chr(39) + 'whitesmoke' + chr(39))} FROM g UNION ALL SELECT '  }}' FROM g UNION ALL SELECT '    \"' || path || '\" [label=\"' || name || '\"];' FROM m UNION ALL SELECT DISTINCT {_LINK} || ';' FROM e")
+register("diagram_zones", lambda s, d: diagrams.dot_security(security.classify(modules(s, d)), edges(s, d), security.violations(_zoned(s, d))), _ZONE + f", g AS (SELECT DISTINCT zone AS g FROM z) SELECT * FROM (VALUES ('digraph \"zones\" {{'), ('}}')) v(value) UNION ALL SELECT {_BOX.format(title='upper(g[1]) || g[2:] || ' + chr(39) + ' zone' + chr(39), fill='CASE g ' + ' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {chr(39)}{v}{chr(39)}' for k, v in diagrams.COLOURS.items()) + ' END')} FROM g UNION ALL SELECT '  }}' FROM g UNION ALL SELECT '    \"' || path || '\" [label=\"' || name || '\"];' FROM m UNION ALL SELECT DISTINCT {_LINK} || CASE WHEN (e.src, e.dst) IN (SELECT (src, dst) FROM c WHERE NOT {_MAY}) THEN ' [color=red, style=dashed, label=\"violation\"]' ELSE '' END || ';' FROM e")
 register("diagram_mermaid", lambda s, d: diagrams.mermaid(modules(s, d).where("layer = 'region'"), edges(s, d).where("src LIKE 'nation/%'")), "SELECT 'flowchart LR' AS value UNION ALL SELECT '  ' || replace(path, '/', '_') || '[\"' || name || '\"]' FROM m WHERE layer = 'region' UNION ALL SELECT DISTINCT '  ' || replace(src, '/', '_') || ' --> ' || replace(dst, '/', '_') FROM e WHERE src LIKE 'nation/%'")
-register("docs_markdown", lambda s, d: diagrams.markdown(modules(s, d), edges(s, d)).select("path", F.md5("text").alias("md5")), None)
+_PAGES = """+d AS (SELECT src AS path, string_agg('- ' || dst, chr(10) ORDER BY dst) AS deps FROM (SELECT DISTINCT src, dst FROM e) GROUP BY src), w AS (SELECT dst AS path, string_agg('- ' || src, chr(10) ORDER BY src) AS users FROM (SELECT DISTINCT src, dst FROM e) GROUP BY dst),
+l AS (SELECT *, list_filter(string_split(tag_text, '|'), lambda x: x <> '') AS tl, list_filter(string_split(export_text, '|'), lambda x: x <> '') AS xl FROM m),
+page AS (SELECT l.path, name, language, layer, tl, concat_ws(chr(10), '# ' || name, '', description, concat_ws(chr(10), '- language: ' || language, '- layer: ' || layer, CASE WHEN len(tl) > 0 THEN '- tags: ' || array_to_string(tl, ', ') END),
+  CASE WHEN len(xl) > 0 THEN chr(10) || '## Exports' || chr(10) || chr(10) || '- ' || array_to_string(xl, chr(10) || '- ') END, chr(10) || '## Dependencies' || chr(10) || chr(10) || deps, chr(10) || '## Used by' || chr(10) || chr(10) || users) || chr(10) AS text
+  FROM l LEFT JOIN d ON d.path = l.path LEFT JOIN w ON w.path = l.path)"""
+register("docs_markdown", lambda s, d: diagrams.markdown(modules(s, d), edges(s, d)).select("path", F.md5("text").alias("md5")), _PAGES + " SELECT path, md5(text) AS md5 FROM page")
+register("docs_front_matter", lambda s, d: diagrams.with_front_matter(diagrams.markdown(modules(s, d), edges(s, d)), modules(s, d)).select("path", F.md5("text").alias("md5")), _PAGES + """ SELECT path, md5(concat_ws(chr(10), '---', 'title: "' || name || '"', 'path: "' || path || '"', 'language: "' || language || '"', 'layer: "' || layer || '"', CASE WHEN len(tl) > 0 THEN 'tags: ["' || array_to_string(tl, '","') || '"]' END, '---', '') || text) AS md5 FROM page""")
+register("docs_overview", lambda s, d: diagrams.overview(modules(s, d), edges(s, d)), "SELECT * FROM (VALUES ('# Overview'), (''), (''), ('## By layer'), (''), ('| layer | modules |'), ('| --- | --- |'), (''), ('## By language'), (''), ('| language | modules |'), ('| --- | --- |')) v(value) UNION ALL SELECT '- modules: ' || count(*) FROM m UNION ALL SELECT '- links: ' || count(*) FROM (SELECT DISTINCT src, dst FROM e) UNION ALL SELECT '| ' || layer || ' | ' || count(*) || ' |' FROM m GROUP BY layer UNION ALL SELECT '| ' || language || ' | ' || count(*) || ' |' FROM m GROUP BY language")
+register("docs_single", lambda s, d: diagrams.single_document(modules(s, d), edges(s, d)), _PAGES + " SELECT * FROM (VALUES ('# Modules'), ('')) v(value) UNION ALL SELECT '- [' || name || '](#' || regexp_replace(lower(name), '[^A-Za-z0-9_]', '_', 'g') || ')' FROM m UNION ALL SELECT unnest(string_split(regexp_replace(text, '(?m)^#', '##', 'g'), chr(10))) FROM page")
+register("graph_document", lambda s, d: diagrams.graph_document(modules(s, d).select("path", "name", "layer", "exports"), edges(s, d), triples(s, d), "/graph"), """+d AS (SELECT src AS path, '"' || string_agg(dst, '","' ORDER BY dst) || '"' AS deps FROM (SELECT DISTINCT src, dst FROM e) GROUP BY src), x AS (SELECT *, list_filter(string_split(export_text, '|'), lambda x: x <> '') AS xl FROM m) SELECT ']}' AS value UNION ALL SELECT '{"root": "/graph", "statistics": {"modules":' || (SELECT count(*) FROM m) || ',"relationships":' || (SELECT count(*) FROM (SELECT DISTINCT src, dst FROM e)) || ',"triples":' || (SELECT count(*) FROM t) || '}, "modules": ['
+  UNION ALL SELECT CASE WHEN x.path = (SELECT min(path) FROM m) THEN '' ELSE ',' END || '{"path":"' || x.path || '","name":"' || name || '","layer":"' || layer || '","exports":[' || CASE WHEN len(xl) > 0 THEN '"' || array_to_string(xl, '","') || '"' ELSE '' END || '],"dependencies":[' || coalesce(deps, '') || ']}' FROM x LEFT JOIN d ON d.path = x.path""")
 
 
 def _events(s: SparkSession, d: str) -> DataFrame:

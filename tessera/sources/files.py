@@ -62,6 +62,11 @@ def focus_reason(path: Column, patterns: list[str]) -> Column:
     return F.coalesce(*[F.when(matches_glob(path, p), p) for p in patterns]) if patterns else F.lit(None).cast("string")
 
 
+def focus_statistics(files: DataFrame, patterns: list[str]) -> DataFrame:
+    """(pattern, n): files that each pattern fits first; a null pattern counts those that none fits."""
+    return files.groupBy(focus_reason(F.col("path"), patterns).alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def scan(
     spark: SparkSession, root: str, ignore: list[str] | None = None, focus: list[str] | None = None, max_size: int = 1 << 20, languages: dict[str, str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
