@@ -164,7 +164,8 @@ def _tiles(batches: Iterator[pa.RecordBatch], threshold: float, seed: int) -> It
         order = np.argsort(p[:, 0], kind="stable")
         x, p, m, ids, node, blocks = x[order], p[order], m[order], ids[order], node[order], blocks[order]
         first, second = np.nonzero(blocks == lo)[0], np.nonzero(blocks == hi)[0]
-        left, right = [], []
+        # Pairs are added to the counts and the forest as they are found, so that a dense cluster takes no more memory.
+        n, root = np.zeros(len(ids), np.int64), None
         for b in range(0, len(second), PIECE):
             v = second[b : b + PIECE]
             piece = None
@@ -180,15 +181,16 @@ def _tiles(batches: Iterator[pa.RecordBatch], threshold: float, seed: int) -> It
                 for at in range(0, len(i), 1 << 16):
                     k, l = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
                     good = np.einsum("ij,ij->i", x[k], x[l]) >= threshold
-                    left.append(k[good])
-                    right.append(l[good])
-        i, j = (np.concatenate(z) if z else np.zeros(0, dtype=np.int64) for z in (left, right))
-        if not len(i):
+                    k, l = k[good], l[good]
+                    if len(k):
+                        np.add.at(n, k, m[l])
+                        np.add.at(n, l, m[k])
+                        root = forest(len(ids), k, l, root)
+        if root is None:
             return None
-        n = (np.bincount(i, weights=m[j], minlength=len(ids)) + np.bincount(j, weights=m[i], minlength=len(ids))).astype(np.int64)
         some = np.nonzero(n)[0]
-        peer = ids[forest(len(ids), i, j)[some]]
-        return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(ids[some]), pa.array(n[some], pa.int64()), pa.array(peer, pa.int64())], names=["node", "id", "n", "peer"])
+        peer = ids[root[some]]
+        return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(ids[some]), pa.array(n[some]), pa.array(peer, pa.int64())], names=["node", "id", "n", "peer"])
 
     carry: pa.Table | None = None
     for batch in batches:

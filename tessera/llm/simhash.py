@@ -238,9 +238,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], bits: int, blocks: int, intact: i
                 yield pa.RecordBatch.from_arrays([pa.array(leaf.view(np.int64)), b.column(0), pa.array(np.ones(len(raw), dtype=bool))], names=["leaf", "code", "home"])
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least reachable index of each of n items linked by pairs (a, b)."""
-    root = np.arange(n)
+def forest(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
+    """The least reachable index of each of n items linked by pairs (a, b), and by those behind an earlier ``root``."""
+    root = np.arange(n) if root is None else root
     while len(a):
         ra, rb = root[a], root[b]
         apart = ra != rb
