@@ -123,12 +123,19 @@ def _frequent(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.Re
     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64()), pa.array([counter.whole(x) for x, _ in often], pa.int32())], names=["token", "n", "length"])
 
 
-def frequent_lengths(texts: DataFrame, model: bytes) -> dict[str, int]:
-    """The lengths of the most frequent pre-tokens of about ``SAMPLE`` rows, chosen by their hash."""
-    one_in = max(1, texts.count() // SAMPLE)
-    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).select("text").coalesce(8)
-    rows = sample.mapInArrow(partial(_frequent, model=model), "token string, n long, length int")
-    best = rows.groupBy("token").agg(F.sum("n").alias("n"), F.max("length").alias("length")).where("n > 1").orderBy(F.desc("n"), "token").limit(FREQUENT)
+def frequent_lengths(rows: DataFrame, model: bytes) -> dict[str, int]:
+    """The lengths of the most frequent pre-tokens of about ``SAMPLE`` of the rows (id, text).
+
+    Rows are chosen by the hash of id and text, so that copies of a hot text are no more likely
+    than others, and each text of the sample counts once.
+    """
+    one_in = max(1, rows.count() // SAMPLE)
+    key, text = rows.columns
+    chosen = rows.where(F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string"), F.col(text)), F.lit(one_in)) == 0)
+    # All input partitions are read where they lie; only the few chosen texts move together.
+    sample = chosen.select(text).distinct().repartition(8)
+    found = sample.mapInArrow(partial(_frequent, model=model), "token string, n long, length int")
+    best = found.groupBy("token").agg(F.sum("n").alias("n"), F.max("length").alias("length")).where("n > 1").orderBy(F.desc("n"), "token").limit(FREQUENT)
     return {r["token"]: r["length"] for r in best.collect()}
 
 
@@ -150,7 +157,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 1024, id
         model = f.read()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast((model, frequent_lengths(rows.select("text"), model)))
+    shared = docs.sparkSession.sparkContext.broadcast((model, frequent_lengths(rows.select(F.col(id_col), "text"), model)))
     kind = docs.schema[id_col].dataType.simpleString()
     counted = rows.mapInArrow(partial(_count, key=hashlib.md5(model).hexdigest(), shared=shared), f"`{id_col}` {kind}, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
