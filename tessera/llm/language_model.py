@@ -22,6 +22,7 @@ table of that bounded size; tokens beyond it are joined with the counts by a shu
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -398,7 +399,8 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         tokens[r["unit"]], kinds[r["unit"]] = r["n"], r["v"]
     # log10 of 1 / (a bucket's tokens + words + 1), 0 for units that are one word.
     share = np.where(np.arange(len(tokens)) > words, -np.log10(tokens + kinds + 1.0), 0.0)
-    key = f"{total}-{different}-{sc.applicationId}-{crc32(b' '.join(table))}"
+    # Workers keep what they made for a key: it tells this corpus and its counts from all others of the session.
+    key = f"{total}-{different}-{words}-{sc.applicationId}-{hashlib.md5(b' '.join(table) + known.tobytes() + tokens.tobytes() + kinds.tobytes()).hexdigest()}"
     model = train(training, table, words, tokens, total, key)
     shared = sc.broadcast((table, words, known, share, model))
     kind = docs.schema[id_col].dataType.simpleString()
