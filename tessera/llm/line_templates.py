@@ -77,7 +77,8 @@ def _generalised(rows: DataFrame, seen: DataFrame, each: DataFrame, min_docs: in
         F.count_if(~field & word).alias("kept"),
         F.count(F.lit(1)).alias("size"),
     )
-    made = cut(made.where(F.col("kept") * KEEP[1] >= F.col("size") * KEEP[0]).select("t", "template"))
+    # Templates are told apart by hash: a row has a bounded size, however long its line.
+    made = cut(made.where(F.col("kept") * KEEP[1] >= F.col("size") * KEEP[0]).select("t", _hash(F.col("template")).alias("template")))
     recurring = seen.select("h", "t").join(broadcast_if_small(made, size), "t").select("template", "h").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
     return made.join(recurring, "template", "left_semi").select("t")
 
