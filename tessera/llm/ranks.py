@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 
 def running(df: DataFrame, group: list[str], digest: str, weight: str, out: str, ties: list[str] | None = None) -> DataFrame:
     """``df`` with ``out``: the sum of ``weight`` over the rows of the same group up to and with
@@ -28,6 +30,21 @@ def running(df: DataFrame, group: list[str], digest: str, weight: str, out: str,
     return ranked.join(sums, [*group, "__cell"]).withColumn(out, F.col("__before") + F.col("__inside")).drop("__cell", "__before", "__inside")
 
 
+def placed(df: DataFrame, *order: str, out: str) -> DataFrame:
+    """``df`` with ``out``: each row's place, from 0, by the columns ``order``, which are unique together.
+
+    Rows are dealt out by ranges of the order and sorted within them; a place is the number of
+    rows in the ranges before, one number for each range, and the place in the range.
+    """
+    rows = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    # The upper bits of the identifier number the range, the lower 33 the row in it.
+    rows = rows.withColumn("__range", F.shiftrightunsigned("__at", 33))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("__range").agg(F.count(F.lit(1)).alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    place = F.col("__start") + F.col("__at").bitwiseAND((1 << 33) - 1)
+    return rows.join(F.broadcast(starts), "__range").withColumn(out, place).drop("__at", "__range", "__start")
+
+
 def named(column: str):
     """A never-null name of a nullable string column: null and '' stay apart."""
     return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("-"))

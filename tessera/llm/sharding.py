@@ -2,16 +2,17 @@
 
 Rows of a source are shuffled by a seeded hash and ranked 1..n; row r gets the fraction
 (2 r - 1) / (2 n).  Ordered by that fraction every stretch of the whole holds the sources in
-their proportions, so the order is cut into shards of equal row counts.
+their proportions, so the order is cut into shards of equal row counts.  Places in the order
+come from ranges of it: sources of one row, which all have the fraction a half, spread like others.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .ranks import named, running
+from .ranks import named, placed, running
 
 
 def interleave(
@@ -39,14 +40,10 @@ def interleave(
     rows, ties = cut(rows), ["text_crc32", "size"]
     ranked = running(rows, ["stratum"], "digest", "one", "rank", ties)
     at = (F.col("rank") * 2 - 1) / (F.col("rank_total") * 2)
-    placed = cut(ranked.withColumn("at", at).withColumn("cell", F.floor(F.col("at") * 4096).cast("int")))
-    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("in_cell"))
-    before = Window.partitionBy(F.lit(0)).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("cell", F.coalesce(F.sum("in_cell").over(before), F.lit(0)).alias("before"), F.sum("in_cell").over(Window.partitionBy(F.lit(0))).alias("total"))
-    inside = Window.partitionBy("cell").orderBy("at", "stratum", "rank")
-    whole = placed.withColumn("nth", F.row_number().over(inside)).join(F.broadcast(cells), "cell").withColumn("position", F.col("before") + F.col("nth") - 1)
-    shard = F.expr(f"(position * {shards}) div total")
-    start = F.expr(f"(shard * total + {shards - 1}) div {shards}")
+    whole = placed(ranked.withColumn("at", at), "at", "stratum", "rank", out="position")
+    total = rows.count()
+    shard = F.expr(f"(position * {shards}) div {max(total, 1)}")
+    start = F.expr(f"(shard * {total} + {shards - 1}) div {shards}")
     return whole.withColumn("shard", shard).select("id", "source", "size", "text_crc32", *(carry or []), F.col("shard").cast("int").alias("shard"), (F.col("position") - start).alias("slot")).withColumnRenamed("id", id_col)
 
 
@@ -57,6 +54,6 @@ def with_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_
     rows equal in all columns get a place each and no group of them meets in a task.
     """
     numbered = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
-    placed = interleave(numbered, shards, id_col=id_col, text_col=text_col, carry=["__row"], **how)
-    mine = numbered.join(placed.select("__row", F.struct("shard", "slot").alias("__place")), "__row")
+    found = interleave(numbered, shards, id_col=id_col, text_col=text_col, carry=["__row"], **how)
+    mine = numbered.join(found.select("__row", F.struct("shard", "slot").alias("__place")), "__row")
     return mine.select(*[F.col(f"`{c}`") for c in docs.columns], "__place.shard", "__place.slot")

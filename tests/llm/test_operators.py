@@ -285,7 +285,7 @@ def test_frequent_pretokens_have_their_lengths(docs):
 
     path = token_counts.tokenizer_path()
     t, model = Tokenizer.from_file(path), open(path, "rb").read()
-    table = token_counts.frequent_lengths(docs.select("text"), model)
+    table = token_counts.frequent_lengths(docs.select("doc_id", "text"), model)
     assert len(table) > 20 and {x: len(t.encode(x).ids) for x in table} == table and max(table.values()) > 1
     assert token_counts.Counter(model, table).cut and not token_counts.Counter(open(token_counts.tokenizer_path("word_bpe_49k.json"), "rb").read(), {}).cut
 
