@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -173,15 +174,47 @@ class Compiler:
         shared = sorted(a.all & b.all)
         left, right = a.df.drop("__one"), b.df.drop("__one").withColumnsRenamed({v: f"__r_{v}" for v in shared})
         fits = lambda v: F.col(v) == F.col(f"__r_{v}")
-        on = [fits(v) if v in a.bound & b.bound else fits(v) | F.col(v).isNull() | F.col(f"__r_{v}").isNull() for v in shared]
-        on += [self.column(c, Solution(left, a.bound | b.bound, a.maybe | b.maybe)) for c in conditions]
-        df = left.join(right, reduce(lambda x, y: x & y, on), how)
+        over = [self.column(c, Solution(left, a.bound | b.bound, a.maybe | b.maybe)) for c in conditions]
+        loose = [v for v in shared if v not in a.bound & b.bound]
+        sure = [fits(v) for v in shared if v not in loose] + over
+        if loose and len(loose) <= 2 and how in ("inner", "left"):
+            df = self.join_by_nulls(left, right, sure, {v: (v in a.bound, v in b.bound) for v in loose}, how)
+        else:
+            on = sure + [fits(v) | F.col(v).isNull() | F.col(f"__r_{v}").isNull() for v in loose]
+            df = left.join(right, reduce(lambda x, y: x & y, on), how)
         if how in ("left_semi", "left_anti"):
             return replace(a, df=df)
         df = df.withColumns({v: F.coalesce(v, f"__r_{v}") for v in shared if v in a.maybe}).drop(*[f"__r_{v}" for v in shared])
         bound = a.bound | b.bound if how == "inner" else a.bound
         return Solution(df, bound, (a.all | b.all) - bound)
 
+    @staticmethod
+    def join_by_nulls(left: DataFrame, right: DataFrame, sure: list[Column], loose: dict[str, tuple[bool, bool]], how: str) -> DataFrame:
+        """A join on variables that either side may leave unbound, as equi-joins: both sides are parted by
+        which of them are bound, and each two parts are joined on what both have.
+
+        Two parts that share no bound variable are compared row by row, as their meaning asks.
+        """
+        def parts(df: DataFrame, side: int, prefix: str) -> list[tuple[dict[str, bool], DataFrame]]:
+            out = []
+            for bound in product((True, False), repeat=len(loose)):
+                if all(b or not loose[v][side] for v, b in zip(loose, bound)):
+                    tests = [F.col(prefix + v).isNotNull() if b else F.col(prefix + v).isNull() for v, b in zip(loose, bound) if not loose[v][side]]
+                    out.append((dict(zip(loose, bound)), df.where(reduce(lambda x, y: x & y, tests)) if tests else df))
+            return out
+
+        found = []
+        for mine, rows in parts(left, 0, ""):
+            alone = rows
+            for theirs, others in parts(right, 1, "__r_"):
+                on = sure + [F.col(v) == F.col(f"__r_{v}") for v in loose if mine[v] and theirs[v]]
+                on = reduce(lambda x, y: x & y, on) if on else F.lit(True)
+                found.append(rows.join(others, on))
+                alone = alone.join(others, on, "left_anti")
+            if how == "left":
+                found.append(alone.select("*", *[F.lit(None).cast(t).alias(c) for c, t in right.dtypes]))
+        return reduce(DataFrame.unionByName, found)
+
     @staticmethod
     def used(e: Expr) -> set[str]:
         """The variables of an expression outside its own groups."""

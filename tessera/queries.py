@@ -54,6 +54,10 @@ _sparql("bgp_single", 'SELECT ?m ?n WHERE { ?m code:name ?n }', f"SELECT subject
 _sparql("bgp_star3", 'SELECT ?m ?n ?g WHERE { ?m code:language "BUILDING" . ?m code:layer "customer" . ?m code:exports ?g . ?m code:name ?n }',
         "SELECT m.path AS m, m.name AS n, export AS g FROM m JOIN ex ON ex.path = m.path WHERE m.language = 'BUILDING' AND m.layer = 'customer'")
 _sparql("bgp_link_join", "SELECT ?a ?b WHERE { ?a code:linksTo ?b . ?a code:layer ?l . ?b code:layer ?l }", "SELECT src AS a, dst AS b FROM e JOIN m x ON x.path = src JOIN m y ON y.path = dst WHERE x.layer = y.layer")
+_sparql("bgp_link_join_rows", "SELECT ?a ?b WHERE { ?a code:linksTo ?b . ?a code:language ?l . ?b code:language ?l }", "SELECT src AS a, dst AS b FROM e JOIN m x ON x.path = src JOIN m y ON y.path = dst WHERE x.language = y.language")
+_sparql("not_exists_rows", 'SELECT ?m WHERE { ?m code:layer "customer" FILTER NOT EXISTS { ?o code:linksTo ?m ; code:language "P" } }', "SELECT path AS m FROM m WHERE layer = 'customer' AND path NOT IN (SELECT dst FROM e JOIN m o ON o.path = src WHERE o.language = 'P')")
+_sparql("optional_two_shared", 'SELECT ?m ?d ?t WHERE { ?m code:layer "supplier" OPTIONAL { ?m code:description ?d } OPTIONAL { ?m code:exports ?t } OPTIONAL { ?x code:description ?d ; code:exports ?t ; code:layer "supplier" } }',
+        "WITH a AS (SELECT m.path AS m, description AS d, export AS t FROM m LEFT JOIN ex ON ex.path = m.path WHERE m.layer = 'supplier'), b AS (SELECT description AS d, export AS t FROM m JOIN ex ON ex.path = m.path WHERE m.layer = 'supplier' AND description IS NOT NULL) SELECT m, coalesce(a.d, b.d) AS d, coalesce(a.t, b.t) AS t FROM a LEFT JOIN b ON (a.d IS NULL OR a.d = b.d) AND (a.t IS NULL OR a.t = b.t)".replace("WITH a AS", "+a AS", 1))
 _sparql("bgp_path2", "SELECT ?a ?c WHERE { ?a code:linksTo/code:linksTo ?c . ?a code:layer ?l FILTER(?l != \"orders\") }", "SELECT a.src AS a, b.dst AS c FROM e a JOIN e b ON a.dst = b.src JOIN m ON m.path = a.src WHERE layer <> 'orders'")
 _sparql("bgp_cartesian", 'SELECT ?r ?n WHERE { ?r code:layer "region" . ?n code:layer "nation" }', "SELECT a.path AS r, b.path AS n FROM m a, m b WHERE a.layer = 'region' AND b.layer = 'nation'")
 _sparql("bgp_var_predicate", "SELECT ?p ?o WHERE { <nation/3> ?p ?o }", "SELECT predicate AS p, object AS o FROM t WHERE subject = 'nation/3'")
@@ -90,6 +94,19 @@ _sparql("property_path_plus", "SELECT ?x WHERE { <orders/1> code:linksTo+ ?x }",
 _sparql("property_path_back", 'SELECT ?x WHERE { <region/1> ^code:linksTo ?x }', "SELECT src AS x FROM e WHERE dst = 'region/1'")
 _sparql("property_path_alt", "SELECT ?v WHERE { <nation/2> (code:name|code:layer) ?v }", f"SELECT object AS v FROM t WHERE subject = 'nation/2' AND predicate IN ({_p('name')}, {_p('layer')})")
 
+
+
+def _trades(s: SparkSession, d: str) -> DataFrame:
+    """Which nation's suppliers sell to which nation's customers, as triples."""
+    t = lambda name, *cols: s.read.parquet(f"{d}/{name}.parquet").select(*cols)
+    sold = t("lineitem", "l_orderkey", "l_suppkey").join(t("orders", "o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    sold = sold.join(t("supplier", "s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("customer", "c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    nation = lambda c: F.concat(F.lit("nation/"), F.col(c).cast("string"))
+    return sold.select(nation("s_nationkey").alias("subject"), F.lit(f"{NS}sellsTo").alias("predicate"), nation("c_nationkey").alias("object")).distinct()
+
+
+register("bgp_same_var_rows", lambda s, d: sparql(_trades(s, d), "SELECT ?m ?p WHERE { ?m ?p ?m }"), f"SELECT DISTINCT concat('nation/', s_nationkey) AS m, {_p('sellsTo')} AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey WHERE s_nationkey = c_nationkey", False)
+
 # --- templates
 _T = {
     "find-dependencies": ({"module": "orders/7"}, "SELECT dst AS dependency FROM e WHERE src = 'orders/7'"),
@@ -171,6 +188,22 @@ register("ignore_filter", lambda s, d: modules(s, d).where(~files.is_ignored(F.c
 register("scan_documents", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select(F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit("."), F.col("lang"))).alias("path"), "n_chars").where(~files.is_ignored(F.col("path"), ["src0"])).groupBy(text.extension(F.col("path")).alias("ext"), text.dir_name(F.col("path")).alias("dir")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars")),
          "SELECT '.' || lang AS ext, source AS dir, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents WHERE source <> 'src0' GROUP BY ALL", False)
 register("marker_extract", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), text.content_hash(F.col("html")).alias("hash")), "SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, sha256(html) AS hash FROM pages", False)
+def _blocks(s: SparkSession, d: str) -> DataFrame:
+    """Pages with their title in a metadata block; every third block is not closed, every third is the wrong way round."""
+    title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
+    a, b = F.lit("<!-- Linked RDF -->\n  "), F.lit("\n<!-- End Linked RDF -->")
+    kind = F.col("page_id") % 3
+    content = F.when(kind == 0, F.concat(F.lit("x\n"), a, title, b, a, b)).when(kind == 1, F.concat(a, title)).otherwise(F.concat(b, title, a))
+    p = s.read.parquet(f"{d}/pages.parquet").select("page_id", content.alias("content"))
+    return p.select("page_id", files.block(F.col("content")).alias("block"), files.block_error(F.col("content")).alias("error"))
+
+
+register("marker_block", _blocks, "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), chr(32) || chr(9) || chr(10) || chr(13)) END AS block, CASE WHEN page_id % 3 = 1 THEN 'the metadata block is not closed' WHEN page_id % 3 = 2 THEN 'the end marker comes before the start' END AS error FROM pages", False)
+def _aims():
+    return F.element_at(F.array(*map(F.lit, ("../x", "./y", "plain", "../../../z", "a/./b/../c", "./../w//v"))), (F.col("n_nationkey") % 6 + 1).cast("int"))
+
+
+register("path_resolve_rows", lambda s, d: s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", text.resolve_path(F.concat(F.lit("a/"), F.col("n_name")), _aims()).alias("path")), "SELECT n_nationkey, CASE n_nationkey % 6 WHEN 0 THEN 'a/x' WHEN 1 THEN 'a/' || n_name || '/y' WHEN 2 THEN 'plain' WHEN 3 THEN '../z' WHEN 4 THEN 'a/' || n_name || '/a/c' ELSE 'a/w/v' END AS path FROM nation", False)
 register("path_resolve", lambda s, d: s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", text.resolve_path(F.lit("a/b"), F.concat(F.lit("../x/./"), F.col("n_name"), F.lit("/../y"))).alias("path")), "SELECT n_nationkey, 'a/x/y' AS path FROM nation", False)
 
 # --- graph
