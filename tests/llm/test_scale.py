@@ -70,3 +70,22 @@ def test_many_sources_of_one_row_are_spread(spark):
     assert [r.place for r in spread.orderBy("doc_id").collect()] == list(range(4000))
     assert spread.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 2500
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_pipeline_stages_on_hard_tables(spark, tmp_path):
+    """Empty tables, null and empty texts, repeated rows, ties and a column with a clashing name go through every stage."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, shard string, rank string"
+    texts = ["", None, "one", "two words", "same text again and again", "same text again and again", "x " * 5000]
+    rows = [(k, t, None if k == 3 else "en", None if k == 4 else "src1", 1, "clash", "r") for k, t in enumerate(texts)] + [(6, texts[6], "en", "src1", 1, "clash", "r"), (None, "no id", None, None, None, None, None)]
+    for name, data in (("hard", rows), ("empty", [])):
+        sf = f"{tmp_path}/{name}"
+        spark.createDataFrame(data, schema).write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([(k, k % 2, 0) for k in range(4)] if data else [], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+        spark.createDataFrame([(1, None), (2, "two words")] if data else [], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+        docs = spark.read.parquet(f"{sf}/documents.parquet").drop("shard")
+        for k, (_, stage) in enumerate(pipeline.STAGES):
+            stage(spark, docs, sf).write.parquet(f"{sf}/out{k}")
+            before, docs = docs.columns, spark.read.parquet(f"{sf}/out{k}")
+            assert docs.columns == (before if k < 4 else [*before, "shard", "slot"])
+            assert data or docs.count() == 0
