@@ -17,10 +17,10 @@ from .operators import modules as ops
 from .operators import pages, store
 from .plans.compiler import sparql
 from .plans.templates import Templates
-from .schema import NS, RDF_TYPE
+from .schema import NS, RDF_TYPE, modules_of
 from .session import shared_folder
 from .sinks import diagrams, results
-from .sources import files
+from .sources import files, turtle
 from .sources.cache import ModuleCache
 from .sources.tables import PRELUDE, by_predicate, edges, modules, part_edges, triples
 from .streaming.watch import bursts, windowed_counts
@@ -483,3 +483,47 @@ def _events(s: SparkSession, d: str) -> DataFrame:
 register("session_debounce", lambda s, d: bursts(_events(s, d), gap="30 minutes", key="event_type", by=["user_id"]).select("user_id", F.unix_micros(F.col("start").cast("timestamp")).alias("start"), "n", F.array_join("keys", "|").alias("keys")),
          "WITH o AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM o) SELECT user_id, epoch_us(min(ts)) AS start, count(*) AS n, string_agg(DISTINCT event_type, '|' ORDER BY event_type) AS keys FROM g GROUP BY user_id, burst", False)
 register("windowed_changes", lambda s, d: windowed_counts(_events(s, d), width="1 hour", by=["event_type"]).select("event_type", F.unix_micros(F.col("start").cast("timestamp")).alias("start"), "n"), "SELECT event_type, epoch_us(date_trunc('hour', ts)) AS start, count(*) AS n FROM events GROUP BY ALL", False)
+
+
+# --- customers as source files with a metadata block, parsed back
+def _sources(s: SparkSession, d: str) -> DataFrame:
+    """Every tenth block is cut off within a text; marks stand inside texts, lists and blank nodes are used."""
+    key, seg = F.col("c_custkey").cast("string"), F.col("c_mktsegment")
+    head = F.concat(F.lit("package x\n<!-- RDF -->\n@prefix ex: <http://ex.org/> .\n<#"), key, F.lit('> a code:Module ;\n  code:name "'), F.col("c_name"), F.lit('" ;\n  code:description "a; b, c. <'))
+    rest = F.concat(seg, F.lit('>" ;\n  code:tags "'), seg, F.lit('", "t2" ;\n  code:linksTo <../nation/'), F.col("c_nationkey").cast("string"), F.lit('> ;\n  ex:made [ code:layer "'), seg, F.lit('" ; ex:by [ ex:who "w" ] ] .'))
+    text = F.concat(head, F.when(F.col("c_custkey") % 10 != 0, rest).otherwise(""), F.lit("\n<!-- End RDF -->\n"))
+    return s.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("customer/"), key).alias("path"), text.alias("content"))
+
+
+def _parsed_triples(s: SparkSession, d: str) -> DataFrame:
+    return turtle.triples_of(turtle.parse_files(_sources(s, d)))
+
+
+_WHOLE = "WITH c AS (SELECT 'customer/' || c_custkey AS path, c_custkey % 10 = 0 AS broken, c_name, c_mktsegment AS seg, 'nation/' || c_nationkey AS nation FROM customer)"
+register("turtle_triples", lambda s, d: _parsed_triples(s, d).select(*[F.regexp_replace(c, "^_:.*", "_:").alias(c) for c in ("subject", "predicate", "object")], "object_type"),
+         _WHOLE + f" SELECT path AS subject, p AS predicate, o AS object, k AS object_type FROM (SELECT *, unnest([{{'p': '{RDF_TYPE}', 'o': '{NS}Module', 'k': 'uri'}}, {{'p': {_p('name')}, 'o': c_name, 'k': 'literal'}}, {{'p': {_p('description')}, 'o': 'a; b, c. <' || seg || '>', 'k': 'literal'}}, {{'p': {_p('tags')}, 'o': seg, 'k': 'literal'}}, {{'p': {_p('tags')}, 'o': 't2', 'k': 'literal'}}, {{'p': {_p('linksTo')}, 'o': nation, 'k': 'uri'}}, {{'p': 'http://ex.org/made', 'o': '_:', 'k': 'bnode'}}], recursive := true) FROM c WHERE NOT broken)"
+         f" UNION ALL SELECT '_:', {_p('layer')}, seg, 'literal' FROM c WHERE NOT broken UNION ALL SELECT '_:', 'http://ex.org/by', '_:', 'bnode' FROM c WHERE NOT broken UNION ALL SELECT '_:', 'http://ex.org/who', 'w', 'literal' FROM c WHERE NOT broken", False)
+register("turtle_errors", lambda s, d: turtle.parse_files(_sources(s, d)).where("error IS NOT NULL").select(F.col("file").alias("path")), _WHOLE + " SELECT path FROM c WHERE broken", False)
+register("turtle_modules", lambda s, d: modules_of(_parsed_triples(s, d)).select("path", "name", "description", F.array_join("tags", ",").alias("tags"), F.array_join("dependencies", ",").alias("dependencies")), _WHOLE + " SELECT path, c_name AS name, 'a; b, c. <' || seg || '>' AS description, least(seg, 't2') || ',' || greatest(seg, 't2') AS tags, nation AS dependencies FROM c WHERE NOT broken", False)
+register("turtle_edges", lambda s, d: turtle.resolve_edges(_parsed_triples(s, d), modules(s, d).where("layer = 'nation' AND path <> 'nation/3'").select(F.concat(F.lit("deep/"), "path").alias("path"), "uri", "name")), _WHOLE + " SELECT path AS src, CASE WHEN nation = 'nation/3' THEN nation ELSE 'deep/' || nation END AS dst, nation <> 'nation/3' AS resolved FROM c WHERE NOT broken", False)
+
+# --- further paths, prefixes, lookups and reports
+_sparql("property_path_star", "SELECT ?x WHERE { <orders/1> code:linksTo* ?x }", "+r AS (SELECT 'orders/1' AS dst UNION SELECT e.dst FROM e JOIN r ON e.src = r.dst) SELECT dst AS x FROM r")
+_sparql("property_path_opt", "SELECT ?x WHERE { <orders/1> code:linksTo? ?x }", "SELECT 'orders/1' AS x UNION SELECT dst FROM e WHERE src = 'orders/1'")
+_sparql("prefix_names", f'PREFIX c: <{NS}> PREFIX r: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> SELECT ?m WHERE {{ ?m r:type c:Module ; c:layer "nation" }}', "SELECT path AS m FROM m WHERE layer = 'nation'")
+register("search_columns", lambda s, d: ops.search(modules(s, d), "00012", ("name", "uri")).select("path"), "SELECT DISTINCT path FROM m WHERE contains(lower(name), '00012') OR contains('#' || lower(path), '00012') OR path IN (SELECT path FROM tg WHERE contains(lower(tag), '00012'))")
+register("store_exists", lambda s, d: store.exists(triples(s, d), edges(s, d).select("src", F.lit(f"{NS}linksTo").alias("predicate"), F.regexp_replace("dst", "^nation/1$", "nation/none").alias("object")).withColumnRenamed("src", "subject")), f"SELECT src AS subject, {_p('linksTo')} AS predicate, dst AS object FROM e WHERE dst <> 'nation/1'")
+register("diagram_chosen", lambda s, d: diagrams.chosen(modules(s, d), ["Customer", "NATION"], ["building", "Internal"]).select("path"), "SELECT DISTINCT path FROM tg WHERE (layer = 'customer' AND lower(tag) = 'building') OR (layer = 'nation' AND tag = 'internal')")
+register("shadow_triples_by", lambda s, d: shadow.triples_by(_entries(s, d, True), "predicate", "size"), _SHADOW + " SELECT path, doc_id::VARCHAR AS subject, 'size' AS predicate, n_chars::VARCHAR AS object, 'manual' AS source FROM x JOIN documents ON path = concat(documents.source, '/', doc_id::VARCHAR) WHERE quality IS NOT NULL", False)
+register("result_tsv", lambda s, d: results.tsv_lines(modules(s, d).where("layer = 'nation'").select("path", "name", F.concat("name", F.lit("\t\\")).alias("odd"))), "SELECT path || chr(9) || name || chr(9) || name || '\\t\\\\' AS value FROM m WHERE layer = 'nation'")
+register("impact_bounded", lambda s, d: g.closure(g.reverse(edges(s, d)), _one(s, "region/1"), 2).select("node", "depth"), "SELECT src AS node, 1::BIGINT AS depth FROM e WHERE dst = 'region/1' UNION ALL SELECT DISTINCT a.src, 2::BIGINT FROM e a JOIN e b ON a.dst = b.src WHERE b.dst = 'region/1'")
+register("zone_summary", lambda s, d: security.classify(modules(s, d)).groupBy("zone").agg(F.count(F.lit(1)).alias("n")).join(security.zone_info(s), "zone"), _ZONE + ", v AS (SELECT * FROM (VALUES " + ", ".join(f"('{z}', {r})" for z, r in security.ZONE_RISK.items()) + ") x(zone, risk)) SELECT z.zone, count(*) AS n, risk::BIGINT AS risk FROM z JOIN v ON v.zone = z.zone GROUP BY ALL")
+register("rules_by_severity", lambda s, d: checks.check_rules(triples(s, d), checks.BUILT_IN, least="warning", tags={"documentation"}).summary.select("rule", F.col("found").cast("long").alias("found")), "+v AS (" + _RULES + ") SELECT rule, found::BIGINT AS found FROM v WHERE rule = 'exports-documented'")
+
+
+def _backwards(s: SparkSession, d: str) -> DataFrame:
+    e = edges(s, d)
+    return checks.diff(modules(s, d), modules(s, d), e.where("NOT (src LIKE 'customer/%' AND src LIKE '%7')"), e).where("status = 'modified'").select("path", F.explode("added_deps").alias("dst"))
+
+
+register("diff_deps_added", _backwards, "SELECT src AS path, dst FROM e WHERE src LIKE 'customer/%' AND src LIKE '%7'")
