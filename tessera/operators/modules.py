@@ -84,6 +84,8 @@ def stratified_quota(df: DataFrame, n: int, directory: Column | None = None, key
 def sample_stratified(df: DataFrame, n: int, seed: int = 0, directory: Column | None = None, key: str = "path") -> DataFrame:
     d = directory if directory is not None else dir_name(F.col(key))
     ranked = df.withColumn("dir", d).withColumn("nth", F.row_number().over(Window.partitionBy("dir").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), key)), key)))
+    # No folder's quota is above n: the limit is a constant, so each task sends on no more than n rows of a folder.
+    ranked = ranked.where(F.col("nth") <= n)
     return ranked.join(stratified_quota(df, n, directory, key).select("dir", "quota"), "dir").where("nth <= quota").drop("nth", "quota")
 
 

@@ -59,6 +59,11 @@ def to_tsv(df: DataFrame) -> str:
     return "\n".join(["\t".join(f"?{c}" for c in df.columns), *(r[0] for r in tsv_lines(df).toLocalIterator())]) + "\n"
 
 
+def to_json(df: DataFrame) -> str:
+    """An array of one object a row, unbound variables as null.  For results that fit the driver."""
+    return "[" + ",\n ".join(r[0] for r in df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("value")).toLocalIterator()) + "]\n"
+
+
 def to_table(df: DataFrame, rows: int = 50) -> str:
     """A text table of the first rows: a report."""
     cells = [[str(x) if x is not None else "" for x in r] for r in df.limit(rows).collect()]

@@ -10,7 +10,7 @@ from tessera.operators import modules as ops
 from tessera.operators import pages, store
 from tessera.plans.compiler import predicates_of, sparql
 from tessera.plans.parser import parse
-from tessera.sinks import diagrams
+from tessera.sinks import diagrams, results
 from tessera.sources import files
 
 NS = "urn:code:"
@@ -205,6 +205,15 @@ def test_counts_and_limits(spark, chain):
     assert sparql(t, ask + " LIMIT 5", limit=2).count() == 5 and sparql(t, ask).count() == 9
 
 
+def test_a_hot_folder_is_cut_before_it_moves(spark):
+    df = spark.range(3000).select(F.concat(F.lit("hot/"), F.col("id").cast("string")).alias("path")).unionByName(spark.createDataFrame([("cold/1",)], "path string"))
+    out = ops.sample_stratified(df, 40, 3)
+    assert "WindowGroupLimit" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == 40 and out.where("dir = 'cold'").count() == 1
+    assert json.loads(results.to_json(spark.createDataFrame([("a", None), ('"', 2)], "x string, y long"))) == [{"x": "a", "y": None}, {"x": '"', "y": 2}]
+    assert json.loads(results.to_json(df.limit(0))) == []
+
+
 def test_validator_names_every_fault(spark):
     m = modules(spark, [("p/a", "<a>", "A", "d", "go", "x", ["t"], ["e"]), ("p/b", "b", "", "", "", "", [], []), ("p/c", None, "C", "d", "go", "x", ["t"], ["e"]), ("p/d", "<a>", "D", "d", "go", "x", ["t"], ["e"])])
     e = spark.createDataFrame([("p/a", "D"), ("p/a", "/c"), ("p/a", "nope"), ("p/c", "p/d"), ("p/d", "p/c"), *[("p/b", f"p/{x}") for x in "acd"]], "src string, dst string")
