@@ -15,7 +15,7 @@ from .graph import algorithms as g
 from .graph import reach
 from .operators import modules as ops
 from .operators import pages, store
-from .plans.compiler import sparql
+from .plans.compiler import predicate_counts, sparql
 from .plans.templates import Templates
 from .schema import NS, RDF_TYPE, modules_of
 from .session import shared_folder
@@ -527,3 +527,31 @@ def _backwards(s: SparkSession, d: str) -> DataFrame:
 
 
 register("diff_deps_added", _backwards, "SELECT src AS path, dst FROM e WHERE src LIKE 'customer/%' AND src LIKE '%7'")
+
+
+def _ordered(s: SparkSession, d: str) -> DataFrame:
+    """A star whose patterns are joined rarest first, by the counts of their predicates."""
+    t = by_predicate(s, d)
+    return sparql(t, 'SELECT ?m ?t WHERE { ?m a code:Module ; code:name ?n ; code:tags ?t ; code:exports ?n }', predicate_counts(t))
+
+
+register("bgp_ordered", _ordered, "SELECT m.path AS m, tag AS t FROM m JOIN tg ON tg.path = m.path JOIN ex ON ex.path = m.path AND ex.export = m.name")
+
+
+def _old_code(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as source files of all kinds: internal, tests, commands, entry points, unfinished, excluded, used."""
+    k, pr = F.col("o_orderkey"), F.col("o_orderpriority")
+    name = lambda front, back=".go": F.concat(F.lit(front), k.cast("string"), F.lit(back))
+    kinds = [name("pkg/internal/o"), name("lib/o", "_test.go"), name("lib/cmd_"), name("skip/o"), name("main/o"), name("wip/o"), name("lib/o")]
+    path = F.element_at(F.array(*kinds), (k % 7 + 1).cast("int"))
+    words = lambda *xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    m = s.read.parquet(f"{d}/orders.parquet").select(
+        path.alias("path"), k.alias("k"), F.when(pr == "1-URGENT", "A PoC of it").alias("description"),
+        F.when(pr == "2-HIGH", words("rpc")).when(pr == "3-MEDIUM", words("Middleware")).otherwise(words()).alias("tags"),
+        F.when(k % 11 == 0, words("#init")).when(k % 3 == 0, words("E")).otherwise(words()).alias("exports"),
+    )
+    return m.where("k % 13 = 0").select(F.lit("x").alias("src"), F.col("path").alias("dst")), m
+
+
+register("dead_kinds", lambda s, d: deadcode.dead_modules(*_old_code(s, d), exclude=["skip/*"], aggressive=True).select("path", "confidence", "action", "risk"),
+         "WITH c AS (SELECT o_orderkey AS k, o_orderpriority AS pr FROM orders WHERE o_orderkey % 7 IN (0, 5, 6) AND o_orderpriority <> '3-MEDIUM' AND o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0), h AS (SELECT CASE k % 7 WHEN 0 THEN 'pkg/internal/o' WHEN 5 THEN 'wip/o' ELSE 'lib/o' END || k || '.go' AS path, least(90 + CASE WHEN k % 7 = 0 THEN 10 ELSE 0 END + CASE WHEN k % 3 <> 0 THEN 5 ELSE 0 END - CASE WHEN pr = '2-HIGH' OR (k % 3 = 0 AND k % 7 <> 0) THEN 30 ELSE 0 END - CASE WHEN k % 7 = 5 OR pr = '1-URGENT' THEN 40 ELSE 0 END, 100) AS x FROM c) SELECT path, x / 100 AS confidence, CASE WHEN x >= 80 THEN 'remove' ELSE 'review' END AS action, CASE WHEN x >= 80 THEN 'low' WHEN x >= 60 THEN 'medium' ELSE 'high' END AS risk FROM h WHERE x >= 50", False)
