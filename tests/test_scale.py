@@ -155,3 +155,56 @@ def test_posting_index_equals_a_rebuild(spark, tmp_path):
     found.compact()
     assert sorted(tuple(x) for x in found.postings().collect()) == want
     assert sorted(x.path for x in found.lookup("tag", "b").collect()) == sorted(p for k, key, p in want if (k, key) == ("tag", "b"))
+
+
+def test_trees_are_folded_before_users_are_counted(spark):
+    """Trees that hang on cycles and on nodes with two ways on, chains, and weights in one word."""
+    from tessera.graph.reach import _folded
+
+    tree = [(f"o{k}", f"c{k % 40}") for k in range(300)] + [(f"c{k}", f"n{k % 5}") for k in range(40)] + [(f"n{k}", f"r{k % 2}") for k in range(5)]
+    weights, users, left = _folded(frame(spark, tree))
+    assert left.count() == 0 and weights.count() == 2 and users.count() == 345
+    edges = tree + [("r0", "x"), ("r0", "y"), ("x", "z"), ("y", "z"), ("r1", "s"), ("s", "t"), ("t", "s"), ("t", "z"), *[(f"k{n}", f"k{n + 1}") for n in range(6)]]
+    assert {x.node: x.users for x in count_users(frame(spark, edges)).collect()} == reach(edges)
+    near = {x.node: x.users for x in sketch_users(frame(spark, edges)).collect()}
+    assert near.keys() == reach(edges).keys() and all(abs(near[n] - v) <= 1 + v * 0.08 for n, v in reach(edges).items())
+
+
+def test_dense_graphs_are_contracted_and_pairs_come_from_components(spark):
+    """Three dense components, one way between two of them, nodes beside; names, pairs and loops are those of brute force."""
+    r = random.Random(8)
+    edges = sorted({(f"{c}{r.randrange(20):02d}", f"{c}{r.randrange(20):02d}") for c in "abc" for _ in range(700)} | {("a03", "b01"), ("z", "a00"), ("b05", "y"), ("l", "l")})
+    far = {n: set() for e in edges for n in e}
+    for root in far:
+        todo = [root]
+        while todo:
+            at = todo.pop()
+            for a, b in edges:
+                if a == at and b not in far[root]:
+                    far[root].add(b)
+                    todo.append(b)
+    want = {n: min([n, *(m for m in s if n in far[m])]) for n, s in far.items()}
+    assert {x.node: x.component for x in g.components(frame(spark, edges)).collect()} == want
+    pairs = sorted((x.root, x.node) for x in g.reachable(frame(spark, edges), shares=3).collect())
+    assert pairs == sorted((a, b) for a, s in far.items() for b in s)
+
+
+def test_blocks_are_dealt_out_and_parsed_once(spark, tmp_path):
+    """Files of one partition are parsed by many tasks, and each once, however often its triples are read."""
+    from tessera.sources import turtle
+
+    rows = [(f"d/{k}", f'<!-- RDF -->\n<#{k}> a code:Module ; code:linksTo <../e/{k % 3}> .\n<!-- End RDF -->') for k in range(40)]
+    parsed = turtle.parse_files(spark.createDataFrame(rows, "path string, content string").coalesce(1))
+    assert parsed.rdd.getNumPartitions() > 1
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    triples = turtle.triples_of(parsed.mapInArrow(count, parsed.schema))
+    modules = spark.createDataFrame([("e/0", "u", "n"), ("x/e/1", "v", "m")], "path string, uri string, name string")
+    got = {x.src: (x.dst, x.resolved) for x in turtle.resolve_edges(triples, modules).collect()}
+    assert got == {f"d/{k}": (("e/0", True), ("x/e/1", True), ("e/2", False))[k % 3] for k in range(40)}
+    assert seen.value == 80
