@@ -20,6 +20,10 @@ instead of all pairs.  A leaf above ``CHUNK`` rows is dealt out as pairs of chun
 At block radius 0 a ball is one value of the chosen bits, no ball crosses a cut, and the shard
 is named by that value alone.
 
+A block radius may also be given that is smaller than the radius asks for.  Then rows meet that lie
+within it on some block, of blocks cut from several orders of the bits (``deals``).  Leaves are wider
+there (``WIDE``), so that fewer balls cross a cut, and rows of a leaf are compared on its block first.
+
 Where a ``similarity`` is asked for, links of fingerprints only gather candidates: the texts of
 each linked group are compared by the Jaccard similarity of their shingle sets, nearest
 fingerprints first, and those links alone make components.  A larger group is dealt out as
@@ -43,6 +47,8 @@ from .common import broadcast_if_small, cut
 from .components import connected_components
 
 CHUNK, TEXTS, LEAF, SAMPLE = 2048, 512, 256, 1 << 18
+#: Where a block radius is given: rows at home in a leaf, rows of a chunk, and codes for one of the sample at least.
+WIDE, WIDE_CHUNK, ONE_IN = 4096, 32768, 64
 _SPREAD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 
@@ -112,13 +118,13 @@ def block_radius_of(radius: int, blocks: int, intact: int) -> int:
     return intact * each + max(0, rest - (blocks - intact))
 
 
-def masks(bits: int, blocks: int, intact: int) -> list[np.ndarray]:
-    """For each tree the bits that it looks at, as words of 64 bits."""
-    out = []
+def masks(bits: int, blocks: int, intact: int, deal: int = 0, seed: int = 0) -> list[np.ndarray]:
+    """For each tree the bits that it looks at, as words of 64 bits; a deal cuts its blocks from an order of its own."""
+    out, order = [], np.random.default_rng([seed, deal]).permutation(bits) if deal else np.arange(bits)
     for chosen in combinations(range(blocks), intact):
         m = np.zeros(bits, dtype=np.uint8)
         for k in chosen:
-            m[k * bits // blocks : (k + 1) * bits // blocks] = 1
+            m[order[k * bits // blocks : (k + 1) * bits // blocks]] = 1
         out.append(np.packbits(m).view(">u8").astype(np.uint64))
     return out
 
@@ -253,16 +259,63 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = None)
     return root
 
 
-def _compare(batches: Iterator[pa.RecordBatch], bits: int, radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (leaf, lo, hi), home rows first; a group that may go on is carried to the next batch."""
+def _by_block(raw: np.ndarray, home: np.ndarray, mask: np.ndarray, rho: int, radius: int) -> np.ndarray:
+    """The ``forest`` of a leaf's rows: home rows against all, on the block of ``mask`` first and then on all bits.
+
+    Pairs join the forest a strip of home rows at a time and are not held.
+    """
+    bits = np.unpackbits(raw, axis=1)[:, np.unpackbits(mask.astype(">u8").view(np.uint8)).astype(bool)]
+    packed = np.packbits(bits, axis=1)
+    word = np.zeros((len(raw), -(-packed.shape[1] // 4) * 4), dtype=np.uint8)
+    word[:, : packed.shape[1]] = packed
+    words, code, at = word.view(np.uint32), raw.view(np.uint64), np.nonzero(home)[0]
+    n, root = len(raw), np.arange(len(raw))
+    eights, strip = -(-n // 8), max(1, (1 << 17) // n)
+    for lo in range(0, len(at), strip):
+        h = at[lo : lo + strip]
+        d = np.bitwise_count(words[h, None, 0] ^ words[None, :, 0])
+        for c in range(1, words.shape[1]):
+            d = d + np.bitwise_count(words[h, None, c] ^ words[None, :, c])
+        # Few pairs are near: they are looked for eight at a time.
+        hits = np.zeros((len(h), eights * 8), dtype=bool)
+        np.less_equal(d, rho, out=hits[:, :n])
+        some = np.flatnonzero(hits.view(np.uint64))
+        k, bit = np.nonzero(hits.reshape(-1, 8)[some])
+        i, j = h[some[k] // eights], some[k] % eights * 8 + bit
+        new = (i != j) & ((i < j) | ~home[j]) & (root[i] != root[j])
+        i, j = i[new], j[new]
+        near = np.bitwise_count(code[i] ^ code[j]).sum(axis=1, dtype=np.int32) <= radius
+        root = forest(n, i[near], j[near], root)
+    return root
+
+
+def _compare(batches: Iterator[pa.RecordBatch], bits: int, radius: int, trees: list[np.ndarray] | None = None, rho: int = 0) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (leaf, lo, hi), home rows first; a group that may go on is carried to the next batch.
+
+    With ``trees``, the masks by leaf number, rows come by code behind the group: links then go to the least
+    code of each component, which many leaves share.
+    """
     width = bits // 8
 
+    def stars(raw: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+        linked = np.nonzero(root != np.arange(len(root)))[0]
+        us, vs = raw[root[linked]], raw[linked]
+        apart = (us != vs).any(axis=1)
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in us[apart]], pa.binary()), pa.array([x.tobytes() for x in vs[apart]], pa.binary())], names=["u", "v"])
+
+    def by_leaf(key: np.ndarray, raw: np.ndarray, home: np.ndarray) -> pa.RecordBatch:
+        cuts = [0, *(np.nonzero((key[1:] != key[:-1]).any(axis=1))[0] + 1).tolist(), len(key)]
+        roots = [_by_block(raw[a:b], home[a:b], trees[int(key[a, 0]) % len(trees)], rho, radius) + a for a, b in zip(cuts, cuts[1:])]
+        return stars(raw, np.concatenate(roots))
+
     def links(t: pa.Table) -> pa.RecordBatch | None:
         n = t.num_rows
         key = np.stack([t.column(c).to_numpy() for c in ("leaf", "lo", "hi")], axis=1)
         group = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]).any(axis=1))])
         raw = _matrix(t.column("code").combine_chunks(), width)
         code, home = raw.view(np.uint64), t.column("home").to_numpy(zero_copy_only=False)
+        if trees:
+            return by_leaf(key, raw, home)
         at, left, right, step = np.nonzero(home[: n - 1])[0], [], [], 0
         while len(at):
             step += 1
@@ -278,11 +331,7 @@ def _compare(batches: Iterator[pa.RecordBatch], bits: int, radius: int) -> Itera
                 right.append(hit + step)
         if not left:
             return None
-        root = forest(n, np.concatenate(left), np.concatenate(right))
-        linked = np.nonzero(root != np.arange(n))[0]
-        us, vs = raw[root[linked]], raw[linked]
-        apart = (us != vs).any(axis=1)
-        return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in us[apart]], pa.binary()), pa.array([x.tobytes() for x in vs[apart]], pa.binary())], names=["u", "v"])
+        return stars(raw, forest(n, np.concatenate(left), np.concatenate(right)))
 
     carry: pa.Table | None = None
     for b in batches:
@@ -367,19 +416,18 @@ def _similar(batches: Iterator[pa.RecordBatch], shingle: int, radius: int, simil
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
 
-def plant(codes: DataFrame, bits: int, radius: int, blocks: int, intact: int, seed: int) -> list[VantageTree]:
-    """The trees of ``code_links``, fitted on at most about ``SAMPLE`` of the distinct codes, one in eight at most.
+def plant(codes: DataFrame, bits: int, looked_at: list[np.ndarray], rho: int, seed: int, rows: int, least: int) -> list[VantageTree]:
+    """A tree for each mask of ``looked_at``, fitted on at most about ``SAMPLE`` of the distinct codes, one in ``least`` at most.
 
-    Codes are sampled by their hash.  An empty sample gives trees of one leaf.
+    Codes are sampled by their hash; ``rows`` are at home in a leaf.  An empty sample gives trees of one leaf.
     """
     n = codes.count()
-    one_in = max(8, math.ceil(n / SAMPLE))
+    one_in = max(least, math.ceil(n / SAMPLE))
     sample = codes.where(F.pmod(F.xxhash64(F.lit(seed), "code"), F.lit(one_in)) == 0).orderBy("code").toArrow().column("code")
     words = _matrix(sample.combine_chunks(), bits // 8).view(">u8").astype(np.uint64)
-    leaf = max(8, LEAF // one_in)
-    extra = max(0, math.ceil(math.log2(leaf * one_in / LEAF)))
-    rho = block_radius_of(radius, blocks, intact)
-    return [VantageTree(words, mask, rho, leaf, extra, seed + k) for k, mask in enumerate(masks(bits, blocks, intact))]
+    leaf = max(8, rows // one_in)
+    extra = max(0, math.ceil(math.log2(leaf * one_in / rows)))
+    return [VantageTree(words, mask, rho, leaf, extra, seed + k) for k, mask in enumerate(looked_at)]
 
 
 def code_links(codes: DataFrame, bits: int, radius: int, block_radius: int | None = None, seed: int = 7, blocks: int | None = None, intact: int = 1, deals: int = 1) -> DataFrame:
@@ -387,14 +435,23 @@ def code_links(codes: DataFrame, bits: int, radius: int, block_radius: int | Non
 
     With ``block_radius`` None all links are found.  At 0, given or following from the radius,
     the blocks are cut ``deals`` times, each time from another order of the bits, and rows meet
-    where one block is equal.  ``blocks`` is by default two, or as many as hold 16 bits each
-    where the block radius is 0.
+    where one block is equal; a given radius above 0 has trees over such blocks, and rows meet
+    within it on one of them.  ``blocks`` is by default two, or as many as hold 16 bits each
+    where the block radius is given.
     """
     blocks = blocks or (2 if block_radius is None else bits // 16)
     rho = block_radius_of(radius, blocks, intact) if block_radius is None else block_radius
     kind = "leaf long, code binary, home boolean"
+    if block_radius:
+        # Codes are few bytes and much work: they are dealt out, not merged into a few partitions.
+        codes = cut(codes.select("code").repartition(int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "code"))
+        looked_at = [m for deal in range(deals) for m in masks(bits, blocks, intact, deal, seed)]
+        trees = codes.sparkSession.sparkContext.broadcast(plant(codes, bits, looked_at, rho, seed, WIDE, ONE_IN))
+        routed = codes.select("code").mapInArrow(partial(_routes, trees=trees, bits=bits, seed=seed), kind)
+        sorted_ = _tiles(routed, routed, "leaf", "code", ["code", "home"], WIDE_CHUNK, ["code"])
+        return sorted_.mapInArrow(partial(_compare, bits=bits, radius=radius, trees=looked_at, rho=rho), "u binary, v binary").distinct()
     if rho:
-        trees = codes.sparkSession.sparkContext.broadcast(plant(codes, bits, radius, blocks, intact, seed))
+        trees = codes.sparkSession.sparkContext.broadcast(plant(codes, bits, masks(bits, blocks, intact), rho, seed, LEAF, 8))
         routed = codes.select("code").mapInArrow(partial(_routes, trees=trees, bits=bits, seed=seed), kind)
     else:
         routed = codes.select("code").mapInArrow(partial(_blocks, bits=bits, blocks=blocks, intact=intact, seed=seed, deals=deals), kind)
@@ -463,13 +520,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
 
     Near copies have a similarity of 0.8 or more unless ``how`` says otherwise.  Candidates
     differ in at most 62 of 256 bits (39 on average at 0.8, and four standard deviations more)
-    and agree on one of 80 blocks of 16 bits, cut from five orders of the bits.  Null and empty
-    texts are near copies of each other.
+    and meet in one of 28 vantage-point trees: they differ in one bit at most on one of 28 blocks of
+    18 or 19 bits, cut from two orders of the bits.  Null and empty texts are near copies of each other.
 
     Rows that repeat one id count as one document, of which the row with the least hash
     stays.  A row without an id cannot stand for a group and is left as it is.
     """
-    groups = near_duplicates(docs, id_col=id_col, **({"radius": 62, "deals": 5, "similarity": 0.8} | how))
+    groups = near_duplicates(docs, id_col=id_col, **({"radius": 62, "block_radius": 1, "blocks": 14, "deals": 2, "similarity": 0.8} | how))
     kept = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
     row = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith("map")])
     # Which row of an id stays is decided on ids and hashes; the rows themselves are only looked up.

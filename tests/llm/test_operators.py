@@ -650,3 +650,37 @@ def test_near_copies_are_verified_around_the_bound(spark, monkeypatch):
         assert {1000, 1001} <= kept and all(2 * k in kept for k in range(240))
         assert not [i for i, same in want.items() if not same and i not in kept]
         assert sum(i not in kept for i, same in want.items() if same) >= 0.96 * sum(want.values())
+
+
+@pytest.mark.parametrize("wide,one_in", [(4096, 64), (16, 2)])
+def test_near_copies_meet_in_vantage_trees(spark, monkeypatch, wide, one_in):
+    """All links of a given block radius are found, in one leaf a tree or in many, and a large group sends few links."""
+    monkeypatch.setattr(simhash, "WIDE", wide)
+    monkeypatch.setattr(simhash, "ONE_IN", one_in)
+    rng = np.random.default_rng(5)
+    flipped = lambda code, n: code ^ np.packbits(np.isin(np.arange(256), rng.choice(256, n, replace=False)))
+    base = rng.integers(0, 256, (150, 32), dtype=np.uint8)
+    raw = [*base, *(flipped(b, int(rng.integers(20, 50))) for b in base), *(flipped(base[0], int(rng.integers(1, 12))) for _ in range(300))]
+    raw = np.unique(np.stack(raw), axis=0)
+    words, a, b = raw.view(">u8").astype(np.uint64), [], []
+    looked_at = [m for deal in range(2) for m in simhash.masks(256, 14, 1, deal, 7)]
+    for i in range(len(raw)):
+        x = words ^ words[i]
+        near = np.any([np.bitwise_count(x & m).sum(axis=1) <= 1 for m in looked_at], axis=0) & (np.bitwise_count(x).sum(axis=1) <= 62)
+        a += [i] * int(near.sum())
+        b += np.nonzero(near)[0].tolist()
+    want = simhash.forest(len(raw), np.array(a), np.array(b))
+    df = spark.createDataFrame([(x.tobytes(),) for x in raw], "code binary")
+    index = {x.tobytes(): k for k, x in enumerate(raw)}
+    links = [(index[bytes(r.u)], index[bytes(r.v)]) for r in simhash.code_links(df, 256, 62, 1, blocks=14, deals=2).collect()]
+    got = simhash.forest(len(raw), np.array([x for x, _ in links]), np.array([x for _, x in links]))
+    assert np.array_equal(got, want) and len(np.unique(want)) < 200
+    assert len(links) < (2 if wide == 4096 else 28) * len(raw)
+
+
+def test_keep_one_bands_no_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "_blocks", None)
+    words = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join([*words[: 299 - k], "x"])) for k in range(3)] + [(9, "another text of its own")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 9]
