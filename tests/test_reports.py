@@ -225,3 +225,11 @@ def test_validator_names_every_fault(spark):
     assert not checks.validate(m, e).where("check = 'bare-uri'").count()
     found = checks.located(spark.createDataFrame([("p/a",), ("#b",), ("C",), ("lost",)], "module string"), m)
     assert {r.module: r.path for r in found.collect()} == {"p/a": "p/a", "#b": "p/b", "C": "p/c", "lost": None}
+
+
+def test_a_shared_uri_is_told_once_a_path(spark):
+    """A path whose row is repeated is one module still; alone it shares its URI with nobody."""
+    rows = [(p, p, u, "d", "go", ["t"], ["x"]) for p, u in [("a", "<same>"), ("a", "<same>"), ("b", "<same>"), ("c", "<own>"), ("c", "<own>")]]
+    m = spark.createDataFrame(rows, "path string, name string, uri string, description string, language string, tags array<string>, exports array<string>")
+    e = spark.createDataFrame([], "src string, dst string")
+    assert sorted((r.check, r.path) for r in checks.validate(m, e).collect()) == [("duplicate-uri", "a"), ("duplicate-uri", "b")]
