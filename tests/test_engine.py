@@ -338,3 +338,16 @@ def test_queries_hold_the_orders(spark, tmp_path):
     assert ran("coverage_decile") == [("nation/0",)] and score["nation/0"][:3] == (2, 1, 4)
     assert {r for r in ran("closure_deps") if r[0] == "orders/1"} == {("orders/1", "customer/0", 1), ("orders/1", "nation/0", 2), ("orders/1", "region/0", 3)}
     assert set(ran("dup_name")) == {("orders/0", "O"), ("orders/1", "O"), ("region/0", "geo"), ("nation/0", "geo")}
+
+
+def test_dead_code_is_dealt_out_by_counts(spark, monkeypatch):
+    """The template's test of users goes to as many tasks as its rows need, and stays behind the join with the layers."""
+    from tessera.plans import compiler
+
+    monkeypatch.setattr(compiler, "ROWS", 20)
+    rows = [(f"n{k:02d}", p, o) for k in range(50) for p, o in ((RDF_TYPE, f"{NS}Module"), (f"{NS}layer", "cli" if k % 5 == 0 else "api"), (f"{NS}linksTo", f"n{k // 2:02d}"))]
+    t = spark.createDataFrame(rows, "subject string, predicate string, object string")
+    counts = predicate_counts(t)
+    df = Templates().run("dead-code", t, counts)
+    assert values(df) == [(f"n{k:02d}", "api") for k in range(25, 50) if k % 5]
+    assert df.rdd.getNumPartitions() == 5
