@@ -233,3 +233,20 @@ def test_a_shared_uri_is_told_once_a_path(spark):
     m = spark.createDataFrame(rows, "path string, name string, uri string, description string, language string, tags array<string>, exports array<string>")
     e = spark.createDataFrame([], "src string, dst string")
     assert sorted((r.check, r.path) for r in checks.validate(m, e).collect()) == [("duplicate-uri", "a"), ("duplicate-uri", "b")]
+
+
+def test_rules_are_dealt_out_by_counts(spark, monkeypatch):
+    """With counts the nodes go to as many tasks as the rows need; results, and the message of a rule that finds nothing, stay."""
+    from tessera.plans import compiler
+    from tessera.schema import NS, RDF_TYPE
+
+    monkeypatch.setattr(compiler, "ROWS", 20)
+    rows = [(f"n{k:02d}", RDF_TYPE, f"{NS}Module") for k in range(60)] + [(f"n{k:02d}", f"{NS}tags", f"t{x}") for k in range(0, 60, 2) for x in range(2)]
+    t = spark.createDataFrame(rows, "subject string, predicate string, object string")
+    rules = [checks.Rule("untagged", "x", "SELECT ?m WHERE { ?m a code:Module . FILTER NOT EXISTS { ?m code:tags ?t } }"), checks.Rule("wanted", "x", "SELECT ?m WHERE { ?m code:exports ?e }", "info", expect=2)]
+    counts = {RDF_TYPE: 60, f"{NS}tags": 60}
+    for how in (None, counts):
+        got = sorted((r.rule, r.severity, r.module or "", r.message) for r in checks.check_rules(t, rules, counts=how).violations.collect())
+        assert got == [("untagged", "error", f"n{k:02d}", "") for k in range(1, 60, 2)] + [("wanted", "info", "", "expected 2 results")]
+    stars = {r.id: checks._star(parse(r.pattern)) for r in rules}
+    assert checks._stars(t, stars, counts).rdd.getNumPartitions() == 6
