@@ -225,6 +225,9 @@ def test_semi_and_anti_joins_are_dealt_out_by_counts(spark, monkeypatch):
         want = [n for n in nodes if (n in used) == keep]
         assert sorted(r.m for r in df.collect()) == want == sorted(r.m for r in compiler.sparql(t, query).collect())
         assert df.rdd.getNumPartitions() == 12
+    both = compiler.sparql(t, "SELECT ?a ?b WHERE { ?a <linksTo> ?b . ?b <linksTo> ?a }", counts)
+    assert sorted(map(tuple, both.collect())) == sorted((a, b) for a, b in links if (b, a) in links)
+    assert both.rdd.getNumPartitions() == 12
 
 
 def test_counts_of_the_tables(spark):
