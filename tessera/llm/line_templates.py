@@ -9,8 +9,8 @@ line itself recurs, the line is its own template.  Templates that occur in ``min
 texts or more are boilerplate, and all their lines are dropped.
 
 Texts and lines are told apart by 128-bit hashes.  Lines are counted once for each text; only
-leaves with enough texts and with lines that do not recur by themselves are read again and
-generalised.
+the lines of leaves with enough texts and with lines that do not recur by themselves are read
+again and generalised.
 """
 
 from __future__ import annotations
@@ -51,35 +51,49 @@ def _hash(c: Column) -> Column:
     return F.unhex(F.md5(c))
 
 
-def _lines(rows: DataFrame) -> DataFrame:
-    """(h, flat, t): the lines of each text that are not blank."""
-    lines = rows.select("h", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(WORD))
-    return lines.select("h", flat(F.col("line")).alias("flat")).withColumn("t", _hash(F.col("flat")))
+def _flat_lines(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, flat): the lines of each text that are not blank."""
+    lines = rows.select(*keys, F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(WORD))
+    return lines.select(*keys, flat(F.col("line")).alias("flat"))
 
 
-def _generalised(rows: DataFrame, seen: DataFrame, each: DataFrame, min_docs: int) -> DataFrame:
+def _open_leaves(seen: DataFrame, each: DataFrame, min_docs: int) -> DataFrame:
+    """(leaf): leaves of ``min_docs`` texts or more with a line that does not recur by itself.
+
+    The counts of the lines tell it for most: a recurring line has enough texts, and no leaf has more
+    texts than its lines have together.  Only for the others texts are counted.
+    """
+    told = each.groupBy("leaf").agg(F.sum("n").alias("most"), F.min("n").alias("least"), F.max("n").alias("sure"))
+    told = cut(told.where((F.col("least") < min_docs) & (F.col("most") >= min_docs)).select("leaf", (F.col("sure") >= min_docs).alias("sure")))
+    doubtful = told.where("NOT sure").select("leaf")
+    texts = seen.select("leaf", "h").join(broadcast_if_small(doubtful, doubtful.count()), "leaf", "left_semi").distinct()
+    return told.where("sure").select("leaf").unionByName(texts.groupBy("leaf").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= min_docs).select("leaf"))
+
+
+def _generalised(rows: DataFrame, seen: DataFrame, each: DataFrame, min_docs: int, depth: int) -> DataFrame:
     """(t): lines that do not recur themselves, but whose template does."""
-    leaves = seen.select("leaf", "h").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= min_docs).select("leaf")
-    open_ = each.where(F.col("n") < min_docs).select("leaf").distinct().join(leaves, "leaf", "left_semi")
-    members = cut(each.join(cut(open_), "leaf", "left_semi"))  # one text of each line stands for it
-    size = members.count()
+    leaves = cut(_open_leaves(seen, each, min_docs).withColumn("in", F.monotonically_increasing_id()))
+    size = leaves.count()
     if not size:
-        return members.select("t")
-    some = broadcast_if_small(members.select("h", "t").distinct(), size)
-    read = _lines(rows.join(broadcast_if_small(members.select("h").distinct(), size), "h", "left_semi")).join(some, ["h", "t"], "left_semi")
-    texts = read.groupBy("t").agg(F.min("flat").alias("flat"))
-    tokens = cut(members.join(texts, "t").select("t", "leaf", "n", F.posexplode(F.split("flat", " ")).alias("pos", "token")))
-    constant = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("lines")).where(F.col("lines") >= min_docs).select("leaf", "pos", "token", F.lit(True).alias("constant"))
-    marked = tokens.where(F.col("n") < min_docs).join(constant, ["leaf", "pos", "token"], "left")
-    field, word = F.col("constant").isNull(), F.col("token") != "<*>"
-    made = marked.groupBy("t").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.when(field, "<*>").otherwise(F.col("token")).alias("token")))), lambda x: x["token"]), " ").alias("template"),
-        F.count_if(~field & word).alias("kept"),
-        F.count(F.lit(1)).alias("size"),
-    )
+        return each.select("t").limit(0)
+    some = broadcast_if_small(leaves, size)
+    # Never null, so that no test for null is sent ahead of the join, where it would flatten each line again.
+    path = F.coalesce(_hash(leaf(F.col("flat"), depth)), F.lit(b""))
+    read = _flat_lines(rows).withColumn("leaf", path).join(some, "leaf").select("flat", "in")
+    texts = read.withColumn("t", _hash(F.col("flat"))).groupBy("t").agg(F.min("flat").alias("flat"))
+    # From here on lines and leaves have numbers, which take less room than hashes in a row for each token.
+    lines = cut(each.join(some, "leaf").join(texts, "t").select("t", "in", "n", "flat", F.monotonically_increasing_id().alias("line")))
+    split = F.split("flat", " ")
+    tokens = lines.select("line", "in", "n", F.size(split).alias("size"), F.posexplode(split).alias("pos", "token")).where(F.col("token") != "<*>")
+    constant = tokens.groupBy("in", "pos", "token").agg(F.sum("n").alias("lines")).where(F.col("lines") >= min_docs).select("in", "pos", "token")
+    # A template is its number of tokens and its constant words with their places: all others read <*>.
+    words = tokens.where(F.col("n") < min_docs).select("line", "in", "size", "pos", "token").join(constant, ["in", "pos", "token"])
+    made = words.groupBy("line", "size").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("words"))
+    made = made.where(F.size("words") * KEEP[1] >= F.col("size") * KEEP[0])
     # Templates are told apart by hash: a row has a bounded size, however long its line.
-    made = cut(made.where(F.col("kept") * KEEP[1] >= F.col("size") * KEEP[0]).select("t", _hash(F.col("template")).alias("template")))
-    recurring = seen.select("h", "t").join(broadcast_if_small(made, size), "t").select("template", "h").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
+    template = F.concat_ws(" ", F.col("size").cast("string"), F.transform("words", lambda x: F.concat_ws(":", x["pos"].cast("string"), x["token"])))
+    made = cut(made.select("line", _hash(template).alias("template")).join(lines.select("line", "t"), "line").select("t", "template"))
+    recurring = seen.select("h", "t").join(broadcast_if_small(made, made.count()), "t").select("template", "h").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
     return made.join(recurring, "template", "left_semi").select("t")
 
 
@@ -93,10 +107,10 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, depth: int = 2, id_
     read.  A text of any length is cut as a whole.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", _hash(F.col("text")))
-    seen = cut(_lines(rows).select("h", "t", _hash(leaf(F.col("flat"), depth)).alias("leaf")).distinct())
-    each = cut(seen.groupBy("t", "leaf").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("h")))
+    seen = cut(_flat_lines(rows, "h").select("h", _hash(F.col("flat")).alias("t"), _hash(leaf(F.col("flat"), depth)).alias("leaf")).distinct())
+    each = cut(seen.groupBy("t", "leaf").agg(F.count(F.lit(1)).alias("n")))
     recurring = each.where(F.col("n") >= min_docs).select("t")
-    dropped = cut(recurring.unionByName(_generalised(rows, seen, each, min_docs)))
+    dropped = cut(recurring.unionByName(_generalised(rows, seen, each, min_docs, depth)))
     marked = cut(seen.join(broadcast_if_small(dropped, dropped.count()), "t", "left_semi").select("h", "t"))
     long = marked.groupBy("h").count().where(F.col("count") > LISTED).select("h")
     long = cut(long)

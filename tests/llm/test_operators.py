@@ -418,6 +418,23 @@ def test_line_templates_vary_in_words_and_keep_blank_lines(spark, monkeypatch, l
     assert line_templates.drop_recurring_lines(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_line_templates_send_leaves_instead_of_lines(spark, monkeypatch, small):
+    """What goes to every task counts leaves, not lines; results stay where it is too large for that.
+
+    Leaves: many lines and no template; a line that recurs (sure); lines of few texts each (doubtful); enough lines of too few texts.
+    """
+    sizes = []
+    monkeypatch.setattr(line_templates, "broadcast_if_small", lambda df, rows, limit=0: sizes.append(rows) or (F.broadcast(df) if small else df))
+    rows = [(k, "see also " + " ".join(c * (k + 1) for c in "wqz")) for k in range(60)]
+    assert [r.n_dropped for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0] * 60
+    assert sizes and max(sizes) == 1
+    rows += [(100 + k, f"to be sure\nto be {'mnopqr'[k]}\nwe {'mnopqr'[k]} had that\nwe had {'mnopqr'[k]} that") for k in range(6)]
+    rows += [(200 + k, "\n".join(f"of two {c} {k}" for c in "abcdef")) for k in range(2)] + [(300 + k, f"page <*> of the {'ab'[k % 2]} {'book' if k < 6 else 'bo:ok'}") for k in range(9)]
+    got = line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((x.doc_id, x.text, x.n_lines, x.n_dropped) for x in got.collect()) == Counter(brute_lines(rows))
+
+
 def test_sharding(docs, empty):
     rows = corpus()
     got = sharding.interleave(docs, 5).collect()
