@@ -32,6 +32,9 @@ VARIABLE = "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
 KEEP = (3, 5)
 #: A text with more dropped lines than this is cut by a join instead of by a list.
 LISTED = 1000
+#: Rows of hashes that are sent to every task as they are; beyond, 2 ** BITS bits of them are.
+SMALL = 200_000
+BITS = 27
 
 
 def flat(line: Column) -> Column:
@@ -57,6 +60,27 @@ def _flat_lines(rows: DataFrame, *keys: str) -> DataFrame:
     return lines.select(*keys, flat(F.col("line")).alias("flat"))
 
 
+def _near(df: DataFrame, some: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose key may be one of ``some``: all that are, and a few that are not.
+
+    A bit of a bitmap stands for each key, whose size (16 MB) does not grow with them.
+    """
+    at = lambda: F.xxhash64(key).bitwiseAND((1 << BITS) - 1)
+    words = some.select(at().alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    blocks = words.groupBy(F.shiftright("word", 6).alias("__block")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("word").bitwiseAND(63), "bits"))).alias("held"))
+    dense = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")), lambda k: F.coalesce(F.try_element_at("held", k), F.lit(0).cast("long")))
+    met = df.withColumn("__at", at()).join(F.broadcast(blocks.select("__block", dense.alias("__bits"))), F.shiftright("__at", 12) == F.col("__block"))
+    return met.where("getbit(element_at(__bits, cast((__at >> 6) & 63 as int) + 1), cast(__at & 63 as int)) = 1").select(*df.columns)
+
+
+def _met(df: DataFrame, some: DataFrame, rows: int, key: str) -> DataFrame:
+    """``df`` joined with ``some`` of counted rows and unique keys; where they are many, only what is near them is shuffled.
+
+    The join is never a semi join: Spark would send that ahead of the bitmap.
+    """
+    return (df if rows <= SMALL else _near(df, some, key)).join(broadcast_if_small(some, rows, SMALL), key)
+
+
 def _open_leaves(seen: DataFrame, each: DataFrame, min_docs: int) -> DataFrame:
     """(leaf): leaves of ``min_docs`` texts or more with a line that does not recur by itself.
 
@@ -66,7 +90,7 @@ def _open_leaves(seen: DataFrame, each: DataFrame, min_docs: int) -> DataFrame:
     told = each.groupBy("leaf").agg(F.sum("n").alias("most"), F.min("n").alias("least"), F.max("n").alias("sure"))
     told = cut(told.where((F.col("least") < min_docs) & (F.col("most") >= min_docs)).select("leaf", (F.col("sure") >= min_docs).alias("sure")))
     doubtful = told.where("NOT sure").select("leaf")
-    texts = seen.select("leaf", "h").join(broadcast_if_small(doubtful, doubtful.count()), "leaf", "left_semi").distinct()
+    texts = _met(seen.select("leaf", "h"), doubtful, doubtful.count(), "leaf").distinct()
     return told.where("sure").select("leaf").unionByName(texts.groupBy("leaf").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= min_docs).select("leaf"))
 
 
@@ -76,13 +100,12 @@ def _generalised(rows: DataFrame, seen: DataFrame, each: DataFrame, min_docs: in
     size = leaves.count()
     if not size:
         return each.select("t").limit(0)
-    some = broadcast_if_small(leaves, size)
     # Never null, so that no test for null is sent ahead of the join, where it would flatten each line again.
     path = F.coalesce(_hash(leaf(F.col("flat"), depth)), F.lit(b""))
-    read = _flat_lines(rows).withColumn("leaf", path).join(some, "leaf").select("flat", "in")
+    read = _met(_flat_lines(rows).withColumn("leaf", path), leaves, size, "leaf").select("flat")
     texts = read.withColumn("t", _hash(F.col("flat"))).groupBy("t").agg(F.min("flat").alias("flat"))
     # From here on lines and leaves have numbers, which take less room than hashes in a row for each token.
-    lines = cut(each.join(some, "leaf").join(texts, "t").select("t", "in", "n", "flat", F.monotonically_increasing_id().alias("line")))
+    lines = cut(_met(each, leaves, size, "leaf").join(texts, "t").select("t", "in", "n", "flat", F.monotonically_increasing_id().alias("line")))
     split = F.split("flat", " ")
     tokens = lines.select("line", "in", "n", F.size(split).alias("size"), F.posexplode(split).alias("pos", "token")).where(F.col("token") != "<*>")
     constant = tokens.groupBy("in", "pos", "token").agg(F.sum("n").alias("lines")).where(F.col("lines") >= min_docs).select("in", "pos", "token")
@@ -93,7 +116,7 @@ def _generalised(rows: DataFrame, seen: DataFrame, each: DataFrame, min_docs: in
     # Templates are told apart by hash: a row has a bounded size, however long its line.
     template = F.concat_ws(" ", F.col("size").cast("string"), F.transform("words", lambda x: F.concat_ws(":", x["pos"].cast("string"), x["token"])))
     made = cut(made.select("line", _hash(template).alias("template")).join(lines.select("line", "t"), "line").select("t", "template"))
-    recurring = seen.select("h", "t").join(broadcast_if_small(made, made.count()), "t").select("template", "h").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
+    recurring = _met(seen.select("h", "t"), made, made.count(), "t").select("template", "h").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
     return made.join(recurring, "template", "left_semi").select("t")
 
 
@@ -111,7 +134,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, depth: int = 2, id_
     each = cut(seen.groupBy("t", "leaf").agg(F.count(F.lit(1)).alias("n")))
     recurring = each.where(F.col("n") >= min_docs).select("t")
     dropped = cut(recurring.unionByName(_generalised(rows, seen, each, min_docs, depth)))
-    marked = cut(seen.join(broadcast_if_small(dropped, dropped.count()), "t", "left_semi").select("h", "t"))
+    marked = cut(_met(seen.select("h", "t"), dropped, dropped.count(), "t").select("h", "t"))
     long = marked.groupBy("h").count().where(F.col("count") > LISTED).select("h")
     long = cut(long)
     n_long = long.count()

@@ -426,6 +426,7 @@ def test_line_templates_send_leaves_instead_of_lines(spark, monkeypatch, small):
     """
     sizes = []
     monkeypatch.setattr(line_templates, "broadcast_if_small", lambda df, rows, limit=0: sizes.append(rows) or (F.broadcast(df) if small else df))
+    monkeypatch.setattr(line_templates, "SMALL", 200_000 if small else -1, raising=False)
     rows = [(k, "see also " + " ".join(c * (k + 1) for c in "wqz")) for k in range(60)]
     assert [r.n_dropped for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0] * 60
     assert sizes and max(sizes) == 1
@@ -435,6 +436,17 @@ def test_line_templates_send_leaves_instead_of_lines(spark, monkeypatch, small):
     assert Counter((x.doc_id, x.text, x.n_lines, x.n_dropped) for x in got.collect()) == Counter(brute_lines(rows))
 
 
+def test_rows_near_many_keys(spark, monkeypatch):
+    """The bitmap keeps each row whose key is among the many, and of the others what its size tells."""
+    df, some = spark.range(20_000).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("t"), "id"), spark.range(0, 20_000, 10).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("t"))
+    near = {r.id for r in line_templates._near(df, some, "t").collect()}
+    assert near >= set(range(0, 20_000, 10)) and len(near) < 2010
+    monkeypatch.setattr(line_templates, "SMALL", 100)
+    assert sorted(r.id for r in line_templates._met(df, some, 2000, "t").collect()) == list(range(0, 20_000, 10))
+    monkeypatch.setattr(line_templates, "BITS", 14)
+    assert 3000 < line_templates._near(df, some, "t").count() < 6000
+
+
 def test_sharding(docs, empty):
     rows = corpus()
     got = sharding.interleave(docs, 5).collect()
