@@ -189,6 +189,16 @@ def test_dense_graphs_are_contracted_and_pairs_come_from_components(spark):
     assert pairs == sorted((a, b) for a, s in far.items() for b in s)
 
 
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_pairs_of_a_component_come_list_by_list(spark, limit):
+    """Broadcast and shuffled lists hold all pairs once, and a node stands for a run of roots."""
+    names = [f"n{k:03d}" for k in range(300)]
+    edges = [e for n in names[1:] for e in ((names[0], n), (n, names[0]))] + [("x", "n005"), ("n007", "y"), ("l", "l")]
+    rows = [tuple(x) for x in g.reachable(frame(spark, edges), shares=3, group=20, limit=limit).collect()]
+    assert sorted(rows) == sorted([(a, b) for a in [*names, "x"] for b in [*names, "y"]] + [("l", "l")])
+    assert sum(a[1] != b[1] for a, b in zip(rows, rows[1:])) < len(rows) / 5
+
+
 def test_blocks_are_dealt_out_and_parsed_once(spark, tmp_path):
     """Files of one partition are parsed by many tasks, and each once, however often its triples are read."""
     from tessera.sources import turtle
